@@ -10,18 +10,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
-           row_bytes: int = 256) -> DataFrame:
-    """Join ``small`` (one row per key) onto ``df``.
+def checked_broadcast(small: DataFrame, row_bytes: int = 256) -> DataFrame:
+    """``small`` materialised once, hinted for broadcast only if its counted size allows.
 
-    ``small`` is materialised once and its rows are counted.  It is broadcast only when the
-    counted size fits :data:`BROADCAST_BYTES`; otherwise the join stays a shuffled equi-join,
-    where adaptive execution splits hot keys.  Only the count comes to the driver.
+    Beyond :data:`BROADCAST_BYTES` there is no hint, and a join with it is a shuffled equi-join
+    whose hot keys adaptive execution splits.  Only the count comes to the driver.
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.count() * row_bytes <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return df.join(small, list(keys), how)
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
+           row_bytes: int = 256) -> DataFrame:
+    """Join ``small`` (one row per key) onto ``df`` by ``keys``."""
+    return df.join(checked_broadcast(small, row_bytes), list(keys), how)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -1,0 +1 @@
+"""Whole questions assembled from the operators."""
