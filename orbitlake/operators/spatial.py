@@ -99,7 +99,8 @@ def clip_spans(outlines: DataFrame, keys: Sequence[str] = ("frame_id",)) -> Data
              .select(*keys, "row", "width", F.ceil(F.col("x") - 0.5).cast("int").alias("c0"),
                      (F.ceil(F.col("until") - 0.5) - 1).cast("int").alias("c1")))
 
-    top = F.greatest(F.floor("__lo"), F.lit(0)).cast("int")
+    # Cells are closed: an edge that runs along or ends on a cell border touches both cells.
+    top = F.greatest(F.ceil("__lo") - 1, F.lit(0)).cast("int")
     bottom = F.least(F.floor("__hi"), F.col("height") - 1).cast("int")
     passed = e.withColumn("row", rows(top, bottom))
     upper = F.greatest(F.col("__lo"), F.col("row").cast("double"))
@@ -108,7 +109,7 @@ def clip_spans(outlines: DataFrame, keys: Sequence[str] = ("frame_id",)) -> Data
     xa = F.when(flat, F.col("x1")).otherwise(x_at(upper))
     xb = F.when(flat, F.col("x2")).otherwise(x_at(lower))
     touched = passed.select(*keys, "row", "width",
-                            F.floor(F.least(xa, xb)).cast("int").alias("c0"),
+                            (F.ceil(F.least(xa, xb)) - 1).cast("int").alias("c0"),
                             F.floor(F.greatest(xa, xb)).cast("int").alias("c1"))
 
     spans = inner.unionByName(touched).withColumns({
