@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from orbitlake import materialise
 from orbitlake.functions.tone import gaussian_weights
 from orbitlake.operators import measure, stencil
 
@@ -34,7 +35,8 @@ def frames(spark, sf_dir) -> DataFrame:
 
 def padded(spark, sf_dir, halo: int, fill="mean") -> DataFrame:
     """Tiled red composite with every cell present; ``red_ok`` marks the measured ones."""
-    px = stencil.sized(merged(spark, sf_dir, ("red",)), H, W)
+    # Read twice below, for the fill and for the image: written once, as a render does.
+    px = materialise(stencil.sized(merged(spark, sf_dir, ("red",)), H, W))
     value = stencil.band_means(px, KEYS, ["red"]) if fill == "mean" else fill
     return stencil.pad_tiles(px, KEYS, ["red"], halo, TILE, frames=frames(spark, sf_dir),
                              fill=value)

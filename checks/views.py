@@ -24,7 +24,7 @@ SELECT CAST(floor(l_orderkey / 8192) AS INT) AS frame_id,
        CAST(600 + (3 * max(l_partkey)) % 4000 AS INT) AS dn_swir22,
        CAST(CASE WHEN max(l_partkey) % 23 = 0 THEN 0 ELSE 50 + 10 * max(l_suppkey) END AS INT) AS amp_vv,
        CAST(20 + max(l_partkey) % 300 AS INT) AS amp_vh,
-       CAST(CASE max(l_returnflag) WHEN 'R' THEN 9 WHEN 'N' THEN 5 ELSE 4 END AS INT) AS scl
+       CAST(CASE max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) WHEN 3 THEN 9 WHEN 2 THEN 5 ELSE 4 END AS INT) AS scl
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 

@@ -124,7 +124,7 @@ def _mappings(px: DataFrame, keys: list[str], clip_limit: float, tiles: int) ->
     """One 256-value mapping array per (frame, tile)."""
     counted = (px.groupBy(*keys, "__ty", "__tx", "__q")
                .agg(F.count(F.when(F.col("__q") >= 0, 1)).alias("__h")).where("__h > 0"))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    numbers = lambda n: F.explode_outer(F.sequence(F.lit(0), F.lit(n - 1)))
     slots = (counted.select(*keys).distinct().withColumn("__ty", numbers(tiles))
              .withColumn("__tx", numbers(tiles)).withColumn("__q", numbers(BINS)))
     tile = Window.partitionBy(*keys, "__ty", "__tx")
@@ -152,7 +152,7 @@ def _corners(maps: DataFrame, keys: list[str], tiles: int) -> DataFrame:
         here = F.struct(F.col(axis).alias("low"), F.lit(0).alias("step"))
         next_ = F.struct((F.col(axis) - 1).alias("low"), F.lit(1).alias("step"))
         last = F.struct(F.col(axis).alias("low"), F.lit(1).alias("step"))
-        return F.explode(F.when(F.col(axis) == tiles - 1, F.array(here, next_, last))
+        return F.explode_outer(F.when(F.col(axis) == tiles - 1, F.array(here, next_, last))
                          .when(F.col(axis) == 0, F.array(here)).otherwise(F.array(here, next_)))
     spread = (maps.withColumn("__y", serves("__ty")).withColumn("__x", serves("__tx"))
               .groupBy(*keys, F.col("__y.low").alias("__y0"), F.col("__x.low").alias("__x0")))

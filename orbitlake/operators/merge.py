@@ -71,8 +71,8 @@ def _packed_median(pixels: DataFrame, bands: Sequence[str], cell: list[str]) ->
 def common_bands(scenes: DataFrame, keys: Sequence[str] = ("frame_id",),
                  scene: str = "scene_id", assets: str = "assets") -> DataFrame:
     """Bands that every scene of a frame offers: the only ones a merge may use."""
-    offered = scenes.select(*keys, scene, F.explode(F.map_keys(assets)).alias("band"))
-    per_band = offered.groupBy(*keys, "band").agg(F.count_distinct(scene).alias("offers"))
+    offered = scenes.select(*keys, scene, F.explode_outer(F.map_keys(assets)).alias("band"))
+    per_band = offered.where("band is not null").groupBy(*keys, "band").agg(F.count_distinct(scene).alias("offers"))
     total = scenes.groupBy(*keys).agg(F.count_distinct(scene).alias("scenes"))
     return (per_band.join(total, list(keys))
             .where(F.col("offers") == F.col("scenes")).select(*keys, "band"))

@@ -60,7 +60,7 @@ def tracks(recent: DataFrame) -> DataFrame:
 
 def distinct_passes(recent: DataFrame) -> DataFrame:
     """The kept pass times themselves, one row each."""
-    return tracks(recent).select(*TRACK, F.explode("kept").alias("at")).select(
+    return tracks(recent).select(*TRACK, F.explode_outer("kept").alias("at")).select(
         *TRACK, F.timestamp_micros("at").cast("timestamp_ntz").alias("passed_at"))
 
 
@@ -108,7 +108,7 @@ def next_passes(recent: DataFrame, now: str, points: DataFrame | None = None) ->
         F.col("n.orbit").alias("next_orbit"),
         half_even(F.col("n.period") / float(DAY), 2).alias("period_days"))
     if points is not None:
-        every = points.select("point_id", F.explode(F.array(*[
+        every = points.select("point_id", F.explode_outer(F.array(*[
             F.lit(k) for k in registry.SATELLITES])).alias("satellite"))
         out = every.join(out, key, "left").fillna(0, ["passes_seen", "orbits_seen"]).fillna(
             False, ["measured"])

@@ -13,13 +13,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .keyed import attach
+from .keyed import attach, reused, settled
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
               probs: Sequence[float], method: str = "exact",
               accuracy: int = 10000) -> DataFrame:
-    """One row per key with ``<column>_q``: an array with one value per probability."""
+    """One row per key with ``<column>_q``: an array with one value per probability.
+
+    The exact method runs at once: both passes read the narrow projection it keeps meanwhile, so
+    whatever ``df`` is made from is computed once.  ``approx`` stays lazy.
+    """
     keys, columns, probs = list(keys), list(dict.fromkeys(columns)), [float(p) for p in probs]
     if method == "approx":
         return df.groupBy(*keys).agg(*[
@@ -27,16 +31,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
             for c in columns])
 
     values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    brackets = _brackets(values, keys, columns, probs, accuracy)
-    counts = _counts(attach(values, brackets, keys), keys, columns, len(probs))
-    return _pick(counts, keys, columns, probs)
+    with reused(values) as held:
+        brackets = _brackets(held, keys, columns, probs, accuracy)
+        counts = _counts(attach(held, brackets, keys), keys, columns, len(probs))
+        return settled(_pick(counts, keys, columns, probs))
 
 
 def pooled_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
                      probs: Sequence[float], method: str = "exact",
                      accuracy: int = 10000) -> DataFrame:
     """Percentiles of several columns taken together, as ``pool_q``."""
-    pool = df.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in columns]))
+    pool = df.select(*keys, F.explode_outer(F.array(*[F.col(c).cast("double") for c in columns]))
                      .alias("pool"))
     return quantiles(pool, keys, ["pool"], probs, method, accuracy)
 
@@ -73,7 +78,7 @@ def _counts(values: DataFrame, keys, columns, wanted: int) -> DataFrame:
             gap = gap + (v > F.col(f"__hi{i}_{c}")).cast("int")
         cells.append(F.struct(F.lit(index).alias("band"), gap.alias("gap"),
                               F.when(inside, v).alias("value"), v.alias("at")))
-    return (values.select(*keys, F.explode(F.array(*cells)).alias("c"))
+    return (values.select(*keys, F.explode_outer(F.array(*cells)).alias("c"))
             .select(*keys, "c.*").where(F.col("at").isNotNull())
             .groupBy(*keys, "band", "gap", "value")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("at")))

@@ -95,7 +95,7 @@ def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide
     moving = px.where(F.col(scene) != F.col("reference")).withColumn("still", F.lit(False))
     still = attach(px.where(F.col(scene) == F.col("reference")), others, keys, how="inner",
                    row_bytes=2048)
-    still = still.withColumn(scene, F.explode("__others")).drop("__others").withColumn(
+    still = still.withColumn(scene, F.explode_outer("__others")).drop("__others").withColumn(
         "still", F.lit(True))
     both = moving.unionByName(still).select(*keys, scene, "ty", "tx", "row", "col", "v", "still")
 

@@ -69,7 +69,7 @@ def _spread(px: DataFrame, group: list[str], axis: str, size: str, out: int, sum
     px = px.withColumns({"__a": a, "__b": b})
     low = F.ceil((F.col(axis) - reach - F.col("__b")) / F.col("__a"))
     high = F.floor((F.col(axis) + reach - F.col("__b")) / F.col("__a"))
-    target = F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"),
+    target = F.explode_outer(F.sequence(F.greatest(low, F.lit(0)).cast("int"),
                                   F.least(high, F.lit(out - 1)).cast("int")))
     # A cell can always reach one output cell or more except past the frame edge.
     px = px.where(F.greatest(low, F.lit(0)) <= F.least(high, F.lit(out - 1)))
@@ -89,7 +89,7 @@ def _nearest(df: DataFrame, keys, bands, height: int, width: int, corners: bool)
         high = F.ceil((F.col(axis) + 0.5 - b) / a) - 1
         low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(out - 1))
         df = df.where(low <= high).withColumn(
-            axis, F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+            axis, F.explode_outer(F.sequence(low.cast("int"), high.cast("int"))))
     return df.select(*keys, "row", "col", F.lit(height).alias("height"),
                      F.lit(width).alias("width"), *bands)
 

@@ -21,9 +21,9 @@ def _covering(df: DataFrame, size: float, prefix: str = "__") -> DataFrame:
     """One row per grid bucket a row's bounds reach, with the lowest bucket alongside."""
     df = df.withColumns({f"{prefix}x0": _bucket(F.col("west"), size),
                          f"{prefix}y0": _bucket(F.col("south"), size)})
-    return (df.withColumn("__cx", F.explode(F.sequence(F.col(f"{prefix}x0"),
+    return (df.withColumn("__cx", F.explode_outer(F.sequence(F.col(f"{prefix}x0"),
                                                        _bucket(F.col("east"), size))))
-            .withColumn("__cy", F.explode(F.sequence(F.col(f"{prefix}y0"),
+            .withColumn("__cy", F.explode_outer(F.sequence(F.col(f"{prefix}y0"),
                                                      _bucket(F.col("north"), size)))))
 
 
@@ -81,10 +81,12 @@ def clip_spans(outlines: DataFrame, keys: Sequence[str] = ("frame_id",)) -> Data
     grows with the outline's length in pixels, not with the area inside it.
     """
     keys = list(keys)
-    e = (outlines.select(*keys, "height", "width", F.explode("edges").alias("e"))
-         .select(*keys, "height", "width", "e.*"))
+    e = (outlines.select(*keys, "height", "width", F.explode_outer("edges").alias("e"))
+         .where("e is not null").select(*keys, "height", "width", "e.*"))
     e = e.withColumns({"__lo": F.least("y1", "y2"), "__hi": F.greatest("y1", "y2")})
-    rows = lambda a, b: F.explode(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast(
+    # Outer explodes throughout: an inner one makes the optimiser test the computed array in a
+    # filter of its own, evaluating it twice and far below where it belongs.
+    rows = lambda a, b: F.explode_outer(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast(
         "array<int>")))
     x_at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * F.coalesce(
         F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")), F.lit(0.0))
@@ -114,7 +116,7 @@ def clip_spans(outlines: DataFrame, keys: Sequence[str] = ("frame_id",)) -> Data
 
     spans = inner.unionByName(touched).withColumns({
         "c0": F.greatest("c0", F.lit(0)), "c1": F.least("c1", F.col("width") - 1)})
-    spans = spans.where("c1 >= c0").drop("width")
+    spans = spans.where("row is not null and c1 >= c0").drop("width")
     seen = Window.partitionBy(*keys, "row").orderBy("c0", "c1")
     before = F.max("c1").over(seen.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(F.col("c0") > F.coalesce(before, F.lit(-2)) + 1, 1).otherwise(0)

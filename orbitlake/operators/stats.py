@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_even
+from .keyed import reused, settled
 from .quantiles import quantiles
 
 
@@ -17,15 +18,16 @@ def array_stats(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
     A key without a single value keeps ``count`` 0 and NULL for the rest.
     """
     keys = list(keys)
-    basic = df.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    q = quantiles(df, keys, [value], [0.05, 0.25, 0.5, 0.75, 0.95], method)
     marks = ["p5", "p25", "median", "p75", "p95"]
-    joined = basic.join(q, keys, "left")
-    return joined.select(*keys, "count", *[
-        half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std")], *[
-        half_even(F.get(f"{value}_q", F.lit(i)), 4).alias(m) for i, m in enumerate(marks)])
+    with reused(df.select(*keys, value)) as held:
+        basic = held.groupBy(*keys).agg(
+            F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"),
+            F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+        q = quantiles(held, keys, [value], [0.05, 0.25, 0.5, 0.75, 0.95], method)
+        joined = basic.join(q, keys, "left")
+        return settled(joined.select(*keys, "count", *[
+            half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std")], *[
+            half_even(F.get(f"{value}_q", F.lit(i)), 4).alias(m) for i, m in enumerate(marks)]))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float,
@@ -38,7 +40,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float,
     counts = (df.where(v.between(low, high)).groupBy(*keys, index.alias("bin"))
               .agg(F.count(F.lit(1)).alias("rows")))
     frames = df.groupBy(*keys).agg(F.count(value).alias("__any")).where("__any > 0")
-    slots = frames.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    slots = frames.select(*keys, F.explode_outer(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return slots.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin", half_even(F.lit(low) + F.col("bin") * width, 4).alias("edge"),
         F.lit(round(width, 5)).alias("width"),
