@@ -144,6 +144,13 @@ def fire_styles(spark, sf_dir):
                    ["radius", "opacity"])
 
 
+@query(views.with_views("dets") + """
+SELECT ordinal, lat, lon FROM dets WHERE lat BETWEEN -40 AND 10 AND lon BETWEEN 100 AND 160""")
+def fires_in_box(spark, sf_dir):
+    out = fires.within_box(views.dets(spark, sf_dir), 160, 10, 100, -40)
+    return out.select("ordinal", "lat", "lon")
+
+
 # -- overpasses -----------------------------------------------------------------
 
 _RECENT = views.with_views("pass_log").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
@@ -337,3 +344,35 @@ def scene_flatten(spark, sf_dir):
     return flat.select("scene_id", "satellite", "source", "datetime", "date", "cloud", "platform",
                        "tile", "orbit", "boa_offset_applied",
                        F.col("assets")["red"].alias("red_href"))
+
+
+@query(views.with_views("cat") + """
+SELECT west, south, satellite, count(*) AS scenes FROM cat GROUP BY ALL""")
+def single_satellite(spark, sf_dir):
+    groups = views.cat(spark, sf_dir).withColumn("kind", F.col("satellite"))
+    out = catalog.single_satellite(groups, ["west", "south", "kind"])
+    return out.select("west", "south", "satellite", "scenes")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS scene, o_custkey AS frame_id, o_orderkey % 2 = 0 AS has_nir FROM orders)
+SELECT frame_id, 'red' AS band FROM s GROUP BY 1 UNION ALL SELECT frame_id, 'nir' AS band FROM s GROUP BY 1 HAVING bool_and(has_nir)""")
+def common_bands(spark, sf_dir):
+    """Every scene offers red, every other one near infrared as well."""
+    from orbitlake.operators import merge
+    link = F.lit("https://host/band")
+    scenes = views.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("frame_id"), F.col("o_orderkey").alias("scene_id"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("red"), link, F.lit("nir"), link))
+        .otherwise(F.create_map(F.lit("red"), link)).alias("assets"))
+    return merge.common_bands(scenes)
+
+
+@query(views.with_views("cat") + """
+SELECT scene_id, satellite, source, passed_at FROM cat WHERE scene_id = 4242 AND satellite = 'sentinel-1'""")
+def scene_by_id(spark, sf_dir):
+    scenes = views.cat(spark, sf_dir)
+    found = catalog.get_scene(scenes.withColumn("scene_id", F.concat(
+        F.lit("S1-"), F.col("scene_id").cast("string"))), "S1-4242")
+    return found.select(F.substring("scene_id", 4, 20).cast("long").alias("scene_id"),
+                        "satellite", "source", "passed_at")

@@ -17,7 +17,7 @@ from . import views
 from .event_queries import AREAS, areas
 from .pixel_queries import merged, optical, r6, refl_cte, rounded
 from .render_queries import comp_cte
-from .stencil_queries import frames
+from .stencil_queries import dense, dense_cte, frames
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -256,3 +256,22 @@ def pixel_assignment(spark, sf_dir):
     row, col = geo.pixel_of(F.col("x"), F.col("y"))
     px = px.select("frame_id", row.alias("row"), col.alias("col"), "red")
     return px.groupBy(*CELL).agg(half_even(F.max("red"), 6).alias("red"))
+
+
+def _as_seen_sql(step: int = 2) -> str:
+    rows, cols = H // step, W // step
+
+    def axis(n_in: int, n_out: int, name: str) -> str:
+        pos = f"(o.i * {(n_in - 1) / (n_out - 1)!r}::DOUBLE)"
+        return (f"{name} AS (SELECT CAST(o.i AS INT) AS o, s.i AS s, {_kernel_sql(f'{pos} - s.i', 'cubic')} AS w "
+                f"FROM range({n_out}) o(i) JOIN range({n_in}) s(i) ON abs({pos} - s.i) <= 2)")
+    return dense_cte() + f""", {axis(rows, H, 'ay')}, {axis(cols, W, 'ax')},
+co AS (SELECT frame_id, "row" // {step} AS r, col // {step} AS c, v FROM d WHERE "row" % {step} = {step // 2} AND col % {step} = {step // 2})
+SELECT co.frame_id, ay.o AS "row", ax.o AS col, {steady('sum(ay.w * ax.w * co.v) / sum(ay.w * ax.w)')} AS red
+FROM co JOIN ay ON ay.s = co.r JOIN ax ON ax.s = co.c GROUP BY ALL"""
+
+
+@query(_as_seen_sql())
+def as_seen(spark, sf_dir):
+    out = resample.as_seen(dense(spark, sf_dir), ["frame_id"], "red", 2.0, H, W)
+    return out.select(*CELL, (F.rint(F.col("red") * 1e6 + 1e-3) / 1e6).alias("red"))

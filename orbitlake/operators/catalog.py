@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +18,13 @@ def _optical(satellite: Column) -> Column:
     return satellite.isin([k for k, s in registry.SATELLITES.items() if s["cloud_filter"]])
 
 
+def search_days(today: str, start: str | None = None, end: str | None = None) -> tuple[str, str]:
+    """First and last day of a search; left out, the year up to ``today``."""
+    day = dt.date.fromisoformat(today[:10])
+    return (str(start)[:10] if start else (day - dt.timedelta(days=365)).isoformat(),
+            str(end)[:10] if end else day.isoformat())
+
+
 def filter_scenes(scenes: DataFrame, start: str, end: str, max_cloud: float = 30.0,
                   satellites=None, when: str = "passed_at") -> DataFrame:
     """Whole days ``start`` to ``end``; strictly less cloud than ``max_cloud`` for optical.

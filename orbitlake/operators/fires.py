@@ -24,6 +24,15 @@ def sane_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns(sane_box(*named))
 
 
+def within_box(detections: DataFrame, west: float, south: float, east: float,
+               north: float) -> DataFrame:
+    """Detections in one rectangle (borders included), as predicates the scan can push down."""
+    w, e = sorted((float(west), float(east)))
+    s, n = sorted((float(south), float(north)))
+    return detections.where(F.col("lat").between(max(s, -90.0), min(n, 90.0))
+                            & F.col("lon").between(max(w, -180.0), min(e, 180.0)))
+
+
 def within_hours(detections: DataFrame, now: str, hours: int) -> DataFrame:
     """Detections no older than ``hours`` (1..168) at ``now`` (UTC, given by the caller)."""
     hours = max(1, min(int(hours), max(registry.FIRE_WINDOWS)))

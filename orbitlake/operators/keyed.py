@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -54,7 +54,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     keys = list(keys)
     inside = Window.partitionBy(*keys, "__salt").orderBy(*order)
     overall = Window.partitionBy(*keys).orderBy(*order)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     first = (df.withColumn("__salt", spread)
              .withColumn("__r", F.row_number().over(inside))
              .where(F.col("__r") <= k).drop("__salt", "__r"))

@@ -23,15 +23,19 @@ def reflectance(dn: Column, offset: Column) -> Column:
     return F.when(dn != 0, (dn + offset).cast("double") * F.lit(registry.REFLECTANCE_SCALE))
 
 
-def to_reflectance(pixels: DataFrame, scenes: DataFrame, bands: dict[str, str],
+def to_reflectance(pixels: DataFrame, scenes: DataFrame | None, bands: dict[str, str],
                    on: Sequence[str] = ("scene_ord",)) -> DataFrame:
     """Add ``{band: dn column}`` in reflectance, with each scene's own offset.
 
-    ``scenes`` needs the ``on`` keys, ``scene_date`` and ``boa_offset_applied``.
+    The offset needs ``scene_date`` and ``boa_offset_applied``.  Pixel tables that carry them
+    (as partition columns they cost nothing) take no join; otherwise ``scenes`` gives them per
+    ``on`` keys.
     """
-    offsets = scenes.select(*on, boa_offset(F.col("scene_date"), F.col("boa_offset_applied"))
-                            .alias("__offset"))
-    joined = attach(pixels, offsets, on, how="inner")
+    offset = boa_offset(F.col("scene_date"), F.col("boa_offset_applied")).alias("__offset")
+    if scenes is None:
+        joined = pixels.withColumn("__offset", offset)
+    else:
+        joined = attach(pixels, scenes.select(*on, offset), on, how="inner")
     return joined.withColumns({b: reflectance(F.col(dn), F.col("__offset"))
                                for b, dn in bands.items()}).drop("__offset", *bands.values())
 

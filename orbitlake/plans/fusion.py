@@ -53,7 +53,7 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
             stack, refs, "guide", keys, scene, 0.16 / scale, registration_tile))
         shifts = shifts.drop("dy", "dx").join(found.drop("tiles"), [*keys, scene], "left").fillna(
             0.0, ["dy", "dx"])
-    aligned = registration.align(stack, shifts, bands, keys, scene, images, tile)
+    aligned = materialise(registration.align(stack, shifts, bands, keys, scene, images, tile))
     packed = merge.shallow(scenes.select(*keys, scene).distinct(), keys)
     merged = materialise(merge.robust_mean(aligned, bands, scenes.select(*keys, scene).distinct(),
                                            keys, tolerance, packed))

@@ -17,7 +17,7 @@ from ..operators import units
 GRID = ("row", "col", "height", "width")
 
 
-def read_bands(spark: SparkSession, path: str, scenes: DataFrame, bands: Sequence[str],
+def read_bands(spark: SparkSession, path: str, scenes: DataFrame | None, bands: Sequence[str],
                satellite: str, scene_ids: Sequence[str] | None = None, clouds: bool = False,
                keys: Sequence[str] = ("frame_id",), frames: DataFrame | None = None,
                window: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -25,6 +25,7 @@ def read_bands(spark: SparkSession, path: str, scenes: DataFrame, bands: Sequenc
 
     Only the stored bands behind ``bands`` are read.  ``scene_ids`` and ``window`` (first and
     last row, first and last column) are pushed to the scan; ``clouds`` masks cloud classes.
+    ``scenes`` is not needed when the table itself carries the scene's date and offset flag.
     """
     bands = list(dict.fromkeys(bands))
     stored = registry.read_list(bands, satellite)
@@ -35,7 +36,11 @@ def read_bands(spark: SparkSession, path: str, scenes: DataFrame, bands: Sequenc
         px = px.where(F.col("row").between(window[0], window[1])
                       & F.col("col").between(window[2], window[3]))
     extra = ["scl"] if clouds and "scl" in px.columns else []
-    px = px.select(*keys, "scene_id", *GRID, *stored, *extra)
+    facts = ["scene_date", "boa_offset_applied"] if scenes is None and satellite != "sentinel-1" \
+        else []
+    if scenes is not None and scene_ids is not None:
+        scenes = scenes.where(F.col("scene_id").isin(list(scene_ids)))
+    px = px.select(*keys, "scene_id", *GRID, *stored, *extra, *facts)
     px = px.withColumnsRenamed({b: f"__dn_{b}" for b in stored})
     named = {b: f"__dn_{b}" for b in stored}
     if satellite == "sentinel-1":
