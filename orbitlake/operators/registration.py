@@ -7,12 +7,13 @@ pixels together.  Its groups are (frame, scene, tile) and never exceed two tiles
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .keyed import attach
+from .keyed import attach, checked_broadcast
 from .quantiles import quantiles
 from .resample import kernel
 from .stencil import TILE, crop_tiles, pad_tiles
@@ -89,21 +90,20 @@ def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide
                 references.select(*keys, "reference"), keys, how="inner")
     px = px.withColumns({"ty": F.floor(F.col("row") / tile).cast("int"),
                          "tx": F.floor(F.col("col") / tile).cast("int")})
+    # The reference image goes to every other date of its frame, so that each (scene, tile) group
+    # holds exactly the two pieces it compares.
     others = (stack.select(*keys, scene).distinct().join(references, keys)
-              .where(F.col(scene) != F.col("reference")).groupBy(*keys)
-              .agg(F.collect_set(scene).alias("__others")))
+              .where(F.col(scene) != F.col("reference")).select(*keys, scene))
     moving = px.where(F.col(scene) != F.col("reference")).withColumn("still", F.lit(False))
-    still = attach(px.where(F.col(scene) == F.col("reference")), others, keys, how="inner",
-                   row_bytes=2048)
-    still = still.withColumn(scene, F.explode_outer("__others")).drop("__others").withColumn(
-        "still", F.lit(True))
+    still = px.where(F.col(scene) == F.col("reference")).drop(scene)
+    still = still.join(checked_broadcast(others), keys).withColumn("still", F.lit(True))
     both = moving.unionByName(still).select(*keys, scene, "ty", "tx", "row", "col", "v", "still")
 
     fields = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     ids = [*keys, scene, "ty", "tx"]
     schema = ", ".join(f"`{c}` {fields[c]}" for c in ids) + ", dy double, dx double, lead double"
 
-    def estimate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def estimate(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf["row"].to_numpy() - key[-2] * tile
         c = pdf["col"].to_numpy() - key[-1] * tile
         grids = np.full((2, r.max() + 1, c.max() + 1), np.nan)
