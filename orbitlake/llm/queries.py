@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import near, quality
+from orbitlake.llm import leaks, mixing, near, quality, sharding
 from orbitlake.llm.shared import table
 
 
@@ -16,5 +16,18 @@ def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op6_near": op6_near}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op3_mixing": op3_mixing, "op5_quality": op5_quality,
+           "op6_near": op6_near, "op8_leaks": op8_leaks}
 ORACLES: dict[str, str] = {}
