@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import leaks, mixing, near, quality, sharding
+from orbitlake.llm import leaks, mixing, near, quality, sharding, topk
 from orbitlake.llm.shared import table
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,5 +33,5 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_sharding": op2_sharding, "op3_mixing": op3_mixing, "op5_quality": op5_quality,
-           "op6_near": op6_near, "op8_leaks": op8_leaks}
-ORACLES: dict[str, str] = {}
+           "op4_topk": op4_topk, "op6_near": op6_near, "op8_leaks": op8_leaks}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
