@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import leaks, mixing, near, quality, sharding, topk
+from orbitlake.llm import (leaks, mixing, near, pii, quality, secret_scan, sharding, tokens,
+                           topk)
 from orbitlake.llm.shared import table
 
 
@@ -20,6 +21,10 @@ def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -28,10 +33,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_mixing": op3_mixing, "op5_quality": op5_quality,
-           "op4_topk": op4_topk, "op6_near": op6_near, "op8_leaks": op8_leaks}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_mixing": op3_mixing,
+           "op4_topk": op4_topk, "op5_quality": op5_quality, "op6_near": op6_near,
+           "op7_secrets": op7_secrets, "op8_leaks": op8_leaks,
+           "op10_tokens": op10_tokens}
 ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
