@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are runs of letters and digits, in small letters (ASCII).  Hashed words are weighted by
-idf = ln((n + 1) / (df + 1)) over all documents.
+idf = ln((n + 1) / (df + 1)) over all documents, less 2.5: words that more than a twelfth of the
+documents hold weigh next to nothing.
 
 1. Benchmark items are cut into passages of at most 32 words.  Blocks of passages are spread over
    tasks; in each the TF-IDF matrix is factorised by a randomised SVD (Gaussian sketch, one power
    step, small exact SVD), which gives each block a latent space of the words that occur in it.  A
-   block has at most 256 passages, so what is sent to all executors for it is at most 256 * 32
-   words times RANK floats, and further blocks are further passes over the documents.
+   block has about 1024 passages at most, so what is sent to all executors for it is at most some
+   1024 * 32 words times RANK floats (25 MB), and further blocks are further passes over the
+   documents.
 2. Every document is read whole in windows of 32 words, one each 8 words.  A window whose weight
    lies almost wholly in words that no passage of the block has cannot come near one and stops
    here; the others are moved into the latent space, and passages at a cosine of 0.35 or more are
@@ -40,11 +42,11 @@ from orbitlake.llm import shared
 #: Words in a window and in a passage at most, and from one window to the next.
 WINDOW, STEP = 32, 8
 #: Passages in a block, dimensions of its latent space.
-BLOCK, RANK = 256, 192
+BLOCK, RANK = 1024, 192
 #: Least cosine of a candidate; least shares of an item's words in order, without and with answer.
 COSINE, WHOLE, PART = 0.35, 0.75, 0.5
-#: Buckets of the document counts.
-BITS = 18
+#: Bits of the buckets of the document counts; what is taken from each idf, and the least weight.
+BITS, COMMON, FLOOR = 18, 2.5, 0.05
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -65,8 +67,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents += batch.num_rows
         for _, data, offsets in shared.pieces(batch.column("text")):
             _, _, rows, h = _words(data, offsets)
-            keys = np.unique(rows << BITS | _bucket(h)) & (1 << BITS) - 1
-            total += np.bincount(keys, minlength=1 << BITS)
+            keys = np.sort(rows << BITS | _bucket(h))
+            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)]]
+            total += np.bincount(keys & (1 << BITS) - 1, minlength=1 << BITS)
     there = np.flatnonzero(total)
     yield pa.record_batch({"bucket": pa.array(np.append(there, -1), pa.int32()),
                            "n": pa.array(np.append(total[there], documents), pa.int64())})
@@ -83,7 +86,7 @@ def idf(docs: DataFrame) -> np.ndarray:
             documents = n
         else:
             df[bucket] = n
-    return np.log((documents + 1) / (df + 1)).astype(np.float32)
+    return np.maximum(np.log((documents + 1) / (df + 1)) - COMMON, FLOOR).astype(np.float32)
 
 
 def _plain(text: str | None) -> list[bytes]:
@@ -272,15 +275,14 @@ def _matches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, space: _Space
             in best.items()]
 
 
-def _spaces(items: DataFrame, weights: np.ndarray) -> list:
+def _spaces(items: DataFrame, weights: np.ndarray) -> DataFrame:
     """One row for each block; a block's size is bounded, and the blocks are used one by one."""
     passages = items.select(items["item_id"].cast("long").alias("item_id"),
                             items["text"].cast("string").alias("text")).mapInPandas(
         _passages, "item_id long, words array<long>, answer array<long>, first int, last int")
-    blocks = passages.count() // BLOCK + 1
-    # an item's passages share a block, and a block holds about half of BLOCK passages
-    return (passages.withColumn("block", F.pmod(F.xxhash64("item_id"),
-                                                F.lit(2 * blocks if blocks > 1 else 1)))
+    blocks = max(1, -(-passages.count() // BLOCK))
+    # an item's passages share a block
+    return (passages.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
             .groupBy("block").applyInPandas(
                 _factorise(weights), "words binary, basis binary, passages binary, rank int, "
                 "items array<long>, item_words array<binary>, answers array<binary>"))
@@ -320,15 +322,9 @@ def matched(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every row of `docs` and its columns, with its matches as the array __matches."""
     weights = idf(docs)
     found = None
-    block: list = []
     for row in _spaces(items, weights).toLocalIterator():
-        block.append(row)
-        if len(block) == 4:
-            found = _searched(docs if found is None else found, block, weights)
-            found, block = _joined(found), []
-    if block or found is None:
-        found = _joined(_searched(docs if found is None else found, block, weights))
-    return found
+        found = _joined(_searched(docs if found is None else found, [row], weights))
+    return _joined(_searched(docs, [], weights)) if found is None else found
 
 
 def _joined(found: DataFrame) -> DataFrame:
