@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import (leaks, mixing, near, pii, quality, secret_scan, sharding, tokens,
-                           topk)
+from orbitlake.llm import (extract, leaks, mixing, near, pii, quality, secret_scan, sharding,
+                           tokens, topk)
 from orbitlake.llm.shared import table
 
 
@@ -41,6 +41,10 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_mixing": op3_mixing,
            "op4_topk": op4_topk, "op5_quality": op5_quality, "op6_near": op6_near,
            "op7_secrets": op7_secrets, "op8_leaks": op8_leaks,
-           "op10_tokens": op10_tokens}
+           "op9_extraction": op9_extraction, "op10_tokens": op10_tokens}
 ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
