@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits, in small letters (ASCII).  Hashed words are weighted by
 idf = ln((n + 1) / (df + 1)) over all documents, less 2.5: words that more than a twelfth of the
-documents hold weigh next to nothing.
+documents hold weigh next to nothing.  Words that stand in three words of an item aren't counted
+there, or an item copied into many documents would make its own words common.
 
 1. Benchmark items are cut into passages of at most 32 words.  Blocks of passages are spread over
    tasks; in each the TF-IDF matrix is factorised by a randomised SVD (Gaussian sketch, one power
@@ -47,6 +48,8 @@ BLOCK, RANK = 1024, 192
 COSINE, WHOLE, PART = 0.35, 0.75, 0.5
 #: Bits of the buckets of the document counts; what is taken from each idf, and the least weight.
 BITS, COMMON, FLOOR = 18, 2.5, 0.05
+#: Bits of the buckets of three words of an item.
+TRIPLES = 22
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,25 +63,55 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each bucket among the task's, and under -1 all of them."""
-    total, documents = np.zeros(1 << BITS, np.int64), 0
+def _triples(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The bucket of each three words in a row, by their first; -1 where a text ends before."""
+    out = np.full(len(h), -1, np.int64)
+    if len(h) > 2:
+        step = np.uint64(0xA24BAED4963EE407)
+        three = shared.mixed((h[:-2] * step + h[1:-1]) * step + h[2:])
+        inside = rows[2:] == rows[:-2]
+        out[:-2][inside] = (three >> np.uint64(64 - TRIPLES)).astype(np.int64)[inside]
+    return out
+
+
+def _item_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        documents += batch.num_rows
         for _, data, offsets in shared.pieces(batch.column("text")):
             _, _, rows, h = _words(data, offsets)
-            keys = np.sort(rows << BITS | _bucket(h))
-            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)]]
-            total += np.bincount(keys & (1 << BITS) - 1, minlength=1 << BITS)
-    there = np.flatnonzero(total)
-    yield pa.record_batch({"bucket": pa.array(np.append(there, -1), pa.int32()),
-                           "n": pa.array(np.append(total[there], documents), pa.int64())})
+            yield pa.record_batch({"bucket": pa.array(_triples(h, rows), pa.int32())})
 
 
-def idf(docs: DataFrame) -> np.ndarray:
-    """The weight of each hash bucket.  2 ** 18 rows at most reach the driver, at any size."""
+def _counts(seen: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with each bucket among the task's, and under -1 all of them."""
+        total, documents = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            documents += batch.num_rows
+            for _, data, offsets in shared.pieces(batch.column("text")):
+                _, _, rows, h = _words(data, offsets)
+                triple = _triples(h, rows)
+                held = seen[triple] & (triple >= 0)
+                free = ~held
+                for k in (1, 2):
+                    free[k:] &= ~held[:len(held) - k]
+                keys = np.sort((rows << BITS | _bucket(h))[free])
+                keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)]]
+                total += np.bincount(keys & (1 << BITS) - 1, minlength=1 << BITS)
+        there = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": pa.array(np.append(there, -1), pa.int32()),
+                               "n": pa.array(np.append(total[there], documents), pa.int64())})
+    return count
+
+
+def idf(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """The weight of each hash bucket.  2 ** 18 counts at most reach the driver and a table of
+    2 ** 22 marks is sent out, at any size of documents and items."""
+    seen = np.zeros(1 << TRIPLES, bool)
+    marks = (items.select(shared.text_or_empty(items).alias("text"))
+             .mapInArrow(_item_triples, "bucket int").where("bucket >= 0").distinct().toPandas())
+    seen[marks["bucket"].to_numpy(np.int64)] = True
     rows = (docs.select(shared.text_or_empty(docs).alias("text"))
-            .mapInArrow(_counts, "bucket int, n long")
+            .mapInArrow(_counts(seen), "bucket int, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
     df, documents = np.zeros(1 << BITS), 0
     for bucket, n in zip(rows["bucket"].to_numpy(), rows["n"].to_numpy(), strict=True):
@@ -320,7 +353,7 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()),
 
 def matched(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every row of `docs` and its columns, with its matches as the array __matches."""
-    weights = idf(docs)
+    weights = idf(docs, items)
     found = None
     for row in _spaces(items, weights).toLocalIterator():
         found = _joined(_searched(docs if found is None else found, [row], weights))
