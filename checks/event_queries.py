@@ -154,9 +154,8 @@ def fires_in_box(spark, sf_dir):
 # -- overpasses -----------------------------------------------------------------
 
 _RECENT = views.with_views("pass_log").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
-, win AS (SELECT * FROM pass_log WHERE passed_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 45 DAYS AND TIMESTAMP '{NOW}'),
-rk AS (SELECT *, row_number() OVER (PARTITION BY point_id, satellite ORDER BY passed_at DESC, ordinal DESC) AS recency FROM win),
-rec AS (SELECT * FROM rk WHERE recency <= 100),
+, rec AS (SELECT * FROM pass_log WHERE passed_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 45 DAYS AND TIMESTAMP '{NOW}'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY point_id, satellite ORDER BY passed_at DESC, ordinal DESC) AS recency FROM rec),
 tt AS (SELECT point_id, satellite, orbit, list_sort(list(epoch_us(passed_at))) AS times FROM rec GROUP BY ALL),
 fold AS (SELECT point_id, satellite, orbit, times, 2 AS i, [times[1]] AS kept FROM tt
   UNION ALL SELECT point_id, satellite, orbit, times, i + 1, CASE WHEN times[i] - kept[-1] >= 43200000000 THEN list_append(kept, times[i]) ELSE kept END
@@ -172,9 +171,11 @@ def recent(spark, sf_dir) -> DataFrame:
     return passes.recent_passes(views.pass_log(spark, sf_dir), NOW)
 
 
-@query(_RECENT + "SELECT point_id, satellite, orbit, passed_at, CAST(recency AS INT) AS recency FROM rec")
+@query(_RECENT + "SELECT point_id, satellite, orbit, passed_at, CAST(recency AS INT) AS recency FROM rk WHERE recency <= 100")
 def passes_recent(spark, sf_dir):
-    return recent(spark, sf_dir).select("point_id", "satellite", "orbit", "passed_at", "recency")
+    """The listing of the newest hundred passes; the limit is what is asked for."""
+    return passes.newest_passes(recent(spark, sf_dir), 100).select(
+        "point_id", "satellite", "orbit", "passed_at", "recency")
 
 
 @query(_RECENT + "SELECT point_id, satellite, orbit, make_timestamp(unnest(kept)) AS passed_at FROM tr")
@@ -196,7 +197,7 @@ SELECT s.point_id, s.satellite, CAST(seen AS INT) AS passes_seen, CAST(orbits AS
  l.passed_at AS last_at, {r6('(now_us - epoch_us(l.passed_at)) / 3600000000e0', 1)} AS hours_ago, l.orbit AS last_orbit,
  make_timestamp(next_us) AS next_at, {r6('(next_us - now_us) / 3600000000e0', 1)} AS hours_away, s.orbit AS next_orbit,
  {r6('period / 86400000000e0', 2)} AS period_days
-FROM so s JOIN rec l ON l.point_id = s.point_id AND l.satellite = s.satellite AND l.recency = 1 WHERE k = 1""")
+FROM so s JOIN rk l ON l.point_id = s.point_id AND l.satellite = s.satellite AND l.recency = 1 WHERE k = 1""")
 def passes_next(spark, sf_dir):
     return passes.next_passes(recent(spark, sf_dir), NOW)
 
@@ -259,6 +260,15 @@ def scene_search(spark, sf_dir):
     return out.select("aoi_id", "scene_id", "satellite", "source", "passed_at", "cloud", "rank")
 
 
+@query(_HITS + """, m AS (SELECT aoi_id, satellite, count(*) AS matched FROM src WHERE dr = 1 GROUP BY ALL)
+SELECT aoi_id, satellite, scene_id, matched, CAST(rn AS INT) AS rank FROM rk JOIN m USING (aoi_id, satellite) WHERE rn <= 500""")
+def scene_matched(spark, sf_dir):
+    """A search beyond a catalogue's page of a hundred, with the number of scenes there are."""
+    out = catalog.search(views.cat(spark, sf_dir), areas(spark, sf_dir), "1996-01-01",
+                         "2000-12-31", 40, 500)
+    return out.select("aoi_id", "satellite", "scene_id", "matched", "rank")
+
+
 @query(_HITS + "SELECT aoi_id, satellite, source, count(*) AS scenes FROM src WHERE dr = 1 GROUP BY ALL")
 def source_fallback(spark, sf_dir):
     from orbitlake.operators.spatial import areas_meet_boxes
@@ -349,8 +359,12 @@ def scene_flatten(spark, sf_dir):
 @query(views.with_views("cat") + """
 SELECT west, south, satellite, count(*) AS scenes FROM cat GROUP BY ALL""")
 def single_satellite(spark, sf_dir):
-    groups = views.cat(spark, sf_dir).withColumn("kind", F.col("satellite"))
-    out = catalog.single_satellite(groups, ["west", "south", "kind"])
+    """Rows that don't name their satellite count as the default one; groups mix both."""
+    named = F.when((F.col("satellite") == "sentinel-1") | (F.col("scene_id") % 3 != 0),
+                   F.col("satellite"))
+    groups = views.cat(spark, sf_dir).withColumns({
+        "radar": F.col("satellite") == "sentinel-1", "satellite": named})
+    out = catalog.single_satellite(groups, ["west", "south", "radar"])
     return out.select("west", "south", "satellite", "scenes")
 
 

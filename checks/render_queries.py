@@ -198,14 +198,14 @@ UNIT = true_color_cte() + (', u AS (SELECT frame_id, "row", col, valid, r / 255e
 
 
 @query(UNIT + """
-, m AS (SELECT frame_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb FROM u WHERE valid GROUP BY 1),
+, m AS (SELECT frame_id, sum(r) / """ + f"{views.HEIGHT * views.WIDTH}e0" + """ AS mr, sum(g) / """ + f"{views.HEIGHT * views.WIDTH}e0" + """ AS mg, sum(b) / """ + f"{views.HEIGHT * views.WIDTH}e0" + """ AS mb FROM u GROUP BY 1),
 t AS (SELECT *, (mr + mg + mb) / 3e0 AS t FROM m)
 SELECT frame_id, "row", col, valid, """ + ", ".join(r6(
     f"least(greatest({c} * (1e0 + (CASE WHEN m{c} > 1e-5::DOUBLE THEN t / m{c} ELSE 1e0 END - 1e0) * 0.6e0), 0e0), 1e0)")
     + f" AS {c}" for c in "rgb") + " FROM u JOIN t USING (frame_id)")
 def white_balance(spark, sf_dir):
-    px = unit_picture(spark, sf_dir).drop("height", "width")
-    return rounded(enhance.white_balance(px, strength=0.6), list("rgb"))
+    out = enhance.white_balance(unit_picture(spark, sf_dir), strength=0.6)
+    return rounded(out.drop("height", "width"), list("rgb"))
 
 
 @query(UNIT + """
@@ -226,18 +226,19 @@ def _clahe_sql(tiles: int = 8, clip_limit: float = 2.0) -> str:
     def fraction(at: str, step: int) -> str:
         return f"least(greatest(({at} - {step / 2!r}::DOUBLE) / {step}e0, 0e0), {tiles - 1}e0)"
     return f"""
-, l AS (SELECT *, CASE WHEN valid THEN 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b END AS y FROM u),
-q AS (SELECT *, CASE WHEN valid THEN CAST(floor(least(greatest(y * 255e0, 0e0), 255e0)) AS INT) END AS q, "row" // {sh} AS ty, col // {sw} AS tx FROM l),
-h AS (SELECT frame_id, ty, tx, q, count(*) AS h FROM q WHERE q IS NOT NULL GROUP BY ALL),
+, l AS (SELECT *, 0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b AS y FROM u),
+q AS (SELECT *, CAST(floor(least(greatest(y * 255e0, 0e0), 255e0)) AS INT) AS q, "row" // {sh} AS ty, col // {sw} AS tx FROM l),
+h AS (SELECT frame_id, ty, tx, q, count(*) AS h FROM q GROUP BY ALL),
 sl AS (SELECT f.frame_id, a.i AS ty, b.i AS tx, c.i AS q FROM (SELECT DISTINCT frame_id FROM h) f, range({tiles}) a(i), range({tiles}) b(i), range(256) c(i)),
-fu AS (SELECT sl.*, coalesce(h.h, 0) AS h FROM sl LEFT JOIN h USING (frame_id, ty, tx, q)),
+fp AS (SELECT sl.*, coalesce(h.h, 0) AS h FROM sl LEFT JOIN h USING (frame_id, ty, tx, q)),
+fu AS (SELECT * REPLACE (h + CASE WHEN q = 0 THEN {sh * sw} - sum(h) OVER (PARTITION BY frame_id, ty, tx) ELSE 0 END AS h) FROM fp),
 li AS (SELECT *, sum(h) OVER t AS n, greatest({clip_limit!r}::DOUBLE * sum(h) OVER t / 256e0, 1e0) AS lim FROM fu WINDOW t AS (PARTITION BY frame_id, ty, tx)),
 ex AS (SELECT *, sum(greatest(h - lim, 0e0)) OVER (PARTITION BY frame_id, ty, tx) AS ex FROM li),
 cu AS (SELECT *, sum(least(CAST(h AS DOUBLE), lim) + ex / 256e0) OVER (PARTITION BY frame_id, ty, tx ORDER BY q) AS c FROM ex),
 ma AS (SELECT frame_id, ty, tx, q, CASE WHEN n > 0 THEN (c - min(c) OVER t) / greatest(max(c) OVER t - min(c) OVER t, 1e-6::DOUBLE) ELSE q / 255e0 END AS m FROM cu WINDOW t AS (PARTITION BY frame_id, ty, tx)),
 po AS (SELECT frame_id, "row", col, r, g, b, valid, y, q, {fraction('"row"', sh)} AS fy, {fraction('col', sw)} AS fx FROM q),
 nb AS (SELECT *, CAST(floor(fy) AS INT) AS y0, CAST(floor(fx) AS INT) AS x0, fy - floor(fy) AS wy, fx - floor(fx) AS wx FROM po),
-eq AS (SELECT nb.*, CASE WHEN nb.valid THEN least(greatest((a.m * (1 - wx) + b2.m * wx) * (1 - wy) + (c.m * (1 - wx) + d.m * wx) * wy, 0e0), 1e0) END AS e
+eq AS (SELECT nb.*, least(greatest((a.m * (1 - wx) + b2.m * wx) * (1 - wy) + (c.m * (1 - wx) + d.m * wx) * wy, 0e0), 1e0) AS e
   FROM nb LEFT JOIN ma a ON a.frame_id = nb.frame_id AND a.ty = y0 AND a.tx = x0 AND a.q = nb.q
   LEFT JOIN ma b2 ON b2.frame_id = nb.frame_id AND b2.ty = y0 AND b2.tx = least(x0 + 1, {tiles - 1}) AND b2.q = nb.q
   LEFT JOIN ma c ON c.frame_id = nb.frame_id AND c.ty = least(y0 + 1, {tiles - 1}) AND c.tx = x0 AND c.q = nb.q

@@ -28,13 +28,15 @@ def mercator_y(lat: Column) -> Column:
 
 
 def grid_columns(west: Column, south: Column, east: Column, north: Column,
-                 size: int | Column) -> dict[str, Column]:
-    """First stage of a grid: Mercator bounds, centre and the clamped long side."""
+                 size: int | Column, smallest: int = MIN_SIZE,
+                 largest: int = MAX_SIZE) -> dict[str, Column]:
+    """First stage of a grid: Mercator bounds, centre and the long side, which is kept between
+    ``smallest`` and ``largest`` pixels."""
     asked = size if isinstance(size, Column) else F.lit(int(size))
     return {"x0": mercator_x(west), "y0": mercator_y(south), "x1": mercator_x(east),
             "y1": mercator_y(north), "center_lon": (west + east) / 2.0,
             "center_lat": (south + north) / 2.0,
-            "long_side": F.least(F.greatest(asked, F.lit(MIN_SIZE)), F.lit(MAX_SIZE))}
+            "long_side": F.least(F.greatest(asked, F.lit(smallest)), F.lit(largest))}
 
 
 def grid_shape() -> dict[str, Column]:
@@ -53,9 +55,10 @@ def ground_res() -> Column:
             * F.cos(F.radians(F.col("center_lat"))))
 
 
-def with_grid(df, size: int | Column, bounds=("west", "south", "east", "north")):
-    """Add a whole grid to a table of bounds."""
-    df = df.withColumns(grid_columns(*[F.col(b) for b in bounds], size))
+def with_grid(df, size: int | Column, bounds=("west", "south", "east", "north"),
+              smallest: int = MIN_SIZE, largest: int = MAX_SIZE):
+    """Add a whole grid to a table of bounds; ``largest`` may be raised for print-size work."""
+    df = df.withColumns(grid_columns(*[F.col(b) for b in bounds], size, smallest, largest))
     df = df.withColumns(grid_shape()).drop("long_side")
     return df.withColumn("ground_res_m", ground_res())
 

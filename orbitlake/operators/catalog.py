@@ -11,8 +11,6 @@ from .. import registry
 from .keyed import attach, top_k
 from .spatial import areas_meet_boxes
 
-SEARCH_LIMIT = 100
-
 
 def _optical(satellite: Column) -> Column:
     return satellite.isin([k for k, s in registry.SATELLITES.items() if s["cloud_filter"]])
@@ -54,13 +52,15 @@ def search(scenes: DataFrame, areas: DataFrame, start: str, end: str, max_cloud:
            limit: int = 60, satellites=None, when: str = "passed_at") -> DataFrame:
     """Scenes over every area (``aoi_id``, ``geometry`` and its bounds), newest first.
 
-    Each area and satellite is answered by its best catalogue, at most ``limit`` scenes each.
+    Each area and satellite is answered by its best catalogue, at most ``limit`` scenes each;
+    ``matched`` says how many there are.
     """
+    group = ["aoi_id", "satellite"]
     hits = areas_meet_boxes(areas, filter_scenes(scenes, start, end, max_cloud, satellites, when))
+    hits = best_source(hits)
     newest = [F.col(when).desc(), F.col("scene_id")]
-    kept = top_k(best_source(hits), ["aoi_id", "satellite"], newest,
-                 min(int(limit), SEARCH_LIMIT))
-    return kept.orderBy("aoi_id", *newest)
+    totals = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("matched"))
+    return top_k(hits, group, newest, int(limit)).join(totals, group).orderBy("aoi_id", *newest)
 
 
 def get_scene(scenes: DataFrame, scene_id: str, satellite: str | None = None) -> DataFrame:

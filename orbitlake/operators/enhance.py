@@ -30,16 +30,19 @@ def dark_object_subtraction(df: DataFrame, bands: Sequence[str],
 
 
 def white_balance(df: DataFrame, keys: Sequence[str] = ("frame_id",), strength: float = 1.0,
-                  channels: Sequence[str] = RGB, include_masked: bool = False) -> DataFrame:
+                  channels: Sequence[str] = RGB) -> DataFrame:
     """Grey-world balance of 0..1 channels per frame.
 
-    Invalid pixels are left out of the means; ``include_masked`` counts them as they stand.
+    The means are over the whole frame: invalid pixels count as they are drawn, and cells that
+    have no row or no value are black.  The frame is ``height`` x ``width`` where those columns
+    are there, else the rows.
     """
     if strength <= 0:
         return df
-    skip = "valid" in df.columns and not include_masked
-    mean = lambda c: F.avg(F.when(F.col("valid"), F.col(c)) if skip else F.col(c))
-    means = df.groupBy(*keys).agg(*[mean(c).alias(f"__m_{c}") for c in channels])
+    whole = F.max(F.col("height").cast("long") * F.col("width")) \
+        if {"height", "width"} <= set(df.columns) else F.count(F.lit(1))
+    means = df.groupBy(*keys).agg(*[(F.sum(F.coalesce(F.col(c), F.lit(0.0))) / whole)
+                                    .alias(f"__m_{c}") for c in channels])
     target = sum((F.col(f"__m_{c}") for c in channels[1:]), F.col(f"__m_{channels[0]}")) / 3.0
     gains = means.select(*keys, *[
         (F.lit(1.0) + (F.when(F.col(f"__m_{c}") > 1e-5, target / F.col(f"__m_{c}"))
@@ -95,7 +98,8 @@ def clahe(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
           clip_limit: float = 2.0, tiles: int = 8) -> DataFrame:
     """Equalise a 0..1 column within a grid of tiles, blended between tile centres.
 
-    NULL cells take no part.  Counting is a map-side-combined aggregate of at most 256 rows
+    Histograms and clip limits are of the whole tile: cells without a row or a value count as
+    black, though they stay NULL.  Counting is a map-side-combined aggregate of at most 256 rows
     per tile; the four surrounding mappings reach each pixel as arrays through one join on
     (frame, tile), which spreads every frame over its tiles.
     """
@@ -103,9 +107,9 @@ def clahe(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
         return df
     keys, tiles = list(keys), max(2, min(int(tiles), 16))
     h, w = F.col("height"), F.col("width")
-    # -1 stands for no value: a join key that cannot be NULL gets no inferred filter, which would
-    # otherwise be pushed down and drag the whole picture expression with it.
-    level = F.coalesce(clip(F.col(value) * (BINS - 1.0), 0.0, BINS - 1.0).cast("int"), F.lit(-1))
+    # a level that cannot be NULL gets no inferred filter, which would otherwise be pushed down and
+    # drag the whole picture expression with it
+    level = F.coalesce(clip(F.col(value) * (BINS - 1.0), 0.0, BINS - 1.0).cast("int"), F.lit(0))
     px = df.withColumns({"__ty": _tile_of(F.col("row"), h, tiles),
                          "__tx": _tile_of(F.col("col"), w, tiles), "__q": level})
     low_y, wy = _blend(F.col("__ty"), F.col("row"), h, tiles)
@@ -117,20 +121,27 @@ def clahe(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
     top = at("__m00") * (1.0 - F.col("__wx")) + at("__m01") * F.col("__wx")
     low = at("__m10") * (1.0 - F.col("__wx")) + at("__m11") * F.col("__wx")
     mixed = clip(top * (1.0 - F.col("__wy")) + low * F.col("__wy"), 0.0, 1.0)
-    return px.withColumn(value, mixed).select(*df.columns)
+    return px.withColumn(value, F.when(F.col(value).isNotNull(), mixed)).select(*df.columns)
 
 
 def _mappings(px: DataFrame, keys: list[str], clip_limit: float, tiles: int) -> DataFrame:
     """One 256-value mapping array per (frame, tile)."""
-    counted = (px.groupBy(*keys, "__ty", "__tx", "__q")
-               .agg(F.count(F.when(F.col("__q") >= 0, 1)).alias("__h")).where("__h > 0"))
+    counted = px.groupBy(*keys, "__ty", "__tx", "__q").agg(
+        F.count(F.lit(1)).alias("__h"), F.max("height").alias("__fh"), F.max("width").alias("__fw"))
     numbers = lambda n: F.explode_outer(F.sequence(F.lit(0), F.lit(n - 1)))
-    slots = (counted.select(*keys).distinct().withColumn("__ty", numbers(tiles))
-             .withColumn("__tx", numbers(tiles)).withColumn("__q", numbers(BINS)))
+    slots = (counted.groupBy(*keys).agg(F.max("__fh").alias("__fh"), F.max("__fw").alias("__fw"))
+             .withColumn("__ty", numbers(tiles)).withColumn("__tx", numbers(tiles)))
+    side = lambda at, size: _edge(F.col(at) + 1, F.col(size), tiles) - _edge(
+        F.col(at), F.col(size), tiles)
+    slots = slots.withColumn("__n", (side("__ty", "__fh") * side("__tx", "__fw")).cast("long"))
+    slots = slots.drop("__fh", "__fw").withColumn("__q", numbers(BINS))
     tile = Window.partitionBy(*keys, "__ty", "__tx")
     upto = tile.orderBy("__q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = slots.join(counted, [*keys, "__ty", "__tx", "__q"], "left").fillna(0, ["__h"])
-    full = full.withColumn("__n", F.sum("__h").over(tile))
+    full = slots.join(counted.drop("__fh", "__fw"), [*keys, "__ty", "__tx", "__q"],
+                      "left").fillna(0, ["__h"])
+    # what a tile has no rows for is black
+    full = full.withColumn("__h", F.col("__h") + F.when(
+        F.col("__q") == 0, F.col("__n") - F.sum("__h").over(tile)).otherwise(0))
     limit = F.greatest(F.lit(float(clip_limit)) * F.col("__n") / float(BINS), F.lit(1.0))
     full = full.withColumn("__l", limit)
     full = full.withColumn("__x", F.sum(F.greatest(F.col("__h") - F.col("__l"), F.lit(0.0)))
@@ -168,8 +179,6 @@ def clahe_rgb(df: DataFrame, keys: Sequence[str] = ("frame_id",), clip_limit: fl
         return df
     r, g, b = (F.col(c) for c in channels)
     brightness = tone.luma(r, g, b)
-    if "valid" in df.columns:
-        brightness = F.when(F.col("valid"), brightness)
     px = df.withColumns({"__luma": brightness, "__eq": brightness})
     px = clahe(px, "__eq", keys, clip_limit, tiles)
     mixed = F.col("__luma") * (1.0 - strength) + F.col("__eq") * strength

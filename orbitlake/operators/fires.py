@@ -34,9 +34,10 @@ def within_box(detections: DataFrame, west: float, south: float, east: float,
 
 
 def within_hours(detections: DataFrame, now: str, hours: int) -> DataFrame:
-    """Detections no older than ``hours`` (1..168) at ``now`` (UTC, given by the caller)."""
-    hours = max(1, min(int(hours), max(registry.FIRE_WINDOWS)))
-    cutoff = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS")
+    """Detections no older than ``hours`` at ``now`` (UTC, given by the caller)."""
+    if int(hours) != hours or hours < 1:
+        raise registry.QueryError(f"Hours must be a whole number from 1 on, not {hours}")
+    cutoff = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS")
     return detections.where(F.col("acquired") >= cutoff)
 
 
@@ -46,26 +47,28 @@ def of_sensors(detections: DataFrame, sensors: Sequence[str] | None) -> DataFram
 
 
 def active_fires(detections: DataFrame, boxes: DataFrame, now: str, hours: int = 24,
-                 sensors: Sequence[str] | None = None,
-                 most: int = registry.MAX_FIRES) -> DataFrame:
-    """Per box, the fiercest ``most`` detections of the last ``hours``; ``newest`` orders them.
+                 sensors: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
+    """Per box, the detections of the last ``hours``, newest first; with ``most`` only the
+    fiercest ones, and their rank as ``fierceness``.
 
     ``boxes`` has ``box_id`` and four corners; ``detections`` an ``ordinal`` that settles ties.
     """
     found = _matching(detections, boxes, now, hours, sensors)
+    if most is None:
+        return found.orderBy("box_id", F.col("acquired").desc(), "ordinal")
     fiercest = [F.coalesce(F.col("frp"), F.lit(0.0)).desc(), F.col("ordinal")]
     kept = top_k(found, ["box_id"], fiercest, most, rank="fierceness")
     return kept.orderBy("box_id", F.col("acquired").desc(), "fierceness")
 
 
 def fire_counts(detections: DataFrame, boxes: DataFrame, now: str, hours: int = 24,
-                sensors: Sequence[str] | None = None,
-                most: int = registry.MAX_FIRES) -> DataFrame:
+                sensors: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """Per box: how many detections there are, how many are returned, whether it was capped."""
     found = _matching(detections, boxes, now, hours, sensors)
     totals = found.groupBy("box_id").agg(F.count(F.lit(1)).alias("total"))
     return (boxes.select("box_id").join(totals, "box_id", "left").fillna(0, ["total"])
-            .withColumn("count", F.least("total", F.lit(most)))
+            .withColumn("count", F.col("total") if most is None
+                        else F.least("total", F.lit(most)))
             .withColumn("capped", F.col("total") > F.col("count")))
 
 

@@ -11,14 +11,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def checked_broadcast(small: DataFrame, row_bytes: int = 256) -> DataFrame:
+def checked_broadcast(small: DataFrame, row_bytes: int = 256,
+                      extra: Column | None = None) -> DataFrame:
     """``small`` materialised once, hinted for broadcast only if its counted size allows.
 
+    ``extra`` counts the bytes of a row beyond ``row_bytes``, for rows that hold arrays.
+
     Beyond :data:`BROADCAST_BYTES` there is no hint, and a join with it is a shuffled equi-join
     whose hot keys adaptive execution splits.  Only the count comes to the driver.
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+    more = F.lit(0) if extra is None else F.coalesce(F.sum(extra), F.lit(0))
+    size = small.agg((F.count(F.lit(1)) * row_bytes + more).alias("bytes")).first()["bytes"]
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
 @contextmanager

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import registry
 from ..functions.numeric import half_even, micros
@@ -18,44 +21,72 @@ def passes_over(scenes: DataFrame, points: DataFrame) -> DataFrame:
     return points_in_boxes(points, scenes, cell=1.0, small="points").drop("west", "south", "east", "north")
 
 
-def recent_passes(log: DataFrame, now: str, lookback_days: int = registry.LOOKBACK_DAYS,
-                  limit: int = registry.PASS_LIMIT) -> DataFrame:
-    """The newest ``limit`` passes per point and satellite within the lookback.
-
-    The limit is the catalogue's page size and part of the question; it also bounds the arrays
-    the track functions below build.  ``passed_at`` NULL means an unreadable time.
-    """
+def recent_passes(log: DataFrame, now: str,
+                  lookback_days: int = registry.LOOKBACK_DAYS) -> DataFrame:
+    """Every pass within the lookback.  ``passed_at`` NULL means an unreadable time."""
     at = F.lit(now).cast("timestamp_ntz")
-    inside = log.where((F.col("passed_at") >= at - F.expr(f"INTERVAL {lookback_days} DAYS"))
-                       & (F.col("passed_at") <= at))
-    return top_k(inside, ["point_id", "satellite"],
-                 [F.col("passed_at").desc(), F.col("ordinal").desc()], limit, rank="recency")
-
-
-def distinct_times(times: Column, gap_hours: int = registry.MIN_INTERVAL_HOURS) -> Column:
-    """Ascending microsecond array with entries less than the gap after the last kept removed."""
-    gap = F.lit(gap_hours * HOUR)
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(times, empty, lambda kept, t: F.when(
-        (F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap),
-        F.concat(kept, F.array(t))).otherwise(kept))
-
-
-def tracks(recent: DataFrame) -> DataFrame:
+    return log.where((F.col("passed_at") >= at - F.expr(f"INTERVAL {lookback_days} DAYS"))
+                     & (F.col("passed_at") <= at))
+
+
+def newest_passes(recent: DataFrame, n: int) -> DataFrame:
+    """A listing: the newest ``n`` passes per point and satellite, with their ``recency``."""
+    return top_k(recent, ["point_id", "satellite"],
+                 [F.col("passed_at").desc(), F.col("ordinal").desc()], n, rank="recency")
+
+
+def _folded(gap: int):
+    """One pass over rows sorted by track and time; holds the current track's kept times only."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, kept, count, first, last = None, [], 0, None, None
+
+        def row() -> dict:
+            steps = [b - a for a, b in zip(kept, kept[1:], strict=False)]
+            return dict(zip(TRACK, track, strict=True)) | {
+                "passes": count, "distinct_passes": len(kept), "first_seen": first,
+                "last_seen": last, "anchor": kept[-1], "gap": min(steps, default=None),
+                "kept": kept}
+
+        schema = None
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in TRACK), *_FOLD_FIELDS])
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in TRACK), strict=True)
+            for key, at in zip(keys, batch.column("us").to_pylist(), strict=True):
+                if key != track:
+                    if track is not None:
+                        out.append(row())
+                    track, kept, count, first = key, [], 0, at
+                if not kept or at - kept[-1] >= gap:
+                    kept.append(at)
+                count, last = count + 1, at
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if track is not None:
+            yield pa.RecordBatch.from_pylist([row()], schema)
+    return fold
+
+
+_FOLD_FIELDS = [pa.field(c, t) for c, t in (
+    ("passes", pa.int32()), ("distinct_passes", pa.int32()), ("first_seen", pa.int64()),
+    ("last_seen", pa.int64()), ("anchor", pa.int64()), ("gap", pa.int64()),
+    ("kept", pa.list_(pa.int64())))]
+
+
+def tracks(recent: DataFrame, gap_hours: int = registry.MIN_INTERVAL_HOURS) -> DataFrame:
     """One row per point, satellite and orbit: passes, distinct passes and the shortest gap.
 
-    A missing orbit number is a track of its own.
+    A pass less than the gap after the last one kept counts as the same pass.  A missing orbit
+    number is a track of its own.  Rows are dealt out by track and sorted there, so a task
+    streams through its tracks: what it holds is the kept times of one, at most the lookback
+    divided by the gap.
     """
-    grouped = recent.groupBy(*TRACK).agg(
-        F.sort_array(F.collect_list(micros(F.col("passed_at")))).alias("times"))
-    kept = grouped.withColumn("kept", distinct_times(F.col("times")))
-    n = F.size("kept")
-    gaps = F.zip_with(F.slice("kept", 2, F.greatest(n - 1, F.lit(0))),
-                      F.slice("kept", 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
-    return kept.withColumns({"passes": F.size("times"), "distinct_passes": n,
-                             "first_seen": F.get("times", F.lit(0)),
-                             "last_seen": F.element_at("times", -1),
-                             "anchor": F.element_at("kept", -1), "gap": F.array_min(gaps)})
+    slim = recent.select(*TRACK, micros(F.col("passed_at")).alias("us"))
+    fields = T.StructType([*[slim.schema[c] for c in TRACK], *T.StructType.fromDDL(
+        "passes int, distinct_passes int, first_seen long, last_seen long, anchor long, "
+        "gap long, kept array<long>").fields])
+    return (slim.repartition(*TRACK).sortWithinPartitions(*TRACK, "us")
+            .mapInArrow(_folded(gap_hours * HOUR), fields))
 
 
 def distinct_passes(recent: DataFrame) -> DataFrame:
@@ -98,8 +129,9 @@ def next_passes(recent: DataFrame, now: str, points: DataFrame | None = None) ->
         F.count(F.lit(1)).cast("int").alias("orbits_seen"),
         F.min_by(F.struct("next_us", "orbit", "period", "measured"),
                  F.struct("next_us", "first_seen")).alias("n"))
-    latest = recent.where("recency = 1").select(
-        *key, F.col("passed_at").alias("last_at"), F.col("orbit").alias("last_orbit"))
+    latest = recent.groupBy(*key).agg(F.max(F.struct("passed_at", "ordinal", "orbit")).alias(
+        "l")).select(*key, F.col("l.passed_at").alias("last_at"),
+                     F.col("l.orbit").alias("last_orbit"))
     out = soonest.join(latest, key).select(
         *key, "passes_seen", "orbits_seen", F.col("n.measured").alias("measured"), "last_at",
         half_even((now_us - micros(F.col("last_at"))) / float(HOUR), 1).alias("hours_ago"),

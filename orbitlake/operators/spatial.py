@@ -13,6 +13,11 @@ CELL_DEGREES = 5.0
 BOUNDS = ("west", "south", "east", "north")
 
 
+def _edge_bytes() -> Column:
+    """Bytes of a row's edges: four doubles and a header each."""
+    return F.coalesce(F.size("__edges"), F.lit(0)).cast("long") * 48
+
+
 def _bucket(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("int")
 
@@ -28,15 +33,17 @@ def _covering(df: DataFrame, size: float, prefix: str = "__") -> DataFrame:
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str = "lon", y: str = "lat",
-                    cell: float = CELL_DEGREES, small: str = "boxes") -> DataFrame:
+                    cell: float = CELL_DEGREES, small: str = "boxes",
+                    extra: Column | None = None) -> DataFrame:
     """Every (point, box) pair with the point in the box, as an equi-join on grid buckets.
 
-    ``small`` names the side that may be broadcast if its counted size allows.
+    ``small`` names the side that may be broadcast if its counted size allows; ``extra`` counts
+    the bytes of arrays that a box row carries.
     """
     keyed = points.withColumns({"__cx": _bucket(F.col(x), cell), "__cy": _bucket(F.col(y), cell)})
     cover = _covering(boxes, cell).drop("__x0", "__y0")
     if small == "boxes":
-        cover = checked_broadcast(cover)
+        cover = checked_broadcast(cover, extra=extra)
     else:
         keyed = checked_broadcast(keyed)
     inside = (F.col(x).between(F.col("west"), F.col("east"))
@@ -48,7 +55,7 @@ def points_in_areas(points: DataFrame, areas: DataFrame, x: str = "lon", y: str
                     cell: float = CELL_DEGREES) -> DataFrame:
     """Every (point, area) pair with the point inside the area's ``geometry``."""
     shaped = areas.withColumn("__edges", edges(F.col("geometry"))).drop("geometry")
-    near = points_in_boxes(points, shaped, x, y, cell)
+    near = points_in_boxes(points, shaped, x, y, cell, extra=_edge_bytes())
     return near.where(contains(F.col("__edges"), F.col(x), F.col(y))).drop("__edges", *BOUNDS)
 
 
@@ -61,7 +68,7 @@ def areas_meet_boxes(areas: DataFrame, boxes: DataFrame,
     """
     left = _covering(areas.withColumn("__edges", edges(F.col("geometry"))).drop("geometry"),
                      cell, "__a")
-    left = checked_broadcast(left.drop(*BOUNDS), row_bytes=4096)
+    left = checked_broadcast(left.drop(*BOUNDS), extra=_edge_bytes())
     right = _covering(boxes, cell, "__b")
     first = ((F.col("__cx") == F.greatest("__ax0", "__bx0"))
              & (F.col("__cy") == F.greatest("__ay0", "__by0")))
