@@ -28,6 +28,7 @@ at; an empty table gives an empty result.  Pages are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections.abc import Iterator
@@ -37,8 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitlake.llm import shared
+
 #: Pages of a host that make a frame, and the share of them that hold its tokens.
 LEAST, SHARE = 5, 0.9
+#: Bytes of all frames that may be broadcast; parts that a host's pages are dealt into beyond.
+BROADCAST, SALTS = 16 << 20, 16
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -133,7 +138,9 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, str]]:
 
 
 def _token(path: str, text: str) -> str:
-    return f"{path}\n{text}" if text else path
+    """An element's path, or a text's path and digest."""
+    return f"{path}\n{hashlib.blake2b(text.encode(), digest_size=12).hexdigest()}" \
+        if text else path
 
 
 def extracted(page: str, frame: set[str] | None) -> str:
@@ -168,7 +175,9 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict[tuple, list] = {}
         for where, mark, page in zip(batch["host"], batch["mark"], batch["html"], strict=True):
             own: dict[str, int] = {}
-            for path, _, _, text in blocks(page):
+            for path, kind, apart, text in blocks(page):
+                if text and (apart or kind == "article"):
+                    continue        # the frame takes nothing from an article's own slots
                 token = _token(path, text)
                 own[token] = own.get(token, 0) + 1
             for token, n in own.items():
@@ -195,10 +204,8 @@ def classes(pages: DataFrame) -> DataFrame:
     marked = read.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
     tokens = marked.mapInPandas(_tokens, "host string, token string, pages long, times long, "
                                          "one long, two long")
-    # long texts are told apart by a digest; partial sums meet once for each batch
-    key = F.when(F.length("token") > 200, F.md5("token")).otherwise(F.col("token"))
-    summed = (tokens.withColumn("token", key).groupBy("host", "token")
-              .agg(*[F.sum(c).alias(c) for c in ("pages", "times", "one", "two")]))
+    summed = tokens.groupBy("host", "token").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "times", "one", "two")])
     hosts = read.groupBy("host").agg(F.count("*").alias("of_pages"))
     frame = (F.col("of_pages") >= LEAST) & (F.col("times") == F.col("pages")) & (
         F.col("pages") >= SHARE * F.col("of_pages"))
@@ -210,24 +217,15 @@ def templates(pages: DataFrame) -> DataFrame:
     return classes(pages).groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 
-class _Frame(set):
-    """Frame tokens; long ones are held as digests."""
-
-    def __contains__(self, token: object) -> bool:
-        import hashlib
-        return super().__contains__(token) if len(str(token)) <= 200 else super().__contains__(
-            hashlib.md5(str(token).encode()).hexdigest())
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        frames: dict[str, _Frame | None] = {}
+        frames: dict[str, set[str] | None] = {}
         out = []
         for where, tokens, page in zip(batch.column("host").to_pylist(), batch.column("tokens"),
                                        batch.column("html").to_pylist(), strict=True):
             if where not in frames:
                 known = tokens.as_py()
-                frames[where] = None if known is None else _Frame(known)
+                frames[where] = None if known is None else set(known)
             out.append(extracted(page, frames[where]))
         yield pa.record_batch({
             "page_id": batch.column("page_id"), "url": batch.column("url"),
@@ -236,7 +234,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of `pages`."""
-    rows = _read(pages).join(templates(pages), "host", "left")
-    return rows.select("page_id", "url", "host", "html", "tokens").mapInArrow(
+    """page_id, url, text and n_chars of every row of `pages`.
+
+    Frames that measure BROADCAST bytes or less together are sent to all executors; larger ones
+    meet their pages by a join on host and a salt, which deals out a host of very many pages.
+    """
+    frames = shared.settle(templates(pages))
+    size = frames.agg(F.sum(F.length(F.array_join("tokens", " ")) + 64)).first()[0] or 0
+    rows = _read(pages)
+    if size <= BROADCAST:
+        joined = rows.join(F.broadcast(frames), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        spread = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "host", "html", "tokens").mapInArrow(
         _texts, "page_id long, url string, text string, n_chars long")

@@ -203,7 +203,9 @@ def test_frame_text_is_template(spark):
     assert extract.main_texts(pages.limit(0)).count() == 0
 
 
-def test_pages_of_the_tables(sample):
+@pytest.mark.parametrize("most", [extract.BROADCAST, 0])
+def test_pages_of_the_tables(sample, monkeypatch, most):
+    monkeypatch.setattr(extract, "BROADCAST", most)
     frame = sample("pages")
     want = {}
     for r in frame.collect():
