@@ -29,7 +29,7 @@ def filter_scenes(scenes: DataFrame, start: str, end: str, max_cloud: float = 30
 
     A missing cloud figure fails the optical test and does not matter for radar.
     """
-    known = registry.normalise_satellites(satellites)
+    known = registry.satellites_among(satellites)
     first = F.lit(f"{start[:10]} 00:00:00").cast("timestamp_ntz")
     last = F.lit(f"{end[:10]} 23:59:59").cast("timestamp_ntz")
     clear = ~_optical(F.col("satellite")) | (F.col("cloud") < float(max_cloud))

@@ -28,7 +28,7 @@ def read_bands(spark: SparkSession, path: str, scenes: DataFrame | None, bands:
     ``scenes`` is not needed when the table itself carries the scene's date and offset flag.
     """
     bands = list(dict.fromkeys(bands))
-    stored = registry.read_list(bands, satellite)
+    stored = registry.stored_behind(bands, satellite)
     px = spark.read.parquet(path).where(F.col("satellite") == satellite)
     if scene_ids is not None:
         px = px.where(F.col("scene_id").isin(list(scene_ids)))

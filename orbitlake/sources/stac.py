@@ -92,7 +92,7 @@ def with_asset_links(scenes: DataFrame, bands: list[str], satellite: str) -> Dat
 
     ``missing`` lists stored bands the scene does not offer; callers decide what to do.
     """
-    stored = registry.read_list(bands, satellite)
+    stored = registry.stored_behind(bands, satellite)
     wanted = F.array(*[F.lit(b) for b in stored])
     lowered = F.map_from_entries(F.array_distinct(F.transform(
         F.map_entries("assets"), lambda e: F.struct(F.lower(e["key"]), e["value"]))))

@@ -50,17 +50,19 @@ def test_a_new_index_is_a_sql_expression(spark):
 
 
 def test_bands_are_checked_before_anything_is_read():
-    assert registry.read_list(["vv", "vvvh"], "sentinel-1") == ["vv", "vh"]
-    assert registry.needed_bands("composite", "radar_grey", "sentinel-1") == ["vv"]
-    with pytest.raises(QueryError, match="has no thermal band"):
-        registry.read_list(["thermal"], "sentinel-2")
-    with pytest.raises(QueryError, match="is not a Sentinel-2 band"):
-        registry.read_list(["vv"], "sentinel-2")
-    with pytest.raises(QueryError, match="needs Sentinel-1"):
-        registry.needed_bands("index", "radar_ratio", "sentinel-2")
-    with pytest.raises(QueryError, match="Unknown satellite"):
-        registry.normalise_satellites(["landsat"])
-    assert registry.normalise_satellites("all") == ["sentinel-2", "sentinel-1"]
+    assert registry.stored_behind(["vv", "vvvh"], "sentinel-1") == ["vv", "vh"]
+    assert set(registry.picture("composite", "radar_grey", "sentinel-1").bands) == {"vv"}
+    for strangers, key in ((["thermal"], "sentinel-2"), (["vv"], "sentinel-2")):
+        with pytest.raises(QueryError, match="offer no"):
+            registry.stored_behind(strangers, key)
+    with pytest.raises(QueryError, match="made from sentinel-1"):
+        registry.picture("index", "radar_ratio", "sentinel-2")
+    with pytest.raises(QueryError, match="no index is called"):
+        registry.picture("index", "ripeness", "sentinel-2")
+    with pytest.raises(QueryError, match="no such satellite"):
+        registry.satellites_among(["landsat"])
+    assert registry.satellites_among("all") == ["sentinel-2", "sentinel-1"]
+    assert registry.satellites_among(["sentinel-1", "landsat"]) == ["sentinel-1"]
 
 
 def test_reading_bands_scans_only_what_is_needed(spark, tmp_path):
