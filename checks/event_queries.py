@@ -278,6 +278,25 @@ def source_fallback(spark, sf_dir):
         F.count(F.lit(1)).alias("scenes"))
 
 
+@query(_HITS.replace("FROM hit)", "FROM hit WHERE satellite <> 'sentinel-1' OR source = 'earth-search')", 1) + """
+SELECT aoi_id, satellite, source, count(*) AS scenes FROM src WHERE dr = 1 GROUP BY ALL""")
+def source_pinned(spark, sf_dir):
+    """The same fallback with the radar catalogue fixed by the caller."""
+    from orbitlake.operators.spatial import areas_meet_boxes
+    kept = catalog.filter_scenes(views.cat(spark, sf_dir), "1996-01-01", "2000-12-31", 40)
+    hits = areas_meet_boxes(areas(spark, sf_dir), kept)
+    found = catalog.best_source(hits, pinned={"sentinel-1": "earth-search"})
+    return found.groupBy("aoi_id", "satellite", "source").agg(F.count(F.lit(1)).alias("scenes"))
+
+
+@query(views.with_views("cat") + """
+SELECT west, south, satellite, scene_id, CAST(passed_at AS DATE) AS date,
+ CAST(row_number() OVER (PARTITION BY west, south, satellite ORDER BY CAST(passed_at AS DATE) DESC, scene_id) AS INT) AS nth FROM cat""")
+def dates_used(spark, sf_dir):
+    out = catalog.chosen_dates(views.cat(spark, sf_dir), ["west", "south", "satellite"])
+    return out.select("west", "south", "satellite", "scene_id", "date", "nth")
+
+
 _TILE = "CAST(west AS INT) AS west, CAST(south AS INT) AS south"
 
 

@@ -179,7 +179,7 @@ QUERIES["resample_cubic"] = resample_cubic
 ORACLES["resample_cubic"] = _resample_sql("cubic", 128, 256)
 
 _SPOTS = """
-SELECT s_suppkey AS point_id, CAST((s_suppkey * 377) % 1280 AS DOUBLE) + 0.25e0 AS x,
+SELECT s_suppkey AS point_id, CAST((s_suppkey * 377) % 1280 + (s_suppkey % 20) * 2000 AS DOUBLE) + 0.25e0 AS x,
        -CAST((s_suppkey * 211) % 640 AS DOUBLE) - 0.25e0 AS y FROM supplier
 """
 _PB = ("blue", "green", "red", "nir", "swir16")
@@ -210,12 +210,12 @@ p AS (SELECT *, CASE satellite WHEN 'sentinel-2' THEN 10 ELSE 20 END / gr AS ove
 q AS (SELECT *, can AND scenes > 1 AND sup > 1 AND over > 1.2e0 AS sharpening, NOT can AND scenes > 1 AS despeckling FROM p)
 SELECT west, south, satellite, scenes, sharpening, despeckling, {r6('over', 2)} AS oversampling,
  CAST(CASE WHEN can THEN sup ELSE 1 END AS INT) AS supported, {r6('CASE WHEN sharpening THEN least(over, sup) ELSE 1e0 END')} AS resolves,
- scenes >= 2 AND can AND sup > 1 AND over < sup AS size_limited, {r6('CASE WHEN despeckling THEN 1 - 1 / sqrt(scenes) END')} AS speckle_drop,
+ scenes >= 2 AND can AND sup > 1 AND over < sup AS size_limited, CAST(CASE WHEN can AND sup > 1 THEN sup * sup ELSE 2 END AS INT) AS frames_wanted, {r6('CASE WHEN despeckling THEN 1 - 1 / sqrt(scenes) END')} AS speckle_drop,
  CASE WHEN scenes <= 1 THEN 'single' WHEN sharpening THEN 'fuse' WHEN despeckling THEN 'mean' ELSE 'median' END AS method FROM q""")
 def merge_plan(spark, sf_dir):
     groups = merging.group_scenes(views.cat(spark, sf_dir), ["west", "south"])
     groups = groups.withColumn("ground_res_m", (F.abs("west") + 1) / 12.0)
-    out = merging.merge_method(merging.merge_plan(groups)).drop("ground_res_m", "frames_wanted")
+    out = merging.merge_method(merging.merge_plan(groups)).drop("ground_res_m")
     return rounded(out, ["resolves", "speckle_drop"])
 
 

@@ -289,3 +289,15 @@ LEFT JOIN h ON h.frame_id = f.frame_id AND h.bin = b.bin""")
 def index_histogram(spark, sf_dir):
     low, high = registry.INDICES["ndvi"]["range"]
     return stats.histogram(median_ndvi(spark, sf_dir), "ndvi", low, high)
+
+
+@query(_NDVI_MEDIAN + f"""
+, sp AS (SELECT frame_id, min(ndvi) AS lo, max(ndvi) AS hi, (max(ndvi) - min(ndvi)) / 48 AS w FROM ix WHERE ndvi IS NOT NULL GROUP BY 1),
+h AS (SELECT frame_id, CAST(least(floor((ndvi - lo) / w), 47) AS INT) AS bin, count(*) AS n
+      FROM ix JOIN sp USING (frame_id) WHERE ndvi IS NOT NULL GROUP BY ALL)
+SELECT sp.frame_id, CAST(b.bin AS INT) AS bin, {r6('lo + b.bin * w', 4)} AS edge, {r6('w', 5)} AS width,
+       coalesce(h.n, 0) AS pixels
+FROM sp CROSS JOIN (SELECT unnest(range(48)) AS bin) b LEFT JOIN h ON h.frame_id = sp.frame_id AND h.bin = b.bin""")
+def own_histogram(spark, sf_dir):
+    """The histogram of each frame over its own span."""
+    return stats.histogram(median_ndvi(spark, sf_dir), "ndvi")

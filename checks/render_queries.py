@@ -10,7 +10,7 @@ from orbitlake.operators import enhance, merge, render
 from orbitlake.operators.stencil import sized
 
 from . import views
-from .pixel_queries import (median_ndvi, merged, optical, r6, radar, refl_cte, radar_cte,
+from .pixel_queries import (_MIRROR, median_ndvi, merged, optical, r6, radar, refl_cte, radar_cte,
                             rounded)
 
 QUERIES: dict = {}
@@ -131,22 +131,35 @@ def true_color_picture(spark, sf_dir):
     return render.render_composite(merged(spark, sf_dir, TRIO), render.stretch_plan("true_color"))
 
 
+_FALSE = ("vv", "vh", "vvvh")
+#: Decibels taken off the uncalibrated amplitudes, which brings them into the preset's windows.
+_CALIBRATION = 58.0
 _RADAR_ST = ", ".join(
     _stretch_sql(f"{lo}::DOUBLE", f"{hi}::DOUBLE", f"pow(10e0, {b} / 10e0)", 2.2) + f" AS c{i}"
-    for i, (b, (lo, hi)) in enumerate(zip(("vh", "vv", "vv"), ((0.0, 6000.0), (0.0, 35000.0),
-                                                               (0.0, 35000.0)))))
-
-
-@query(radar_cte() + ', comp AS (SELECT frame_id, "row", col, avg(vv) AS vv, avg(vh) AS vh '
-       f"FROM px GROUP BY ALL), st AS (SELECT *, {_RADAR_ST} FROM comp)\n" + tone_sql(1.0) +
-       f'SELECT frame_id, "row", col, {rgb_sql(("vh", "vv"))} FROM tn')
+    for i, (b, (lo, hi)) in enumerate(zip(_FALSE, ((0.0, 0.35), (0.0, 0.08), (1.0, 8.0)))))
+
+
+@query(radar_cte() + f""", cells AS (SELECT * FROM px WHERE vv IS NOT NULL AND vh IS NOT NULL),
+taps AS (SELECT c.frame_id, c.scene_ord, c."row", c.col, {_MIRROR.format(i='c."row" + a.k', n=views.HEIGHT)} AS r2,
+                {_MIRROR.format(i='c.col + b.k', n=views.WIDTH)} AS c2
+         FROM cells c, (SELECT unnest(range(-2, 3)) AS k) a, (SELECT unnest(range(-2, 3)) AS k) b),
+look AS (SELECT t.frame_id, t.scene_ord, t."row", t.col, avg(p.vv - p.vh) AS vvvh FROM taps t JOIN px p
+         ON p.frame_id = t.frame_id AND p.scene_ord = t.scene_ord AND p."row" = t.r2 AND p.col = t.c2 GROUP BY ALL),
+every AS (SELECT px.*, look.vvvh FROM px LEFT JOIN look USING (frame_id, scene_ord, "row", col)),
+comp AS (SELECT frame_id, "row", col, avg(vv - {_CALIBRATION}e0) AS vv, avg(vh - {_CALIBRATION}e0) AS vh, avg(vvvh) AS vvvh FROM every GROUP BY ALL),
+st AS (SELECT *, {_RADAR_ST} FROM comp)
+""" + tone_sql(float(registry.COMPOSITES["radar_color"][3].get("gamma", 1.0))) +
+       f'SELECT frame_id, "row", col, {rgb_sql(_FALSE)} FROM tn')
 def radar_color(spark, sf_dir):
-    """Stored amplitudes are uncalibrated here, so the windows are given in their power."""
-    from dataclasses import replace
-    px = merge.composite(radar(spark, sf_dir), ["vv", "vh"], "mean")
-    plan = replace(render.stretch_plan("radar_water"),
-                   windows=((0.0, 6000.0), (0.0, 35000.0), (0.0, 35000.0)))
-    return render.render_composite(px, plan)
+    """The preset as it is: both polarisations and their multi-looked ratio, back to power."""
+    from orbitlake.operators import units
+    looked = units.multilook_ratio(radar(spark, sf_dir), ["frame_id", "scene_ord"],
+                                   frames=views.images(spark, sf_dir), tile=64)
+    looked = looked.withColumns({b: F.col(b) - _CALIBRATION for b in ("vv", "vh")})
+    stored = views.obs(spark, sf_dir).select("frame_id", "scene_ord", "row", "col")
+    px = stored.join(looked, ["frame_id", "scene_ord", "row", "col"], "left")
+    return render.render_composite(merge.composite(px, list(_FALSE), "mean"),
+                                   render.stretch_plan("radar_color"))
 
 
 def _lut_sql(cmap: str) -> str:
@@ -273,12 +286,32 @@ def cloudiness(spark, sf_dir):
        .replace("obs_scenes AS", "sc AS", 1) + """
 , day AS (SELECT frame_id, scene_date AS day FROM sc),
 al AS (SELECT frame_id, sum(CASE WHEN valid THEN 1 ELSE 0 END) AS clear FROM pic GROUP BY 1)
-SELECT d.frame_id, d.day AS date, a.clear FROM day d JOIN al a USING (frame_id)""")
+SELECT DISTINCT d.frame_id, d.day AS date, a.clear + lag AS clear FROM day d JOIN day e USING (frame_id) JOIN al a USING (frame_id), (SELECT unnest([0, 15, 30]) AS lag) k
+WHERE e.day + CAST(lag AS INT) = d.day""")
 def cloud_days(spark, sf_dir):
-    """Scenes matched, by date, with the daily cloud layer of the same frame."""
+    """Scenes matched, by date, with a daily cloud layer that has days of its own."""
     from orbitlake.operators.clouds import match_layer
     scenes = views.obs_scenes(spark, sf_dir).select("frame_id", F.col("scene_date").alias("date"))
     clear = true_color_picture(spark, sf_dir).groupBy("frame_id").agg(
         F.sum(F.col("valid").cast("int")).alias("clear"))
-    layer = scenes.join(clear, "frame_id")
+    lag = F.explode(F.array(*[F.lit(n) for n in (0, 15, 30)])).alias("lag")
+    layer = (scenes.select("frame_id", "date", lag).join(clear, "frame_id")
+             .select("frame_id", F.date_add("date", F.col("lag")).alias("date"),
+                     (F.col("clear") + F.col("lag")).alias("clear")).distinct())
     return match_layer(scenes, layer, ["frame_id"])
+
+
+@query(comp_cte(("nir", "red")) + _lut_sql("ndvi") + """
+, ix AS (SELECT frame_id, (nir - red) / nullif(nir + red, 0) AS ndvi FROM comp),
+n AS (SELECT *, CAST(round_even(least(greatest((ndvi - -0.2e0) / (0.9e0 - -0.2e0), 0e0), 1e0) * 255e0, 0) AS INT) AS idx FROM ix WHERE ndvi IS NOT NULL)
+SELECT frame_id, printf('#%02x%02x%02x', r, g, b) AS colour, count(*) AS cells FROM n JOIN lut USING (idx) GROUP BY ALL""")
+def colour_counts(spark, sf_dir):
+    """Cells of each colour of an index picture, looked up in the colour table by a join."""
+    from orbitlake.functions.numeric import hex_colour
+    px = median_ndvi(spark, sf_dir).where("ndvi is not null")
+    look = render.IndexLook.of("ndvi")
+    at = render.colour_index((F.col("ndvi") - look.low) / (look.high - look.low))
+    table = render.colormap_table(spark, look.colormap)
+    return (px.withColumn("idx", at).join(table, "idx")
+            .groupBy("frame_id", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"))
+            .agg(F.count(F.lit(1)).alias("cells")))

@@ -54,14 +54,6 @@ def cloud_class(percent: Column) -> Column:
     return F.when(value < 10, "clear").when(value < 30, "some").otherwise("cloudy")
 
 
-def utc_time(text: Column) -> Column:
-    """Tolerant ISO-8601 parse to TIMESTAMP_NTZ in UTC; naive times are taken as UTC.
-
-    Relies on the session time zone being UTC (see :mod:`orbitlake.session`).
-    """
-    return F.try_to_timestamp(F.trim(text)).cast("timestamp_ntz")
-
-
 def micros(when: Column) -> Column:
     """Microseconds since the epoch of a TIMESTAMP_NTZ read as UTC."""
     return F.unix_micros(when.cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import registry
 from .keyed import attach, top_k
@@ -36,8 +36,14 @@ def filter_scenes(scenes: DataFrame, start: str, end: str, max_cloud: float = 30
     return scenes.where(F.col("satellite").isin(known) & F.col(when).between(first, last) & clear)
 
 
-def best_source(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
-    """Per key and satellite, only the rows of the first catalogue that has any."""
+def best_source(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",),
+                pinned: dict[str, str] | None = None) -> DataFrame:
+    """Per key and satellite, only the rows of the first catalogue that has any.
+
+    ``pinned`` names, by satellite, the one catalogue that may answer.
+    """
+    for key, source in (pinned or {}).items():
+        scenes = scenes.where((F.col("satellite") != key) | (F.col("source") == source))
     ranks = F.create_map(*[F.lit(v) for s in registry.SATELLITES.values()
                            for i, src in enumerate(s["sources"], 1)
                            for v in (f"{s['key']}/{src}", i)])
@@ -49,7 +55,8 @@ def best_source(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFra
 
 
 def search(scenes: DataFrame, areas: DataFrame, start: str, end: str, max_cloud: float = 30.0,
-           limit: int = 60, satellites=None, when: str = "passed_at") -> DataFrame:
+           limit: int = 60, satellites=None, when: str = "passed_at",
+           pinned: dict[str, str] | None = None) -> DataFrame:
     """Scenes over every area (``aoi_id``, ``geometry`` and its bounds), newest first.
 
     Each area and satellite is answered by its best catalogue, at most ``limit`` scenes each;
@@ -57,7 +64,7 @@ def search(scenes: DataFrame, areas: DataFrame, start: str, end: str, max_cloud:
     """
     group = ["aoi_id", "satellite"]
     hits = areas_meet_boxes(areas, filter_scenes(scenes, start, end, max_cloud, satellites, when))
-    hits = best_source(hits)
+    hits = best_source(hits, ("aoi_id",), pinned)
     newest = [F.col(when).desc(), F.col("scene_id")]
     totals = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("matched"))
     return top_k(hits, group, newest, int(limit)).join(totals, group).orderBy("aoi_id", *newest)
@@ -88,9 +95,11 @@ def clearest_scene(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> Data
         F.min(cloud).alias("cloud"))
 
 
-def chosen_dates(scenes: DataFrame, when: str = "passed_at") -> DataFrame:
-    """The dates a picture uses, newest first."""
-    return scenes.orderBy(F.to_date(when).desc(), "scene_id")
+def chosen_dates(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",),
+                 when: str = "passed_at") -> DataFrame:
+    """The dates each picture uses, numbered from its newest (``date``, ``nth``)."""
+    order = Window.partitionBy(*keys).orderBy(F.to_date(when).desc(), "scene_id")
+    return scenes.withColumns({"date": F.to_date(when), "nth": F.row_number().over(order)})
 
 
 def single_satellite(scenes: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:

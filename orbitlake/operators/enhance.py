@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tone
 from ..functions.numeric import clip
+from ..session import materialise
 from .keyed import attach
 from .quantiles import quantiles
 
@@ -39,6 +40,7 @@ def white_balance(df: DataFrame, keys: Sequence[str] = ("frame_id",), strength:
     """
     if strength <= 0:
         return df
+    df = materialise(df)            # read for the means and again for the picture
     whole = F.max(F.col("height").cast("long") * F.col("width")) \
         if {"height", "width"} <= set(df.columns) else F.count(F.lit(1))
     means = df.groupBy(*keys).agg(*[(F.sum(F.coalesce(F.col(c), F.lit(0.0))) / whole)
@@ -110,8 +112,9 @@ def clahe(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
     # a level that cannot be NULL gets no inferred filter, which would otherwise be pushed down and
     # drag the whole picture expression with it
     level = F.coalesce(clip(F.col(value) * (BINS - 1.0), 0.0, BINS - 1.0).cast("int"), F.lit(0))
-    px = df.withColumns({"__ty": _tile_of(F.col("row"), h, tiles),
-                         "__tx": _tile_of(F.col("col"), w, tiles), "__q": level})
+    px = materialise(df.withColumns({"__ty": _tile_of(F.col("row"), h, tiles),
+                                     "__tx": _tile_of(F.col("col"), w, tiles),
+                                     "__q": level}))
     low_y, wy = _blend(F.col("__ty"), F.col("row"), h, tiles)
     low_x, wx = _blend(F.col("__tx"), F.col("col"), w, tiles)
     px = px.withColumns({"__y0": low_y, "__wy": wy, "__x0": low_x, "__wx": wx})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_even
-from .keyed import reused, settled
+from .keyed import attach, reused, settled
 from .quantiles import quantiles
 
 
@@ -30,21 +30,37 @@ def array_stats(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
             half_even(F.get(f"{value}_q", F.lit(i)), 4).alias(m) for i, m in enumerate(marks)]))
 
 
-def histogram(df: DataFrame, value: str, low: float, high: float,
+def histogram(df: DataFrame, value: str, low: float | None = None, high: float | None = None,
               keys: Sequence[str] = ("frame_id",), bins: int = 48) -> DataFrame:
-    """Counts over ``bins`` equal bins of [low, high]; the last bin includes its right edge."""
+    """Counts over ``bins`` equal bins of [low, high]; the last bin includes its right edge.
+
+    Without a span each key's own smallest and largest values are the ends.  One grouped pass
+    counts a key's bins and, as the bin NULL, the values outside them.
+    """
     keys = list(keys)
-    width = (high - low) / bins
+    if (low is None) != (high is None):
+        raise ValueError("give both ends of a histogram or neither")
     v = F.col(value)
-    index = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
-    counts = (df.where(v.between(low, high)).groupBy(*keys, index.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("rows")))
-    frames = df.groupBy(*keys).agg(F.count(value).alias("__any")).where("__any > 0")
-    slots = frames.select(*keys, F.explode_outer(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return slots.join(counts, [*keys, "bin"], "left").select(
-        *keys, "bin", half_even(F.lit(low) + F.col("bin") * width, 4).alias("edge"),
-        F.lit(round(width, 5)).alias("width"),
-        F.coalesce("rows", F.lit(0)).cast("long").alias("pixels"))
+    if low is None:
+        df = attach(df, value_range(df, value, keys), keys)
+        lo, span = F.col("low"), (F.col("high") - F.col("low")) / bins
+        span = F.when(span > 0, span).otherwise(1.0 / bins)
+    else:
+        lo, span = F.lit(float(low)), F.lit((high - low) / bins)
+    inside = v.between(lo, F.col("high")) if low is None else v.between(low, high)
+    index = F.when(inside, F.least(F.floor((v - lo) / span), F.lit(bins - 1)).cast("int"))
+    counts = (df.where(v.isNotNull()).select(*keys, index.alias("bin"), lo.alias("__lo"),
+                                             span.alias("__span"))
+              .groupBy(*keys, "bin", "__lo", "__span").agg(F.count(F.lit(1)).alias("rows")))
+    # a handful of rows per key from here on
+    packed = counts.groupBy(*keys, "__lo", "__span").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("bin").isNotNull(), F.struct("bin", "rows")))).alias("__rows"))
+    slots = packed.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return slots.select(
+        *keys, "bin", half_even(F.col("__lo") + F.col("bin") * F.col("__span"), 4).alias("edge"),
+        half_even(F.col("__span"), 5).alias("width"),
+        F.coalesce(F.try_element_at("__rows", F.col("bin")), F.lit(0)).cast("long")
+        .alias("pixels"))
 
 
 def value_range(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",)) -> DataFrame:

@@ -105,6 +105,14 @@ def area_days(hours: int) -> int:
     return max(1, math.ceil(covering_window(hours)[0] / 24))
 
 
+def read_area(spark: SparkSession, path: str, hours: int, west: float, south: float, east: float,
+              north: float) -> DataFrame:
+    """The area source: the rows of a box in the window that covers ``hours``, both as predicates
+    of the scan."""
+    from ..operators.fires import within_box
+    return within_box(read_window(spark, path, hours), west, south, east, north)
+
+
 def read_window(spark: SparkSession, path: str, hours: int) -> DataFrame:
     """A detection table partitioned by ``window``, pruned to the one that covers ``hours``."""
     return spark.read.parquet(path).where(F.col("window") == covering_window(hours)[1])

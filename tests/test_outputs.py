@@ -1,11 +1,13 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from orbitlake import registry
 from orbitlake.operators import catalog, clouds, fires
 from orbitlake.operators.keyed import top_k
-from orbitlake.sources import pixels
+from orbitlake.sources import firms, pixels
 
 
 def test_index_and_picture_sinks(spark, tmp_path):
@@ -60,3 +62,34 @@ def test_cloud_layer_meets_the_scene_of_its_day(spark):
                       "(date'2024-05-05', 10, 90, 10) as t(date, r, g, b)")
     got = clouds.match_layer(scenes, clouds.cloud_layer(layer)).collect()
     assert len(got) == 1 and got[0].a == 255
+
+
+def test_the_area_source_prunes_by_window_and_box(spark, tmp_path):
+    rows = [(float(i), float(-i), w) for i in range(20) for w in ("24h", "48h", "7d")]
+    spark.createDataFrame(rows, "lat double, lon double, window string").write.partitionBy(
+        "window").parquet(str(tmp_path / "area"))
+    found = firms.read_area(spark, str(tmp_path / "area"), 30, 0, 12, -8, 3)
+    assert {(r.lat, r.window) for r in found.collect()} == {(float(i), "48h") for i in range(3, 9)}
+    assert "PartitionFilters: [isnotnull(window" in found._jdf.queryExecution().toString()
+
+
+def test_hours_are_not_clamped(spark):
+    rows = spark.sql("select timestamp_ntz'2024-01-21 00:00:00' as acquired")
+    assert fires.within_hours(rows, "2024-01-31 00:00:00", 240).count() == 1
+    assert fires.within_hours(rows, "2024-01-31 00:00:00", 239).count() == 0
+    with pytest.raises(registry.QueryError):
+        fires.within_hours(rows, "2024-01-31 00:00:00", 0)
+
+
+def test_pixels_are_stored_and_read_back(spark, tmp_path):
+    px = spark.createDataFrame(
+        [("sentinel-2", "s1", 0, r, c, 100 * r + c + 1000) for r in range(4) for c in range(4)],
+        "satellite string, scene_id string, frame_id int, row int, col int, red int")
+    pixels.write_pixels(px, str(tmp_path / "px"))
+    scenes = spark.sql("select 's1' as scene_id, date'2020-01-01' as scene_date, "
+                       "false as boa_offset_applied")
+    back = pixels.read_bands(spark, str(tmp_path / "px"), scenes, ["red"], "sentinel-2",
+                             window=(1, 2, 0, 3))
+    assert back.count() == 8
+    assert {round(r.red * 10000) for r in back.collect()} == {
+        100 * r + c + 1000 for r in (1, 2) for c in range(4)}
