@@ -83,8 +83,9 @@ def test_hours_are_not_clamped(spark):
 
 def test_pixels_are_stored_and_read_back(spark, tmp_path):
     px = spark.createDataFrame(
-        [("sentinel-2", "s1", 0, r, c, 100 * r + c + 1000) for r in range(4) for c in range(4)],
-        "satellite string, scene_id string, frame_id int, row int, col int, red int")
+        [("sentinel-2", "s1", 0, r, c, 4, 4, 100 * r + c + 1000) for r in range(4) for c in range(4)],
+        "satellite string, scene_id string, frame_id int, row int, col int, height int, "
+        "width int, red int")
     pixels.write_pixels(px, str(tmp_path / "px"))
     scenes = spark.sql("select 's1' as scene_id, date'2020-01-01' as scene_date, "
                        "false as boa_offset_applied")
