@@ -52,3 +52,30 @@ QUERIES["guide"] = guide
 ORACLES["guide"] = refl_cte(("red", "green", "nir")) + f"""
 SELECT frame_id, scene_ord, "row", col,
  {r6("(coalesce(red, 0) + coalesce(green, 0) + coalesce(nir, 0)) / nullif((red IS NOT NULL)::INT + (green IS NOT NULL)::INT + (nir IS NOT NULL)::INT, 0)")} AS guide FROM px"""
+
+
+#: Whole cells by which each scene of a frame is moved, by its number.
+_MOVES = {0: (0, 0), 1: (2, -3), 2: (-1, 4), 3: (5, 1)}
+
+
+def registration_known(spark, sf_dir):
+    """Scenes that are their frame's picture moved round by known whole cells."""
+    px = views.obs(spark, sf_dir).where("scene_ord = 1").select(
+        "frame_id", "row", "col", F.col("dn_blue").cast("double").alias("guide"))
+    moves = F.explode(F.array(*[F.struct(
+        F.lit(k).alias("scene_ord"), F.lit(y).alias("dy"), F.lit(x).alias("dx"))
+        for k, (y, x) in _MOVES.items()])).alias("m")
+    moved = px.select("frame_id", "row", "col", "guide", moves).select(
+        "frame_id", F.col("m.scene_ord").alias("scene_ord"),
+        F.pmod(F.col("row") + F.col("m.dy"), F.lit(views.HEIGHT)).alias("row"),
+        F.pmod(F.col("col") + F.col("m.dx"), F.lit(views.WIDTH)).alias("col"), "guide")
+    refs = moved.select("frame_id", F.lit(0).alias("reference")).distinct()
+    found = registration.estimate_shifts(moved, refs, tile=128)
+    return found.select("frame_id", "scene_ord", F.rint("dy").cast("int").alias("dy"),
+                        F.rint("dx").cast("int").alias("dx"))
+
+
+QUERIES["registration_known"] = registration_known
+ORACLES["registration_known"] = views.with_views("obs") + """
+SELECT f.frame_id, m.k AS scene_ord, m.dy, m.dx FROM (SELECT DISTINCT frame_id FROM obs) f,
+(VALUES """ + ", ".join(f"({k}::INT, {-y}::INT, {-x}::INT)" for k, (y, x) in _MOVES.items() if k) + """) m(k, dy, dx)"""

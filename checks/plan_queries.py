@@ -9,6 +9,7 @@ from orbitlake.sources.pixels import output_name
 from orbitlake.streaming.fires import rolling_activity
 
 from . import views
+from .geo_queries import _GON, outlines
 from .pixel_queries import optical, r6
 from .render_queries import comp_cte, true_color_cte, _lut_sql
 
@@ -58,6 +59,16 @@ def render_picture(spark, sf_dir):
     return _render(spark, sf_dir, ("red", "green", "blue"), opts={"mask_clouds": True}).picture
 
 
+@query(true_color_cte().replace(", st AS (SELECT *,", _GON + """, shut AS (SELECT c.frame_id, c."row", c.col, """ + ", ".join(
+    f"CASE WHEN x.n % 2 = 1 OR x.touched THEN c.{b} END AS {b}" for b in ("red", "green", "blue")) + """
+FROM comp c JOIN cx x USING (frame_id, "row", col)), st AS (SELECT *,""").replace("FROM comp)\n, pk", "FROM shut)\n, pk") + """
+SELECT frame_id, "row", col, r, g, b, valid, CASE WHEN valid THEN 255 ELSE 0 END AS a FROM pic""")
+def render_clipped(spark, sf_dir):
+    """The picture of an area: cells outside its outline are empty before the merge."""
+    return _render(spark, sf_dir, ("red", "green", "blue"), opts={"mask_clouds": True},
+                   outlines=outlines(spark, sf_dir)).picture
+
+
 def render_enhanced(spark, sf_dir):
     """Every correction at once, rows only: each step has its own oracle-checked query."""
     opts = dict(mask_clouds=True, haze_removal=0.8, denoise=0.4, adaptive_contrast=1.8,

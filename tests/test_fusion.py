@@ -115,3 +115,18 @@ def test_radar_is_averaged(stack, dates):
     out = render.render(px, listed, "sentinel-1", layers[0].shape, 5.0, name="radar_grey", tile=64)
     meta = out.meta.first()
     assert meta.method == "mean" and meta.native_res_m == 20
+
+
+def test_a_render_brings_the_stack_onto_its_grid(spark, stack):
+    from orbitlake.operators.resample import resample
+    from orbitlake.plans import render
+    rng = np.random.default_rng(3)
+    px, scenes = stack([rng.random((24, 32))], "red")
+    px = px.withColumns({"green": F.col("red") * 0.8, "blue": F.col("red") * 0.6})
+    bands = ["red", "green", "blue"]
+    own = render.render(px.drop("height", "width"), scenes, "sentinel-2", (12, 16), 20.0, tile=64,
+                        native_shape=(24, 32)).picture
+    ready = resample(px, ["frame_id", "scene_ord"], bands, 12, 16, "bilinear")
+    want = render.render(ready, scenes, "sentinel-2", (12, 16), 20.0, tile=64).picture
+    rows = lambda df: sorted(map(tuple, df.select("row", "col", "r", "g", "b").collect()))
+    assert rows(own) == rows(want) and len(rows(own)) == 12 * 16
