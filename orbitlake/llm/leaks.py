@@ -5,18 +5,18 @@ idf = ln((n + 1) / (df + 1)) over all documents, less 2.5: words that more than
 documents hold weigh next to nothing.  Words that stand in three words of an item aren't counted
 there, or an item copied into many documents would make its own words common.
 
-1. Benchmark items are cut into passages of at most 32 words.  Blocks of passages are spread over
+1. Benchmark items are cut into passages of at most 16 words.  Blocks of passages are spread over
    tasks; in each the TF-IDF matrix is factorised by a randomised SVD (Gaussian sketch, one power
    step, small exact SVD), which gives each block a latent space of the words that occur in it.  A
    block has about 1024 passages at most, so what is sent to all executors for it is at most some
-   1024 * 32 words times RANK floats (25 MB), and further blocks are further passes over the
+   1024 * 16 words times RANK floats (25 MB), and further blocks are further passes over the
    documents.
-2. Every document is read whole in windows of 32 words, one each 8 words.  A window whose weight
+2. Every document is read whole in windows of 16 words, one each 4 words.  A window whose weight
    lies almost wholly in words that no passage of the block has cannot come near one and stops
-   here; the others are moved into the latent space, and passages at a cosine of 0.35 or more are
+   here; the others are moved into the latent space, and passages at a cosine of 0.4 or more are
    candidates.
 3. Each candidate's item is compared with the words around the window: the longest common
-   subsequence must hold 75 % of the item's words, or 50 % if the answer is found as well.  The
+   subsequence must hold 60 % of the item's words, or 40 % if the answer is found as well.  The
    answer is the item's last sentence (of one with three words or more), which must be there word
    by word.
 
@@ -41,11 +41,11 @@ from pyspark.sql import types as T
 from orbitlake.llm import shared
 
 #: Words in a window and in a passage at most, and from one window to the next.
-WINDOW, STEP = 32, 8
+WINDOW, STEP = 16, 4
 #: Passages in a block, dimensions of its latent space.
-BLOCK, RANK = 1024, 192
+BLOCK, RANK = 1024, 384
 #: Least cosine of a candidate; least shares of an item's words in order, without and with answer.
-COSINE, WHOLE, PART = 0.35, 0.75, 0.5
+COSINE, WHOLE, PART = 0.4, 0.6, 0.4
 #: Bits of the buckets of the document counts; what is taken from each idf, and the least weight.
 BITS, COMMON, FLOOR = 18, 2.5, 0.05
 #: Bits of the buckets of three words of an item.
@@ -285,9 +285,12 @@ def _matches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, space: _Space
         norm = np.sqrt(np.bincount(window, value.astype(np.float64) ** 2, len(some)))
         hit = place[cell] >= 0
         cell, window, value = cell[hit], window[hit], value[hit].astype(np.float32)
-        latent = np.zeros((len(some), len(space.words)), np.float32)
-        latent[window, place[cell]] = value
-        cosine = (latent @ space.basis) @ space.passages.T / np.maximum(norm, 1e-9)[:, None]
+        latent = np.zeros((len(some), space.basis.shape[1]), np.float32)
+        if len(window):
+            cut = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+            latent[window[cut]] = np.add.reduceat(
+                space.basis[place[cell]] * value[:, None], cut, axis=0)
+        cosine = latent @ space.passages.T / np.maximum(norm, 1e-9)[:, None]
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
             words = space.item_words[p]
             a, b = int(first[some[w]]), int(last[some[w]])
