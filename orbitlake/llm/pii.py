@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 #: Tokens of a segment at most; zones learnt from, their length, passes and step of the training.
 LONGEST, SAMPLE, ZONE, PASSES, STEP = 24, 1500, 300, 6, 0.3
+#: Digits that a segment without an address can have: those of the longest card number.
+MOST_DIGITS = 19
 
 # The published patterns; possessive forms and look-behinds only spare searches that must fail.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -129,6 +131,7 @@ def segments(zone: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]
     """Token borders of a zone and its candidate segments (first and last border, kind, features).
     """
     border = [m.start() for m in _TOKEN.finditer(zone)] + [len(zone)]
+    kinds = {k: may for k, may in _MAY.items() if k != "email" or "@" in zone}
     out = []
     for i in range(len(border) - 1):
         first = zone[border[i]]
@@ -136,9 +139,11 @@ def segments(zone: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]
             continue
         for j in range(i + 1, min(i + LONGEST, len(border) - 1) + 1):
             span = zone[border[i]:border[j]]
+            if "email" not in kinds and sum(map(str.isdigit, span)) > MOST_DIGITS:
+                break
             if not span[-1].isalnum():
                 continue
-            for kind, may in _MAY.items():
+            for kind, may in kinds.items():
                 if may.fullmatch(span):
                     before = zone[border[i] - 1:border[i]] if border[i] else ""
                     out.append((i, j, kind, features(kind, span, before,
