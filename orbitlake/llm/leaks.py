@@ -51,9 +51,6 @@ BITS, COMMON, FLOOR = 18, 2.5, 0.05
 #: Bits of the buckets of three words of an item.
 TRIPLES = 22
 
-_WORD = re.compile(r"[^\W_]+")
-
-
 def _words(data: np.ndarray, offsets: np.ndarray):
     starts, ends, rows, _ = shared.runs(shared.LETTERS, data, offsets)
     return starts, ends, rows, shared.hashes(shared.LOWER[data], starts, ends)

@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orbitlake.llm import shared
-
 PLANNED, RACK, RACKS = 40, 4, 2
 #: Parts of a shard that are numbered apart from one another.
 PARTS = 64

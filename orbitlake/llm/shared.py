@@ -87,13 +87,6 @@ def runs(kinds: np.ndarray, data: np.ndarray, offsets: np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1, own[keep]
 
 
-def _kinds(**spans: str) -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for value, chars in enumerate(spans.values(), 1):
-        out[np.frombuffer(chars.encode("latin-1"), np.uint8)] = value
-    return out
-
-
 _SPACE = bytes([32, *range(9, 14)])
 #: 1 for every byte that is not white space.
 SOLID = np.ones(256, np.uint8)
