@@ -11,7 +11,7 @@ from orbitlake.streaming.fires import rolling_activity
 from . import views
 from .geo_queries import _GON, outlines
 from .pixel_queries import optical, r6
-from .render_queries import comp_cte, true_color_cte, _lut_sql
+from .render_queries import comp_cte, true_color_cte
 
 QUERIES: dict = {}
 ORACLES: dict = {}
