@@ -60,10 +60,10 @@ _MOVES = {0: (0, 0), 1: (2, -3), 2: (-1, 4), 3: (5, 1)}
 
 def registration_known(spark, sf_dir):
     """Scenes that are their frame's picture moved round by known whole cells; frames that are
-    mostly holes are left out, as holes move too."""
+    all but empty are left out, as holes move too."""
     px = views.obs(spark, sf_dir).where("scene_ord = 1").select(
         "frame_id", "row", "col", F.col("dn_blue").cast("double").alias("guide"))
-    full = px.groupBy("frame_id").count().where(F.col("count") >= views.CELLS // 2)
+    full = px.groupBy("frame_id").count().where(F.col("count") >= views.CELLS // 4)
     px = px.join(full.select("frame_id"), "frame_id")
     moves = F.explode(F.array(*[F.struct(
         F.lit(k).alias("scene_ord"), F.lit(y).alias("dy"), F.lit(x).alias("dx"))
@@ -81,4 +81,4 @@ def registration_known(spark, sf_dir):
 QUERIES["registration_known"] = registration_known
 ORACLES["registration_known"] = views.with_views("obs") + """
 SELECT f.frame_id, m.k AS scene_ord, m.dy, m.dx FROM (SELECT frame_id FROM obs WHERE scene_ord = 1
- GROUP BY 1 HAVING count(*) >= """ + str(views.CELLS // 2) + """) f, (VALUES """ + ", ".join(f"({k}::INT, {-y}::INT, {-x}::INT)" for k, (y, x) in _MOVES.items() if k) + """) m(k, dy, dx)"""
+ GROUP BY 1 HAVING count(*) >= """ + str(views.CELLS // 4) + """) f, (VALUES """ + ", ".join(f"({k}::INT, {-y}::INT, {-x}::INT)" for k, (y, x) in _MOVES.items() if k) + """) m(k, dy, dx)"""
