@@ -15,10 +15,13 @@ def detection_stream(spark: SparkSession, path: str, sensor: str,
     return detections(raw.withColumn("sensor", F.lit(sensor)))
 
 
-def _micros(spark: SparkSession, interval: str) -> int:
-    start = F.lit("2000-01-01").cast("timestamp")
-    ahead = F.unix_micros(start + F.expr(f"INTERVAL {interval}")) - F.unix_micros(start)
-    return spark.range(1).select(ahead.alias("us")).first()["us"]
+def _micros(interval: str) -> int:
+    """Microseconds of an interval such as '24 hours'."""
+    number, unit = interval.split()
+    return int(number) * _UNITS[unit.rstrip("s")] * 1_000_000
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
 
 def _activity_by_step(table: DataFrame, cell_degrees: float, step: int, span: int) -> DataFrame:
@@ -47,8 +50,8 @@ def rolling_activity(stream: DataFrame, cell_degrees: float = 1.0, late: str = "
     is counted once.  Works on a batch table too (pass ``dedupe=False``): there, where the step
     divides the span, rows are summed up by step first and only the sums enter each window.
     """
-    step, whole = (_micros(stream.sparkSession, x) for x in (every, span))
-    if not stream.isStreaming and not dedupe and whole % step == 0:
+    if not stream.isStreaming and not dedupe and _micros(span) % _micros(every) == 0:
+        step, whole = _micros(every), _micros(span)
         return _activity_by_step(stream, cell_degrees, step, whole)
     timed = stream.withColumn("at", F.col("acquired").cast("timestamp")).withWatermark("at", late)
     if dedupe:
