@@ -7,10 +7,11 @@ there, or an item copied into many documents would make its own words common.
 
 1. Benchmark items are cut into passages of at most 16 words.  Blocks of passages are spread over
    tasks; in each the TF-IDF matrix is factorised by a randomised SVD (Gaussian sketch, one power
-   step, small exact SVD), which gives each block a latent space of the words that occur in it.  A
-   block has about 1024 passages at most, so what is sent to all executors for it is at most some
-   1024 * 16 words times RANK floats (25 MB), and further blocks are further passes over the
-   documents.
+   step, small exact SVD), which gives each block a latent space of the words that occur in it.
+   The space has as many dimensions as keep ENERGY of every passage, so an exact copy scores that
+   cosine at least, however many passages there are.  A block has about 384 passages (an item's
+   stay together), so what is sent to all executors for it is some 384 * 16 words times 384 floats
+   (9 MB); TOGETHER blocks share a pass over the documents.
 2. Every document is read whole in windows of 16 words, one each 4 words.  A window whose weight
    lies almost wholly in words that no passage of the block has cannot come near one and stops
    here; the others are moved into the latent space, and passages at a cosine of 0.4 or more are
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,9 @@ from orbitlake.llm import shared
 
 #: Words in a window and in a passage at most, and from one window to the next.
 WINDOW, STEP = 16, 4
-#: Passages in a block, dimensions of its latent space.
-BLOCK, RANK = 1024, 384
+#: Passages in a block, blocks in a pass; the share of each passage's square that a latent space
+#: keeps at least.
+BLOCK, TOGETHER, ENERGY = 384, 4, 0.99
 #: Least cosine of a candidate; least shares of an item's words in order, without and with answer.
 COSINE, WHOLE, PART = 0.4, 0.6, 0.4
 #: Bits of the buckets of the document counts; what is taken from each idf, and the least weight.
@@ -165,12 +168,16 @@ def _factorise(weights: np.ndarray):
         np.add.at(matrix, (np.repeat(np.arange(len(sides)), [len(s) for s in sides]), at),
                   weights[_bucket(flat)])
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-        sketch = np.random.default_rng(7).standard_normal((len(vocabulary), RANK + 16))
+        sketch = np.random.default_rng(7).standard_normal(
+            (len(vocabulary), min(matrix.shape) + 16))
         base, _ = np.linalg.qr(matrix @ sketch)
         base, _ = np.linalg.qr(matrix @ (matrix.T @ base))
         _, _, right = np.linalg.svd(base.T @ matrix, full_matrices=False)
-        right = right[:RANK].astype(np.float32)
-        latent = (matrix @ right.T).astype(np.float32)
+        latent = matrix @ right.T
+        kept = (np.cumsum(latent ** 2, axis=1) >= ENERGY).all(axis=0)
+        rank = int(kept.argmax()) + 1 if kept.any() else len(right)
+        right = right[:rank].astype(np.float32)
+        latent = latent[:, :rank].astype(np.float32)
         return pd.DataFrame([{
             "words": vocabulary.tobytes(), "basis": np.ascontiguousarray(right.T).tobytes(),
             "passages": latent.tobytes(), "rank": right.shape[0],
@@ -309,7 +316,7 @@ def _matches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, space: _Space
 
 
 def _spaces(items: DataFrame, weights: np.ndarray) -> DataFrame:
-    """One row for each block; a block's size is bounded, and the blocks are used one by one."""
+    """One row for each block; a block's size is bounded, and the blocks are used a few at once."""
     passages = items.select(items["item_id"].cast("long").alias("item_id"),
                             items["text"].cast("string").alias("text")).mapInPandas(
         _passages, "item_id long, words array<long>, answer array<long>, first int, last int")
@@ -355,8 +362,8 @@ def matched(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Every row of `docs` and its columns, with its matches as the array __matches."""
     weights = idf(docs, items)
     found = None
-    for row in _spaces(items, weights).toLocalIterator():
-        found = _joined(_searched(docs if found is None else found, [row], weights))
+    for some in batched(_spaces(items, weights).toLocalIterator(), TOGETHER):
+        found = _joined(_searched(docs if found is None else found, list(some), weights))
     return _joined(_searched(docs, [], weights)) if found is None else found
 
 

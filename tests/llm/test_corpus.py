@@ -173,6 +173,30 @@ def test_leaks_of_the_tables(sample):
     assert want <= found
 
 
+def _space(texts, weights):
+    hashed = [leaks._word_hashes(leaks._plain(t)).view(np.int64) for t in texts]
+    rows = pd.DataFrame({"item_id": range(len(texts)), "words": hashed, "answer": [[]] * len(texts),
+                         "first": 0, "last": [len(h) for h in hashed]})
+    return leaks._Space(leaks._factorise(weights)(rows).iloc[0])
+
+
+def _matched(text, space, weights):
+    h = leaks._word_hashes(leaks._plain(text))
+    return {m[1]: m for m in leaks._matches(h, np.zeros(len(h), np.int64), weights, space)}
+
+
+def test_every_passage_of_a_full_block_is_found():
+    draw = random.Random(3)
+    words = _padding(4000, 4).split()
+    texts = [" ".join(draw.sample(words, 16)) for _ in range(1024)]
+    weights = np.full(1 << leaks.BITS, 3, np.float32)
+    space = _space(texts, weights)
+    assert (np.linalg.norm(space.passages, axis=1) ** 2 > 0.98).all()
+    for i in range(0, 1024, 8):
+        found = _matched(f"{_padding(20, i)} {texts[i]} {_padding(20, -i)}", space, weights)
+        assert i in found and found[i][3] == 1
+
+
 def test_longest_common_subsequence():
     draw = np.random.default_rng(1)
     for _ in range(50):
