@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are runs of letters and digits, in small letters (ASCII).  Hashed words are weighted by
-idf = ln((n + 1) / (df + 1)) over all documents, less 2.5: words that more than a twelfth of the
-documents hold weigh next to nothing.  Words that stand in three words of an item aren't counted
+idf = ln((n + 1) / (df + 1)) over all documents, less 2.5, and half at least: words that more than a
+twelfth of the documents hold weigh little, but an item of such words only is still found.  Words that stand in three words of an item aren't counted
 there, or an item copied into many documents would make its own words common.
 
 1. Benchmark items are cut into passages of at most 16 words.  Blocks of passages are spread over
@@ -15,7 +15,9 @@ there, or an item copied into many documents would make its own words common.
 2. Every document is read whole in windows of 16 words, one each 4 words.  A window whose weight
    lies almost wholly in words that no passage of the block has cannot come near one and stops
    here; the others are moved into the latent space, and passages at a cosine of 0.4 or more are
-   candidates.
+   candidates.  Rarer words beside a short passage would swamp it there, so wherever two words in a
+   row (one, of a passage of one word) are a passage's, the cosine is also taken over a window laid
+   on the passage as those words lie in it, of just its length.
 3. Each candidate's item is compared with the words around the window: the longest common
    subsequence must hold 60 % of the item's words, or 40 % if the answer is found as well.  The
    answer is the item's last sentence (of one with three words or more), which must be there word
@@ -50,9 +52,11 @@ BLOCK, TOGETHER, ENERGY = 384, 4, 0.99
 #: Least cosine of a candidate; least shares of an item's words in order, without and with answer.
 COSINE, WHOLE, PART = 0.4, 0.6, 0.4
 #: Bits of the buckets of the document counts; what is taken from each idf, and the least weight.
-BITS, COMMON, FLOOR = 18, 2.5, 0.05
+BITS, COMMON, FLOOR = 18, 2.5, 0.5
 #: Bits of the buckets of three words of an item.
 TRIPLES = 22
+#: Fitted windows that are looked at together.
+FITTED = 1 << 15
 
 def _words(data: np.ndarray, offsets: np.ndarray):
     starts, ends, rows, _ = shared.runs(shared.LETTERS, data, offsets)
@@ -182,6 +186,7 @@ def _factorise(weights: np.ndarray):
             "words": vocabulary.tobytes(), "basis": np.ascontiguousarray(right.T).tobytes(),
             "passages": latent.tobytes(), "rank": right.shape[0],
             "items": rows["item_id"].tolist(),
+            "firsts": rows["first"].tolist(), "lasts": rows["last"].tolist(),
             "item_words": [np.asarray(w, np.int64).tobytes() for w in rows["words"]],
             "answers": [np.asarray(w, np.int64).tobytes() for w in rows["answer"]]}])
     return block
@@ -237,6 +242,38 @@ class _Space:
         # a table of a bit for each hash head: most words are told apart without a search
         self.heads = np.zeros(1 << 20, bool)
         self.heads[(self.words >> np.uint64(44)).astype(np.int64)] = True
+        # each word's part in each passage, seen through the latent space; the last of no word
+        self.parts = np.zeros((len(self.passages), len(self.words) + 1), np.float32)
+        np.matmul(self.passages, self.basis.T, out=self.parts[:, :-1])
+        # where each two words in a row, or the only one, stand in passages
+        own = [np.searchsorted(self.words, w[a:b]) for w, a, b in
+               zip(self.item_words, row["firsts"], row["lasts"], strict=True)]
+        self.lengths = np.array([len(q) for q in own])
+        keys = [self.pairs(q[:-1], q[1:]) if len(q) > 1 else -1 - q for q in own]
+        counts = np.array([len(k) for k in keys])
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(own)), counts)[order]
+        self.offset = np.concatenate([np.arange(n) for n in counts])[order]
+        self.keys, self.begin, self.times = np.unique(
+            flat[order], return_index=True, return_counts=True)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self._mark(self.keys)] = True
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a * len(self.words) + b
+
+    @staticmethod
+    def _mark(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                >> np.uint64(44)).astype(np.int64)
+
+    def runs(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words `at` whose keys stand in passages, and the places of those keys."""
+        maybe = np.flatnonzero(self.marks[self._mark(keys)])
+        found = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        good = self.keys[found] == keys[maybe]
+        return at[maybe[good]], found[good]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each word in the vocabulary, or -1."""
@@ -259,12 +296,60 @@ def _windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head[text] + first, head[text] + np.minimum(first + WINDOW, length[text])
 
 
+def _weighed(first: np.ndarray, last: np.ndarray, value: np.ndarray):
+    """Words of each window, which of them are inside, and their weights; WINDOW columns."""
+    cell = first[:, None] + np.arange(WINDOW)
+    inside = cell < last[:, None]
+    cell[~inside] = 0
+    return cell, inside, np.where(inside, value[cell], 0)
+
+
+def _norms(words: np.ndarray, inside: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Norms of the windows as bags: a word that is there n times has n times its weight."""
+    times = ((words[:, :, None] == words[:, None, :]) & inside[:, None, :]).sum(2)
+    return np.maximum(np.sqrt((weight.astype(np.float64) ** 2 * times).sum(1)), 1e-9)
+
+
+def _fitted(h: np.ndarray, rows: np.ndarray, value: np.ndarray, place: np.ndarray, space: _Space
+            ) -> Iterator[tuple[int, int, int, float]]:
+    """(first and last word, passage, cosine) of the candidates of windows fitted to passages."""
+    edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True])))
+    one = np.flatnonzero(place >= 0)
+    two = one[:-1][(np.diff(one) == 1) & (rows[one[1:]] == rows[one[:-1]])]
+    for at, keys in ((two, space.pairs(place[two], place[two + 1])), (one, -1 - place[one])):
+        at, key = space.runs(at, keys)
+        until = np.cumsum(space.times[key])
+        cuts = np.searchsorted(until, np.arange(0, until[-1] if len(until) else 0, FITTED), "right")
+        for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=False):
+            if a == b:
+                continue
+            times = space.times[key[a:b]]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            entry = np.repeat(space.begin[key[a:b]], times) + nth
+            # a copy's runs all have one start; a window is clipped to the text of its run
+            start = np.repeat(at[a:b], times) - space.offset[entry] + WINDOW
+            text = np.repeat(np.searchsorted(edges, at[a:b], "right") - 1, times)
+            number, texts = len(space.lengths), len(edges)
+            start, text = np.divmod(np.unique(
+                (start * number + space.owner[entry]) * texts + text), texts)
+            start, p = np.divmod(start, number)
+            first = np.maximum(start - WINDOW, edges[text])
+            last = np.minimum(start - WINDOW + space.lengths[p], edges[text + 1])
+            cell, inside, weight = _weighed(first, last, value)
+            dot = (weight * space.parts[p[:, None], place[cell]]).sum(1)
+            some = np.flatnonzero(dot >= COSINE * np.sqrt((weight ** 2).sum(1)))
+            cosine = dot[some] / _norms(h[cell[some]], inside[some], weight[some])
+            for w in np.flatnonzero(cosine >= COSINE).tolist():
+                yield int(first[some[w]]), int(last[some[w]]), int(p[some[w]]), float(cosine[w])
+
+
 def _matches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, space: _Space
              ) -> list[tuple[int, int, float, float, bool]]:
     """(row, item, cosine, share of its words in order, answer found) of each match."""
     if not len(h):
         return []
-    square = weights[_bucket(h)].astype(np.float64) ** 2
+    value = weights[_bucket(h)]
+    square = value.astype(np.float64) ** 2
     place = space.find(h)
     total = np.concatenate(([0.0], np.cumsum(square)))
     known = np.concatenate(([0.0], np.cumsum(np.where(place >= 0, square, 0))))
@@ -273,44 +358,35 @@ def _matches(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, space: _Space
     near = np.flatnonzero((part >= COSINE ** 2 * mass) & (part > 0))
     edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True])))
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for base in range(0, len(near), 1024):
-        some = near[base:base + 1024]
-        width = last[some] - first[some]
-        cell = np.repeat(first[some] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        window = np.repeat(np.arange(len(some)), width)
-        # each word of a window once, with its count
-        order = np.lexsort((h[cell], window))
-        cell, window = cell[order], window[order]
-        new = np.flatnonzero(np.concatenate(
-            ([True], (h[cell[1:]] != h[cell[:-1]]) | (window[1:] != window[:-1]))))
-        times = np.diff(np.append(new, len(cell)))
-        cell, window = cell[new], window[new]
-        value = times * weights[_bucket(h[cell])]
-        norm = np.sqrt(np.bincount(window, value.astype(np.float64) ** 2, len(some)))
-        hit = place[cell] >= 0
-        cell, window, value = cell[hit], window[hit], value[hit].astype(np.float32)
-        latent = np.zeros((len(some), space.basis.shape[1]), np.float32)
-        if len(window):
-            cut = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-            latent[window[cut]] = np.add.reduceat(
-                space.basis[place[cell]] * value[:, None], cut, axis=0)
-        cosine = latent @ space.passages.T / np.maximum(norm, 1e-9)[:, None]
+
+    def compare(a: int, b: int, p: int, cosine: float) -> None:
+        words = space.item_words[p]
+        key = (int(rows[a]), space.items[p])
+        if key in best and best[key][0] == 1.0:
+            return
+        spot = np.searchsorted(edges, a, "right") - 1
+        low = max(int(edges[spot]), a - len(words))
+        around = h[low:min(int(edges[spot + 1]), b + len(words))]
+        if np.isin(words, around).sum() < PART * len(words):
+            return
+        share = _share(words, around)
+        answer = _holds(around, space.answers[p])
+        if share >= WHOLE or share >= PART and answer:
+            score = (share, cosine, answer)
+            best[key] = max(best.get(key, score), score)
+
+    for candidate in _fitted(h, rows, value, place, space):
+        compare(*candidate)
+    for base in range(0, len(near), 256):
+        some = near[base:base + 256]
+        cell, inside, weight = _weighed(first[some], last[some], value)
+        norm = _norms(h[cell], inside, weight)
+        at = place[cell]
+        weight[at < 0] = 0
+        latent = (weight[:, None, :] @ space.basis[np.maximum(at, 0)])[:, 0]
+        cosine = latent @ space.passages.T / norm[:, None]
         for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            words = space.item_words[p]
-            a, b = int(first[some[w]]), int(last[some[w]])
-            key = (int(rows[a]), space.items[p])
-            if key in best and best[key][0] == 1.0:
-                continue
-            spot = np.searchsorted(edges, a, "right") - 1
-            low = max(int(edges[spot]), a - len(words))
-            around = h[low:min(int(edges[spot + 1]), b + len(words))]
-            if np.isin(words, around).sum() < PART * len(words):
-                continue
-            share = _share(words, around)
-            answer = _holds(around, space.answers[p])
-            if share >= WHOLE or share >= PART and answer:
-                score = (share, float(cosine[w, p]), answer)
-                best[key] = max(best.get(key, score), score)
+            compare(int(first[some[w]]), int(last[some[w]]), p, float(cosine[w, p]))
     return [(row, item, cos, share, answer) for (row, item), (share, cos, answer)
             in best.items()]
 
@@ -325,7 +401,8 @@ def _spaces(items: DataFrame, weights: np.ndarray) -> DataFrame:
     return (passages.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
             .groupBy("block").applyInPandas(
                 _factorise(weights), "words binary, basis binary, passages binary, rank int, "
-                "items array<long>, item_words array<binary>, answers array<binary>"))
+                "items array<long>, firsts array<int>, lasts array<int>, item_words array<binary>, "
+                "answers array<binary>"))
 
 
 def _searched(docs: DataFrame, space_rows: list, weights: np.ndarray) -> DataFrame:

@@ -197,6 +197,29 @@ def test_every_passage_of_a_full_block_is_found():
         assert i in found and found[i][3] == 1
 
 
+def test_short_verbatim_items_among_rare_words():
+    draw = random.Random(5)
+    words = _padding(900, 6).split()
+    texts = [" ".join(draw.sample(words, n)) for n in (1, 2, 3, *range(4, 17)) for _ in range(20)]
+    weights = np.full(1 << leaks.BITS, 9, np.float32)
+    common = leaks._word_hashes([w.encode() for w in words])
+    weights[leaks._bucket(common)] = draw.choices((leaks.FLOOR, 1, 4), k=len(common))
+    space = _space(texts, weights)
+    for i, text in enumerate(texts):
+        found = _matched(f"{_padding(30, i)} {text} {_padding(30, -i - 1)}", space, weights)
+        assert i in found and found[i][3] == 1, text
+
+
+def test_fitted_windows_end_with_their_text():
+    weights = np.full(1 << leaks.BITS, 3, np.float32)
+    space = _space(["one two three four five six", "lone"], weights)
+    texts = ["two three four five six", "five six one two", "three four", "lone one", "two", "lone"]
+    h = np.concatenate([leaks._word_hashes(leaks._plain(t)) for t in texts])
+    rows = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
+    found = {m[:2]: m[3] for m in leaks._matches(h, rows, weights, space)}
+    assert set(found) == {(0, 0), (3, 1), (5, 1)} and found[0, 0] == 5 / 6
+
+
 def test_longest_common_subsequence():
     draw = np.random.default_rng(1)
     for _ in range(50):
