@@ -5,15 +5,19 @@ below its path, every block of text.  Over all pages of a host, tokens with the
 vector (the same number of occurrences on the same pages) form an equivalence class; the vectors
 are compared by commutative fingerprints, sums over the pages, so no page set is ever held.  The
 classes whose tokens stand exactly once on at least nine tenths of a host's pages (of five pages
-or more) are its frame.  Paths of the frame nest by their prefixes into the template; text of the
-frame is part of it.  What pages put between template tokens are slots, and a block of text belongs
-to the slot of the longest template path above it.
+or more) can be in its frame.  A second pass lays them into each other: the root is the class on
+most pages (of those the largest); a class's tokens have one order, and those of another class lie
+in one slot of the root, between the same two of its tokens.  A token that keeps neither on nine
+tenths of its pages leaves its class; the rest are the frame.  Paths of the frame nest by their
+prefixes into the template; text of the frame is part of it, inside articles too.  What pages put
+between template tokens are slots, and a block of text belongs to the slot of the longest template
+path above it.
 
 The slots of the article are extracted: those at or below an article element (without any, a main
 element; without that, the body), but none at or below menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles, told by element names and by the words of classes,
-ids and roles.  Where no article element tells the slots apart, text of the frame is left out too,
-unless it is all that a page has (copies of one page).  A host of fewer pages has no frame, so its
+ids and roles.  Text of the frame is left out, unless it is all that the slots have (copies of one
+page).  A host of fewer pages has no frame, so its
 pages' own paths are the template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
@@ -31,6 +35,8 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,7 +162,7 @@ def extracted(page: str, frame: set[str] | None) -> str:
             slot = slot.rpartition(">")[0]
         if kind == "article" and ">article" not in slot and ">article" in path:
             slot = path     # an article that the host's frame doesn't have
-        fixed = frame is not None and kind != "article" and _token(path, text) in frame
+        fixed = frame is not None and _token(path, text) in frame
         slots.setdefault(kind if slot else "", []).append((fixed, text))
     for wanted in ("article", "main", "body", ""):
         if wanted in slots:
@@ -175,19 +181,22 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict[tuple, list] = {}
         for where, mark, page in zip(batch["host"], batch["mark"], batch["html"], strict=True):
             own: dict[str, int] = {}
-            for path, kind, apart, text in blocks(page):
-                if text and (apart or kind == "article"):
-                    continue        # the frame takes nothing from an article's own slots
+            first: dict[str, int] = {}
+            for i, (path, _, apart, text) in enumerate(blocks(page)):
+                if text and apart:
+                    continue        # never extracted
                 token = _token(path, text)
                 own[token] = own.get(token, 0) + 1
+                first.setdefault(token, i)
             for token, n in own.items():
-                sums = out.setdefault((where, token), [0, 0, 0, 0])
+                sums = out.setdefault((where, token), [0, 0, 0, 0, 0])
                 sums[0] += 1
                 sums[1] += n
                 sums[2] += n * (mark & 0x3FFFFFFF)
                 sums[3] += n * (mark >> 32 & 0x3FFFFFFF)
+                sums[4] += first[token]
         yield pd.DataFrame([(w, t, *s) for (w, t), s in out.items()],
-                           columns=["host", "token", "pages", "times", "one", "two"])
+                           columns=["host", "token", "pages", "times", "one", "two", "at"])
 
 
 def _read(pages: DataFrame) -> DataFrame:
@@ -198,23 +207,105 @@ def _read(pages: DataFrame) -> DataFrame:
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """The frame tokens of each host: host, token, pages and of_pages, and with `one` and `two`
-    the fingerprint of the occurrence vector, the same for the tokens of a class."""
+    """The tokens that can be in each host's frame: host, token, pages, of_pages, with `one` and
+    `two` the fingerprint of the occurrence vector, the same for the tokens of a class, and `at`,
+    the sum of their places, which orders them."""
     read = _read(pages)
     marked = read.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
     tokens = marked.mapInPandas(_tokens, "host string, token string, pages long, times long, "
-                                         "one long, two long")
+                                         "one long, two long, at long")
     summed = tokens.groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "times", "one", "two")])
+        *[F.sum(c).alias(c) for c in ("pages", "times", "one", "two", "at")])
     hosts = read.groupBy("host").agg(F.count("*").alias("of_pages"))
     frame = (F.col("of_pages") >= LEAST) & (F.col("times") == F.col("pages")) & (
         F.col("pages") >= SHARE * F.col("of_pages"))
     return summed.where("times = pages").join(hosts, "host").where(frame)
 
 
+def _in_order(ranks: list[int]) -> set[int]:
+    """The ranks in a longest increasing subsequence."""
+    ends: list[int] = []
+    before: dict[int, int] = {}
+    for x in ranks:
+        k = bisect_left(ends, x)
+        before[x] = ends[k - 1] if k else -1
+        ends[k:k + 1] = [x]
+    out, x = set(), ends[-1] if ends else -1
+    while x >= 0:
+        out.add(x)
+        x = before[x]
+    return out
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each token of a host's classes stands in which slot of the root, in order."""
+    known: dict[str, dict[str, tuple[int, int]]] = {}
+    for batch in batches:
+        out: Counter = Counter()
+        for where, members, page in zip(batch.column("host").to_pylist(), batch.column("classes"),
+                                        batch.column("html").to_pylist(), strict=True):
+            if where not in known:
+                known[where] = {t: (c, rank) for c, tokens in enumerate(members.as_py())
+                                for rank, t in enumerate(tokens)}
+            classes_of = known[where]
+            met: dict[str, tuple[int, int]] = {}
+            for path, _, apart, text in blocks(page):
+                if not (text and apart):
+                    token = _token(path, text)
+                    if token in classes_of:
+                        met.setdefault(token, classes_of[token])
+            ranks: dict[int, list[int]] = {}
+            for c, rank in met.values():
+                ranks.setdefault(c, []).append(rank)
+            kept = {c: _in_order(x) for c, x in ranks.items()}
+            slot = 0
+            for token, (c, rank) in met.items():
+                if rank not in kept[c]:
+                    continue
+                if c == 0:
+                    slot = rank + 1
+                out[where, token, slot] += 1
+        yield pa.record_batch({
+            "host": pa.array([k[0] for k in out], pa.string()),
+            "token": pa.array([k[1] for k in out], pa.string()),
+            "slot": pa.array([k[2] for k in out], pa.int32()),
+            "n": pa.array(list(out.values()), pa.int64())})
+
+
+def _with_hosts(pages: DataFrame, frames: DataFrame, column: str, how: str) -> DataFrame:
+    """The pages with their host's row of `frames`, which are sent to all executors if they measure
+    BROADCAST bytes or less together; larger ones meet their pages by a join on host and a salt,
+    which deals out a host of very many pages."""
+    tokens = F.flatten(column) if column == "classes" else F.col(column)
+    size = frames.agg(F.sum(F.length(F.array_join(tokens, " ")) + 64)).first()[0] or 0
+    rows = _read(pages)
+    if size <= BROADCAST:
+        return rows.join(F.broadcast(frames), "host", how)
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    spread = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, ["host", "salt"], how)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host and tokens, its frame: no more tokens than a page has over SHARE."""
-    return classes(pages).groupBy("host").agg(F.collect_set("token").alias("tokens"))
+    # the tokens of equal occurrence vectors in their order, a host's root class first
+    member = F.struct("at", "token")
+    grouped = classes(pages).groupBy("host", "pages", "one", "two").agg(
+        F.sort_array(F.collect_list(member)).alias("members"))
+    ranked = F.struct((-F.col("pages")).alias("a"), (-F.size("members")).alias("b"), "one", "two",
+                      F.transform("members", lambda m: m["token"]).alias("tokens"))
+    nested = shared.settle(grouped.groupBy("host").agg(F.transform(
+        F.sort_array(F.collect_list(ranked)), lambda c: c["tokens"]).alias("classes"),
+        F.map_from_entries(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(
+            m["token"].alias("token"), F.col("pages").alias("pages")))))).alias("pages")))
+    placed = (_with_hosts(pages, nested.select("host", "classes"), "classes", "inner")
+              .select("host", "html", "classes")
+              .mapInArrow(_placed, "host string, token string, slot int, n long")
+              .groupBy("host", "token", "slot").agg(F.sum("n").alias("n"))
+              .groupBy("host", "token").agg(F.max("n").alias("n")))
+    support = nested.select("host", F.explode("pages").alias("token", "pages"))
+    return (placed.join(support, ["host", "token"]).where(F.col("n") >= SHARE * F.col("pages"))
+            .groupBy("host").agg(F.collect_set("token").alias("tokens")))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +325,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of `pages`.
-
-    Frames that measure BROADCAST bytes or less together are sent to all executors; larger ones
-    meet their pages by a join on host and a salt, which deals out a host of very many pages.
-    """
-    frames = shared.settle(templates(pages))
-    size = frames.agg(F.sum(F.length(F.array_join("tokens", " ")) + 64)).first()[0] or 0
-    rows = _read(pages)
-    if size <= BROADCAST:
-        joined = rows.join(F.broadcast(frames), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        spread = frames.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
+    """page_id, url, text and n_chars of every row of `pages`."""
+    joined = _with_hosts(pages, shared.settle(templates(pages)), "tokens", "left")
     return joined.select("page_id", "url", "host", "html", "tokens").mapInArrow(
         _texts, "page_id long, url string, text string, n_chars long")

@@ -203,6 +203,31 @@ def test_frame_text_is_template(spark):
     assert extract.main_texts(pages.limit(0)).count() == 0
 
 
+def test_template_text_inside_articles(spark):
+    # a line of every article, one of most of them, and one on either side of the first
+    def page(i):
+        moving = "<p>wanders</p>"
+        parts = ["<p>Read by millions</p>", *[f"<p>story {i} part {k}</p>" for k in range(3)]]
+        parts.insert(i % 2, "" if i == 3 else moving)
+        often = "" if i == 7 else "<div><p>Printed on paper</p></div>"
+        return f"<body><h2>Paper</h2><article>{''.join(parts)}{often}</article><p>End</p></body>"
+    rows = [(i, f"http://p.example/{i}", page(i)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame = extract.templates(pages).first().tokens
+    digests = {extract._token("", t)[1:] for t in ("Read by millions", "Printed on paper")}
+    assert digests <= {t.partition("\n")[2] for t in frame}
+    assert extract._token("", "wanders")[1:] not in {t.partition("\n")[2] for t in frame}
+    for r in extract.main_texts(pages).collect():
+        words = [f"story {r.page_id} part {k}" for k in range(3)]
+        if r.page_id != 3:
+            words.insert(0, "wanders")
+        assert r.text == " ".join(words)
+
+
+def test_in_order():
+    assert extract._in_order([0, 3, 1, 2, 4]) == {0, 1, 2, 4} and extract._in_order([]) == set()
+
+
 @pytest.mark.parametrize("most", [extract.BROADCAST, 0])
 def test_pages_of_the_tables(sample, monkeypatch, most):
     monkeypatch.setattr(extract, "BROADCAST", most)
