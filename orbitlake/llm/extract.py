@@ -16,7 +16,8 @@ path above it.
 The slots of the article are extracted: those at or below an article element (without any, a main
 element; without that, the body), but none at or below menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles, told by element names and by the words of classes,
-ids and roles.  Text of the frame is left out, unless it is all that the slots have (copies of one
+ids and roles (not those of html, body, main and article), nor in elements with the attribute hidden
+or aria-hidden="true".  Text of the frame is left out, unless it is all that the slots have (copies of one
 page).  A host of fewer pages has no frame, so its
 pages' own paths are the template.
 
@@ -54,8 +55,7 @@ BROADCAST, SALTS = 16 << 20, 16
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'"
-                        r"|([^\s>\"']+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 #: Elements by their part in a page (fixed values).
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template xmp iframe".split())
@@ -68,6 +68,8 @@ cookie cookies consent notice popup modal newsletter subscribe sidebar nav navba
 breadcrumb breadcrumbs footer header masthead comment comments respond disqus related share sharing
 social pagination pager login signup search widget toolbar alert complementary contentinfo
 form""".split())
+#: Elements that hold an article: no word sets them apart.
+_WHOLE = set("html body main article".split())
 #: Open elements that a start tag ends (fixed values).
 _ENDED_BY = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -75,16 +77,17 @@ _ENDED_BY = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "t
 
 def _described(name: str, attributes: str) -> tuple[str, bool]:
     """The element as a step of a path, and whether it stands apart from an article."""
-    words, hidden = [], False
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            if m[1].lower() == "hidden":
-                hidden = True
-            else:
-                words += re.findall(r"[a-z]+|[0-9]+", re.sub(
-                    r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
+    words: list[str] = []
+    given: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    for key in ("class", "id", "role"):
+        words += re.findall(r"[a-z]+|[0-9]+", re.sub(
+            r"([a-z])([A-Z])", r"\1 \2", given.get(key, "")).lower())
     step = f"{name}.{'.'.join(words)}" if words else name
-    return step, hidden or name in _APART or not _APART_WORDS.isdisjoint(words)
+    hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+    return step, hidden or name in _APART or name not in _WHOLE and not _APART_WORDS.isdisjoint(
+        words)
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, bool, str]]:

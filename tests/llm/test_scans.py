@@ -182,6 +182,25 @@ def test_slots_of_a_page(inner, text):
     assert extract.extracted(PAGE.format(inner), None) == text
 
 
+@pytest.mark.parametrize("open_tag, apart", [
+    ('div style="overflow:hidden"', False), ('div aria-hidden="false"', False),
+    ('div title="hidden gems"', False), ("div data-id=form", False), ("div data-hidden", False),
+    ('a href="?id=menu"', False), ("a href=/x?id=menu", False), ("a title=' class=ad '", False),
+    ('article class="has-sidebar"', False), ('body class="has-sidebar"', False),
+    ("div hidden", True), ("div HIDDEN=''", True), ("div aria-hidden=true", True),
+    ("div id = 'main-menu'", True), ("article hidden", True),
+    ('div title="a > b" class="ad"', True), ('div class="shareBar"', True)])
+def test_attributes_are_read_by_name(open_tag, apart):
+    name = open_tag.partition(" ")[0]
+    page = f"<body><article>a<{open_tag}>b</{name}></article></body>"
+    assert extract.extracted(page, None) == ("a" if apart else "ab" if name == "a" else "a b")
+
+
+def test_words_of_a_whole_page_element_leave_its_text():
+    page = '<body class="has-sidebar"><article style="overflow:hidden" id=share>text</article>'
+    assert extract.extracted(page, None) == "text"
+
+
 def test_frame_text_is_template(spark):
     rows = [(i, "http://h.example/%d" % i,
              f"<body><p>Site line</p><p>story number {i} here</p><p>All rights</p></body>")
