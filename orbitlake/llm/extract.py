@@ -222,7 +222,9 @@ def classes(pages: DataFrame) -> DataFrame:
     hosts = read.groupBy("host").agg(F.count("*").alias("of_pages"))
     frame = (F.col("of_pages") >= LEAST) & (F.col("times") == F.col("pages")) & (
         F.col("pages") >= SHARE * F.col("of_pages"))
-    return summed.where("times = pages").join(hosts, "host").where(frame)
+    # what is on fewer pages than any frame needs never meets its host
+    some = summed.where((F.col("times") == F.col("pages")) & (F.col("pages") >= SHARE * LEAST))
+    return some.join(hosts, "host").where(frame)
 
 
 def _in_order(ranks: list[int]) -> set[int]:
