@@ -8,49 +8,42 @@ top rows are then selected from the most significant slice downward; when a slic
 more rows than are wanted, the selection narrows to it, and the rows that are still tied at the
 end, the boundary rows, are resolved by vec_id.  Scores are read back from the slices.
 
-Queries are the rows whose vec_id is divisible by 50.  Blocks of queries meet blocks of rows, each
-pair in a task of its own, and each task returns at most k rows a query, from which the k best are
-taken.
-
-Vectors that are null, empty or hold null or non-finite components take no part, nor do those with
-a component of 2 ** 24 or more after scaling, whose scores would not fit 64 bits.  Rows with a null
-vec_id are candidates of no query, as they can't be named.  Vectors of different lengths are not
-compared.  Repeated rows are candidates each; a query's own vec_id is never its candidate, and
-repeated query rows with different vectors are queries each under the same id, whose candidates
-are ranked together.  An empty table gives an empty result.
+Queries are the rows whose vec_id is divisible by 50.  They are broadcast, as many at a time as
+fit BROADCAST bytes, and meet every block where it lies: its index is built once for all of them.
+Each block returns at most k rows a query, from which the k best are taken.
+
+Vectors that are null or hold null or non-finite components take no part; all others do, however
+large: slices are as many as the values need, and scores beyond 64 bits are ordered exactly and
+returned as the nearest long.  Rows with a null vec_id are candidates of no query, as they can't
+be named.  Vectors of different lengths are not compared, empty ones have score 0 with each other.
+Repeated rows are candidates each; a query's own vec_id is never its candidate, and repeated query
+rows are queries each under the same id, whose candidates are ranked together.  Columns other than
+vec_id and embedding don't matter.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Neighbours of a query, every how manyth row is one; rows and queries in a block.
-K, EVERY = 5, 50
-ROWS, QUERIES = 16384, 128
-LARGEST = 1 << 24
-
+from orbitlake.llm import shared, vectors as v
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and the integer components q of the rows that take part."""
-    x = F.col("x")
-    whole = F.transform("x", lambda v: F.floor(v.cast("double") * 256))
-    fine = F.forall("x", lambda v: F.coalesce(
-        ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) * 256 < LARGEST), F.lit(False)))
-    return (vectors.select(vectors["vec_id"].cast("long").alias("vec_id"),
-                           vectors["embedding"].alias("x"))
-            .where(x.isNotNull() & F.col("vec_id").isNotNull() & (F.size("x") > 0) & fine)
-            .select("vec_id", whole.alias("q")))
+#: Neighbours of a query, every how manyth row is one; rows in a block.
+K, EVERY = 5, 50
+ROWS = 16384
 
 
 def slices(values: np.ndarray) -> list[np.ndarray]:
     """Bitmaps (64 rows a word) of the bits of the rows' values, lowest first; the last is the
     sign and stands for all higher bits."""
-    bits = max(int(np.abs(values).max(initial=0)).bit_length() + 1, 2)
-    padded = np.zeros(-(-len(values) // 64) * 64, np.int64)
+    bits = max(v.largest(values).bit_length() + 1, 2)
+    padded = np.zeros(-(-len(values) // 64) * 64, values.dtype)
     padded[:len(values)] = values
     return [np.packbits((padded >> b & 1).astype(bool), bitorder="little").view(np.uint64)
             for b in range(bits)]
@@ -69,7 +62,8 @@ def digits(value: int) -> list[tuple[int, int]]:
     return out
 
 
-def scores(index: list[list[np.ndarray]], query: np.ndarray, width: int) -> list[np.ndarray]:
+def scores(index: list[list[np.ndarray]], query: np.ndarray, width: int, among: np.ndarray
+           ) -> list[np.ndarray]:
     """The slices of the inner products with the query, `width` of them, two's complement.
 
     Bitmaps wait in a column for each power of two; three of one column become one there and one
@@ -89,7 +83,7 @@ def scores(index: list[list[np.ndarray]], query: np.ndarray, width: int) -> list
                     constant -= 1 << (b + shift)
                 else:
                     columns[b + shift].append(bitmap)
-    every = ~np.zeros_like(index[0][0])
+    every = ~np.zeros_like(among)
     for p in range(width):
         if constant >> p & 1:
             columns[p].append(every)
@@ -137,61 +131,75 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
 
 
 def _values(total: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.int64)
+    out = np.zeros(len(rows), np.int64 if len(total) < 63 else object)
     word, bit = rows >> 6, (rows & 63).astype(np.uint64)
     for p, bitmap in enumerate(total):
-        value = (bitmap[word] >> bit & np.uint64(1)).astype(np.int64)
+        value = (bitmap[word] >> bit & np.uint64(1)).astype(out.dtype)
         out += value * ((1 << p) if p < len(total) - 1 else -(1 << p))
     return out
 
 
-def _searched(k: int):
-    def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            rows = rows.sort_values("vec_id")
-            ids = rows["vec_id"].to_numpy(np.int64)
-            values = np.stack(rows["q"].to_numpy()).astype(np.int64)
-            index = [slices(values[:, d]) for d in range(values.shape[1])]
-            there = np.zeros(len(index[0][0]) * 64, bool)
-            there[:len(ids)] = True
-            there = np.packbits(there, bitorder="little").view(np.uint64)
-            largest = int(np.abs(values).max(initial=1))
-            for vec_id, q in zip(queries["vec_id"], queries["q"], strict=True):
-                q = np.asarray(q, np.int64)
-                width = min(63, (int(np.abs(q).sum()) * largest).bit_length() + 2)
-                total = scores(index, q, width)
-                among = there.copy()
-                for own in range(*np.searchsorted(ids, (vec_id, vec_id + 1))):
-                    among[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-                sure, tied = best(total, among, k)
-                sure, tied = _rows(sure), _rows(tied)
-                chosen = np.concatenate((sure, tied[:k - len(sure)]))
-                out.append(pd.DataFrame({"query_id": vec_id, "vec_id": ids[chosen],
-                                         "score": _values(total, chosen)}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    return search
+def search(ids: np.ndarray, values: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int
+           ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of the k best rows of a block, whose index is built here."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    index = [slices(values[:, d]) for d in range(values.shape[1])]
+    there = np.zeros(-(-len(ids) // 64) * 64, bool)
+    there[:len(ids)] = True
+    there = np.packbits(there, bitorder="little").view(np.uint64)
+    largest = max(1, v.largest(values))
+    for vec_id, q in queries:
+        if len(q) != values.shape[1]:
+            continue
+        width = (sum(map(abs, q.tolist())) * largest).bit_length() + 2
+        among = there.copy()
+        for own in range(*np.searchsorted(ids, (vec_id, vec_id + 1))):
+            among[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
+        total = scores(index, q, width, among)
+        sure, tied = best(total, among, k)
+        sure, tied = _rows(sure), _rows(tied)
+        chosen = np.concatenate((sure, tied[:k - len(sure)]))
+        yield vec_id, ids[chosen], _values(total, chosen)
+
+
+def _searched(shipped, k: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shipped.value
+        for table in v.blocks(batches, ROWS):
+            every = v.column(table, "vec_id").to_numpy()
+            for at, x in v.by_length(v.column(table, "x")):
+                for vec_id, ids, found in search(every[at], v.whole(x), queries, k):
+                    found = found.tolist()
+                    yield pa.record_batch({
+                        "query_id": pa.array([vec_id] * len(ids), pa.int64()),
+                        "vec_id": pa.array(ids, pa.int64()),
+                        "score": pa.array([v.clipped(s) for s in found], pa.int64()),
+                        "key": pa.array([v.sortable(s, bits) if bits > 62 else None
+                                         for s in found], pa.string())})
+    return run
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query."""
-    ready = quantised(vectors).withColumn("n", F.size("q"))
-    counts = ready.agg(F.count("*").alias("rows"), F.count(F.when(
-        F.col("vec_id") % every == 0, 1)).alias("queries")).first()
-    blocks = max(1, -(-counts["rows"] // ROWS))
-    parts = max(1, -(-counts["queries"] // QUERIES))
-    rows = (ready.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    asked = (ready.where(F.col("vec_id") % every == 0)
-             .withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                       F.lit(blocks - 1).cast("long")))))
-    found = (asked.groupBy("part", "block", "n").cogroup(rows.groupBy("part", "block", "n"))
-             .applyInPandas(_searched(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    rows = v.usable(vectors)
+    n, bits = v.score_bits(rows)
+    rows = v.in_blocks(rows, n, ROWS)
+    asked = rows.where(F.col("vec_id") % every == 0)
+    size = asked.agg(F.sum(F.size("x") * 8 + 64)).first()[0] or 0
+    parts = max(1, -(-size // v.BROADCAST))
+    out = []
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)) == part).collect()
+        held = rows.sparkSession.sparkContext.broadcast(
+            [(r["vec_id"], v.whole(np.array(r["x"], np.float64))) for r in some])
+        out.append(shared.settle(rows.mapInArrow(
+            _searched(held, k, bits), "query_id long, vec_id long, score long, key string")))
+        held.unpersist()
+    order = Window.partitionBy("query_id").orderBy(
+        F.desc("key") if bits > 62 else F.desc("score"), "vec_id")
+    return (reduce(DataFrame.union, out).withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 #: The same in DuckDB.
@@ -199,8 +207,8 @@ ORACLE = f"""
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(
-        embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) * 256 >= {LARGEST})) = 0),
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+        embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
     SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(
         list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score

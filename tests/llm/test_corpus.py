@@ -363,33 +363,53 @@ def test_top_k_equals_products(spark, sample):
     assert set(found.query_id) == {k for k in rows if k % 50 == 0}
 
 
+def exactly(vector):
+    return [int(Fraction(float(np.float32(x))) * 256 // 1) for x in vector]
+
+
+def ranked(rows, query, most=2 ** 63 - 1):
+    """The five best of {id: vectors} for a query id by Python integers."""
+    own = exactly(next(x for k, x in rows if k == query))
+    best = sorted((-sum(a * b for a, b in zip(own, exactly(x), strict=True)), k)
+                  for k, x in rows if k != query and len(x) == len(own))[:5]
+    return [(min(max(-s, -most - 1), most), k) for s, k in best]
+
+
 def test_top_k_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, -0.5]), (50, [0.1, 0.1]), (1, [1.0, -0.5]), (2, [1.0, -0.5]), (3, None),
             (4, [nan, 0.0]), (5, [inf, 0.0]), (6, [None, 1.0]), (7, []), (8, [1.0]),
             (None, [1.0, 1.0]), (9, [-1.0, 0.3]), (1, [1.0, -0.5]), (10, [0.0, 0.0]),
-            (11, [-0.001, 0.9]), (12, [1e30, 0.0])]
+            (11, [-0.001, 0.9]), (100, []), (13, [])]
     frame = spark.createDataFrame([(*r, 1, 2, "x") for r in rows],
                                   "vec_id long, embedding array<float>, score int, rank int, "
                                   "q string")
-    good = [(k, np.floor(np.array(v) * 256).astype(int)) for k, v in rows
-            if k in (0, 50, 1, 2, 9, 10, 11)]
+    good = [(k, x) for k, x in rows if k in (0, 50, 1, 2, 7, 9, 10, 11, 100, 13)]
     found = topk.top_k(frame).collect()
-    for q in (0, 50):
-        own = next(v for k, v in good if k == q)
-        best = sorted((-int(v @ own), k) for k, v in good if k != q)[:5]
-        got = sorted((r.rank, -r.score, r.vec_id) for r in found if r.query_id == q)
-        assert [x[1:] for x in got] == best
+    for q in (0, 50, 100):
+        got = sorted((r.rank, r.score, r.vec_id) for r in found if r.query_id == q)
+        assert [x[1:] for x in got] == ranked(good, q)
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [7e4, 2e6, 1e15, 1e30])
+def test_top_k_of_large_components(spark, large):
+    rows = [(0, [1.0, 0.0]), (1, [large, 0.0]), (2, [0.5, 0.0]), (3, [-large, 1.0]),
+            (4, [large * 2, 1.0]), (50, [large, -large]), (5, [large * 2, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(frame).collect()
+    for q in (0, 50):
+        got = sorted((r.rank, r.score, r.vec_id) for r in found if r.query_id == q)
+        assert [x[1:] for x in got] == ranked(rows, q)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bit_slices(seed):
     draw = np.random.default_rng(seed)
     values = draw.integers(-200, 200, (130, 9))
     query = draw.integers(-300, 300, 9)
     index = [topk.slices(values[:, d]) for d in range(9)]
-    total = topk.scores(index, query, 24)
+    total = topk.scores(index, query, 24, np.zeros(3, np.uint64))
     assert (topk._values(total, np.arange(130)) == values @ query).all()
 
 
