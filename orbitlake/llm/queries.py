@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.llm import (extract, leaks, mixing, near, pii, quality, secret_scan, sharding,
-                           tokens, topk)
+from orbitlake.llm import (extract, leaks, lines, mixing, near, negatives, phrases, pii, quality,
+                           secret_scan, sharding, tokens, topk)
 from orbitlake.llm.shared import table
 
 
@@ -49,8 +49,23 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_mixing": op3_mixing,
            "op4_topk": op4_topk, "op5_quality": op5_quality, "op6_near": op6_near,
            "op7_secrets": op7_secrets, "op8_leaks": op8_leaks,
-           "op9_extraction": op9_extraction, "op10_tokens": op10_tokens}
-ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE}
+           "op9_extraction": op9_extraction, "op10_tokens": op10_tokens,
+           "op11_negatives": op11_negatives, "op12_phrases": op12_phrases,
+           "op13_lines": op13_lines}
+ORACLES: dict[str, str] = {"op4_topk": topk.ORACLE, "op11_negatives": negatives.ORACLE,
+                           "op12_phrases": phrases.ORACLE, "op13_lines": lines.ORACLE}
