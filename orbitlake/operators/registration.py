@@ -1,4 +1,9 @@
-"""Sub-pixel alignment of dates: phase correlation per tile, then a fractional move.
+"""Sub-pixel alignment of dates: masked correlation and phase per tile, then a fractional move.
+
+Cells that either date lacks take no part: the whole-cell move is where the normalised
+cross-correlation over the cells known in both is highest, worked out for all moves at once from
+transforms of values, squares and masks.  The rest, below a cell, comes from the phase of what both
+dates know there.  A move that too few common cells support is not determinable.
 
 The only grouped-map function of the library is here: a Fourier transform needs a tile's
 pixels together.  Its groups are (frame, scene, tile) and never exceed two tiles of pixels.
@@ -7,7 +12,7 @@ pixels together.  Its groups are (frame, scene, tile) and never exceed two tiles
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,6 +24,8 @@ from .resample import kernel
 from .stencil import TILE, crop_tiles, pad_tiles
 
 MAX_SHIFT, UPSAMPLE, MIN_LEAD, GUARD = 8.0, 20, 5.0, 4
+#: A move counts if this share of the best-covered move's common cells, and so many, support it.
+SHARED, LEAST = 0.3, 64
 GUIDE_ORDER = ("red", "green", "blue", "nir", "pan", "vv")
 
 
@@ -35,23 +42,112 @@ def guide(bands: Sequence[str]) -> Column:
 # -- one tile, in numpy -------------------------------------------------------
 
 
-def _tapered(tile: np.ndarray) -> np.ndarray:
-    """Holes at the mean, mean removed, edges faded out."""
-    known = np.isfinite(tile)
-    if not known.any():
-        return np.zeros(tile.shape)
-    level = tile[known].mean()
-    body = np.where(known, tile, level)
-    body = body - body.mean()
-    fade_y, fade_x = (np.hanning(max(n, 2)) for n in tile.shape)
-    return body * np.outer(fade_y, fade_x)[:tile.shape[0], :tile.shape[1]]
+def _fast(n: int) -> int:
+    """The next size whose factors are 2, 3 and 5, for which transforms are quick."""
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
+
+
+class Match(NamedTuple):
+    dy: int
+    dx: int
+    correlation: float
+    cells: int              # common cells of the two pictures at this move
+
+
+def masked_match(still: np.ndarray, moving: np.ndarray, reach: int = int(MAX_SHIFT) + 1,
+                 least: int = LEAST, shared: float = SHARED) -> Match | None:
+    """The whole-cell move of ``moving`` with the highest masked correlation, None without one.
+
+    Moves reach ``reach`` cells at most.  Of equal correlations (to 1e-9) the smallest move wins,
+    upper and left before lower and right.
+    """
+    shape = tuple(_fast(n + reach) for n in still.shape)
+    known = [np.isfinite(a) for a in (still, moving)]
+    if min(k.sum() for k in known) < least:
+        return None
+    plain = [np.where(k, a - a[k].mean(), 0.0)
+             for a, k in zip((still, moving), known, strict=True)]
+    one, two = ([np.fft.rfft2(x, shape) for x in (k.astype(float), a, a * a)]
+                for a, k in zip(plain, known, strict=True))
+    lags = np.ix_(*(np.arange(-reach, reach + 1) % n for n in shape))
+
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums over the common cells of still(cell) and moving(cell - move), for every move."""
+        return np.fft.irfft2(a * np.conj(b), shape)[lags]
+    n = np.rint(over(one[0], two[0]))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s1, s2 = over(one[1], two[0]), over(one[0], two[1])
+        spread1 = over(one[2], two[0]) - s1 * s1 / n
+        spread2 = over(one[0], two[2]) - s2 * s2 / n
+        floor = [1e-10 * (a * a).sum() for a in plain]
+        there = ((n >= max(least, shared * n.max())) & (spread1 > floor[0])
+                 & (spread2 > floor[1]))
+        score = np.where(there, (over(one[1], two[1]) - s1 * s2 / n)
+                         / np.sqrt(spread1 * spread2), -2.0)
+    if not there.any():
+        return None
+    move = np.arange(-reach, reach + 1)
+    far = move[:, None] ** 2 + move[None, :] ** 2
+    y, x = np.unravel_index(np.argmin(np.where(score >= score.max() - 1e-9, far, far.max() + 1)),
+                            far.shape)
+    return Match(int(move[y]), int(move[x]), float(score[y, x]), int(n[y, x]))
+
+
+def _support(known: np.ndarray, radius: int = 4) -> np.ndarray:
+    """Weights that fall off towards holes and edges, so that neither is a feature: the cube of
+    the known share of the cells around, under a raised cosine."""
+    share = known.astype(float)
+    for axis, n in enumerate(known.shape):
+        total = np.cumsum(np.insert(share, 0, 0.0, axis), axis)
+        upper, lower = np.minimum(np.arange(n) + radius + 1, n), np.maximum(
+            np.arange(n) - radius, 0)
+        share = (total.take(upper, axis) - total.take(lower, axis)) / (2 * radius + 1)
+    fade_y, fade_x = (np.hanning(max(n, 2))[:n] for n in known.shape)
+    return known * share ** 3 * np.outer(fade_y, fade_x)
+
+
+def _tapered(body: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted deviations from the weighted mean of the known cells."""
+    body = np.where(known, body, 0.0)
+    total = weight.sum()
+    return (body - (body * weight).sum() / total) * weight if total > 0 else body * 0.0
+
+
+def _common(still: np.ndarray, moving: np.ndarray, dy: int, dx: int
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of both pictures that lie on one another once ``moving`` has gone by the move."""
+    h, w = still.shape
+    at = (slice(max(dy, 0), h + min(dy, 0)), slice(max(dx, 0), w + min(dx, 0)))
+    of = (slice(max(-dy, 0), h + min(-dy, 0)), slice(max(-dx, 0), w + min(-dx, 0)))
+    return still[at], moving[of]
 
 
-def tile_shift(still: np.ndarray, moving: np.ndarray, cutoff: float) -> tuple[float, float, float]:
-    """(dy, dx, lead) that brings ``moving`` onto ``still``; lead 0 means nothing to compare."""
-    a, b = _tapered(still), _tapered(moving)
+class Shift(NamedTuple):
+    dy: float
+    dx: float
+    lead: float             # of the phase's peak over its best rival; 0: not determinable
+
+
+def tile_shift(still: np.ndarray, moving: np.ndarray, cutoff: float,
+               match: Match | None = None) -> Shift:
+    """The move that brings ``moving`` onto ``still``: the masked match, then the phase of what
+    both know there.  Holes are those of both, so they don't move with either picture."""
+    match = match or masked_match(still, moving)
+    if match is None:
+        return Shift(0.0, 0.0, 0.0)
+    a, b = _common(still, moving, match.dy, match.dx)
+    known = np.isfinite(a) & np.isfinite(b)
+    weight = _support(known)
+    a, b = _tapered(a, known, weight), _tapered(b, known, weight)
     if not a.any() or not b.any():
-        return 0.0, 0.0, 0.0
+        return Shift(0.0, 0.0, 0.0)
     fy, fx = (np.fft.fftfreq(n) for n in a.shape)
     cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
     size = np.abs(cross)
@@ -73,17 +169,17 @@ def tile_shift(still: np.ndarray, moving: np.ndarray, cutoff: float) -> tuple[fl
     fine = np.abs(np.exp(2j * np.pi * np.outer(at_y, fy)) @ phase
                   @ np.exp(2j * np.pi * np.outer(fx, at_x)))
     i, j = np.unravel_index(np.argmax(fine), fine.shape)
-    return float(at_y[i]), float(at_x[j]), float(lead)
+    return Shift(match.dy + float(at_y[i]), match.dx + float(at_x[j]), float(lead))
 
 
-def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",
-                    keys: Sequence[str] = ("frame_id",), scene: str = "scene_ord",
-                    cutoff: float = 0.08, tile: int = 512) -> DataFrame:
-    """Shift of every scene against its frame's reference scene.
+def tile_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",
+                keys: Sequence[str] = ("frame_id",), scene: str = "scene_ord",
+                cutoff: float = 0.08, tile: int = 512, least: int = LEAST) -> DataFrame:
+    """Per tile and scene: the whole-cell match against the frame's reference scene
+    (``whole_dy``, ``whole_dx``, ``correlation``, ``cells``; NULL where none is determinable) and
+    the move refined below a cell (``dy``, ``dx``, ``lead``).
 
-    ``references`` has the keys and ``reference`` (a scene).  Each tile gives its own estimate;
-    a scene's shift is the median of the tiles whose peak stands clear and lies within
-    :data:`MAX_SHIFT`, or nothing when none does.
+    ``references`` has the keys and ``reference`` (a scene).
     """
     keys = list(keys)
     px = attach(stack.select(*keys, scene, "row", "col", F.col(value).cast("double").alias("v")),
@@ -101,22 +197,41 @@ def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide
 
     fields = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     ids = [*keys, scene, "ty", "tx"]
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ids) + ", dy double, dx double, lead double"
+    found = ("whole_dy int, whole_dx int, correlation double, cells int, "
+             "dy double, dx double, lead double")
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ids) + ", " + found
+    names = [*ids, *(part.split()[0] for part in found.split(", "))]
 
     def estimate(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf["row"].to_numpy() - key[-2] * tile
         c = pdf["col"].to_numpy() - key[-1] * tile
         grids = np.full((2, r.max() + 1, c.max() + 1), np.nan)
         grids[pdf["still"].to_numpy().astype(int), r, c] = pdf["v"].to_numpy(dtype=float)
-        return pd.DataFrame([[*key, *tile_shift(grids[1], grids[0], cutoff)]],
-                            columns=[*ids, "dy", "dx", "lead"])
+        match = masked_match(grids[1], grids[0], least=least)
+        shift = Shift(0.0, 0.0, 0.0) if match is None else tile_shift(
+            grids[1], grids[0], cutoff, match)
+        return pd.DataFrame([[*key, *(match or [None] * 4), *shift]], columns=names)
+
+    return both.groupBy(*ids).applyInPandas(estimate, schema)
+
 
-    per_tile = both.groupBy(*ids).applyInPandas(estimate, schema)
+def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",
+                    keys: Sequence[str] = ("frame_id",), scene: str = "scene_ord",
+                    cutoff: float = 0.08, tile: int = 512, least: int = LEAST) -> DataFrame:
+    """Shift of every scene against its frame's reference scene.
+
+    Each tile gives its own estimate; a scene's shift is the median of the tiles whose phase peak
+    stands clear and lies within :data:`MAX_SHIFT`.  ``tiles`` counts them; without any the move is
+    0 and ``determined`` is false.
+    """
+    keys = list(keys)
     clear = ((F.col("lead") >= MIN_LEAD) & ~F.isnan("dy") & ~F.isnan("dx")
              & (F.greatest(F.abs("dy"), F.abs("dx")) <= MAX_SHIFT))
     agreed = lambda c: F.coalesce(F.median(F.when(clear, F.col(c))), F.lit(0.0)).alias(c)
-    return per_tile.groupBy(*keys, scene).agg(
-        agreed("dy"), agreed("dx"), F.count(F.when(clear, 1)).cast("int").alias("tiles"))
+    n = F.count(F.when(clear, 1))
+    return tile_shifts(stack, references, value, keys, scene, cutoff, tile, least).groupBy(
+        *keys, scene).agg(agreed("dy"), agreed("dx"), n.cast("int").alias("tiles"),
+                          (n > 0).alias("determined"))
 
 
 def align(stack: DataFrame, shifts: DataFrame, bands: Sequence[str],

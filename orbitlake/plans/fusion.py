@@ -51,7 +51,7 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
     if register:
         found = materialise(registration.estimate_shifts(
             stack, refs, "guide", keys, scene, 0.16 / scale, registration_tile))
-        shifts = shifts.drop("dy", "dx").join(found.drop("tiles"), [*keys, scene], "left").fillna(
+        shifts = shifts.drop("dy", "dx").join(found.drop("tiles", "determined"), [*keys, scene], "left").fillna(
             0.0, ["dy", "dx"])
     aligned = materialise(registration.align(stack, shifts, bands, keys, scene, images, tile))
     packed = merge.shallow(scenes.select(*keys, scene).distinct(), keys)

@@ -32,6 +32,54 @@ def test_unrelated_ground_has_no_clear_peak():
     assert registration.tile_shift(a, np.full(a.shape, np.nan), 0.08)[2] == 0.0
 
 
+@pytest.mark.parametrize("dy, dx", [(0.0, 0.0), (1.4, -2.35), (-4, 6), (5.5, 0.25)])
+def test_holes_that_stay_do_not_hold_a_picture_back(dy, dx):
+    """Clouds over a third of both dates, in the same place or in others."""
+    texture = blur(RNG.normal(size=(160, 160)), 2.0)
+    moved = shifted(texture, dy, dx)
+    clouds = blur(RNG.normal(size=(160, 160)), 8.0)
+    others = blur(RNG.normal(size=(160, 160)), 8.0)
+    for cover in (clouds, others):
+        a = np.where(clouds > np.quantile(clouds, 0.67), np.nan, texture)
+        b = np.where(cover > np.quantile(cover, 0.67), np.nan, moved)
+        got = registration.tile_shift(a, b, cutoff=0.08)
+        assert got.lead >= registration.MIN_LEAD
+        assert got.dy == pytest.approx(-dy, abs=0.15) and got.dx == pytest.approx(-dx, abs=0.15)
+
+
+def test_masked_correlation_equals_plain_sums():
+    a, b = RNG.normal(size=(14, 17)), RNG.normal(size=(14, 17))
+    a[RNG.random(a.shape) < 0.3] = np.nan
+    b[RNG.random(b.shape) < 0.3] = np.nan
+    best = {}
+    for dy in range(-9, 10):
+        for dx in range(-9, 10):
+            x, y = registration._common(a, b, dy, dx)
+            both = np.isfinite(x) & np.isfinite(y) if x.size else np.zeros(0, bool)
+            if both.sum() > 2:
+                best[dy, dx] = both.sum(), np.corrcoef(x[both], y[both])[0, 1]
+    most = max(n for n, _ in best.values())
+    dy, dx = max((k for k, (n, _) in best.items() if n >= max(20, 0.3 * most)),
+                 key=lambda k: best[k][1])
+    got = registration.masked_match(a, b, least=20)
+    assert (got.dy, got.dx, got.cells) == (dy, dx, best[dy, dx][0])
+    assert got.correlation == pytest.approx(best[dy, dx][1], abs=1e-9)
+
+
+def test_too_few_common_cells_are_not_determinable(stack):
+    texture = blur(RNG.normal(size=(40, 40)), 2.0)
+    few = np.full(texture.shape, np.nan)
+    few[:6, :6] = texture[:6, :6]
+    flat = np.full(texture.shape, 0.25)
+    px, listed = stack([texture, few, flat, texture])
+    refs = listed.groupBy("frame_id").agg(F.min("scene_ord").alias("reference"))
+    got = {r.scene_ord: r for r in registration.estimate_shifts(px, refs, "red").collect()}
+    assert [got[k].determined for k in (1, 2, 3)] == [False, False, True]
+    assert got[1].dy == got[2].dx == 0.0 and got[1].tiles == 0
+    tiles = {r.scene_ord: r for r in registration.tile_shifts(px, refs, "red").collect()}
+    assert tiles[1].whole_dy is None and tiles[3].cells == 1600
+
+
 def test_shifts_are_agreed_over_tiles(stack, spark):
     texture = blur(RNG.normal(size=(128, 128)), 2.0)
     px, listed = stack([texture, shifted(texture, 1.5, -2.0), shifted(texture, 0.0, 0.0)])
