@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,10 +93,15 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field ---
 
-_ZONE = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*")
+# Begins where a word does and never goes back, so that every character is read twice at most.
+_ZONE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^A-Za-z0-9]")
-_MAY = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"),
-        "ip": re.compile(r"[0-9]+(?:\.[0-9]+)+"),
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: First characters of the tokens that an address has before and behind its @, that a number has,
+#: and that it may begin with.
+_LOCAL, _DOMAIN = _LETTERS | set("._%+-"), _LETTERS | set(".-")
+_NUMBERS, _LEADING = frozenset("0123456789 ().+-"), frozenset("0123456789+(")
+_MAY = {"ip": re.compile(r"[0-9]+(?:\.[0-9]+)+"),
         "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
         "phone": re.compile(r"[+(]?[0-9][ ().0-9-]*[0-9]")}
 
@@ -111,7 +117,8 @@ def _class(c: str) -> str:
     return "9" if c.isdigit() else "a" if c.isalpha() else "_" if not c or c.isspace() else c
 
 
-def features(kind: str, span: str, before: str, after: str) -> list[str]:
+@lru_cache(1 << 15)
+def features(kind: str, span: str, before: str, after: str) -> tuple[str, ...]:
     digits = _digits(span)
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", span))[:24]
     facts = [f"n{len(digits)}" if kind != "email" else f"dots{min(span.count('.'), 3)}",
@@ -124,36 +131,51 @@ def features(kind: str, span: str, before: str, after: str) -> list[str]:
         facts.append(f"parts{len(parts)}{all(len(p) < 4 and int(p) < 256 for p in parts)}")
     if kind == "phone":
         facts.append(f"plus{span[0] == '+'}{10 <= len(digits) <= 15}")
-    return [f"{kind}:{x}" for x in facts]
+    return tuple(f"{kind}:{x}" for x in facts)
 
 
-def segments(zone: str) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
+def segments(zone: str) -> tuple[list[int], list[tuple[int, int, str, tuple[str, ...]]]]:
     """Token borders of a zone and its candidate segments (first and last border, kind, features).
     """
     border = [m.start() for m in _TOKEN.finditer(zone)] + [len(zone)]
-    kinds = {k: may for k, may in _MAY.items() if k != "email" or "@" in zone}
-    out = []
-    for i in range(len(border) - 1):
-        first = zone[border[i]]
-        if not (first.isalnum() or first in "+(._%-"):
-            continue
-        for j in range(i + 1, min(i + LONGEST, len(border) - 1) + 1):
-            span = zone[border[i]:border[j]]
-            if "email" not in kinds and sum(map(str.isdigit, span)) > MOST_DIGITS:
+    heads = [zone[b] for b in border[:-1]]
+    spans: list[tuple[int, int, int, str]] = []
+    for at in [t for t, c in enumerate(heads) if c == "@"]:
+        for i in range(at - 1, max(at - LONGEST, -1), -1):
+            if heads[i] not in _LOCAL:
+                break
+            for j in range(at + 2, min(i + LONGEST, len(heads)) + 1):
+                if heads[j - 1] not in _DOMAIN:
+                    break
+                if heads[j - 1].isalnum():
+                    spans.append((i, j, 0, "email"))
+    bounded = "@" not in zone
+    for i in [t for t, c in enumerate(heads) if c in _LEADING]:
+        digits = 0
+        for j in range(i + 1, min(i + LONGEST, len(heads)) + 1):
+            if heads[j - 1] not in _NUMBERS:
                 break
-            if not span[-1].isalnum():
+            if not heads[j - 1].isdigit():
                 continue
-            for kind, may in kinds.items():
-                if may.fullmatch(span):
-                    before = zone[border[i] - 1:border[i]] if border[i] else ""
-                    out.append((i, j, kind, features(kind, span, before,
-                                                     zone[border[j]:border[j] + 1])))
+            digits += border[j] - border[j - 1]
+            if bounded and digits > MOST_DIGITS:
+                break
+            span = zone[border[i]:border[j]]
+            spans += [(i, j, n, kind) for n, kind in enumerate(KINDS)
+                      if n and _MAY[kind].fullmatch(span)]
+    out = []
+    for i, j, _, kind in sorted(spans):
+        before = zone[border[i] - 1:border[i]] if border[i] else ""
+        out.append((i, j, kind, features(kind, zone[border[i]:border[j]], before,
+                                         zone[border[j]:border[j] + 1])))
     return border, out
 
 
 def decode(zone: str, weights: dict[str, float]) -> list[Span]:
     """The best segmentation: single tokens outside, segments of positive gain inside."""
     border, found = segments(zone)
+    if not found:
+        return []
     ending: dict[int, list[tuple[int, str, float]]] = {}
     for i, j, kind, names in found:
         score = sum(weights.get(n, 0.0) for n in names)

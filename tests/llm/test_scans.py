@@ -97,6 +97,65 @@ def test_long_runs_stay_linear():
     assert pii.base_spans("1." * 100_000)[:1] in ([], [(0, 7, "ip")])
 
 
+@pytest.mark.parametrize("text", ["a" * 10 ** 6 + " 7", "7" + "漢" * 10 ** 6,
+                                  "aB3/x9+Q" * 125_000, "a1" * 250_000])
+def test_long_runs_have_quick_zones(text):
+    start = time.process_time()
+    found = [span for first, zone in pii.zones(text) for span in pii.decode(zone, {"phone:is": 1})]
+    assert time.process_time() - start < 4
+    assert found == [] or len(text) == 10 ** 6
+
+
+def test_zones_are_words_with_digits_or_addresses():
+    draw = random.Random(4)
+    for _ in range(400):
+        text = "".join(draw.choice("ab7@ \n\t.") for _ in range(draw.randint(0, 40)))
+        want = [m.span() for m in re.finditer(
+            r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*", text)]
+        got = [(a, a + len(z)) for a, z in pii.zones(text)]
+        assert got == [(max(0, a - 1), min(len(text), b + 1)) for a, b in want]
+
+
+def test_segments_are_all_spans_that_may_be_something():
+    """Against every pair of borders and every pattern."""
+    draw = random.Random(5)
+    may = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), **pii._MAY}
+    for _ in range(300):
+        zone = "".join(draw.choice(["a", "B2", "7", "12", "@", ".", "-", "+", "(", ") ", " ", "é"])
+                       for _ in range(draw.randint(1, 30)))
+        border, found = pii.segments(zone)
+        want = []
+        for i in range(len(border) - 1):
+            for j in range(i + 1, min(i + pii.LONGEST, len(border) - 1) + 1):
+                span = zone[border[i]:border[j]]
+                few = "@" in zone or sum(c.isdigit() for c in span) <= pii.MOST_DIGITS
+                want += [(i, j, kind) for kind in pii.KINDS if few and span[-1].isalnum()
+                         and may[kind].fullmatch(span)]
+        assert [f[:3] for f in found] == want
+
+
+def test_decoding_finds_the_best_of_all_segmentations():
+    draw = random.Random(6)
+    for _ in range(150):
+        zone = "".join(draw.choice(["12", "7", ".", "+", " ", "a@b.c", "-"])
+                       for _ in range(draw.randint(1, 8)))
+        border, found = pii.segments(zone)
+        weights = {n: draw.uniform(-1, 1) for _, _, _, names in found for n in names}
+        gain = {}
+        for i, j, kind, names in found:
+            gain[i, j] = max(gain.get((i, j), 0.0), sum(weights[n] for n in names))
+
+        def best(at):
+            if at == len(border) - 1:
+                return 0.0
+            return max([best(at + 1), *(g + best(j) for (i, j), g in gain.items() if i == at)])
+        total = 0.0
+        for a, b, kind in pii.decode(zone, weights):
+            names = next(f[3] for f in found if (border[f[0]], border[f[1]], f[2]) == (a, b, kind))
+            total += sum(weights[n] for n in names)
+        assert total == pytest.approx(best(0))
+
+
 def test_secrets_equal_the_patterns(docs):
     texts = _salad(SECRET_PARTS, 400, 2) + ODD
     compare(secret_scan.secrets(docs(texts, clash=True)), texts, SECRETS)
