@@ -105,13 +105,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- Apriori filters ---
 
-def _pairs_and_triples(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the pair, and of the triple, that begins at each place; 0 where there is none."""
+def _pairs_and_triples(words: np.ndarray, some: tuple[int, int]
+                       ) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the pair, and of the triple, that begins at each place; 0 where there is none or
+    its first word is of another class than the one asked for (class, classes)."""
     pair, triple = np.zeros_like(words), np.zeros_like(words)
     pair[:-1] = np.where((words[:-1] != 0) & (words[1:] != 0),
                          shared.mixed(words[:-1] * _STEP + words[1:]), np.uint64(0))
     triple[:-2] = np.where((pair[:-2] != 0) & (pair[1:-1] != 0),
                            shared.mixed(pair[:-2] * _STEP + pair[1:-1]), np.uint64(0))
+    if some[1] > 1:
+        own = (words >> np.uint64(32)) % np.uint64(some[1]) == np.uint64(some[0])
+        pair, triple = np.where(own, pair, np.uint64(0)), np.where(own, triple, np.uint64(0))
     return pair, triple
 
 
@@ -153,28 +158,29 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(block.as_buffer(), np.uint64)
 
 
-def _bounds(common):
+def _bounds(common, some: tuple[int, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in _words_of(batch):
                 words = np.where(_has(common.value, words), words, np.uint64(0))
-                for level, h in enumerate(_pairs_and_triples(words), 2):
+                for level, h in enumerate(_pairs_and_triples(words, some), 2):
                     bit, n = np.unique(_bits(h[h != 0], common.value), return_counts=True)
                     yield pa.record_batch({"level": pa.array([level] * len(bit), pa.int32()),
                                            "bit": pa.array(bit), "n": pa.array(n)})
     return count
 
 
-def _candidates(filters):
+def _candidates(filters, some: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
         for batch in batches:
             for words in _words_of(batch):
                 words = np.where(_has(common, words), words, np.uint64(0))
-                pair, triple = _pairs_and_triples(words)
+                pair, triple = _pairs_and_triples(words, some)
                 two = _has(pairs, pair)
-                three = _has(triples, triple)
-                three[:-1] &= two[:-1] & two[1:]
+                three = _has(triples, triple) & two
+                # the second pair's bound is known if it is of the same class
+                three[:-1] &= two[1:] | (pair[1:] == 0)
                 for h, there, n in ((pair, two, 2), (triple, three, 3)):
                     at = np.flatnonzero(there)
                     at = at[np.unique(h[at], return_index=True)[1]]
@@ -188,66 +194,75 @@ def _candidates(filters):
 # --- tries ---
 
 class Trie:
-    """A double-array trie: the child of state s by symbol c is t = base[s] + c if check[t] == s.
+    """A double-array trie: the child of state s by digit c is t = base[s] + c if check[t] == s.
 
-    Words have symbols by their hashes' order; state 0 is the root, slots without a state have
-    check -1.
+    Words are numbered by the order of their hashes and take two digits each, so that no state has
+    more than about a root of their number of children.  State 0 is the root, slots without a
+    state have check -1.
     """
 
     def __init__(self, symbols: np.ndarray, base: np.ndarray, check: np.ndarray):
         self.symbols, self.base, self.check = symbols, base, check
+        self.radix = radix(len(symbols))
 
     def codes(self, words: np.ndarray) -> np.ndarray:
-        """The symbol of each word; -1 for words that are none."""
+        """The number of each word; -1 for words that have none."""
         at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
         return np.where(self.symbols[at] == words, at, -1)
 
-    def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The states behind the next symbols; -1 where there is none."""
-        to = self.base[states] + codes
-        good = (states >= 0) & (codes >= 0) & (to >= 0) & (to < len(self.check))
+    def _digit(self, states: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        to = self.base[states] + digits
+        good = (states >= 0) & (digits >= 0) & (to >= 0) & (to < len(self.check))
         to = np.where(good, to, 0)
         return np.where(good & (self.check[to] == states), to, -1)
 
+    def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The states behind the next words; -1 where there is none."""
+        between = self._digit(states, np.where(codes >= 0, codes // self.radix, -1))
+        return self._digit(between, codes % self.radix)
+
+    def above(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states a word earlier, and that word's hash; 0 and 0 for the root."""
+        between = np.where(states > 0, self.check[states], 0)
+        before = np.where(states > 0, self.check[between], 0)
+        code = (between - self.base[before]) * self.radix + states - self.base[between]
+        return before, np.where(states > 0, self.symbols[np.where(states > 0, code, 0)],
+                                np.uint64(0))
+
+
+def radix(symbols: int) -> int:
+    return max(1, int(np.ceil(np.sqrt(symbols))))
+
 
 def build(phrases: np.ndarray) -> tuple[Trie, np.ndarray]:
     """The trie of different rows of up to three word hashes (0 behind the last), and the state
     that accepts each row."""
     symbols = np.unique(phrases[phrases != 0])
+    wide = radix(len(symbols))
     codes = np.where(phrases == 0, -1, np.searchsorted(symbols, phrases)).astype(np.int64)
-    wide = len(symbols)
-    # nodes of each level: different prefixes, named by (parent, code)
+    digits = np.stack([np.where(codes < 0, -1, d) for d in (codes // wide, codes % wide)],
+                      axis=2).reshape(len(codes), -1)
+    # nodes of each level: different prefixes, named by (parent, digit)
     node = np.zeros(len(phrases), np.int64)
     parents, labels, total = [np.array([-1])], [np.array([0])], 1
-    for level in range(phrases.shape[1]):
-        there = np.flatnonzero(codes[:, level] >= 0)
-        name, own = np.unique(node[there] * wide + codes[there, level], return_inverse=True)
+    for level in range(digits.shape[1]):
+        there = np.flatnonzero(digits[:, level] >= 0)
+        name, own = np.unique(node[there] * wide + digits[there, level], return_inverse=True)
         node[there] = total + own
         parents.append(name // wide)
         labels.append(name % wide)
         total += len(name)
     parent, label = np.concatenate(parents), np.concatenate(labels)
-    # children of a node stand together, as names are sorted within each level
     order = np.argsort(parent[1:], kind="stable") + 1
     heads, first, n = np.unique(parent[order], return_index=True, return_counts=True)
-    slot = np.zeros(total, np.int64)
-    base_of = np.zeros(total, np.int64)
-    taken = np.zeros(total * 2 + wide + 2, bool)
-    taken[0] = True
-    draw = np.random.default_rng(0)
-    for i in np.argsort(-n, kind="stable"):
-        if n[i] == 1:
-            break
-        kids = order[first[i]:first[i] + n[i]]
-        at = 1 if heads[i] == 0 else None
-        while at is None or taken[at + label[kids]].any():
-            at = int(draw.integers(1, total * 2 + 1))
-        base_of[heads[i]] = at
-        slot[kids] = at + label[kids]
-        taken[slot[kids]] = True
+    slot, base_of = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    taken = _places(heads, first, n, order, label, slot, base_of, wide)
+    # only children fill what is left free
     alone = np.flatnonzero(n == 1)
     kids = order[first[alone]]
-    slot[kids] = np.flatnonzero(~taken)[:len(kids)]
+    free = np.flatnonzero(~taken)[:len(kids)]
+    free = np.concatenate((free, len(taken) + np.arange(len(kids) - len(free))))
+    slot[kids] = free
     base_of[heads[alone]] = slot[kids] - label[kids]
     size = int(slot.max()) + 1
     base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
@@ -256,6 +271,37 @@ def build(phrases: np.ndarray) -> tuple[Trie, np.ndarray]:
     return Trie(symbols, base, check), slot[node]
 
 
+def _places(heads, first, n, order, label, slot, base_of, wide: int) -> np.ndarray:
+    """Slots for the children of all states with several, the most first: the first base of a
+    stretch at which all of them are free.  A stretch without one is left behind for good."""
+    stretch = 4 * wide + 64
+    taken = np.zeros(max(4 * stretch, 2 * len(slot)), bool)
+    taken[0] = True
+    low, last = 1, 0
+    for i in np.argsort(-n, kind="stable").tolist():
+        if n[i] == 1:
+            break
+        if n[i] != last and n[i] < 8:
+            low = 1     # few children find room between those of larger states
+        last = n[i]
+        kids = order[first[i]:first[i] + n[i]]
+        digits = label[kids]
+        while True:
+            if low + stretch + wide > len(taken):
+                taken = np.concatenate((taken, np.zeros(len(taken), bool)))
+            blocked = taken[low + digits[0]:low + digits[0] + stretch].copy()
+            for d in digits[1:].tolist():
+                blocked |= taken[low + d:low + d + stretch]
+            at = int(blocked.argmin())
+            if not blocked[at]:
+                break
+            low += stretch
+        base_of[heads[i]] = low + at
+        slot[kids] = low + at + digits
+        taken[slot[kids]] = True
+    return taken
+
+
 _SHARD = "shard int, symbols binary, base binary, checks binary"
 
 
@@ -290,39 +336,47 @@ def _counted(tries):
             if not total.any():
                 continue
             at = np.flatnonzero(total)
-            path = [at]
+            # the words on the way back to the root, the last first
+            back, up = [], at
             for _ in range(3):
-                path.append(np.where(path[-1] > 0, trie.check[path[-1]], 0))
-            depth = sum((p > 0).astype(int) for p in path)
-            # the symbols on the way, the last first
-            back = [np.where(p > 0, trie.symbols[np.clip(p - trie.base[q], 0, None)], np.uint64(0))
-                    for p, q in zip(path[:3], path[1:], strict=True)]
+                up, word = trie.above(up)
+                back.append(word)
             back = np.stack(back)
-            forth = [back[np.clip(depth - 1 - k, 0, 2), np.arange(len(at))] for k in range(3)]
-            forth = [np.where(depth > k, h, np.uint64(0)) for k, h in enumerate(forth)]
-            keep = np.flatnonzero(depth > 1)
+            length = (back != 0).sum(0)
+            forth = [np.where(length > k, back[np.clip(length - 1 - k, 0, 2), np.arange(len(at))],
+                              np.uint64(0)) for k in range(3)]
+            keep = np.flatnonzero(length > 1)
             yield pa.record_batch({
                 **{f"h{k + 1}": pa.array(h[keep].view(np.int64)) for k, h in enumerate(forth)},
                 "n": pa.array(total[at[keep]])})
     return count
 
 
-def phrase_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """h1, h2, h3 (0 for pairs) and a of all phrases of at least MANY occurrences."""
-    spark, context = blocks.sparkSession, blocks.sparkSession.sparkContext
+def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """h1, h2, h3 (0 for pairs) and a of all phrases of at least MANY occurrences, `total` words
+    being in the blocks.  Phrases are classed by their first words, so that a class's totals don't
+    crowd the filters, however large the corpus."""
+    context = blocks.sparkSession.sparkContext
     # BITS is a power of two, so the sign of a hash doesn't change its remainder
     common = context.broadcast(_bitmap(words.select(
         F.pmod("h", F.lit(BITS).cast("long")).alias("bit"))))
-    bounds = shared.settle(blocks.mapInArrow(_bounds(common), "level int, bit long, n long")
+    classes = max(1, -(-2 * total // (MANY * BITS)))
+    counts = [_class_counts(blocks, common, (some, classes)) for some in range(classes)]
+    common.unpersist()
+    return reduce(DataFrame.union, counts)
+
+
+def _class_counts(blocks: DataFrame, common, some: tuple[int, int]) -> DataFrame:
+    context = blocks.sparkSession.sparkContext
+    bounds = shared.settle(blocks.mapInArrow(_bounds(common, some), "level int, bit long, n long")
                            .groupBy("level", "bit").agg(F.sum("n").alias("n"))
                            .where(F.col("n") >= MANY).select("level", "bit"))
     filters = context.broadcast((common.value, _bitmap(bounds.where("level = 2")),
                                  _bitmap(bounds.where("level = 3"))))
-    found = shared.settle(blocks.mapInArrow(_candidates(filters), "h1 long, h2 long, h3 long")
+    found = shared.settle(blocks.mapInArrow(_candidates(filters, some), "h1 long, h2 long, h3 long")
                           .distinct())
-    shards = -(-found.count() // SHARD)
-    common.unpersist()
     filters.unpersist()
+    shards = -(-found.count() // SHARD)
     if not shards:
         return found.withColumn("a", F.lit(0).cast("long"))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "h3"),
@@ -330,15 +384,14 @@ def phrase_counts(blocks: DataFrame, words: DataFrame) -> DataFrame:
     tries = shared.settle(dealt.groupBy("shard").applyInPandas(_built, _SHARD))
     counts = []
     for first in range(0, shards, SHARDS):
-        some = tries.where(F.col("shard").between(first, first + SHARDS - 1)).collect()
+        part = tries.where(F.col("shard").between(first, first + SHARDS - 1)).collect()
         held = context.broadcast([tuple(bytes(x) if i else x for i, x in enumerate(r))
-                                  for r in some])
-        part = (blocks.mapInArrow(_counted(held), "h1 long, h2 long, h3 long, n long")
+                                  for r in part])
+        sums = (blocks.mapInArrow(_counted(held), "h1 long, h2 long, h3 long, n long")
                 .groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")))
-        # prefixes of triples are counted in every shard that has them: their own shard's count
-        # is the one that stays
+        # a pair that begins triples is counted in each of their shards: its own one's count stays
         own = F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(shards))
-        counts.append(shared.settle(part.where((F.col("a") >= MANY)
+        counts.append(shared.settle(sums.where((F.col("a") >= MANY)
                                                & own.between(first, first + SHARDS - 1))))
         held.unpersist()
     return reduce(DataFrame.union, counts)
@@ -354,7 +407,8 @@ def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= MANY)
     blocks = shared.settle(ready.mapInArrow(_blocks, "words binary"))
-    counts = shared.settle(phrase_counts(blocks, words))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    counts = shared.settle(phrase_counts(blocks, words, total))
     scored = _scored(counts, words)
     ranked = top_k(scored, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], best)
     return (ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"),
