@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -26,23 +25,6 @@ def checked_broadcast(small: DataFrame, row_bytes: int = 256,
     return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
-@contextmanager
-def reused(df: DataFrame):
-    """``df`` kept on the executors while a block reads it several times."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
-
-
-def settled(small: DataFrame) -> DataFrame:
-    """A small per-key result computed now, so that what it was read from can be let go."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    small.count()
-    return small
-
-
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left",
            row_bytes: int = 256) -> DataFrame:
     """Join ``small`` (one row per key) onto ``df`` by ``keys``."""

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .keyed import attach, reused
+from ..session import materialise
+from .keyed import attach
 from .quantiles import quantiles
 from .stencil import (TILE, crop_tiles, erode, gaussian, median_filter, pad_tiles, radius_of)
 
@@ -34,12 +35,13 @@ def noise(image: DataFrame, keys: Sequence[str], value: str, size: int = 3,
     px = crop_tiles(median_filter(px, keys, {"__m": value}, size))
     rest = F.col(value) - F.col("__m")
     px = px.select(*keys, (F.when(F.col(where), rest) if where else rest).alias("rest"))
-    with reused(px) as held:
-        middle = quantiles(held, keys, ["rest"], [0.5]).select(
-            *keys, F.get("rest_q", F.lit(0)).alias("__mid"))
-        off = attach(held, middle, keys).select(*keys, F.abs(F.col("rest") - F.col("__mid"))
-                                                .alias("off"))
-        spread = quantiles(off, keys, ["off"], [0.5])
+    # two percentiles read it several times, and a filter over neighbours is behind it
+    px = materialise(px.where(F.col("rest").isNotNull()))
+    middle = quantiles(px, keys, ["rest"], [0.5]).select(
+        *keys, F.get("rest_q", F.lit(0)).alias("__mid"))
+    off = attach(px, middle, keys).select(*keys, F.abs(F.col("rest") - F.col("__mid"))
+                                          .alias("off"))
+    spread = quantiles(off, keys, ["off"], [0.5])
     return spread.select(*keys, (F.get("off_q", F.lit(0)) * 1.4826).alias("noise"))
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_even
-from .keyed import attach, reused, settled
-from .quantiles import quantiles
+from .keyed import attach
+from .quantiles import profile
 
 
 def array_stats(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
@@ -18,16 +18,18 @@ def array_stats(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
     A key without a single value keeps ``count`` 0 and NULL for the rest.
     """
     keys = list(keys)
-    marks = ["p5", "p25", "median", "p75", "p95"]
-    with reused(df.select(*keys, value)) as held:
-        basic = held.groupBy(*keys).agg(
-            F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"),
-            F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-        q = quantiles(held, keys, [value], [0.05, 0.25, 0.5, 0.75, 0.95], method)
-        joined = basic.join(q, keys, "left")
-        return settled(joined.select(*keys, "count", *[
-            half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std")], *[
-            half_even(F.get(f"{value}_q", F.lit(i)), 4).alias(m) for i, m in enumerate(marks)]))
+    marks = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    if method == "approx":
+        v = F.col(value)
+        found = df.groupBy(*keys).agg(
+            F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+            F.percentile_approx(v.cast("double"), list(marks.values()), 10000).alias("q"))
+    else:
+        found = profile(df, keys, value, list(marks.values())).withColumnRenamed("n", "count")
+    return found.select(*keys, "count", *[
+        half_even(F.col(c), 4).alias(c) for c in ("min", "max", "mean", "std")], *[
+        half_even(F.get("q", F.lit(i)), 4).alias(m) for i, m in enumerate(marks)])
 
 
 def histogram(df: DataFrame, value: str, low: float | None = None, high: float | None = None,

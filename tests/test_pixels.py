@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from orbitlake import QueryError, register_index, registry
 from orbitlake.functions.spectral import with_indices
 from orbitlake.operators import merge, units
-from orbitlake.operators.quantiles import pooled_quantiles, quantiles
+from orbitlake.operators.quantiles import order_code, pooled_quantiles, quantiles
 from orbitlake.operators.stats import array_stats, histogram
 from orbitlake.sources import pixels
 
@@ -139,6 +139,35 @@ def test_percentiles_are_exact_for_hot_keys(spark, accuracy):
     assert 2 not in got
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_radix_selection_of_any_values(spark, parts):
+    """One key with most rows; values of all magnitudes, signs and ties, infinities, equal bits."""
+    rng = np.random.default_rng(7)
+    sets = {0: np.concatenate([rng.normal(0, 1, 9000), np.full(4000, 0.25),
+                               0.25 + np.arange(500) * 2.0 ** -52]),
+            1: rng.normal(0, 1, 301) * 10.0 ** rng.integers(-300, 300, 301),
+            2: np.array([0.0, -0.0, 5e-324, -5e-324]), 3: np.array([-np.inf, 1.0, 2.0]),
+            4: np.full(9, -7.5), 5: np.array([np.pi])}
+    rows = [(k, float(v)) for k, values in sets.items() for v in values]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(parts)
+    probs = [0.0, 0.02, 0.3, 0.5, 0.9999, 1.0]
+    got = {r.k: r.v_q for r in quantiles(df, ["k"], ["v"], probs).collect()}
+    for k, values in sets.items():
+        ordered = np.sort(values)
+        for p, have in zip(probs, got[k], strict=True):
+            at = p * (len(values) - 1)
+            lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            assert have == (lo if lo == hi else lo + (hi - lo) * (at - np.floor(at)))
+
+
+def test_codes_sort_as_values(spark):
+    values = [float("-inf"), -1e300, -2.0, -1.5, -5e-324, -0.0, 0.0, 5e-324, 1e-9, 1.0, 1.0000001,
+              7e200, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    codes = [r.c for r in df.select("i", order_code(F.col("v")).alias("c")).orderBy("i").collect()]
+    assert codes == sorted(codes) and len(set(codes)) == len(codes)
+
+
 def test_pooled_percentiles(spark):
     df = spark.createDataFrame([(0, 1.0, 5.0), (0, 2.0, None), (0, 3.0, 9.0)],
                                "k int, a double, b double")
