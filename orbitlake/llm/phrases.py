@@ -10,10 +10,12 @@ at spaces and tabs.  Everything is counted within a language (null: 'und').
    of the pairs inside it reach MANY.  The filters are bitmaps of BITS bits, whatever the corpus:
    false candidates cost time, no phrase is lost.
 3. Candidates are dealt by hash into shards of about SHARD phrases.  Each becomes a double-array
-   trie over word symbols, built in a task of its own.  A few shards at a time are broadcast, and
-   in every block numpy moves the states of all text positions at once, one word a level, and
-   bincounts the accepting states.  The sums of all blocks are the exact counts.
-4. The counts meet those of their parts by equal joins, and every language is ranked in salts.
+   trie over word numbers, built in a task of its own, with the counts of its words.  A few shards
+   at a time are broadcast, and in every block numpy moves the states of all text positions at
+   once, one word a level, and bincounts the accepting states.  The sums of all blocks are the
+   exact counts.
+4. Counts of pairs meet the triples they are in by equal joins, and every language is ranked in
+   salts; only what is as good as the last of the best is spelt out.
 
 Null and empty texts have no words; texts are read whole; repeated rows count each; columns other
 than text and lang don't matter; ties are ordered by the phrase's bytes, and an empty table gives
@@ -28,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitlake.llm import shared
@@ -158,18 +160,27 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(block.as_buffer(), np.uint64)
 
 
-def _bounds(common, some: tuple[int, int]):
+def _bounds(filters, some: tuple[int, int], level: int):
+    """Totals by bit of the pairs, or of the triples whose pairs may be frequent, of a block."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, pairs = filters.value
         for batch in batches:
             for words in _words_of(batch):
-                words = np.where(_has(common.value, words), words, np.uint64(0))
-                for level, h in enumerate(_pairs_and_triples(words, some), 2):
-                    bit, n = np.unique(_bits(h[h != 0], common.value), return_counts=True)
-                    yield pa.record_batch({"level": pa.array([level] * len(bit), pa.int32()),
-                                           "bit": pa.array(bit), "n": pa.array(n)})
+                words = np.where(_has(common, words), words, np.uint64(0))
+                pair, triple = _pairs_and_triples(words, some)
+                h = pair[pair != 0] if level == 2 else triple[_both(pairs, pair) & (triple != 0)]
+                bit, n = np.unique(_bits(h, common), return_counts=True)
+                yield pa.record_batch({"bit": pa.array(bit), "n": pa.array(n)})
     return count
 
 
+def _both(pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where a triple's first pair may be frequent, and its second if it is of the same class."""
+    two = _has(pairs, pair)
+    two[:-1] &= two[1:] | (pair[1:] == 0)
+    return two
+
+
 def _candidates(filters, some: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
@@ -178,9 +189,7 @@ def _candidates(filters, some: tuple[int, int]):
                 words = np.where(_has(common, words), words, np.uint64(0))
                 pair, triple = _pairs_and_triples(words, some)
                 two = _has(pairs, pair)
-                three = _has(triples, triple) & two
-                # the second pair's bound is known if it is of the same class
-                three[:-1] &= two[1:] | (pair[1:] == 0)
+                three = _has(triples, triple) & _both(pairs, pair)
                 for h, there, n in ((pair, two, 2), (triple, three, 3)):
                     at = np.flatnonzero(there)
                     at = at[np.unique(h[at], return_index=True)[1]]
@@ -222,12 +231,11 @@ class Trie:
         return self._digit(between, codes % self.radix)
 
     def above(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states a word earlier, and that word's hash; 0 and 0 for the root."""
+        """The states a word earlier, and that word's number; 0 and -1 for the root."""
         between = np.where(states > 0, self.check[states], 0)
         before = np.where(states > 0, self.check[between], 0)
         code = (between - self.base[before]) * self.radix + states - self.base[between]
-        return before, np.where(states > 0, self.symbols[np.where(states > 0, code, 0)],
-                                np.uint64(0))
+        return before, np.where(states > 0, code, -1)
 
 
 def radix(symbols: int) -> int:
@@ -302,26 +310,38 @@ def _places(heads, first, n, order, label, slot, base_of, wide: int) -> np.ndarr
     return taken
 
 
-_SHARD = "shard int, symbols binary, base binary, checks binary"
+_SHARD = ("shard int, symbols binary, base binary, checks binary, f binary, "
+          "lang binary, langs array<string>")
 
 
-def _built(rows: pd.DataFrame) -> pd.DataFrame:
+def _built(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """The trie of a shard, with the count and the language of each of its words."""
     phrases = rows[["h1", "h2", "h3"]].to_numpy(np.int64).view(np.uint64)
     trie, _ = build(phrases)
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "symbols": [trie.symbols.tobytes()],
-                         "base": [trie.base.tobytes()], "checks": [trie.check.tobytes()]})
+    h = words["h"].to_numpy(np.int64).view(np.uint64)
+    at = np.searchsorted(trie.symbols, h)
+    f, lang = np.zeros(len(trie.symbols), np.int64), np.zeros(len(trie.symbols), np.int32)
+    codes, langs = pd.factorize(words["lang"])
+    f[at], lang[at] = words["f"], codes
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "langs": [list(langs)], **{
+        name: [x.tobytes()] for name, x in (("symbols", trie.symbols), ("base", trie.base),
+                                            ("checks", trie.check), ("f", f), ("lang", lang))}})
+
+
+_FOUND = "lang string, h1 long, h2 long, h3 long, first long, last long, n long"
 
 
 def _counted(tries):
-    """Occurrences of every phrase of the tries: counts are kept for a whole partition."""
+    """Occurrences of every phrase of the tries, kept for a whole partition, with the counts of
+    its first and last word."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(shard, Trie(*(np.frombuffer(x, t) for x, t in zip(
-            parts, (np.uint64, np.int32, np.int32), strict=True)))) for shard, *parts in
-            tries.value]
-        sums = [np.zeros(len(trie.check), np.int64) for _, trie in ready]
+        ready = [(Trie(*(np.frombuffer(r[c], t) for c, t in (
+            ("symbols", np.uint64), ("base", np.int32), ("checks", np.int32)))), r)
+            for r in tries.value]
+        sums = [np.zeros(len(trie.check), np.int64) for trie, _ in ready]
         for batch in batches:
             for words in _words_of(batch):
-                for (_, trie), total in zip(ready, sums, strict=True):
+                for (trie, _), total in zip(ready, sums, strict=True):
                     codes = trie.codes(words)
                     at = np.flatnonzero(codes >= 0)
                     states = np.zeros(len(at), np.int64)
@@ -332,65 +352,82 @@ def _counted(tries):
                         states = states[states >= 0]
                         total += np.bincount(states, minlength=len(total))
                         at = at + 1
-        for (shard, trie), total in zip(ready, sums, strict=True):
-            if not total.any():
-                continue
-            at = np.flatnonzero(total)
-            # the words on the way back to the root, the last first
-            back, up = [], at
-            for _ in range(3):
-                up, word = trie.above(up)
-                back.append(word)
-            back = np.stack(back)
-            length = (back != 0).sum(0)
-            forth = [np.where(length > k, back[np.clip(length - 1 - k, 0, 2), np.arange(len(at))],
-                              np.uint64(0)) for k in range(3)]
-            keep = np.flatnonzero(length > 1)
-            yield pa.record_batch({
-                **{f"h{k + 1}": pa.array(h[keep].view(np.int64)) for k, h in enumerate(forth)},
-                "n": pa.array(total[at[keep]])})
+        for (trie, r), total in zip(ready, sums, strict=True):
+            yield _told(trie, total, np.frombuffer(r["f"], np.int64),
+                        np.frombuffer(r["lang"], np.int32), r["langs"])
     return count
 
 
+def _told(trie: Trie, total: np.ndarray, f: np.ndarray, lang: np.ndarray, langs: list[str]
+          ) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    # the words on the way back to the root, the last first; -1 beyond it
+    back, up = [], at
+    for _ in range(3):
+        up, code = trie.above(up)
+        back.append(code)
+    back = np.stack(back)
+    length = (back >= 0).sum(0)
+    every = np.arange(len(at))
+    words = np.stack([np.where(length > k, back[np.clip(length - 1 - k, 0, 2), every], -1)
+                      for k in range(3)])
+    # words that passed the filter by chance have no count, and no phrase that could matter
+    keep = np.flatnonzero((length > 1) & (f[words[0]] > 0))
+    words, length = words[:, keep], length[keep]
+    h = np.where(words >= 0, trie.symbols[words], np.uint64(0)).view(np.int64)
+    return pa.record_batch({
+        "lang": pa.DictionaryArray.from_arrays(pa.array(lang[words[0]]), pa.array(
+            langs, pa.string())).dictionary_decode(),
+        "h1": pa.array(h[0]), "h2": pa.array(h[1]), "h3": pa.array(h[2]),
+        "first": pa.array(f[words[0]]), "last": pa.array(f[words[length - 1,
+                                                                np.arange(len(keep))]]),
+        "n": pa.array(total[at[keep]])})
+
+
 def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """h1, h2, h3 (0 for pairs) and a of all phrases of at least MANY occurrences, `total` words
-    being in the blocks.  Phrases are classed by their first words, so that a class's totals don't
-    crowd the filters, however large the corpus."""
-    context = blocks.sparkSession.sparkContext
+    """lang, h1, h2, h3 (0 for pairs), the counts of the first and the last word, and a, of all
+    phrases of at least MANY occurrences, `total` words being in the blocks.  Phrases are classed
+    by their first words, so that a class's totals don't crowd the filters, however large the
+    corpus."""
     # BITS is a power of two, so the sign of a hash doesn't change its remainder
-    common = context.broadcast(_bitmap(words.select(
-        F.pmod("h", F.lit(BITS).cast("long")).alias("bit"))))
+    common = _bitmap(words.select(F.pmod("h", F.lit(BITS).cast("long")).alias("bit")))
     classes = max(1, -(-2 * total // (MANY * BITS)))
-    counts = [_class_counts(blocks, common, (some, classes)) for some in range(classes)]
-    common.unpersist()
-    return reduce(DataFrame.union, counts)
+    return reduce(DataFrame.union, [_class_counts(blocks, words, common, (some, classes))
+                                    for some in range(classes)])
 
 
-def _class_counts(blocks: DataFrame, common, some: tuple[int, int]) -> DataFrame:
+def _class_counts(blocks: DataFrame, words: DataFrame, common: np.ndarray,
+                  some: tuple[int, int]) -> DataFrame:
     context = blocks.sparkSession.sparkContext
-    bounds = shared.settle(blocks.mapInArrow(_bounds(common, some), "level int, bit long, n long")
-                           .groupBy("level", "bit").agg(F.sum("n").alias("n"))
-                           .where(F.col("n") >= MANY).select("level", "bit"))
-    filters = context.broadcast((common.value, _bitmap(bounds.where("level = 2")),
-                                 _bitmap(bounds.where("level = 3"))))
-    found = shared.settle(blocks.mapInArrow(_candidates(filters, some), "h1 long, h2 long, h3 long")
+    filters = [common, np.zeros(0, np.uint8)]
+    for level in (2, 3):
+        held = context.broadcast((common, filters[1]))
+        bounds = (blocks.mapInArrow(_bounds(held, some, level), "bit long, n long")
+                  .groupBy("bit").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY))
+        filters[level - 1:] = [_bitmap(bounds)]
+        held.unpersist()
+    held = context.broadcast(tuple(filters))
+    found = shared.settle(blocks.mapInArrow(_candidates(held, some), "h1 long, h2 long, h3 long")
                           .distinct())
-    filters.unpersist()
+    held.unpersist()
     shards = -(-found.count() // SHARD)
+    own = F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(shards)).cast("int")
     if not shards:
-        return found.withColumn("a", F.lit(0).cast("long"))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "h3"),
-                                             F.lit(shards)).cast("int"))
-    tries = shared.settle(dealt.groupBy("shard").applyInPandas(_built, _SHARD))
+        return blocks.limit(0).select(*(F.lit(None).cast(t.split()[1]).alias(t.split()[0])
+                                        for t in _FOUND.replace("n long", "a long").split(", ")))
+    dealt = found.withColumn("shard", own)
+    mine = (dealt.select(F.col("shard").alias("part"), F.explode(F.array("h1", "h2", "h3")).alias("h"))
+            .where("h != 0").distinct().join(words.select("h", "lang", "f"), "h"))
+    tries = shared.settle(dealt.groupBy("shard").cogroup(mine.groupBy("part"))
+                          .applyInPandas(_built, _SHARD))
     counts = []
     for first in range(0, shards, SHARDS):
         part = tries.where(F.col("shard").between(first, first + SHARDS - 1)).collect()
-        held = context.broadcast([tuple(bytes(x) if i else x for i, x in enumerate(r))
-                                  for r in part])
-        sums = (blocks.mapInArrow(_counted(held), "h1 long, h2 long, h3 long, n long")
-                .groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")))
+        held = context.broadcast([{k: bytes(x) if isinstance(x, bytearray) else x
+                                   for k, x in r.asDict().items()} for r in part])
+        sums = (blocks.mapInArrow(_counted(held), _FOUND)
+                .groupBy("lang", "h1", "h2", "h3", "first", "last").agg(F.sum("n").alias("a")))
         # a pair that begins triples is counted in each of their shards: its own one's count stays
-        own = F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(shards))
         counts.append(shared.settle(sums.where((F.col("a") >= MANY)
                                                & own.between(first, first + SHARDS - 1))))
         held.unpersist()
@@ -405,55 +442,57 @@ def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     words = shared.settle(ready.mapInArrow(_word_counts, "lang string, h long, word string, n long")
                           .groupBy("lang", "h", "word").agg(F.sum("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     words = words.where(F.col("f") >= MANY)
     blocks = shared.settle(ready.mapInArrow(_blocks, "words binary"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    counts = shared.settle(phrase_counts(blocks, words, total))
-    scored = _scored(counts, words)
-    ranked = top_k(scored, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], best)
-    return (ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"),
-                                              "phrase", "a", "l", "r", "n", "score"))
-
-
-def _scored(counts: DataFrame, words: DataFrame) -> DataFrame:
+    scored = shared.settle(_scored(phrase_counts(blocks, words, total)))
+    # what is as good as the last of the best gets its words, which settle ties
+    order = [F.desc("score"), F.desc("a")]
+    least = (top_k(scored, ["lang"], [*order, F.asc("h1"), F.asc("h2"), F.asc("h3")], best)
+             .groupBy("lang").agg(F.min(F.struct("score", "a")).alias("least")))
+    good = (scored.join(F.broadcast(least), "lang")
+            .where(F.struct("score", "a") >= F.col("least")).drop("least"))
+    ranked = top_k(_spelt(good, words), ["lang"], [*order, F.asc("phrase")], best)
+    return (ranked.join(F.broadcast(sizes), "lang")
+            .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",
+                    "score"))
+
+
+def _spelt(found: DataFrame, words: DataFrame) -> DataFrame:
+    for key in ("h1", "h2", "h3"):
+        found = found.join(words.select(F.col("h").alias(key), F.col("word").alias(f"{key}_word")),
+                           key, "left")
+    # a pair's third word is null, which is left out
+    return found.withColumn("phrase", F.concat_ws(" ", "h1_word", "h2_word", "h3_word"))
+
+
+def _scored(counts: DataFrame) -> DataFrame:
     """Candidates that no longer one takes in, with the parts of their lowest-scoring cut."""
-    pairs = counts.where("h3 = 0").select("h1", "h2", "a")
-    triples = counts.where("h3 != 0")
-
-    def part(keys: dict[str, str], name: str) -> DataFrame:
-        return pairs.select(*(F.col(k).alias(v) for k, v in keys.items()),
-                            F.col("a").alias(name))
+    key = ["lang", "h1", "h2", "h3", "a"]
+    pairs, triples = counts.where("h3 = 0"), counts.where("h3 != 0")
 
-    def word(key: str, n: int) -> DataFrame:
-        return words.select(F.col("h").alias(key), F.col("word").alias(f"w{n}"),
-                            F.col("f").alias(f"f{n}"), *([F.col("lang")] if n == 1 else []))
+    def cut(k: int, left: str, right: str) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))
 
     longer = (triples.select("h1", "h2", "a")
               .union(triples.select(F.col("h2").alias("h1"), F.col("h3").alias("h2"), "a"))
               .groupBy("h1", "h2").agg(F.max("a").alias("longer")))
     two = (pairs.join(longer, ["h1", "h2"], "left")
            .where(F.col("longer").isNull() | (100 * F.col("longer") < INSIDE * F.col("a")))
-           .join(word("h1", 1), "h1").join(word("h2", 2), "h2")
-           .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a",
-                   F.array(F.struct(F.lit(1).alias("k"), F.col("f1").alias("l"),
-                                    F.col("f2").alias("r"))).alias("cuts")))
-    three = (triples.join(part({"h1": "h1", "h2": "h2"}, "f12"), ["h1", "h2"])
-             .join(part({"h1": "h2", "h2": "h3"}, "f23"), ["h2", "h3"])
-             .join(word("h1", 1), "h1").join(word("h2", 2), "h2").join(word("h3", 3), "h3")
-             .select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
-                     F.array(F.struct(F.lit(1).alias("k"), F.col("f1").alias("l"),
-                                      F.col("f23").alias("r")),
-                             F.struct(F.lit(2).alias("k"), F.col("f12").alias("l"),
-                                      F.col("f3").alias("r"))).alias("cuts")))
+           .select(*key, F.array(cut(1, "first", "last")).alias("cuts")))
+    head = pairs.select("h1", "h2", F.col("a").alias("head"))
+    tail = pairs.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("a").alias("tail"))
+    three = (triples.join(head, ["h1", "h2"]).join(tail, ["h2", "h3"])
+             .select(*key, F.array(cut(1, "first", "tail"), cut(2, "head", "last")).alias("cuts")))
     # squares of counts and their products pass 64 bits: whole decimal numbers are exact
-    score = F.expr("(cast(a as decimal(18,0)) * a * 1000000BD) div "
-                   "(cast(cut.l as decimal(18,0)) * cut.r)")
-    every = (two.union(three).select("lang", "phrase", "a", F.explode("cuts").alias("cut"))
-             .select("lang", "phrase", "a", F.struct(score.alias("score"), F.col("cut.k"),
-                                                     F.col("cut.l"), F.col("cut.r")).alias("cut")))
-    lowest = every.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))
-    return lowest.select("lang", "phrase", "a", F.col("cut.l").alias("l"),
-                         F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
+    lowest = F.array_min(F.transform("cuts", lambda c: F.struct(
+        F.call_function("div", F.col("a").cast("decimal(18,0)") * F.col("a")
+                        * F.lit(1_000_000).cast("decimal(7,0)"),
+                        c["l"].cast("decimal(18,0)") * c["r"]).alias("score"),
+        c["k"].alias("k"), c["l"].alias("l"), c["r"].alias("r"))))
+    return (two.union(three).withColumn("cut", lowest)
+            .select(*key, F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
+                    F.col("cut.score").alias("score")))
 
 
 #: The same in DuckDB.

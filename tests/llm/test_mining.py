@@ -182,10 +182,10 @@ def test_phrase_cases(texts):
 
 
 def test_scores_beyond_64_bits(spark):
-    counts = spark.createDataFrame([(1, 2, 0, 4_000_000_000)], "h1 long, h2 long, h3 long, a long")
-    words = spark.createDataFrame([("en", 1, "a", 5_000_000_000), ("en", 2, "b", 4_000_000_001)],
-                                  "lang string, h long, word string, f long")
-    score = phrases._scored(counts, words).first()["score"]
+    counts = spark.createDataFrame(
+        [("en", 1, 2, 0, 5_000_000_000, 4_000_000_001, 4_000_000_000)],
+        "lang string, h1 long, h2 long, h3 long, first long, last long, a long")
+    score = phrases._scored(counts).first()["score"]
     assert score == 10 ** 6 * 4_000_000_000 ** 2 // (5_000_000_000 * 4_000_000_001)
 
 
