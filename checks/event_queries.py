@@ -81,7 +81,7 @@ def fire_confidence(spark, sf_dir):
 
 @query(views.with_views("dets") + f"""
 , a AS (SELECT sensor, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(acquired)) / 3600000000) AS INT) + 1 AS h FROM dets)
-SELECT sensor, CASE WHEN h <= 24 THEN '24h' WHEN h <= 48 THEN '48h' ELSE '7d' END AS "window", count(*) AS n
+SELECT sensor, CASE WHEN h <= 24 THEN '24h' WHEN h <= 48 THEN '48h' WHEN h <= 168 THEN '7d' END AS "window", count(*) AS n
 FROM a GROUP BY ALL""")
 def fire_windows(spark, sf_dir):
     """Which published window is needed to see each detection at the fixed time."""

@@ -6,12 +6,13 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from orbitlake import registry
 from orbitlake.functions import geo
 from orbitlake.functions.numeric import half_even
 from orbitlake.operators import probe as probing
 from orbitlake.operators import resample, spatial, units
 from orbitlake.operators.stencil import sized
-from orbitlake.plans import merging
+from orbitlake.plans import merging, render
 
 from . import views
 from .event_queries import AREAS, areas
@@ -178,6 +179,61 @@ def resample_cubic(spark, sf_dir):
 QUERIES["resample_cubic"] = resample_cubic
 ORACLES["resample_cubic"] = _resample_sql("cubic", 128, 256)
 
+#: A grid twice as fine as the 10 m bands, which fuses frames of several dates: even frames have
+#: two, odd ones one.  nir stands for a band of 20 m, of every second row and column.
+_FINE = (2 * H, 2 * W)
+_CHOSEN = "scene_ord = 1 OR scene_ord = 2 AND frame_id % 2 = 0"
+
+
+def _regridded_sql() -> str:
+    def axis(n_in: int, n_out: int, name: str) -> str:
+        ratio = n_in / n_out
+        pos = f"({ratio!r}::DOUBLE * o.i + {ratio / 2 - 0.5!r}::DOUBLE)"
+        return (f"{name} AS (SELECT CAST(o.i AS INT) AS o, s.i AS s, {_kernel_sql(f'{pos} - s.i', 'cubic')} AS w "
+                f"FROM range({n_out}) o(i) JOIN range({n_in}) s(i) ON abs({pos} - s.i) <= 2)")
+
+    def cubic(band: str, table: str, y: str, x: str) -> str:
+        return (f"""SELECT c.frame_id, c.scene_ord, ay.o AS "row", ax.o AS col, sum(ay.w * ax.w * c.{band}) / """
+                f"""nullif(sum(ay.w * ax.w), 0) AS {band} FROM {table} c JOIN {y} ay ON ay.s = c."row" JOIN {x} ax """
+                f"""ON ax.s = c.col JOIN plan USING (frame_id) WHERE c.{band} IS NOT NULL AND plan.n = 1 GROUP BY ALL """
+                f"""HAVING abs(sum(ay.w * ax.w)) > 1e-9::DOUBLE""")
+
+    def nearest(column: str, table: str, step: int, only: str) -> str:
+        return (f"""SELECT c.frame_id, c.scene_ord, CAST(c."row" * {step} + a.i AS INT) AS "row", CAST(c.col * {step} + b.i AS INT) AS col, """
+                f"""c.{column} FROM {table} c JOIN plan USING (frame_id), range({step}) a(i), range({step}) b(i) """
+                f"""WHERE c.{column} IS NOT NULL AND {only}""")
+    return views.with_views("obs") + f"""
+, px1 AS (SELECT frame_id, scene_ord, "row", col, nullif(dn_red, 0)::DOUBLE AS red, nullif(dn_nir, 0)::DOUBLE AS nir FROM obs WHERE {_CHOSEN}), half AS (SELECT frame_id, scene_ord, "row" // 2 AS "row", col // 2 AS col, nir FROM px1
+ WHERE "row" % 2 = 0 AND col % 2 = 0), plan AS (SELECT frame_id, count(DISTINCT scene_ord) AS n FROM px1 GROUP BY 1),
+o1 AS (SELECT frame_id, scene_ord, "row", col, scl FROM obs WHERE {_CHOSEN}),
+{axis(H, 2 * H, 'ay1')}, {axis(W, 2 * W, 'ax1')}, {axis(H // 2, 2 * H, 'ay2')}, {axis(W // 2, 2 * W, 'ax2')},
+red AS ({cubic('red', 'px1', 'ay1', 'ax1')} UNION ALL {nearest('red', 'px1', 2, 'plan.n = 2')}),
+nir AS ({cubic('nir', 'half', 'ay2', 'ax2')} UNION ALL {nearest('nir', 'half', 4, 'plan.n = 2')}),
+scl AS ({nearest('scl', 'o1', 2, 'true')})
+SELECT frame_id, scene_ord, "row", col, {r6('red.red', 5)} AS red, {r6('nir.nir', 5)} AS nir, scl
+FROM red FULL JOIN nir USING (frame_id, scene_ord, "row", col) FULL JOIN scl USING (frame_id, scene_ord, "row", col)"""
+
+
+@query(_regridded_sql())
+def render_regridded(spark, sf_dir):
+    """A render's stack on its grid, from bands of two sizes and frames that do and don't merge."""
+    # stored numbers: sums of whole numbers by these weights have no rounding that could differ
+    px = views.obs(spark, sf_dir).where(_CHOSEN).withColumns({
+        b: F.nullif(F.col(f"dn_{b}"), F.lit(0)).cast("double") for b in ("red", "nir")})
+    cell = ["frame_id", "scene_ord", "row", "col"]
+    half = px.where("row % 2 = 0 AND col % 2 = 0").select(
+        "frame_id", "scene_ord", (F.col("row") / 2).cast("int").alias("row"),
+        (F.col("col") / 2).cast("int").alias("col"), "nir")
+    tables = {(H, W): px.select(*cell, "red", "scl"), (H // 2, W // 2): half}
+    sat = registry.satellite("sentinel-2")
+    plan = render.frame_plans(px.select("frame_id", "scene_ord").distinct(), sat, 5.0, {},
+                              ["frame_id"], "scene_ord")
+    out = render.on_grid(tables, plan, sat, _FINE, 5.0, ["red", "nir"], ["frame_id"], "scene_ord",
+                         classes=True)
+    out = out.where("red is not null or nir is not null or scl is not null")
+    return rounded(out.select(*cell, "red", "nir", "scl"), ["red", "nir"], 5)
+
+
 _SPOTS = """
 SELECT s_suppkey AS point_id, CAST((s_suppkey * 377) % 1280 + (s_suppkey % 20) * 2000 AS DOUBLE) + 0.25e0 AS x,
        -CAST((s_suppkey * 211) % 640 AS DOUBLE) - 0.25e0 AS y FROM supplier

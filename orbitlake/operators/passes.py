@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import registry
 from ..functions.numeric import half_even, micros
@@ -35,64 +32,56 @@ def newest_passes(recent: DataFrame, n: int) -> DataFrame:
                  [F.col("passed_at").desc(), F.col("ordinal").desc()], n, rank="recency")
 
 
-def _folded(gap: int):
-    """One pass over rows sorted by track and time; holds the current track's kept times only."""
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        track, kept, count, first, last = None, [], 0, None, None
-
-        def row() -> dict:
-            steps = [b - a for a, b in zip(kept, kept[1:], strict=False)]
-            return dict(zip(TRACK, track, strict=True)) | {
-                "passes": count, "distinct_passes": len(kept), "first_seen": first,
-                "last_seen": last, "anchor": kept[-1], "gap": min(steps, default=None),
-                "kept": kept}
-
-        schema = None
-        for batch in batches:
-            schema = pa.schema([*(batch.schema.field(c) for c in TRACK), *_FOLD_FIELDS])
-            out = []
-            keys = zip(*(batch.column(c).to_pylist() for c in TRACK), strict=True)
-            for key, at in zip(keys, batch.column("us").to_pylist(), strict=True):
-                if key != track:
-                    if track is not None:
-                        out.append(row())
-                    track, kept, count, first = key, [], 0, at
-                if not kept or at - kept[-1] >= gap:
-                    kept.append(at)
-                count, last = count + 1, at
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-        if track is not None:
-            yield pa.RecordBatch.from_pylist([row()], schema)
-    return fold
-
-
-_FOLD_FIELDS = [pa.field(c, t) for c, t in (
-    ("passes", pa.int32()), ("distinct_passes", pa.int32()), ("first_seen", pa.int64()),
-    ("last_seen", pa.int64()), ("anchor", pa.int64()), ("gap", pa.int64()),
-    ("kept", pa.list_(pa.int64())))]
-
-
 def tracks(recent: DataFrame, gap_hours: int = registry.MIN_INTERVAL_HOURS) -> DataFrame:
     """One row per point, satellite and orbit: passes, distinct passes and the shortest gap.
 
     A pass less than the gap after the last one kept counts as the same pass.  A missing orbit
-    number is a track of its own.  Rows are dealt out by track and sorted there, so a task
-    streams through its tracks: what it holds is the kept times of one, at most the lookback
-    divided by the gap.
+    number is a track of its own.
+    """
+    keep = _kept(recent, gap_hours * HOUR)
+    order = Window.partitionBy(*TRACK).orderBy("us")
+    step = (F.col("us") - F.lag("us").over(order)).alias("step")
+    apart = (keep.select(*TRACK, "us", step).groupBy(*TRACK)
+             .agg(F.count(F.lit(1)).cast("int").alias("distinct_passes"),
+                  F.max("us").alias("anchor"), F.min("step").alias("gap")))
+    seen = recent.groupBy(*TRACK).agg(
+        F.count(F.lit(1)).cast("int").alias("passes"),
+        F.min(micros(F.col("passed_at"))).alias("first_seen"),
+        F.max(micros(F.col("passed_at"))).alias("last_seen"))
+    apart = apart.withColumnsRenamed({c: f"__{c}" for c in TRACK})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in TRACK]
+    return seen.join(apart, same).drop(*[f"__{c}" for c in TRACK])
+
+
+def _kept(recent: DataFrame, gap: int) -> DataFrame:
+    """The times (``us``) that are kept of each track.
+
+    A pass that comes a gap or more after the one before it is always kept, whatever was kept
+    before: it starts an island, and only within an island does it matter which was kept last.  So
+    a fold reads the different times of one island, however long its track is.
     """
-    slim = recent.select(*TRACK, micros(F.col("passed_at")).alias("us"))
-    fields = T.StructType([*[slim.schema[c] for c in TRACK], *T.StructType.fromDDL(
-        "passes int, distinct_passes int, first_seen long, last_seen long, anchor long, "
-        "gap long, kept array<long>").fields])
-    return (slim.repartition(*TRACK).sortWithinPartitions(*TRACK, "us")
-            .mapInArrow(_folded(gap_hours * HOUR), fields))
+    slim = recent.select(*TRACK, micros(F.col("passed_at")).alias("us")).distinct()
+    order = Window.partitionBy(*TRACK).orderBy("us")
+    fresh = F.coalesce(F.col("us") - F.lag("us").over(order) >= gap, F.lit(True))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = slim.withColumn("__fresh", fresh).withColumn(
+        "island", F.max(F.when(F.col("__fresh"), F.col("us"))).over(upto)).drop("__fresh")
+    alone = islands.groupBy(*TRACK, "island").agg(F.sort_array(F.collect_list("us")).alias("times"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"),
+                     F.lit(None).cast("bigint").alias("last"))
+
+    def fold(state: Column, at: Column) -> Column:
+        far = state["last"].isNull() | (at - state["last"] >= gap)
+        return F.when(far, F.struct(F.array_append(state["kept"], at).alias("kept"),
+                                    at.alias("last"))).otherwise(state)
+    return alone.select(*TRACK, F.explode(F.aggregate("times", start, fold, lambda s: s["kept"]))
+                        .alias("us"))
 
 
 def distinct_passes(recent: DataFrame) -> DataFrame:
     """The kept pass times themselves, one row each."""
-    return tracks(recent).select(*TRACK, F.explode_outer("kept").alias("at")).select(
-        *TRACK, F.timestamp_micros("at").cast("timestamp_ntz").alias("passed_at"))
+    return _kept(recent, registry.MIN_INTERVAL_HOURS * HOUR).select(
+        *TRACK, F.timestamp_micros("us").cast("timestamp_ntz").alias("passed_at"))
 
 
 def projected(tracks_df: DataFrame, now: str) -> DataFrame:

@@ -83,21 +83,22 @@ def detections(raw: DataFrame) -> DataFrame:
 
 
 def covering_window(hours: int) -> tuple[int, str]:
-    """The shortest published window that covers the hours asked for, else the longest."""
+    """The shortest published window that covers the hours asked for; more hours than the longest
+    covers are refused, as their older rows are in no window."""
     hours = max(1, int(hours))
-    spans = sorted(registry.FIRE_WINDOWS)
-    chosen = next((s for s in spans if hours <= s), spans[-1])
-    return chosen, registry.FIRE_WINDOWS[chosen]
+    for span in sorted(registry.FIRE_WINDOWS):
+        if hours <= span:
+            return span, registry.FIRE_WINDOWS[span]
+    raise registry.QueryError(f"No published window reaches back {hours} hours: the longest has "
+                              f"{max(registry.FIRE_WINDOWS)}")
 
 
 def covering_window_of(hours: Column) -> Column:
-    """The same choice for a column of hours."""
-    asked = F.greatest(F.lit(1), hours)
-    spans = sorted(registry.FIRE_WINDOWS)
-    pick = F.when(asked <= spans[0], registry.FIRE_WINDOWS[spans[0]])
-    for span in spans[1:-1]:
+    """The same choice for a column of hours; NULL where no window covers them."""
+    asked, pick = F.greatest(F.lit(1), hours), F
+    for span in sorted(registry.FIRE_WINDOWS):
         pick = pick.when(asked <= span, registry.FIRE_WINDOWS[span])
-    return pick.otherwise(registry.FIRE_WINDOWS[spans[-1]])
+    return pick
 
 
 def area_days(hours: int) -> int:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,11 @@ def test_confidence_scales(spark):
 
 
 def test_the_window_always_covers_the_hours():
-    assert [firms.covering_window(h)[0] for h in (0, 1, 24, 25, 36, 48, 49, 168, 500)] == [
-        24, 24, 24, 48, 48, 48, 168, 168, 168]
+    assert [firms.covering_window(h)[0] for h in (0, 1, 24, 25, 36, 48, 49, 168)] == [
+        24, 24, 24, 48, 48, 48, 168, 168]
+    for ask in (firms.covering_window, firms.area_days):
+        with pytest.raises(registry.QueryError, match="168"):
+            ask(169)
     assert [firms.area_days(h) for h in (1, 30, 100)] == [1, 2, 7]
 
 
@@ -71,7 +75,7 @@ def at(hours):
     return dt.datetime(2024, 8, 16, 8) - dt.timedelta(hours=hours)
 
 
-@pytest.mark.parametrize("corners", [(150.5, -34.2, 151.4, -33.5), (151.4, -33.5, 150.5, -34.2)])
+@pytest.mark.parametrize("corners", [(150.2, -34.6, 151.7, -33.1), (151.7, -33.1, 150.2, -34.6)])
 def test_box_and_hours(spark, corners):
     df = detections(spark, [(1, -33.8, 150.9, 5.0, "modis", at(2)),
                             (2, -33.9, 151.0, None, "viirs-snpp", at(40)),
@@ -157,6 +161,40 @@ def test_a_chain_of_slices_is_folded_from_the_last_kept(spark):
     assert sorted(kept) == [0, 16]
 
 
+def test_islands_fold_as_whole_tracks_do(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for orbit in (1, 2, None):
+        at, kept = dt.datetime(2024, 4, 20), []
+        for _ in range(300):
+            at += dt.timedelta(minutes=rng.choice([0, 1, 95, 300, 719, 720, 721, 4000]))
+            if at <= dt.datetime(2024, 6, 1):
+                rows.append(("sentinel-2", orbit, at))
+                if not kept or at - kept[-1] >= dt.timedelta(hours=12):
+                    kept.append(at)
+        gap = min(b - a for a, b in zip(kept, kept[1:]))
+        want.append((orbit, sum(r[1] == orbit for r in rows), len(kept), kept[-1], gap))
+    rng.shuffle(rows)
+    recent = passes.recent_passes(log(spark, rows), ASKED, 60)
+    found = passes.tracks(recent)
+    us = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    got = {r.orbit: (r.passes, r.distinct_passes, r.anchor, r.gap) for r in found.collect()}
+    assert got == {o: (n, k, us(last), gap // dt.timedelta(microseconds=1))
+                   for o, n, k, last, gap in want}
+    plan = passes.next_passes(recent, ASKED)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_long_track_is_folded_in_islands(spark):
+    """A track of 200,000 passes, three close ones a day: no array holds more than three."""
+    log_rows = spark.range(200_000).select(
+        F.lit(1).alias("point_id"), F.lit("sentinel-2").alias("satellite"), F.lit(5).alias("orbit"),
+        F.timestamp_micros(((F.col("id") / 3).cast("long") * 24 + F.col("id") % 3) * passes.HOUR)
+        .cast("timestamp_ntz").alias("passed_at"))
+    track = passes.tracks(log_rows).first()
+    assert (track.passes, track.distinct_passes, track.gap) == (200_000, 66_667, passes.DAY)
+
+
 def test_points_never_passed_are_listed(spark):
     points = spark.createDataFrame([(1,), (2,)], "point_id int")
     recent = passes.recent_passes(log(spark, [("sentinel-2", None, days(25)[0])]), ASKED)

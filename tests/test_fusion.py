@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orbitlake import registry
 from orbitlake.operators import registration, resample
 from orbitlake.plans import fusion, render
 
@@ -178,3 +179,43 @@ def test_a_render_brings_the_stack_onto_its_grid(spark, stack):
     want = render.render(ready, scenes, "sentinel-2", (12, 16), 20.0, tile=64).picture
     rows = lambda df: sorted(map(tuple, df.select("row", "col", "r", "g", "b").collect()))
     assert rows(own) == rows(want) and len(rows(own)) == 12 * 16
+
+
+def test_clouds_are_counted_on_the_grid(stack):
+    """A date wholly under cloud, on cells twice as coarse as the grid, and one half under it."""
+    rng = np.random.default_rng(4)
+    px, scenes = stack([rng.random((16, 16)), rng.random((16, 16))], "red")
+    cloud = F.when((F.col("scene_ord") == 0) | (F.col("row") < 8), 9).otherwise(4)
+    px = px.withColumns({"green": F.col("red"), "blue": F.col("red"), "scl": cloud}).drop(
+        "height", "width")
+    for some, share in (("scene_ord = 0", 100.0), ("scene_ord = 1", 50.0), ("true", 50.0)):
+        out = render.render(px.where(some), scenes.where(some), "sentinel-2", (32, 32), 5.0,
+                            tile=64, native_shape=(16, 16),
+                            opts={"mask_clouds": True, "superres": 1})
+        assert out.meta.first().cloud_masked_pct == share
+
+
+def test_single_dates_beside_a_pair_keep_their_own_sampling(spark, stack):
+    rng = np.random.default_rng(5)
+    one, two = rng.random((12, 12)), rng.random((12, 12))
+    px, scenes = stack([one, two], "red")
+    pair = px.drop("height", "width")
+    alone = pair.where("scene_ord = 0").withColumn("frame_id", F.lit(1))
+    sat = registry.satellite("sentinel-2")
+    listed = pair.union(alone).select("frame_id", "scene_ord").distinct()
+    plan = render.frame_plans(listed, sat, 5.0, {}, ["frame_id"], "scene_ord")
+    args = (plan, sat, (24, 24), 5.0, ["red"], ["frame_id"], "scene_ord")
+    got = render.on_grid({(12, 12): pair.union(alone)}, *args)
+    block = to_array(got.where("frame_id = 0 and scene_ord = 0"), "red", (24, 24))
+    assert np.array_equal(block, np.kron(one, np.ones((2, 2))))
+    smooth = to_array(got.where("frame_id = 1"), "red", (24, 24))
+    cubic = resample.resample(resample_ready(alone), ["frame_id", "scene_ord"], ["red"], 24, 24)
+    assert np.allclose(smooth, to_array(cubic, "red", (24, 24)))
+    with pytest.raises(registry.QueryError, match="nir"):
+        render.on_grid({(12, 12): pair}, plan, sat, (24, 24), 5.0, ["nir"], ["frame_id"],
+                       "scene_ord")
+
+
+def resample_ready(df):
+    from orbitlake.operators.stencil import sized
+    return sized(df, 12, 12)
