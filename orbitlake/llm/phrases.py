@@ -310,14 +310,14 @@ def _places(heads, first, n, order, label, slot, base_of, wide: int) -> np.ndarr
     return taken
 
 
-_SHARD = ("shard int, symbols binary, base binary, checks binary, f binary, "
+_SHARD = ("shard int, symbols binary, base binary, checks binary, accepts binary, f binary, "
           "lang binary, langs array<string>")
 
 
 def _built(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The trie of a shard, with the count and the language of each of its words."""
     phrases = rows[["h1", "h2", "h3"]].to_numpy(np.int64).view(np.uint64)
-    trie, _ = build(phrases)
+    trie, accepts = build(phrases)
     h = words["h"].to_numpy(np.int64).view(np.uint64)
     at = np.searchsorted(trie.symbols, h)
     f, lang = np.zeros(len(trie.symbols), np.int64), np.zeros(len(trie.symbols), np.int32)
@@ -325,7 +325,8 @@ def _built(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     f[at], lang[at] = words["f"], codes
     return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "langs": [list(langs)], **{
         name: [x.tobytes()] for name, x in (("symbols", trie.symbols), ("base", trie.base),
-                                            ("checks", trie.check), ("f", f), ("lang", lang))}})
+                                            ("checks", trie.check), ("f", f), ("lang", lang),
+                                            ("accepts", np.sort(accepts).astype(np.int32)))}})
 
 
 _FOUND = "lang string, h1 long, h2 long, h3 long, first long, last long, n long"
@@ -353,14 +354,15 @@ def _counted(tries):
                         total += np.bincount(states, minlength=len(total))
                         at = at + 1
         for (trie, r), total in zip(ready, sums, strict=True):
-            yield _told(trie, total, np.frombuffer(r["f"], np.int64),
+            accepts = np.frombuffer(r["accepts"], np.int32)
+            yield _told(trie, accepts[total[accepts] > 0], total, np.frombuffer(r["f"], np.int64),
                         np.frombuffer(r["lang"], np.int32), r["langs"])
     return count
 
 
-def _told(trie: Trie, total: np.ndarray, f: np.ndarray, lang: np.ndarray, langs: list[str]
-          ) -> pa.RecordBatch:
-    at = np.flatnonzero(total)
+def _told(trie: Trie, at: np.ndarray, total: np.ndarray, f: np.ndarray, lang: np.ndarray,
+          langs: list[str]) -> pa.RecordBatch:
+    """What was counted in the accepting states `at`, by the words that lead there."""
     # the words on the way back to the root, the last first; -1 beyond it
     back, up = [], at
     for _ in range(3):
@@ -372,7 +374,7 @@ def _told(trie: Trie, total: np.ndarray, f: np.ndarray, lang: np.ndarray, langs:
     words = np.stack([np.where(length > k, back[np.clip(length - 1 - k, 0, 2), every], -1)
                       for k in range(3)])
     # words that passed the filter by chance have no count, and no phrase that could matter
-    keep = np.flatnonzero((length > 1) & (f[words[0]] > 0))
+    keep = np.flatnonzero((f[words] > 0).all(0, where=words >= 0))
     words, length = words[:, keep], length[keep]
     h = np.where(words >= 0, trie.symbols[words], np.uint64(0)).view(np.int64)
     return pa.record_batch({
@@ -411,11 +413,11 @@ def _class_counts(blocks: DataFrame, words: DataFrame, common: np.ndarray,
                           .distinct())
     held.unpersist()
     shards = -(-found.count() // SHARD)
-    own = F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(shards)).cast("int")
     if not shards:
         return blocks.limit(0).select(*(F.lit(None).cast(t.split()[1]).alias(t.split()[0])
                                         for t in _FOUND.replace("n long", "a long").split(", ")))
-    dealt = found.withColumn("shard", own)
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "h3"),
+                                             F.lit(shards)).cast("int"))
     mine = (dealt.select(F.col("shard").alias("part"), F.explode(F.array("h1", "h2", "h3")).alias("h"))
             .where("h != 0").distinct().join(words.select("h", "lang", "f"), "h"))
     tries = shared.settle(dealt.groupBy("shard").cogroup(mine.groupBy("part"))
@@ -427,9 +429,7 @@ def _class_counts(blocks: DataFrame, words: DataFrame, common: np.ndarray,
                                    for k, x in r.asDict().items()} for r in part])
         sums = (blocks.mapInArrow(_counted(held), _FOUND)
                 .groupBy("lang", "h1", "h2", "h3", "first", "last").agg(F.sum("n").alias("a")))
-        # a pair that begins triples is counted in each of their shards: its own one's count stays
-        counts.append(shared.settle(sums.where((F.col("a") >= MANY)
-                                               & own.between(first, first + SHARDS - 1))))
+        counts.append(shared.settle(sums.where(F.col("a") >= MANY)))
         held.unpersist()
     return reduce(DataFrame.union, counts)
 

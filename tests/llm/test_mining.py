@@ -172,7 +172,10 @@ def test_phrases_over_many_shards(texts, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD", 40)
     monkeypatch.setattr(phrases, "SHARDS", 2)
     monkeypatch.setattr(phrases, "BITS", 1 << 12)
-    rows = phrase_rows(2)
+    draw = random.Random(9)
+    rows = phrase_rows(2) + [(" ".join(draw.choice("abcdef") for _ in range(400)), "en")
+                             for _ in range(4)]
+    assert sum(len(r[2].split()) == 3 for r in plain_phrases(rows)) > 20
     assert as_rows(phrases.collocations(texts(rows))) == plain_phrases(rows)
 
 
