@@ -13,13 +13,20 @@ prefixes into the template; text of the frame is part of it, inside articles too
 between template tokens are slots, and a block of text belongs to the slot of the longest template
 path above it.
 
-The slots of the article are extracted: those at or below an article element (without any, a main
-element; without that, the body), but none at or below menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles, told by element names and by the words of classes,
-ids and roles (not those of html, body, main and article), nor in elements with the attribute hidden
-or aria-hidden="true".  Text of the frame is left out, unless it is all that the slots have (copies of one
-page).  A host of fewer pages has no frame, so its
-pages' own paths are the template.
+The slots of the article are extracted.  Every article element is weighed by its free text, what
+the frame doesn't have; those of at least half the largest's weight are the article.  If a host's
+template leaves over FAR times as much free text outside, as where a story stands in plain elements
+and only its teasers are articles, that text is the article instead.  Without article elements, a
+main element's text counts, without that the body's.  Text outside article elements is narrowed
+down to the innermost container that holds DENSE of it, so that a sidebar without a telling name
+stays out.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left
+out: elements of these names, elements with the attribute hidden or aria-hidden="true", and
+elements whose class, id or role has such a word; within an article element only if it has no other
+word that tells anything (`related-work` and `share-price` are parts of a story).  No word sets html,
+body, main and article apart.  Text of the frame is left out, unless it is all that there is
+(copies of one page).  A host of fewer pages has no frame, so its pages' own paths are the template.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one space in page order.  Inline elements don't break a block.  Broken markup: end tags without
@@ -49,6 +56,9 @@ from orbitlake.llm import shared
 
 #: Pages of a host that make a frame, and the share of them that hold its tokens.
 LEAST, SHARE = 5, 0.9
+#: Free text outside articles, against the largest of them, that is the story instead; share of the
+#: text outside articles that the innermost container with the story holds.
+FAR, DENSE = 2, 0.8
 #: Bytes of all frames that may be broadcast; parts that a host's pages are dealt into beyond.
 BROADCAST, SALTS = 16 << 20, 16
 
@@ -68,6 +78,12 @@ cookie cookies consent notice popup modal newsletter subscribe sidebar nav navba
 breadcrumb breadcrumbs footer header masthead comment comments respond disqus related share sharing
 social pagination pager login signup search widget toolbar alert complementary contentinfo
 form""".split())
+#: Words that tell nothing of an element's part in an article.
+_NEUTRAL = set("""area bar block bottom box button buttons container content group icon icons inner
+item items left link links list main outer panel right section slot thread top unit wrapper
+""".split())
+#: Elements that hold blocks of text, and may hold a story.
+_CONTAINERS = set("html body main article section div center table tbody tr td".split())
 #: Elements that hold an article: no word sets them apart.
 _WHOLE = set("html body main article".split())
 #: Open elements that a start tag ends (fixed values).
@@ -75,8 +91,9 @@ _ENDED_BY = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "t
              "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def _described(name: str, attributes: str) -> tuple[str, bool]:
-    """The element as a step of a path, and whether it stands apart from an article."""
+def _described(name: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """The element as a step of a path, and whether it stands apart from an article, or from what
+    is around it inside of one."""
     words: list[str] = []
     given: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes or ""):
@@ -86,8 +103,9 @@ def _described(name: str, attributes: str) -> tuple[str, bool]:
             r"([a-z])([A-Z])", r"\1 \2", given.get(key, "")).lower())
     step = f"{name}.{'.'.join(words)}" if words else name
     hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
-    return step, hidden or name in _APART or name not in _WHOLE and not _APART_WORDS.isdisjoint(
-        words)
+    telling = {w for w in words if w not in _NEUTRAL and not w.isdigit()}
+    apart = bool(telling) and telling <= _APART_WORDS if inside else bool(telling & _APART_WORDS)
+    return step, hidden or name in _APART or name not in _WHOLE and apart
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -118,7 +136,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, str]]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name or name == "wbr" or name in _INLINE and not (
-                m[3] and _described(name, m[3])[1]):
+                m[3] and _described(name, m[3], stack[-1][3] == "article")[1]):
             if name in _INLINE and m[1] and any(x[0] == name for x in stack):
                 yield from closed()
                 while stack.pop()[0] != name:
@@ -132,8 +150,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, str]]:
             continue
         while stack[-1][0] in _ENDED_BY.get(name, ()):
             stack.pop()
-        step, apart = _described(name, m[3])
         _, path, outer, kind = stack[-1]
+        step, apart = _described(name, m[3], kind == "article")
         if name in ("article", "main", "body") or "main" in step.split(".")[1:] and kind == "body":
             own = name if name in ("article", "body") else "main"
             kind = "article" if kind == "article" else own
@@ -154,24 +172,59 @@ def _token(path: str, text: str) -> str:
 
 def extracted(page: str, frame: set[str] | None) -> str:
     """The text of the article's slots of a page, given the tokens of its host's frame."""
-    found = list(blocks(page))
-    template = {p for p, _, _, t in found if not t} if frame is None else frame
-    slots: dict[str, list[tuple[bool, str]]] = {}
-    for path, kind, apart, text in found:
-        if not text or apart:
-            continue
-        slot = path
-        while slot and slot not in template:
-            slot = slot.rpartition(">")[0]
-        if kind == "article" and ">article" not in slot and ">article" in path:
-            slot = path     # an article that the host's frame doesn't have
-        fixed = frame is not None and _token(path, text) in frame
-        slots.setdefault(kind if slot else "", []).append((fixed, text))
-    for wanted in ("article", "main", "body", ""):
-        if wanted in slots:
-            free = [text for fixed, text in slots[wanted] if not fixed]
-            return " ".join(free or [text for _, text in slots[wanted]])
-    return ""
+    stories: dict[int, list[tuple[bool, str]]] = {}
+    others: dict[str, list[tuple[str, bool, str]]] = {}
+    begun = 0
+    for path, kind, apart, text in blocks(page):
+        if not text:
+            above, _, step = path.rpartition(">")
+            begun += step.partition(".")[0] == "article" and ">article" not in above
+        elif not apart:
+            fixed = frame is not None and _token(path, text) in frame
+            if kind == "article":
+                stories.setdefault(begun, []).append((fixed, text))
+            else:
+                others.setdefault(kind if path else "", []).append(
+                    (_slot(path, frame), fixed, text))
+    weights = {i: sum(len(t) for fixed, t in story if not fixed) for i, story in stories.items()}
+    most = max(weights.values(), default=0)
+    if stories:
+        story = [x for i, x in stories.items() if 2 * weights[i] >= most]
+        if frame is None or not others:
+            return _free([pair for part in story for pair in part])
+    outside = _densest(next((others[k] for k in ("main", "body", "") if k in others), []))
+    if stories and FAR * most >= sum(len(t) for fixed, t in outside if not fixed):
+        return _free([pair for part in story for pair in part])
+    return _free(outside)
+
+
+def _free(story: list[tuple[bool, str]]) -> str:
+    """What the frame doesn't have, or all if it has everything."""
+    return " ".join([t for fixed, t in story if not fixed] or [t for _, t in story])
+
+
+def _slot(path: str, frame: set[str] | None) -> str:
+    """The longest path of the host's template above a text; its own path without a template."""
+    while frame is not None and path and path not in frame:
+        path = path.rpartition(">")[0]
+    return path
+
+
+def _densest(texts: list[tuple[str, bool, str]]) -> list[tuple[bool, str]]:
+    """The texts of the slots in the innermost container that holds DENSE of what is free."""
+    steps = [slot.split(">")[1:] for slot, _, _ in texts]
+    free = [0 if fixed else len(text) for _, fixed, text in texts]
+    chosen, depth = list(range(len(texts))), 0
+    while True:
+        sums: Counter = Counter()
+        for i in chosen:
+            if len(steps[i]) > depth and steps[i][depth].partition(".")[0] in _CONTAINERS:
+                sums[steps[i][depth]] += free[i]
+        best, most = max(sums.items(), key=lambda x: x[1], default=("", 0))
+        if not most or most < DENSE * sum(free[i] for i in chosen):
+            return [texts[i][1:] for i in chosen]
+        chosen = [i for i in chosen if steps[i][depth:depth + 1] == [best]]
+        depth += 1
 
 
 def host(url: F.Column) -> F.Column:

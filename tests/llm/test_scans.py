@@ -4,6 +4,8 @@ import hashlib
 import html
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -302,6 +304,69 @@ def test_template_text_inside_articles(spark):
         assert r.text == " ".join(words)
 
 
+STORY = "A story of {0} words and more that nobody told before, number {0}."
+
+
+def pages_of_a_host(spark, make, n=8):
+    rows = [(i, f"http://s.example/{i}", make(i)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract.main_texts(pages).collect()}
+
+
+def test_a_story_outside_its_teaser_article(spark):
+    found = pages_of_a_host(spark, lambda i: (
+        f"<body><div class=post><p>{STORY.format(i)}</p><p>It goes on and on {i}.</p></div>"
+        f"<article>Read also {i}</article></body>"))
+    assert found == {i: f"{STORY.format(i)} It goes on and on {i}." for i in range(8)}
+
+
+def test_the_largest_article_is_the_story(spark):
+    found = pages_of_a_host(spark, lambda i: (
+        f"<body><article>Teaser {i}</article><article><p>{STORY.format(i)}</p>"
+        f"<p>And {i} more of it.</p></article><article>Next {i}</article></body>"))
+    assert found == {i: f"{STORY.format(i)} And {i} more of it." for i in range(8)}
+
+
+def test_sections_of_a_story_keep_their_words(spark):
+    found = pages_of_a_host(spark, lambda i: (
+        f"<body><article><p>One {i}</p><section class='related-work'><p>Two {i}</p></section>"
+        f"<p class='notice-period'>Three {i}</p><div id='share-price'>Four {i}</div>"
+        f"<section class='comment-list'>No {i}</section><div class=ad-slot>Buy {i}</div>"
+        f"</article></body>"))
+    assert found == {i: f"One {i} Two {i} Three {i} Four {i}" for i in range(8)}
+
+
+def test_a_sidebar_without_a_telling_name(spark):
+    found = pages_of_a_host(spark, lambda i: (
+        f"<body><div class=x1><div class=x2><p>{STORY.format(i)}</p><p>{STORY.format(i + 50)}</p>"
+        f"</div><div class=x3><ul><li>About us</li><li>Weather {i}</li></ul></div></div></body>"))
+    assert found == {i: f"{STORY.format(i)} {STORY.format(i + 50)}" for i in range(8)}
+    alone = "<body><div><p>" + STORY.format(1) * 3 + "</p></div><div><p>Side</p></div></body>"
+    assert extract.extracted(alone, None).startswith("A story")
+
+
+def test_classes_are_the_tokens_of_equal_occurrence_vectors(sample):
+    """Against vectors written out page by page."""
+    rows = sample("pages").collect()
+    held, sizes = {}, Counter(re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", r.url.lower()) for r in rows)
+    for r in rows:
+        where = re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", r.url.lower())
+        for path, _, apart, text in extract.blocks(r.html):
+            if not (text and apart):
+                vector = held.setdefault((where, extract._token(path, text)), Counter())
+                vector[r.page_id] += 1
+    want = {}
+    for (where, token), vector in held.items():
+        n = sizes[where]
+        if n >= extract.LEAST and set(vector.values()) == {1} and len(vector) >= 0.9 * n:
+            want.setdefault((where, frozenset(vector)), set()).add(token)
+    got = {}
+    for r in extract.classes(sample("pages")).collect():
+        got.setdefault((r.host, r.pages, r.one, r.two), set()).add(r.token)
+    key = lambda group: sorted((where, sorted(tokens)) for (where, *_), tokens in group.items())
+    assert key(got) == key(want) and got
+
+
 def test_in_order():
     assert extract._in_order([0, 3, 1, 2, 4]) == {0, 1, 2, 4} and extract._in_order([]) == set()
 
