@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orbitlake.functions import geo
 from orbitlake.functions.numeric import cloud_class
-from orbitlake.operators import catalog, fires, passes
+from orbitlake.operators import catalog, fires, layout, passes
 from orbitlake.sources import firms, stac
 
 from . import views
@@ -92,6 +92,17 @@ def fire_windows(spark, sf_dir):
     return px.groupBy("sensor", "window").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(views.with_views("dets") + """
+, s AS (SELECT ordinal, least(greatest(floor((lon + 180e0) / 360e0 * 1048576e0)::BIGINT, 0), 1048575) AS x,
+ least(greatest(floor((lat + 90e0) / 180e0 * 1048576e0)::BIGINT, 0), 1048575) AS y FROM dets)
+SELECT ordinal, list_sum(list_transform(range(20), lambda i: (((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 * i + 1))))::BIGINT AS place
+FROM s""")
+def curve_places(spark, sf_dir):
+    """Where each detection lies on the curve that orders stored tables."""
+    return views.dets(spark, sf_dir).select(
+        "ordinal", layout.ground_key(F.col("lon"), F.col("lat"), 20).alias("place"))
+
+
 BOXES = """
 SELECT n_nationkey AS box_id, CAST((n_nationkey * 29) % 300 - 150 AS DOUBLE) AS east,
        CAST((n_nationkey * 29) % 300 - 110 AS DOUBLE) AS west,

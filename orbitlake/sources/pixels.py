@@ -1,7 +1,7 @@
 """Pixel tables: reading just the bands a question needs, and writing results.
 
 A pixel table is Parquet partitioned by ``satellite`` and ``scene_id`` with one column per
-stored band, sorted by row and column inside a file, so that partition pruning, column pruning
+stored band, along a curve over rows and columns inside, so that partition pruning, column pruning
 and row-group statistics answer scene, band and window selections.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import registry
 from ..operators import units
+from ..operators.layout import along_curve, curve_key
 
 GRID = ("row", "col", "height", "width")
 
@@ -54,11 +55,15 @@ def read_bands(spark: SparkSession, path: str, scenes: DataFrame | None, bands:
     return px.select(*keys, "scene_id", *GRID, *bands, *extra)
 
 
-def write_pixels(pixels: DataFrame, path: str) -> None:
-    """Store raw pixels in the layout :func:`read_bands` prunes best."""
-    (pixels.repartition("satellite", "scene_id", F.floor(F.col("row") / 512))
-     .sortWithinPartitions("satellite", "scene_id", "row", "col")
-     .write.partitionBy("satellite", "scene_id").mode("append").parquet(path))
+def write_pixels(pixels: DataFrame, path: str, block: int = 64,
+                 group_bytes: int = 32 << 20) -> None:
+    """Store raw pixels in the layout :func:`read_bands` prunes best: a folder for each scene,
+    blocks of ``block`` x ``block`` cells along a curve inside, so that a window of rows and
+    columns reads the row groups around it."""
+    key = curve_key(F.floor(F.col("col") / block), F.floor(F.col("row") / block))
+    (along_curve(pixels, key, ["satellite", "scene_id"], ["row", "col"])
+     .write.partitionBy("satellite", "scene_id").option("parquet.block.size", group_bytes)
+     .mode("append").parquet(path))
 
 
 def output_name(satellite: Column, date: Column, what: str) -> Column:
