@@ -314,20 +314,36 @@ def pixel_assignment(spark, sf_dir):
     return px.groupBy(*CELL).agg(half_even(F.max("red"), 6).alias("red"))
 
 
+#: The cubic B-spline and its prefilter's response by the pole sqrt(3) - 2, mirrored in the
+#: outermost cells.
+_POLE = 3.0 ** 0.5 - 2.0
+
+
+def _mirror_sql(i: str, n: int) -> str:
+    turn = 2 * (n - 1)
+    return f"least((({i}) % {turn} + {turn}) % {turn}, {turn} - (({i}) % {turn} + {turn}) % {turn})"
+
+
 def _as_seen_sql(step: int = 2) -> str:
     rows, cols = H // step, W // step
 
     def axis(n_in: int, n_out: int, name: str) -> str:
         pos = f"(o.i * {(n_in - 1) / (n_out - 1)!r}::DOUBLE)"
-        return (f"{name} AS (SELECT CAST(o.i AS INT) AS o, s.i AS s, {_kernel_sql(f'{pos} - s.i', 'cubic')} AS w "
-                f"FROM range({n_out}) o(i) JOIN range({n_in}) s(i) ON abs({pos} - s.i) <= 2)")
+        d = f"abs({pos} - j.i)"
+        spline = (f"CASE WHEN {d} < 1 THEN (4e0 - 6e0 * {d} * {d} + 3e0 * {d} * {d} * {d}) / 6e0 "
+                  f"ELSE (2e0 - {d}) * (2e0 - {d}) * (2e0 - {d}) / 6e0 END")
+        response = f"{-6 * _POLE / (1 - _POLE ** 2)!r}::DOUBLE * pow({_POLE!r}::DOUBLE, abs(k.i))"
+        source = _mirror_sql(f"{_mirror_sql('j.i', n_in)} + k.i", n_in)
+        return (f"{name} AS (SELECT CAST(o.i AS INT) AS o, {source} AS s, sum(({spline}) * {response}) AS w "
+                f"FROM range({n_out}) o(i) JOIN range(-1, {n_in + 1}) j(i) ON {d} < 2, range(-25, 26) k(i) GROUP BY 1, 2)")
     return dense_cte() + f""", {axis(rows, H, 'ay')}, {axis(cols, W, 'ax')},
-co AS (SELECT frame_id, "row" // {step} AS r, col // {step} AS c, v FROM d WHERE "row" % {step} = {step // 2} AND col % {step} = {step // 2})
-SELECT co.frame_id, ay.o AS "row", ax.o AS col, {steady('sum(ay.w * ax.w * co.v) / sum(ay.w * ax.w)')} AS red
-FROM co JOIN ay ON ay.s = co.r JOIN ax ON ax.s = co.c GROUP BY ALL"""
+co AS (SELECT frame_id, "row" // {step} AS r, col // {step} AS c, v FROM d WHERE "row" % {step} = {step // 2} AND col % {step} = {step // 2}),
+half AS (SELECT co.frame_id, co.r, ax.o AS col, sum(ax.w * co.v) AS v FROM co JOIN ax ON ax.s = co.c GROUP BY ALL)
+SELECT half.frame_id, ay.o AS "row", half.col, {r6('sum(ay.w * half.v)')} AS red
+FROM half JOIN ay ON ay.s = half.r GROUP BY ALL"""
 
 
 @query(_as_seen_sql())
 def as_seen(spark, sf_dir):
     out = resample.as_seen(dense(spark, sf_dir), ["frame_id"], "red", 2.0, H, W)
-    return out.select(*CELL, (F.rint(F.col("red") * 1e6 + 1e-3) / 1e6).alias("red"))
+    return rounded(out.select(*CELL, "red"), ["red"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,11 +44,14 @@ def resample(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: i
 
     NULL and absent neighbours are left out and the remaining weights rescaled.  Two passes,
     rows then columns; each is an aggregate that combines on the map side.  ``corners`` aligns
-    the outermost cell centres instead of the cell edges.
+    the outermost cell centres instead of the cell edges.  ``spline`` goes through every cell of
+    images that have all of them, see :func:`spline_line`.
     """
     keys, bands = list(keys), list(bands)
     if method == "nearest":
         return _nearest(df, keys, bands, height, width, corners)
+    if method == "spline":
+        return _spline(df, keys, bands, height, width, corners)
     if method not in _REACH:
         raise QueryError(f"Unknown resampling {method!r}")
     px = df.select(*keys, "height", "width", "row", "col", *[
@@ -81,6 +85,76 @@ def _spread(px: DataFrame, group: list[str], axis: str, size: str, out: int, sum
             .withColumnRenamed("__to", axis))
 
 
+#: Pole of the cubic spline's recursive prefilter, and cells on either side that it reaches: the
+#: rest of the response is below 1e-12.
+POLE, REACH = 3.0 ** 0.5 - 2.0, 21
+
+
+def _mirrored(i: Column, n: Column) -> Column:
+    """The place of cell i in a line of n cells that is mirrored in its outermost cells."""
+    turn = F.greatest(2 * (n - 1), F.lit(1))
+    at = F.pmod(i, turn)
+    return F.least(at, turn - at)
+
+
+def _sum(terms: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def spline_line(values: Column, places: Column) -> Column:
+    """A packed line of cells, read at ``places`` (an array of positions in cells, from 0) through
+    the cubic spline that goes through all of them.
+
+    Its coefficients are the cells under the prefilter's response, -6z / (1 - z^2) * z^|k| for the
+    pole z; each place is then a weighted sum of four of them.
+    """
+    gain = -6.0 * POLE / (1.0 - POLE ** 2)
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(gain * POLE ** k).alias("w"))
+                      for k in range(1, REACH + 1)])
+
+    def named(value: Column, use) -> Column:
+        """What comes of a value that is worked out once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def filtered(held: Column) -> Column:
+        n = F.size(held)
+        cell = lambda i: F.get(held, _mirrored(i, n).cast("int"))
+        return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(
+            steps, cell(i) * F.lit(gain),
+            lambda total, s: total + s["w"] * (cell(i - s["k"]) + cell(i + s["k"]))))
+        ).otherwise(held)
+
+    def read(held: Column, place: Column) -> Column:
+        n = F.size(held)
+        base = F.floor(place)
+        t = place - base
+        weights = ((1.0 - t) * (1.0 - t) * (1.0 - t) / 6.0,
+                   (4.0 - 6.0 * t * t + 3.0 * t * t * t) / 6.0,
+                   (1.0 + 3.0 * t + 3.0 * t * t - 3.0 * t * t * t) / 6.0, t * t * t / 6.0)
+        return _sum([w * F.get(held, _mirrored(base + j, n).cast("int"))
+                     for j, w in enumerate(weights, -1)])
+    return named(named(values, filtered), lambda held: F.transform(
+        places, lambda place: read(held, place)))
+
+
+def _spline(df: DataFrame, keys, bands, height: int, width: int, corners: bool) -> DataFrame:
+    """Columns, then rows: an image's lines are packed, read at the new places and unpacked."""
+    df = df.select(*keys, "height", "width", "row", "col",
+                   *[F.col(b).cast("double").alias(b) for b in bands])
+    for axis, other, size, out in (("col", "row", "width", width), ("row", "col", "height", height)):
+        a, b = _step(size, out, corners)
+        lines = df.groupBy(*keys, "height", "width", other).agg(
+            F.array_sort(F.collect_list(F.struct(axis, *bands))).alias("line"))
+        places = F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda i: a * i + b)
+        lines = lines.select(*keys, "height", "width", other, *[
+            spline_line(F.col(f"line.{band}"), places).alias(band) for band in bands])
+        df = lines.select(*keys, "height", "width", other,
+                          F.posexplode(F.arrays_zip(*bands)).alias(axis, "cell")).select(
+            *keys, "height", "width", "row", "col", *[F.col(f"cell.{b}").alias(b) for b in bands])
+    return df.select(*keys, "row", "col", F.lit(height).alias("height"),
+                     F.lit(width).alias("width"), *bands)
+
+
 def _nearest(df: DataFrame, keys, bands, height: int, width: int, corners: bool) -> DataFrame:
     """Every source cell becomes the block of cells nearest to it."""
     for axis, size, out in (("row", "height", height), ("col", "width", width)):
@@ -95,8 +169,9 @@ def _nearest(df: DataFrame, keys, bands, height: int, width: int, corners: bool)
 
 
 def as_seen(image: DataFrame, keys: Sequence[str], value: str, scale: float, height: int,
-            width: int) -> DataFrame:
-    """One sample per ``scale`` block, enlarged smoothly back to the image's own grid."""
+            width: int, method: str = "spline") -> DataFrame:
+    """One sample per ``scale`` block, enlarged smoothly back to the image's own grid: through the
+    interpolating spline of images without holes, or by the ``cubic`` kernel."""
     step = max(int(round(scale)), 1)
     if step == 1:
         return image
@@ -106,4 +181,4 @@ def as_seen(image: DataFrame, keys: Sequence[str], value: str, scale: float, hei
     coarse = coarse.select(*keys, F.floor(F.col("row") / step).cast("int").alias("row"),
                            F.floor(F.col("col") / step).cast("int").alias("col"), value,
                            F.lit(rows).alias("height"), F.lit(cols).alias("width"))
-    return resample(coarse, keys, [value], height, width, "cubic", corners=True)
+    return resample(coarse, keys, [value], height, width, method, corners=True)

@@ -118,6 +118,30 @@ def test_a_single_sample_per_block_is_enlarged_smoothly(image):
     assert np.abs(np.diff(seen[:, 4:-4], axis=1)).std() < np.abs(np.diff(blocks, axis=1)).std() / 3
 
 
+@pytest.mark.parametrize("shape, out", [((6, 9), (11, 17)), ((5, 5), (5, 5)), ((4, 30), (13, 31)),
+                                        ((1, 7), (3, 13))])
+def test_splines_go_through_all_cells(image, shape, out):
+    """Against the spline found by solving its equations, mirrored in the outermost cells."""
+    values = RNG.normal(size=shape)
+
+    def along(line, places):
+        n = len(line)
+        mirror = lambda i: min(i % max(2 * n - 2, 1), max(2 * n - 2, 1) - i % max(2 * n - 2, 1))
+        matrix = np.zeros((n, n))
+        for i in range(n):
+            for j, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
+                matrix[i, mirror(i + j) if n > 1 else 0] += w
+        c = np.linalg.solve(matrix, line)
+        b = lambda d: (4 - 6 * d * d + 3 * d ** 3) / 6 if d < 1 else max(2 - d, 0) ** 3 / 6
+        return [sum(b(abs(p - j)) * c[mirror(j) if n > 1 else 0]
+                    for j in range(int(p) - 2, int(p) + 4)) for p in places]
+    steps = [np.arange(o) * ((n - 1) / (o - 1)) for n, o in zip(shape, out)]
+    half = np.array([along(line, steps[1]) for line in values])
+    want = np.array([along(line, steps[0]) for line in half.T]).T
+    got = resample.resample(image(values), ["frame_id"], ["v"], *out, "spline", corners=True)
+    assert np.allclose(to_array(got, "v", out), want, atol=1e-10)
+
+
 @pytest.fixture(scope="module")
 def dates():
     """Six dates of one scene, each sampled at another sub-pixel phase, with noise."""
