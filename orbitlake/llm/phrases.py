@@ -24,6 +24,7 @@ an empty result.  Different words of one language are taken to differ in their 6
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,8 @@ from orbitlake.operators.keyed import top_k
 MANY, INSIDE, BEST = 10, 50, 2000
 #: Phrases of a shard; shards broadcast at once; bits of a filter (a power of two); bytes of text in a block.
 SHARD, SHARDS, BITS, BLOCK = 1 << 18, 4, 1 << 25, 1 << 20
+#: Bits of a page of a filter; words whose counts a task puts together before it passes them on.
+PAGE, HELD = 1 << 12, 1 << 19
 
 _MARKS = np.zeros(256, np.uint8)
 _MARKS[[*b".,;:!?", *range(10, 14)]] = 1
@@ -83,17 +86,34 @@ def word_hashes(lang: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts, put together over as many slices as HELD words allow."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+    n = 0
+
+    def together() -> Iterator[pa.RecordBatch]:
+        if held:
+            h, counts = (np.concatenate([part[i] for part in held]) for i in (0, 1))
+            h, first, own = np.unique(h, return_index=True, return_inverse=True)
+            lang, word = (pa.concat_arrays([part[i] for part in held]).take(pa.array(first))
+                          for i in (2, 3))
+            yield pa.record_batch({"lang": lang, "h": pa.array(h.view(np.int64)), "word": word,
+                                   "n": pa.array(np.bincount(own, counts).astype(np.int64))})
+        held.clear()
     for batch in batches:
         for lang, data, offsets in _slices(batch):
             starts, ends, _ = word_runs(data, offsets)
-            h, first, n = np.unique(word_hashes(lang, data, starts, ends), return_index=True,
-                                    return_counts=True)
+            h, first, counts = np.unique(word_hashes(lang, data, starts, ends), return_index=True,
+                                         return_counts=True)
             raw = data.tobytes()
-            yield pa.record_batch({
-                "lang": pa.array([lang] * len(h), pa.string()), "h": pa.array(h.view(np.int64)),
-                "word": pa.array([raw[a:b].decode() for a, b in zip(
-                    starts[first].tolist(), ends[first].tolist(), strict=True)], pa.string()),
-                "n": pa.array(n)})
+            words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(),
+                                                       ends[first].tolist(), strict=True)]
+            held.append((h, counts, pa.array([lang] * len(h), pa.string()),
+                         pa.array(words, pa.string())))
+            n += len(h)
+            if n >= HELD:
+                yield from together()
+                n = 0
+    yield from together()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +122,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, fresh = word_runs(data, offsets)
             out = np.zeros(len(starts) + int(fresh.sum()), np.uint64)
             out[np.arange(len(starts)) + np.cumsum(fresh)] = word_hashes(lang, data, starts, ends)
-            yield pa.record_batch({"words": pa.array([out.tobytes()], pa.binary())})
+            yield pa.record_batch({"lang": pa.array([lang], pa.string()),
+                                   "words": pa.array([out.tobytes()], pa.binary())})
 
 
 # --- Apriori filters ---
@@ -132,27 +153,30 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (h != 0)
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """The bits of a column `bit` as bytes: at most BITS / 8 of them come to the driver."""
-    found = (rows.select(F.shiftright("bit", 12).alias("page"), "bit").groupBy("page")
-             .agg(F.sort_array(F.collect_set((F.col("bit") % 4096).cast("int"))).alias("bits")))
-    out = np.zeros(BITS, bool)
-    packed = found.mapInArrow(_pages, "page long, bytes binary")
-    for row in packed.toLocalIterator():
-        at = row["page"] * 4096
-        out[at:at + 4096] = np.unpackbits(np.frombuffer(row["bytes"], np.uint8),
-                                          bitorder="little")
-    return np.packbits(out, bitorder="little")
+def _bitmap(pages: DataFrame) -> np.ndarray:
+    """The filter whose pages are given, as bytes: at most BITS / 8 of them come to the driver."""
+    out = np.zeros((-(-BITS // PAGE), PAGE // 8), np.uint8)
+    for row in pages.toLocalIterator():
+        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _word_pages(words: DataFrame) -> DataFrame:
+    # BITS is a power of two, so the sign of a hash doesn't change its remainder
+    bit = F.pmod("h", F.lit(BITS).cast("long"))
+    return (words.select((bit / PAGE).cast("int").alias("page"), (bit % PAGE).cast("int")
+                         .alias("bit")).groupBy("page").agg(F.collect_set("bit").alias("bits"))
+            .mapInArrow(_paged, "page int, bits binary"))
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for bits in batch.column("bits"):
-            page = np.zeros(4096, bool)
+            page = np.zeros(PAGE, bool)
             page[bits.values.to_numpy()] = True
             out.append(np.packbits(page, bitorder="little").tobytes())
-        yield pa.record_batch({"page": batch.column("page"), "bytes": pa.array(out, pa.binary())})
+        yield pa.record_batch({"page": batch.column("page"), "bits": pa.array(out, pa.binary())})
 
 
 def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -161,19 +185,38 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _bounds(filters, some: tuple[int, int], level: int):
-    """Totals by bit of the pairs, or of the triples whose pairs may be frequent, of a block."""
+    """Totals by bit of a task's pairs, or of its triples whose pairs may be frequent: a byte for
+    each bit, which stops at 255, in pages."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs = filters.value
+        totals = np.zeros(8 * len(common), np.uint8)
         for batch in batches:
             for words in _words_of(batch):
                 words = np.where(_has(common, words), words, np.uint64(0))
                 pair, triple = _pairs_and_triples(words, some)
                 h = pair[pair != 0] if level == 2 else triple[_both(pairs, pair) & (triple != 0)]
                 bit, n = np.unique(_bits(h, common), return_counts=True)
-                yield pa.record_batch({"bit": pa.array(bit), "n": pa.array(n)})
+                totals[bit] = np.minimum(totals[bit] + n, 255)
+        pages = totals.reshape(-1, min(PAGE, len(totals)))
+        there = np.flatnonzero(pages.any(1))
+        for some_pages in np.array_split(there, -(-len(there) // 256) or 1):
+            yield pa.record_batch({
+                "page": pa.array(some_pages.astype(np.int32)),
+                "totals": pa.array([zlib.compress(pages[p].tobytes(), 1)
+                                    for p in some_pages.tolist()], pa.binary())})
     return count
 
 
+def _summed(many: int):
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = 0
+        for packed in rows["totals"]:
+            total = total + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.int64)
+        return pd.DataFrame({"page": [rows["page"].iloc[0]],
+                             "bits": [np.packbits(total >= many, bitorder="little").tobytes()]})
+    return add
+
+
 def _both(pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Where a triple's first pair may be frequent, and its second if it is of the same class."""
     two = _has(pairs, pair)
@@ -185,7 +228,8 @@ def _candidates(filters, some: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
         for batch in batches:
-            for words in _words_of(batch):
+            for lang, words in zip(batch.column("lang").to_pylist(), _words_of(batch),
+                                   strict=True):
                 words = np.where(_has(common, words), words, np.uint64(0))
                 pair, triple = _pairs_and_triples(words, some)
                 two = _has(pairs, pair)
@@ -194,9 +238,9 @@ def _candidates(filters, some: tuple[int, int]):
                     at = np.flatnonzero(there)
                     at = at[np.unique(h[at], return_index=True)[1]]
                     last = words[at + 2] if n == 3 else np.zeros(len(at), np.uint64)
-                    yield pa.record_batch({
+                    yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), **{
                         name: pa.array(x.view(np.int64)) for name, x in
-                        (("h1", words[at]), ("h2", words[at + 1]), ("h3", last))})
+                        (("h1", words[at]), ("h2", words[at + 1]), ("h3", last))}})
     return find
 
 
@@ -230,13 +274,6 @@ class Trie:
         between = self._digit(states, np.where(codes >= 0, codes // self.radix, -1))
         return self._digit(between, codes % self.radix)
 
-    def above(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states a word earlier, and that word's number; 0 and -1 for the root."""
-        between = np.where(states > 0, self.check[states], 0)
-        before = np.where(states > 0, self.check[between], 0)
-        code = (between - self.base[before]) * self.radix + states - self.base[between]
-        return before, np.where(states > 0, code, -1)
-
 
 def radix(symbols: int) -> int:
     return max(1, int(np.ceil(np.sqrt(symbols))))
@@ -310,31 +347,26 @@ def _places(heads, first, n, order, label, slot, base_of, wide: int) -> np.ndarr
     return taken
 
 
-_SHARD = ("shard int, symbols binary, base binary, checks binary, accepts binary, f binary, "
-          "lang binary, langs array<string>")
+_SHARD = ("shard int, symbols binary, base binary, checks binary, phrases binary, "
+          "accepts binary, langs array<string>")
+_FOUND = "lang string, h1 long, h2 long, h3 long, first long, last long, a long"
 
 
-def _built(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The trie of a shard, with the count and the language of each of its words."""
+def _built(rows: pd.DataFrame) -> pd.DataFrame:
+    """The trie of a shard's phrases and of each of their words alone, whose counts it gives too."""
     phrases = rows[["h1", "h2", "h3"]].to_numpy(np.int64).view(np.uint64)
-    trie, accepts = build(phrases)
-    h = words["h"].to_numpy(np.int64).view(np.uint64)
-    at = np.searchsorted(trie.symbols, h)
-    f, lang = np.zeros(len(trie.symbols), np.int64), np.zeros(len(trie.symbols), np.int32)
-    codes, langs = pd.factorize(words["lang"])
-    f[at], lang[at] = words["f"], codes
-    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "langs": [list(langs)], **{
-        name: [x.tobytes()] for name, x in (("symbols", trie.symbols), ("base", trie.base),
-                                            ("checks", trie.check), ("f", f), ("lang", lang),
-                                            ("accepts", np.sort(accepts).astype(np.int32)))}})
-
-
-_FOUND = "lang string, h1 long, h2 long, h3 long, first long, last long, n long"
+    words = np.unique(phrases[phrases != 0])
+    alone = np.zeros((len(words), 3), np.uint64)
+    alone[:, 0] = words
+    trie, accepts = build(np.concatenate((phrases, alone)))
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "langs": [rows["lang"].tolist()], **{
+        name: [np.ascontiguousarray(x).tobytes()] for name, x in (
+            ("symbols", trie.symbols), ("base", trie.base), ("checks", trie.check),
+            ("phrases", phrases), ("accepts", accepts.astype(np.int32)))}})
 
 
 def _counted(tries):
-    """Occurrences of every phrase of the tries, kept for a whole partition, with the counts of
-    its first and last word."""
+    """Occurrences of the accepting states of each shard, in a task's whole partition."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [(Trie(*(np.frombuffer(r[c], t) for c, t in (
             ("symbols", np.uint64), ("base", np.int32), ("checks", np.int32)))), r)
@@ -353,37 +385,30 @@ def _counted(tries):
                         states = states[states >= 0]
                         total += np.bincount(states, minlength=len(total))
                         at = at + 1
-        for (trie, r), total in zip(ready, sums, strict=True):
-            accepts = np.frombuffer(r["accepts"], np.int32)
-            yield _told(trie, accepts[total[accepts] > 0], total, np.frombuffer(r["f"], np.int64),
-                        np.frombuffer(r["lang"], np.int32), r["langs"])
+        for (_, r), total in zip(ready, sums, strict=True):
+            n = total[np.frombuffer(r["accepts"], np.int32)]
+            there = np.flatnonzero(n)
+            yield pa.record_batch({
+                "shard": pa.array(np.full(len(there), r["shard"], np.int32)),
+                "number": pa.array(there.astype(np.int32)), "n": pa.array(n[there])})
     return count
 
 
-def _told(trie: Trie, at: np.ndarray, total: np.ndarray, f: np.ndarray, lang: np.ndarray,
-          langs: list[str]) -> pa.RecordBatch:
-    """What was counted in the accepting states `at`, by the words that lead there."""
-    # the words on the way back to the root, the last first; -1 beyond it
-    back, up = [], at
-    for _ in range(3):
-        up, code = trie.above(up)
-        back.append(code)
-    back = np.stack(back)
-    length = (back >= 0).sum(0)
-    every = np.arange(len(at))
-    words = np.stack([np.where(length > k, back[np.clip(length - 1 - k, 0, 2), every], -1)
-                      for k in range(3)])
-    # words that passed the filter by chance have no count, and no phrase that could matter
-    keep = np.flatnonzero((f[words] > 0).all(0, where=words >= 0))
-    words, length = words[:, keep], length[keep]
-    h = np.where(words >= 0, trie.symbols[words], np.uint64(0)).view(np.int64)
-    return pa.record_batch({
-        "lang": pa.DictionaryArray.from_arrays(pa.array(lang[words[0]]), pa.array(
-            langs, pa.string())).dictionary_decode(),
-        "h1": pa.array(h[0]), "h2": pa.array(h[1]), "h3": pa.array(h[2]),
-        "first": pa.array(f[words[0]]), "last": pa.array(f[words[length - 1,
-                                                                np.arange(len(keep))]]),
-        "n": pa.array(total[at[keep]])})
+def _told(rows: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
+    """A shard's phrases with their counts and those of their first and last words."""
+    r = tries.iloc[0]
+    phrases = np.frombuffer(r["phrases"], np.uint64).reshape(-1, 3)
+    words = np.unique(phrases[phrases != 0])
+    total = np.zeros(len(phrases) + len(words), np.int64)
+    total[rows["number"].to_numpy()] = rows["a"].to_numpy()
+    a, f = total[:len(phrases)], total[len(phrases):]
+    last = np.where(phrases[:, 2] != 0, phrases[:, 2], phrases[:, 1])
+    keep = np.flatnonzero(a >= MANY)
+    h = phrases[keep].view(np.int64)
+    return pd.DataFrame({
+        "lang": np.asarray(r["langs"], object)[keep], "h1": h[:, 0], "h2": h[:, 1],
+        "h3": h[:, 2], "first": f[np.searchsorted(words, phrases[keep, 0])],
+        "last": f[np.searchsorted(words, last[keep])], "a": a[keep]})
 
 
 def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
@@ -391,45 +416,43 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
     phrases of at least MANY occurrences, `total` words being in the blocks.  Phrases are classed
     by their first words, so that a class's totals don't crowd the filters, however large the
     corpus."""
-    # BITS is a power of two, so the sign of a hash doesn't change its remainder
-    common = _bitmap(words.select(F.pmod("h", F.lit(BITS).cast("long")).alias("bit")))
+    common = _bitmap(_word_pages(words))
     classes = max(1, -(-2 * total // (MANY * BITS)))
-    return reduce(DataFrame.union, [_class_counts(blocks, words, common, (some, classes))
+    return reduce(DataFrame.union, [_class_counts(blocks, common, (some, classes))
                                     for some in range(classes)])
 
 
-def _class_counts(blocks: DataFrame, words: DataFrame, common: np.ndarray,
-                  some: tuple[int, int]) -> DataFrame:
+def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int]) -> DataFrame:
     context = blocks.sparkSession.sparkContext
     filters = [common, np.zeros(0, np.uint8)]
     for level in (2, 3):
         held = context.broadcast((common, filters[1]))
-        bounds = (blocks.mapInArrow(_bounds(held, some, level), "bit long, n long")
-                  .groupBy("bit").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY))
-        filters[level - 1:] = [_bitmap(bounds)]
+        pages = (blocks.mapInArrow(_bounds(held, some, level), "page int, totals binary")
+                 .groupBy("page").applyInPandas(_summed(MANY), "page int, bits binary"))
+        filters[level - 1:] = [_bitmap(shared.settle(pages))]
         held.unpersist()
     held = context.broadcast(tuple(filters))
-    found = shared.settle(blocks.mapInArrow(_candidates(held, some), "h1 long, h2 long, h3 long")
-                          .distinct())
+    found = shared.settle(blocks.mapInArrow(
+        _candidates(held, some), "lang string, h1 long, h2 long, h3 long").distinct())
     held.unpersist()
     shards = -(-found.count() // SHARD)
     if not shards:
         return blocks.limit(0).select(*(F.lit(None).cast(t.split()[1]).alias(t.split()[0])
-                                        for t in _FOUND.replace("n long", "a long").split(", ")))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "h3"),
-                                             F.lit(shards)).cast("int"))
-    mine = (dealt.select(F.col("shard").alias("part"), F.explode(F.array("h1", "h2", "h3")).alias("h"))
-            .where("h != 0").distinct().join(words.select("h", "lang", "f"), "h"))
-    tries = shared.settle(dealt.groupBy("shard").cogroup(mine.groupBy("part"))
-                          .applyInPandas(_built, _SHARD))
+                                        for t in _FOUND.split(", ")))
+    tries = shared.settle(found.withColumn("shard", F.pmod(
+        F.xxhash64("h1", "h2", "h3"), F.lit(shards)).cast("int"))
+        .groupBy("shard").applyInPandas(_built, _SHARD))
     counts = []
     for first in range(0, shards, SHARDS):
-        part = tries.where(F.col("shard").between(first, first + SHARDS - 1)).collect()
+        some_tries = tries.where(F.col("shard").between(first, first + SHARDS - 1))
+        part = some_tries.select("shard", "symbols", "base", "checks", "accepts").collect()
         held = context.broadcast([{k: bytes(x) if isinstance(x, bytearray) else x
                                    for k, x in r.asDict().items()} for r in part])
-        sums = (blocks.mapInArrow(_counted(held), _FOUND)
-                .groupBy("lang", "h1", "h2", "h3", "first", "last").agg(F.sum("n").alias("a")))
-        counts.append(shared.settle(sums.where(F.col("a") >= MANY)))
+        sums = (blocks.mapInArrow(_counted(held), "shard int, number int, n long")
+                .groupBy("shard", "number").agg(F.sum("n").alias("a")))
+        counts.append(shared.settle(sums.groupBy("shard").cogroup(
+            some_tries.withColumnRenamed("shard", "own").groupBy("own"))
+            .applyInPandas(_told, _FOUND)))
         held.unpersist()
     return reduce(DataFrame.union, counts)
 
@@ -444,7 +467,7 @@ def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     words = words.where(F.col("f") >= MANY)
-    blocks = shared.settle(ready.mapInArrow(_blocks, "words binary"))
+    blocks = shared.settle(ready.mapInArrow(_blocks, "lang string, words binary"))
     scored = shared.settle(_scored(phrase_counts(blocks, words, total)))
     # what is as good as the last of the best gets its words, which settle ties
     order = [F.desc("score"), F.desc("a")]
