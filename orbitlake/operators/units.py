@@ -29,13 +29,13 @@ def to_reflectance(pixels: DataFrame, scenes: DataFrame | None, bands: dict[str,
 
     The offset needs ``scene_date`` and ``boa_offset_applied``.  Pixel tables that carry them
     (as partition columns they cost nothing) take no join; otherwise ``scenes`` gives them per
-    ``on`` keys.
+    ``on`` keys.  Pixels of a scene that isn't listed stay, without a value.
     """
     offset = boa_offset(F.col("scene_date"), F.col("boa_offset_applied")).alias("__offset")
     if scenes is None:
         joined = pixels.withColumn("__offset", offset)
     else:
-        joined = attach(pixels, scenes.select(*on, offset), on, how="inner")
+        joined = attach(pixels, scenes.select(*on, offset), on)
     return joined.withColumns({b: reflectance(F.col(dn), F.col("__offset"))
                                for b, dn in bands.items()}).drop("__offset", *bands.values())
 

@@ -27,6 +27,12 @@ def test_reflectance_uses_the_scene_offset(spark, date, applied, expected):
     assert got[:2] == pytest.approx(expected) and got[2] is None
 
 
+def test_pixels_of_unlisted_scenes_stay_without_a_value(spark):
+    px = spark.createDataFrame([(0, 3000), (1, 7000)], "scene_ord int, dn int")
+    out = units.to_reflectance(px, scenes(spark), {"red": "dn"}).collect()
+    assert {r.scene_ord: r.red for r in out} == {0: pytest.approx(0.2), 1: None}
+
+
 def test_decibels(spark):
     px = spark.createDataFrame([(1000,), (250,), (0,)], "a int")
     got = [r.vv for r in units.to_decibels(px, {"vv": "a"}).collect()]
