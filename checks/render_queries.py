@@ -312,6 +312,8 @@ def colour_counts(spark, sf_dir):
     look = render.IndexLook.of("ndvi")
     at = render.colour_index((F.col("ndvi") - look.low) / (look.high - look.low))
     table = render.colormap_table(spark, look.colormap)
-    return (px.withColumn("idx", at).join(table, "idx")
+    # At most 256 rows a frame meet the table, and only they are spelt out.
+    counted = px.groupBy("frame_id", at.alias("idx")).agg(F.count(F.lit(1)).alias("cells"))
+    return (counted.join(table, "idx")
             .groupBy("frame_id", hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"))
-            .agg(F.count(F.lit(1)).alias("cells")))
+            .agg(F.sum("cells").alias("cells")))
