@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orbitlake import registry
+from orbitlake import materialise, registry
 from orbitlake.functions.numeric import half_even
 from orbitlake.functions.spectral import index_value, with_indices
 from orbitlake.functions.tone import from_decibels
@@ -248,7 +248,9 @@ FROM fin GROUP BY ALL"""
 @query(_robust_sql())
 def robust_mean(spark, sf_dir):
     scenes = views.obs_scenes(spark, sf_dir)
-    out = merge.robust_mean(optical(spark, sf_dir, _ROBUST), _ROBUST, scenes,
+    # Read by each pass of the noise floors and by the merge: written once, as a fusion does.
+    px = materialise(optical(spark, sf_dir, _ROBUST).select("frame_id", "row", "col", *_ROBUST))
+    out = merge.robust_mean(px, _ROBUST, scenes,
                             packed=merge.shallow(scenes, ["frame_id"]))
     return rounded(out, _ROBUST)
 

@@ -22,6 +22,7 @@ def dark_object_subtraction(df: DataFrame, bands: Sequence[str],
     """Subtract most of each band's darkest level, per frame; nothing goes below 0."""
     if strength <= 0:
         return df
+    df = materialise(df)            # read for each pass of the floors and again for the picture
     floors = quantiles(df, keys, bands, [percentile / 100.0], method).select(
         *keys, *[F.get(f"{b}_q", F.lit(0)).alias(f"__f_{b}") for b in bands])
     lifted = attach(df, floors, keys)

@@ -31,3 +31,17 @@ def test_packed_median_of_any_depth(spark):
     found = {r["row"]: r["red"] for r in
              merge.composite(df, ["red"], packed=True).collect()}
     assert found == {1: None, 2: 3.0, 3: 2.5, 4: 4.0, 5: 2.25, 6: 2.0}
+
+
+@pytest.mark.parametrize("name", ["stretch_percentile", "stretch_linked", "haze", "robust_mean"])
+def test_passes_of_percentiles_read_what_is_written_down(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from orbitlake.operators import quantiles
+    seen, counts = [], quantiles._counts
+
+    def watched(values, *args, **kw):
+        seen.append(optimised(values))
+        return counts(values, *args, **kw)
+    monkeypatch.setattr(quantiles, "_counts", watched)
+    entry.queries()[name](spark, SMALL)
+    assert seen and not [plan for plan in seen if "parquet" in plan]
