@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbitlake import materialise
 from orbitlake.functions.numeric import half_even
 from orbitlake.operators import registration, stencil
 from orbitlake.plans import fusion
@@ -28,7 +29,7 @@ def registration_chips(spark, sf_dir):
     """Best whole-cell match of every chip with its frame's first; cells over 0.2 are holes."""
     px = chips(spark, sf_dir).withColumn("guide", F.when(F.col("guide") <= 0.2, F.col("guide")))
     refs = px.groupBy("frame_id").agg(F.min("scene_ord").alias("reference"))
-    found = registration.tile_shifts(px, refs, tile=8, least=12)
+    found = registration.tile_shifts(px, refs, tile=8, least=12, refine=False)
     return found.select("frame_id", "scene_ord", "whole_dy", "whole_dx", "cells",
                         half_even(F.col("correlation"), 6).alias("correlation"))
 
@@ -85,6 +86,7 @@ def registration_query(spark, sf_dir):
             .select("frame_id", F.col("s.scene_ord").alias("scene_ord"),
                     (row / 2).cast("int").alias("row"), (col / 2).cast("int").alias("col"),
                     F.col("v").alias("guide")))
+    seen = materialise(seen)        # read for its scenes, its references and its tiles
     refs = seen.select("frame_id", F.lit(0).alias("reference")).distinct()
     found = registration.estimate_shifts(seen, refs, tile=128)
     half = lambda c: (F.rint(F.col(c) * 2) / 2 + 0.0).alias(c)

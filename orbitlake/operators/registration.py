@@ -26,6 +26,8 @@ from .stencil import TILE, crop_tiles, pad_tiles
 MAX_SHIFT, UPSAMPLE, MIN_LEAD, GUARD = 8.0, 20, 5.0, 4
 #: A move counts if this share of the best-covered move's common cells, and so many, support it.
 SHARED, LEAST = 0.3, 64
+#: Cells of scenes that are matched in one call, if their tiles are that small.
+LOT_CELLS = 1 << 14
 GUIDE_ORDER = ("red", "green", "blue", "nir", "pan", "vv")
 
 
@@ -174,26 +176,40 @@ def tile_shift(still: np.ndarray, moving: np.ndarray, cutoff: float,
 
 def tile_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",
                 keys: Sequence[str] = ("frame_id",), scene: str = "scene_ord",
-                cutoff: float = 0.08, tile: int = 512, least: int = LEAST) -> DataFrame:
+                cutoff: float = 0.08, tile: int = 512, least: int = LEAST,
+                refine: bool = True) -> DataFrame:
     """Per tile and scene: the whole-cell match against the frame's reference scene
     (``whole_dy``, ``whole_dx``, ``correlation``, ``cells``; NULL where none is determinable) and
-    the move refined below a cell (``dy``, ``dx``, ``lead``).
+    the move refined below a cell (``dy``, ``dx``, ``lead``; NULL unless ``refine``).
 
-    ``references`` has the keys and ``reference`` (a scene).
+    ``references`` has the keys and ``reference`` (a scene).  Scenes of small tiles are dealt into
+    lots of about :data:`LOT_CELLS` cells, which share a call and their reference.
     """
     keys = list(keys)
+    listed = stack.select(*keys, scene).distinct()
+    each = max(LOT_CELLS // (tile * tile), 1)
+    lots = (listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            .select(*keys, F.ceil(F.col("n") / each).alias("__lots")))
+    lot = F.col(scene) if each == 1 else F.pmod(F.xxhash64(F.col(scene)), F.col("__lots"))
+    references = references.select(*keys, "reference").join(lots, keys)
     px = attach(stack.select(*keys, scene, "row", "col", F.col(value).cast("double").alias("v")),
-                references.select(*keys, "reference"), keys, how="inner")
+                references, keys, how="inner")
     px = px.withColumns({"ty": F.floor(F.col("row") / tile).cast("int"),
                          "tx": F.floor(F.col("col") / tile).cast("int")})
-    # The reference image goes to every other date of its frame, so that each (scene, tile) group
-    # holds exactly the two pieces it compares.
-    others = (stack.select(*keys, scene).distinct().join(references, keys)
-              .where(F.col(scene) != F.col("reference")).select(*keys, scene))
-    moving = px.where(F.col(scene) != F.col("reference")).withColumn("still", F.lit(False))
-    still = px.where(F.col(scene) == F.col("reference")).drop(scene)
-    still = still.join(checked_broadcast(others), keys).withColumn("still", F.lit(True))
-    both = moving.unionByName(still).select(*keys, scene, "ty", "tx", "row", "col", "v", "still")
+    # The reference image goes to every lot of other dates of its frame, so that each (lot, tile)
+    # group holds exactly the pieces it compares.
+    others = checked_broadcast(listed.join(references, keys).where(
+        F.col(scene) != F.col("reference")).select(*keys, scene, lot.alias("lot")))
+    moving = px.where(F.col(scene) != F.col("reference")).withColumns(
+        {"lot": lot, "still": F.lit(False)})
+    first = px.where(F.col(scene) == F.col("reference"))
+    still = first.join(others.drop(scene).distinct(), keys).withColumn("still", F.lit(True))
+    # Every other date is compared on all of the reference's tiles, those it lacks included.
+    asked = first.select(*keys, "ty", "tx").distinct().join(others, keys).withColumns({
+        "row": F.col("ty") * tile, "col": F.col("tx") * tile, "still": F.lit(False)})
+    both = moving.unionByName(still, allowMissingColumns=True).unionByName(
+        asked, allowMissingColumns=True).select(
+        *keys, scene, "lot", "ty", "tx", "row", "col", "v", "still")
 
     fields = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     ids = [*keys, scene, "ty", "tx"]
@@ -203,16 +219,30 @@ def tile_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",
     names = [*ids, *(part.split()[0] for part in found.split(", "))]
 
     def estimate(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf["row"].to_numpy() - key[-2] * tile
-        c = pdf["col"].to_numpy() - key[-1] * tile
-        grids = np.full((2, r.max() + 1, c.max() + 1), np.nan)
-        grids[pdf["still"].to_numpy().astype(int), r, c] = pdf["v"].to_numpy(dtype=float)
-        match = masked_match(grids[1], grids[0], least=least)
-        shift = Shift(0.0, 0.0, 0.0) if match is None else tile_shift(
-            grids[1], grids[0], cutoff, match)
-        return pd.DataFrame([[*key, *(match or [None] * 4), *shift]], columns=names)
-
-    return both.groupBy(*ids).applyInPandas(estimate, schema)
+        *frame, _, ty, tx = key
+        r = pdf["row"].to_numpy() - ty * tile
+        c = pdf["col"].to_numpy() - tx * tile
+        v, of = pdf["v"].to_numpy(dtype=float), pdf[scene].to_numpy()
+        first = pdf["still"].to_numpy()
+        moving = np.flatnonzero(~first)
+        scenes, place = np.unique(of[moving], return_inverse=True)
+        owned = np.split(moving[np.argsort(place, kind="stable")],
+                         np.cumsum(np.bincount(place, minlength=len(scenes)))[:-1])
+        first = np.flatnonzero(first)
+        rows = []
+        for found, own in zip(scenes, owned):
+            used = np.concatenate([first, own])
+            grids = np.full((2, r[used].max() + 1, c[used].max() + 1), np.nan)
+            grids[1, r[first], c[first]] = v[first]
+            there = own[~np.isnan(v[own])]
+            grids[0, r[there], c[there]] = v[there]
+            match = masked_match(grids[1], grids[0], least=least)
+            shift = [None] * 3 if not refine else Shift(0.0, 0.0, 0.0) if match is None else \
+                tile_shift(grids[1], grids[0], cutoff, match)
+            rows.append([*frame, found, ty, tx, *(match or [None] * 4), *shift])
+        return pd.DataFrame(rows, columns=names)
+
+    return both.groupBy(*keys, "lot", "ty", "tx").applyInPandas(estimate, schema)
 
 
 def estimate_shifts(stack: DataFrame, references: DataFrame, value: str = "guide",

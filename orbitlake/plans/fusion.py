@@ -44,7 +44,9 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
     images = sized(scenes.select(*keys, scene).distinct(), height, width) if sparse else None
     frames = sized(scenes.select(*keys).distinct(), height, width) if sparse else None
     refs = scenes.groupBy(*keys).agg(F.min(scene).alias("reference"))
-    stack = stack.withColumn("guide", registration.guide(bands))
+    # Read for the shifts, the holes' fill, the moves and the reference's own look.
+    stack = materialise(stack.select(*keys, scene, "height", "width", "row", "col", *bands,
+                                     registration.guide(bands).alias("guide")))
 
     shifts = scenes.select(*keys, scene).distinct().withColumns(
         {"dy": F.lit(0.0), "dx": F.lit(0.0)})

@@ -45,3 +45,25 @@ def test_passes_of_percentiles_read_what_is_written_down(spark, monkeypatch, nam
     monkeypatch.setattr(quantiles, "_counts", watched)
     entry.queries()[name](spark, SMALL)
     assert seen and not [plan for plan in seen if "parquet" in plan]
+
+
+def test_small_tiles_share_a_call(spark, monkeypatch):
+    """Lots give what single scenes give, tiles a scene lacks included, and far fewer groups."""
+    from orbitlake.operators import registration
+    rng = np.random.default_rng(5)
+    big = 1 << 60                       # scenes beyond what a double holds exactly
+    rows = [(f, big + s, y, x, float(v)) for f in range(2) for s in range(40)
+            for (y, x), v in np.ndenumerate(rng.normal(size=(8, 16)))
+            if not (s % 3 == 2 and x >= 8) and v < 1.5]
+    px = spark.createDataFrame(rows, "frame_id int, scene_ord long, row int, col int, guide double")
+    refs = spark.createDataFrame([(0, big), (1, big)], "frame_id int, reference long")
+    run = lambda: registration.tile_shifts(px, refs, tile=8, least=12)
+    together = run()
+    assert together.count() == 2 * 39 * 2
+    groups = re.search(r"FlatMapGroupsInPandas \[([^\]]*)\]", optimised(together)).group(1)
+    assert "lot" in groups and "scene_ord" not in groups
+    monkeypatch.setattr(registration, "LOT_CELLS", 1)
+    key = lambda r: (r["frame_id"], r["scene_ord"], r["tx"])
+    assert sorted(together.collect(), key=key) == sorted(run().collect(), key=key)
+    assert together.where("tx = 1 and cells is null").count() == 2 * 13
+    assert {r["scene_ord"] for r in together.collect()} == {big + s for s in range(1, 40)}
