@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..registry import QueryError
+from ..session import materialise
+from .stencil import tasks_for
 
 _REACH = {"bilinear": 1, "cubic": 2}
 
@@ -43,7 +45,8 @@ def resample(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: i
     """Images onto ``height`` x ``width`` cells; each source cell gives to the cells it reaches.
 
     NULL and absent neighbours are left out and the remaining weights rescaled.  Two passes,
-    rows then columns; each is an aggregate that combines on the map side.  ``corners`` aligns
+    rows then columns; each deals whole lines of cells, before they give, to as many tasks as the
+    new cells ask for, so what a task holds doesn't grow with the table.  ``corners`` aligns
     the outermost cell centres instead of the cell edges.  ``spline`` goes through every cell of
     images that have all of them, see :func:`spline_line`.
     """
@@ -57,8 +60,13 @@ def resample(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: i
     px = df.select(*keys, "height", "width", "row", "col", *[
         c for b in bands for c in (F.col(b).cast("double").alias(f"__v_{b}"),
                                    F.col(b).isNotNull().cast("double").alias(f"__w_{b}"))])
+    px = materialise(px)            # read for its size and again for its cells
+    # a cell gives to many new ones, so images full of holes may come out without any
+    tasks = tasks_for(px.select(*keys).distinct(), F.lit(float(height * width)))
     sums = [f"__{p}_{b}" for b in bands for p in ("v", "w")]
+    px = px.repartition(tasks, *keys, "col")
     px = _spread(px, keys + ["col", "width"], "row", "height", height, sums, method, corners)
+    px = px.repartition(tasks, *keys, "row")
     px = _spread(px, keys + ["row"], "col", "width", width, sums, method, corners)
     return px.select(*keys, "row", "col", F.lit(height).alias("height"),
                      F.lit(width).alias("width"), *[

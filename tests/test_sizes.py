@@ -67,3 +67,26 @@ def test_small_tiles_share_a_call(spark, monkeypatch):
     assert sorted(together.collect(), key=key) == sorted(run().collect(), key=key)
     assert together.where("tx = 1 and cells is null").count() == 2 * 13
     assert {r["scene_ord"] for r in together.collect()} == {big + s for s in range(1, 40)}
+
+
+def widest(df):
+    """The largest number of tasks of a plan's exchanges."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return max(map(int, re.findall(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan)),
+               default=0)
+
+
+@pytest.mark.parametrize("build", ["tiles", "lines"])
+def test_tasks_grow_with_the_images(spark, monkeypatch, build):
+    """Dense tiles and new cells are dealt by their number, not by their bytes."""
+    from orbitlake.operators import resample, stencil
+    monkeypatch.setattr(stencil, "TASK_CELLS", 1000, raising=False)
+    for images in (10, 40):
+        px = stencil.sized(spark.range(images).select(
+            F.col("id").alias("frame_id"), F.lit(3).alias("row"), F.lit(4).alias("col"),
+            F.lit(1.0).alias("v")), 20, 20)
+        frames = px.select("frame_id", "height", "width")
+        df = (stencil.pad_tiles(px, ["frame_id"], ["v"], 2, 10, frames=frames) if build == "tiles"
+              else resample.resample(px, ["frame_id"], ["v"], 40, 40, "cubic"))
+        cells = images * (28 * 28 if build == "tiles" else 1600)
+        assert widest(df) == -(-cells // 1000)
