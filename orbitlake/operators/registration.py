@@ -6,7 +6,8 @@ transforms of values, squares and masks.  The rest, below a cell, comes from the
 dates know there.  A move that too few common cells support is not determinable.
 
 The only grouped-map function of the library is here: a Fourier transform needs a tile's
-pixels together.  Its groups are (frame, scene, tile) and never exceed two tiles of pixels.
+pixels together.  Its groups are (frame, lot of scenes, tile): one scene and the reference, or as
+many scenes of small tiles as make about :data:`LOT_CELLS` cells.
 """
 
 from __future__ import annotations
