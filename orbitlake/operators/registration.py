@@ -271,17 +271,22 @@ def align(stack: DataFrame, shifts: DataFrame, bands: Sequence[str],
     """Move every scene by its shift: cubic for values, linear for what is missing.
 
     Holes enter at the scene's median; a cell with more than 0.35 of a hole in it is NULL, and
-    so is one whose source lies outside the frame.  Scenes without a shift stay put.
+    so is one whose source lies outside the frame.  Scenes without a shift stay put: their rows
+    come back as they are, and cells they leave out stay out.
     ``frames`` (keys, scene, height, width) is needed when ``stack`` leaves cells out.
     """
     image, bands = [*keys, scene], list(bands)
     still = F.greatest(F.abs("dy"), F.abs("dx")) < 1e-4
-    moves = shifts.select(*image, *[F.when(still, 0.0).otherwise(F.col(d)).alias(f"__{d}")
-                                    for d in ("dy", "dx")])
-    middles = quantiles(stack, image, bands, [0.5]).join(moves, image, "left").select(
-        *image, *[F.get(f"{b}_q", F.lit(0)).alias(b) for b in bands],
-        *[F.coalesce(d, F.lit(0.0)).alias(d) for d in ("__dy", "__dx")])
-    px = attach(stack, middles.select(*image, "__dy", "__dx"), image)
+    moves = checked_broadcast(shifts.where(~still).select(
+        *image, F.col("dy").alias("__dy"), F.col("dx").alias("__dx")))
+    stack = stack.select(*image, "height", "width", "row", "col", *bands)
+    stay = stack.join(moves, image, "left_anti")
+    px = stack.join(moves, image)
+    if frames is not None:
+        frames = frames.join(moves.select(*image), image)
+    middles = quantiles(px, image, bands, [0.5])
+    middles = moves.join(middles, image, "left").select(
+        *image, *[F.get(f"{b}_q", F.lit(0)).alias(b) for b in bands], "__dy", "__dx")
     wide = pad_tiles(px, image, [*bands, "__dy", "__dx"], 2, tile, "nearest", frames, middles,
                      offsets=(F.ceil("__dy"), F.ceil("__dx")))
     wide = wide.withColumns({f"__h_{b}": (~F.col(f"{b}_ok")).cast("double") for b in bands})
@@ -293,7 +298,7 @@ def align(stack: DataFrame, shifts: DataFrame, bands: Sequence[str],
         outside = outside | (source < 0) | (source > F.col(size) - 1)
     wide = wide.withColumns({b: F.when(~outside & (F.col(f"__h_{b}") <= 0.35), F.col(b))
                              for b in bands})
-    return crop_tiles(wide).select(*image, "height", "width", "row", "col", *bands)
+    return crop_tiles(wide).select(stay.columns).unionByName(stay)
 
 
 def _moved(wide: DataFrame, image: list[str], bands: list[str], axis: str,

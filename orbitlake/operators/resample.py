@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..registry import QueryError
@@ -48,7 +49,7 @@ def resample(df: DataFrame, keys: Sequence[str], bands: Sequence[str], height: i
     rows then columns; each deals whole lines of cells, before they give, to as many tasks as the
     new cells ask for, so what a task holds doesn't grow with the table.  ``corners`` aligns
     the outermost cell centres instead of the cell edges.  ``spline`` goes through every cell of
-    images that have all of them, see :func:`spline_line`.
+    images that have all of them, see :func:`spline_lines`.
     """
     keys, bands = list(keys), list(bands)
     if method == "nearest":
@@ -98,64 +99,72 @@ def _spread(px: DataFrame, group: list[str], axis: str, size: str, out: int, sum
 POLE, REACH = 3.0 ** 0.5 - 2.0, 21
 
 
-def _mirrored(i: Column, n: Column) -> Column:
-    """The place of cell i in a line of n cells that is mirrored in its outermost cells."""
-    turn = F.greatest(2 * (n - 1), F.lit(1))
-    at = F.pmod(i, turn)
-    return F.least(at, turn - at)
+def _mirrored(at: np.ndarray, n: int) -> np.ndarray:
+    """The places of cells in a line of n cells that is mirrored in its outermost cells."""
+    turn = max(2 * (n - 1), 1)
+    at = at % turn
+    return np.minimum(at, turn - at) % n
 
 
-def _sum(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def spline_lines(lines: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Lines of cells (the rows of an array), read at ``places`` (positions in cells, from 0)
+    through the cubic splines that go through all of their cells.
 
-
-def spline_line(values: Column, places: Column) -> Column:
-    """A packed line of cells, read at ``places`` (an array of positions in cells, from 0) through
-    the cubic spline that goes through all of them.
-
-    Its coefficients are the cells under the prefilter's response, -6z / (1 - z^2) * z^|k| for the
+    The coefficients are the cells under the prefilter's response, -6z / (1 - z^2) * z^|k| for the
     pole z; each place is then a weighted sum of four of them.
     """
-    gain = -6.0 * POLE / (1.0 - POLE ** 2)
-    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(gain * POLE ** k).alias("w"))
-                      for k in range(1, REACH + 1)])
-
-    def named(value: Column, use) -> Column:
-        """What comes of a value that is worked out once."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def filtered(held: Column) -> Column:
-        n = F.size(held)
-        cell = lambda i: F.get(held, _mirrored(i, n).cast("int"))
-        return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(
-            steps, cell(i) * F.lit(gain),
-            lambda total, s: total + s["w"] * (cell(i - s["k"]) + cell(i + s["k"]))))
-        ).otherwise(held)
-
-    def read(held: Column, place: Column) -> Column:
-        n = F.size(held)
-        base = F.floor(place)
-        t = place - base
-        weights = ((1.0 - t) * (1.0 - t) * (1.0 - t) / 6.0,
-                   (4.0 - 6.0 * t * t + 3.0 * t * t * t) / 6.0,
-                   (1.0 + 3.0 * t + 3.0 * t * t - 3.0 * t * t * t) / 6.0, t * t * t / 6.0)
-        return _sum([w * F.get(held, _mirrored(base + j, n).cast("int"))
-                     for j, w in enumerate(weights, -1)])
-    return named(named(values, filtered), lambda held: F.transform(
-        places, lambda place: read(held, place)))
+    n = lines.shape[1]
+    if n > 1:
+        gain = -6.0 * POLE / (1.0 - POLE ** 2)
+        cells = np.arange(n)
+        total = lines * gain
+        for k in range(1, REACH + 1):
+            total = total + gain * POLE ** k * (lines[:, _mirrored(cells - k, n)]
+                                                + lines[:, _mirrored(cells + k, n)])
+        lines = total
+    base = np.floor(places).astype(int)
+    t = places - base
+    weights = ((1.0 - t) ** 3 / 6.0, (4.0 - 6.0 * t * t + 3.0 * t ** 3) / 6.0,
+               (1.0 + 3.0 * t + 3.0 * t * t - 3.0 * t ** 3) / 6.0, t ** 3 / 6.0)
+    return sum(w * lines[:, _mirrored(base + j, n)] for j, w in enumerate(weights, -1))
+
+
+def _read_lines(bands: Sequence[str], out: int, corners: bool):
+    """Every packed line of a batch at ``out`` places; lines of one length together."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            for band in bands:
+                held = columns[band]
+                sizes, first = np.diff(held.offsets.to_numpy()), held.offsets.to_numpy()[:-1]
+                cells = held.values.to_numpy(zero_copy_only=False)
+                new = np.empty((len(held), out))
+                for n in np.unique(sizes).tolist():
+                    own = np.flatnonzero(sizes == n)
+                    a, b = _scale(n, out, corners)
+                    new[own] = spline_lines(cells[first[own][:, None] + np.arange(n)],
+                                            a * np.arange(out) + b)
+                columns[band] = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(held) + 1) * out, pa.int32()),
+                    pa.array(new.reshape(-1), from_pandas=True))
+            yield pa.record_batch(columns)
+    return read
+
+
+def _scale(n: int, out: int, corners: bool) -> tuple[float, float]:
+    """Source position of output cell i of a line of n cells is ``a * i + b``."""
+    return ((n - 1.0) / max(out - 1, 1), 0.0) if corners else (n / out, n / out / 2.0 - 0.5)
 
 
 def _spline(df: DataFrame, keys, bands, height: int, width: int, corners: bool) -> DataFrame:
     """Columns, then rows: an image's lines are packed, read at the new places and unpacked."""
     df = df.select(*keys, "height", "width", "row", "col",
                    *[F.col(b).cast("double").alias(b) for b in bands])
-    for axis, other, size, out in (("col", "row", "width", width), ("row", "col", "height", height)):
-        a, b = _step(size, out, corners)
+    for axis, other, out in (("col", "row", width), ("row", "col", height)):
         lines = df.groupBy(*keys, "height", "width", other).agg(
-            F.array_sort(F.collect_list(F.struct(axis, *bands))).alias("line"))
-        places = F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda i: a * i + b)
-        lines = lines.select(*keys, "height", "width", other, *[
-            spline_line(F.col(f"line.{band}"), places).alias(band) for band in bands])
+            F.array_sort(F.collect_list(F.struct(axis, *bands))).alias("line")).select(
+            *keys, "height", "width", other, *[F.col(f"line.{band}").alias(band) for band in bands])
+        lines = lines.mapInArrow(_read_lines(bands, out, corners), lines.schema)
         df = lines.select(*keys, "height", "width", other,
                           F.posexplode(F.arrays_zip(*bands)).alias(axis, "cell")).select(
             *keys, "height", "width", "row", "col", *[F.col(f"cell.{b}").alias(b) for b in bands])

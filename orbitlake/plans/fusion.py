@@ -41,24 +41,23 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
     resolves = float(resolves) if resolves else scale
     sigma = max(0.45 * min(scale, resolves * 1.5), 0.5)
     restore = float(restore) * min(1.0, resolves / scale)
-    images = sized(scenes.select(*keys, scene).distinct(), height, width) if sparse else None
+    scenes = materialise(scenes.select(*keys, scene).distinct())     # may be read off the pixels
+    images = sized(scenes, height, width) if sparse else None
     frames = sized(scenes.select(*keys).distinct(), height, width) if sparse else None
     refs = scenes.groupBy(*keys).agg(F.min(scene).alias("reference"))
     # Read for the shifts, the holes' fill, the moves and the reference's own look.
     stack = materialise(stack.select(*keys, scene, "height", "width", "row", "col", *bands,
                                      registration.guide(bands).alias("guide")))
 
-    shifts = scenes.select(*keys, scene).distinct().withColumns(
-        {"dy": F.lit(0.0), "dx": F.lit(0.0)})
+    shifts = scenes.withColumns({"dy": F.lit(0.0), "dx": F.lit(0.0)})
     if register:
         found = materialise(registration.estimate_shifts(
             stack, refs, "guide", keys, scene, 0.16 / scale, registration_tile))
         shifts = shifts.drop("dy", "dx").join(found.drop("tiles", "determined"), [*keys, scene], "left").fillna(
             0.0, ["dy", "dx"])
     aligned = materialise(registration.align(stack, shifts, bands, keys, scene, images, tile))
-    packed = merge.shallow(scenes.select(*keys, scene).distinct(), keys)
-    merged = materialise(merge.robust_mean(aligned, bands, scenes.select(*keys, scene).distinct(),
-                                           keys, tolerance, packed))
+    packed = merge.shallow(scenes, keys)
+    merged = materialise(merge.robust_mean(aligned, bands, scenes, keys, tolerance, packed))
 
     restored = _restored(sized(merged, height, width), bands, keys, sigma, restore, frames, tile)
     restored = materialise(restored)
@@ -67,14 +66,11 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
 
     ref_seen = resample.as_seen(judged.withColumn("v", F.col("ref")), keys, "v", scale, height,
                                 width)
-    if ref_seen.columns != judged.columns:
-        ref_seen = ref_seen.select(*keys, "row", "col", "v").join(
-            judged.select(*keys, "height", "width", "row", "col", "ok"), [*keys, "row", "col"])
+    seen = judged.join(ref_seen.select(*keys, "row", "col", F.col("v").alias("ref_seen")),
+                       [*keys, "row", "col"])
     window = 2 * int(round(scale)) + 1
-    quality = measure.sharpness(ref_seen, keys, "v", scale, "ok", tile)
-    quality = quality.withColumnRenamed("sharpness", "ref_sharp")
-    quality = quality.join(measure.sharpness(judged, keys, "out", scale, "ok", tile)
-                           .withColumnRenamed("sharpness", "out_sharp"), keys)
+    quality = measure.sharpness(seen, keys, {"ref_sharp": "ref_seen", "out_sharp": "out"}, scale,
+                                "ok", tile)
     lift = F.when((F.col("out_sharp") > 0)
                   & (F.col("out_sharp") < F.col("ref_sharp") * LIFT_MARGIN),
                   F.least(F.col("ref_sharp") * LIFT_MARGIN / F.col("out_sharp"),
@@ -86,10 +82,8 @@ def fuse(stack: DataFrame, scenes: DataFrame, bands: Sequence[str], shape: tuple
     after = judged.join(lifted_guide, [*keys, "row", "col"])
     sharp = measure.sharpness(after, keys, "v", scale, "ok", tile)
     quality = quality.join(sharp, keys)
-    quality = quality.join(measure.noise(judged, keys, "ref", window, "ok", tile)
-                           .withColumnRenamed("noise", "ref_noise"), keys, "left")
-    quality = quality.join(measure.noise(judged, keys, "stacked", window, "ok", tile)
-                           .withColumnRenamed("noise", "out_noise"), keys, "left")
+    quality = quality.join(measure.noise(
+        judged, keys, {"ref_noise": "ref", "out_noise": "stacked"}, window, "ok", tile), keys, "left")
     span = judged.groupBy(*keys).agg((F.max("ref") - F.min("ref")).alias("ref_span"))
     quality = quality.join(span, keys)
     report = _report(quality, shifts, merged, refs, bands[0], keys, scene, scale, resolves, sigma,
@@ -124,7 +118,7 @@ def _judged(restored: DataFrame, stack: DataFrame, refs: DataFrame, bands, keys,
     cells = stacked.withColumn("stacked", registration.guide(bands)).drop(*bands)
     cells = cells.join(first, [*keys, "row", "col"], "left")
     cells = cells.withColumn("ok", F.col("__fused_ok") & F.col("ref").isNotNull())
-    cells = cells.drop("__fused_ok")
+    cells = materialise(cells.drop("__fused_ok"))       # read for its means and its cells
     means = cells.groupBy(*keys).agg(F.coalesce(F.avg("ref"), F.lit(0.0)).alias("__mean"))
     cells = attach(cells, means, keys)
     cells = cells.withColumn("ref", F.coalesce("ref", "__mean")).drop("__mean")
@@ -156,7 +150,9 @@ def _report(quality: DataFrame, shifts: DataFrame, merged: DataFrame, refs: Data
         half_even(F.sum(f"{band}_kept") / float(cells), 2).alias("samples_per_pixel"))
     wanted = frames_wanted(resolves)
     measurable = F.col("ref_noise") > F.greatest(F.lit(1e-6), F.col("ref_span") * 1e-4)
-    return moves.join(depth, keys).join(quality, keys).select(
+    # a frame of which no date has a row is in no depth
+    return moves.join(depth, keys, "left").fillna(0.0, ["samples_per_pixel"]).join(
+        quality, keys).select(
         *keys, F.lit(round(resolves, 2)).alias("scale"),
         F.lit(round(scale, 2)).alias("oversampling"), "scenes",
         F.lit(wanted).alias("frames_wanted"), (F.col("scenes") >= wanted).alias("well_supported"),

@@ -90,3 +90,49 @@ def test_tasks_grow_with_the_images(spark, monkeypatch, build):
               else resample.resample(px, ["frame_id"], ["v"], 40, 40, "cubic"))
         cells = images * (28 * 28 if build == "tiles" else 1600)
         assert widest(df) == -(-cells // 1000)
+
+
+def test_scenes_that_stay_put_are_not_filled_up(spark, image):
+    """An unmoved sparse scene comes back as it is, beside a moved one that is read from all cells."""
+    from orbitlake.operators import registration, stencil
+    rng = np.random.default_rng(3)
+    rows = [(0, s, y, x, float(v)) for s in range(2)
+            for (y, x), v in np.ndenumerate(rng.normal(size=(12, 16))) if rng.random() < 0.5]
+    px = stencil.sized(spark.createDataFrame(
+        rows, "frame_id int, scene_ord int, row int, col int, red double"), 12, 16)
+    moves = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0)],
+                                  "frame_id int, scene_ord int, dy double, dx double")
+    frames = stencil.sized(moves.select("frame_id", "scene_ord"), 12, 16)
+    out = registration.align(px, moves, ["red"], frames=frames, tile=8).collect()
+    still = sorted((r["row"], r["col"], r["red"]) for r in out if r["scene_ord"] == 0)
+    assert still == sorted((y, x, v) for _, s, y, x, v in rows if s == 0)
+    moved = {(r["row"], r["col"]): r["red"] for r in out if r["scene_ord"] == 1}
+    assert len(moved) == 12 * 16
+    assert {at: v for at, v in moved.items() if v is not None} == {
+        (y + 1, x): v for _, s, y, x, v in rows if s == 1 and y < 11}
+
+
+@pytest.mark.parametrize("halo, tile", [(0, 4), (2, 4), (5, 4), (3, 5)])
+def test_halos_are_dealt_in_generated_code(image, halo, tile):
+    """Every tile's cells and its mirrored surroundings, once each, without a lambda in the plan."""
+    from orbitlake.operators import stencil
+    grid = np.arange(7 * 9, dtype=float).reshape(7, 9)
+    wide = stencil.pad_tiles(image(grid), ["frame_id"], ["v"], halo, tile)
+    assert "lambda" not in optimised(wide)
+    around = np.pad(grid, halo, mode="symmetric")
+    want = {(ty, tx, y, x, around[y + halo, x + halo])
+            for ty in range(-(-7 // tile)) for tx in range(-(-9 // tile))
+            for y in range(max(-halo, ty * tile - halo), min(7 + halo, ty * tile + tile + halo))
+            for x in range(max(-halo, tx * tile - halo), min(9 + halo, tx * tile + tile + halo))}
+    got = [(r["ty"], r["tx"], r["row"], r["col"], r["v"]) for r in wide.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_measures_of_several_values_share_a_tiling(image):
+    from orbitlake.operators import measure
+    from pyspark.sql import functions as F
+    px = image(np.random.default_rng(4).normal(size=(12, 14))).withColumn("w", F.col("v") * 3)
+    for measured in (measure.sharpness, measure.noise):
+        both = measured(px, ["frame_id"], {"a": "v", "b": "w"}, tile=8).first()
+        one = [measured(px, ["frame_id"], c, tile=8).first()[1] for c in "vw"]
+        assert [both["a"], both["b"]] == pytest.approx(one)
