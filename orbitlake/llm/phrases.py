@@ -13,7 +13,7 @@ at spaces and tabs.  Everything is counted within a language (null: 'und').
    trie over word numbers, built in a task of its own, with the counts of its words.  A few shards
    at a time are broadcast, and in every block numpy moves the states of all text positions at
    once, one word a level, and bincounts the accepting states.  The sums of all blocks are the
-   exact counts.
+   exact counts; a task passes them on as deflated pages.
 4. Counts of pairs meet the triples they are in by equal joins, and every language is ranked in
    salts; only what is as good as the last of the best is spelt out.
 
@@ -44,6 +44,8 @@ MANY, INSIDE, BEST = 10, 50, 2000
 SHARD, SHARDS, BITS, BLOCK = 1 << 18, 4, 1 << 25, 1 << 20
 #: Bits of a page of a filter; words whose counts a task puts together before it passes them on.
 PAGE, HELD = 1 << 12, 1 << 19
+#: Counts of a page of a shard's sums.
+SUMS = 1 << 16
 
 _MARKS = np.zeros(256, np.uint8)
 _MARKS[[*b".,;:!?", *range(10, 14)]] = 1
@@ -349,6 +351,7 @@ def _places(heads, first, n, order, label, slot, base_of, wide: int) -> np.ndarr
 
 _SHARD = ("shard int, symbols binary, base binary, checks binary, phrases binary, "
           "accepts binary, langs array<string>")
+_SUMS = "shard int, first int, n int, sums binary"
 _FOUND = "lang string, h1 long, h2 long, h3 long, first long, last long, a long"
 
 
@@ -372,10 +375,18 @@ def _counted(tries):
             ("symbols", np.uint64), ("base", np.int32), ("checks", np.int32)))), r)
             for r in tries.value]
         sums = [np.zeros(len(trie.check), np.int64) for trie, _ in ready]
+        held: list[list[np.ndarray]] = [[] for _ in ready]
+
+        def add(i: int, at_least: int) -> None:
+            """Counts what is held once there is so much of it that it is worth a pass over all."""
+            if sum(map(len, held[i])) >= max(at_least, 1):
+                sums[i] += np.bincount(np.concatenate(held[i]), minlength=len(sums[i]))
+                held[i].clear()
         for batch in batches:
             for words in _words_of(batch):
-                for (trie, _), total in zip(ready, sums, strict=True):
-                    codes = trie.codes(words)
+                different, own = np.unique(words, return_inverse=True)
+                for i, (trie, _) in enumerate(ready):
+                    codes = trie.codes(different)[own]
                     at = np.flatnonzero(codes >= 0)
                     states = np.zeros(len(at), np.int64)
                     for _ in range(3):
@@ -383,24 +394,51 @@ def _counted(tries):
                         states = trie.step(states[inside], codes[at[inside]])
                         at = at[inside][states >= 0]
                         states = states[states >= 0]
-                        total += np.bincount(states, minlength=len(total))
+                        held[i].append(states.astype(np.int32))
                         at = at + 1
-        for (_, r), total in zip(ready, sums, strict=True):
-            n = total[np.frombuffer(r["accepts"], np.int32)]
-            there = np.flatnonzero(n)
+                    add(i, len(sums[i]))
+        for i, (_, r) in enumerate(ready):
+            add(i, 1)
+            n = sums[i][np.frombuffer(r["accepts"], np.int32)]
+            firsts = range(0, len(n), SUMS)
+            pages = [n[first:first + SUMS] for first in firsts]
             yield pa.record_batch({
-                "shard": pa.array(np.full(len(there), r["shard"], np.int32)),
-                "number": pa.array(there.astype(np.int32)), "n": pa.array(n[there])})
+                "shard": pa.array(np.full(len(pages), r["shard"], np.int32)),
+                "first": pa.array(firsts, pa.int32()),
+                "n": pa.array([len(page) for page in pages], pa.int32()),
+                "sums": pa.array([_packed(page) for page in pages], pa.binary())})
     return count
 
 
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """A page's counts over all tasks."""
+    total = np.zeros(rows["n"].iloc[0], np.int64)
+    for packed in rows["sums"]:
+        total += _unpacked(packed, len(total))
+    return rows.head(1).assign(sums=[_packed(total)])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small or 0: a byte each, 255 for those that follow in full; deflated."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(small.tobytes() + counts[small == 255].astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, np.int64, offset=n)
+    return counts
+
+
 def _told(rows: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
     """A shard's phrases with their counts and those of their first and last words."""
     r = tries.iloc[0]
     phrases = np.frombuffer(r["phrases"], np.uint64).reshape(-1, 3)
     words = np.unique(phrases[phrases != 0])
     total = np.zeros(len(phrases) + len(words), np.int64)
-    total[rows["number"].to_numpy()] = rows["a"].to_numpy()
+    for first, n, packed in zip(rows["first"], rows["n"], rows["sums"], strict=True):
+        total[first:first + n] = _unpacked(packed, n)
     a, f = total[:len(phrases)], total[len(phrases):]
     last = np.where(phrases[:, 2] != 0, phrases[:, 2], phrases[:, 1])
     keep = np.flatnonzero(a >= MANY)
@@ -448,8 +486,8 @@ def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int])
         part = some_tries.select("shard", "symbols", "base", "checks", "accepts").collect()
         held = context.broadcast([{k: bytes(x) if isinstance(x, bytearray) else x
                                    for k, x in r.asDict().items()} for r in part])
-        sums = (blocks.mapInArrow(_counted(held), "shard int, number int, n long")
-                .groupBy("shard", "number").agg(F.sum("n").alias("a")))
+        sums = (blocks.mapInArrow(_counted(held), _SUMS).groupBy("shard", "first")
+                .applyInPandas(_added, _SUMS))
         counts.append(shared.settle(sums.groupBy("shard").cogroup(
             some_tries.withColumnRenamed("shard", "own").groupBy("own"))
             .applyInPandas(_told, _FOUND)))

@@ -167,6 +167,15 @@ def test_phrases_equal_plain_counts(texts, seed):
     assert as_rows(phrases.collocations(texts(rows), 3)) == plain_phrases(rows, 3)
 
 
+def test_counts_travel_as_deflated_pages(spark, texts, monkeypatch):
+    """Counts beyond a byte, pages of few of them: nothing is lost, and a task sends a row a page."""
+    n = np.array([0, 1, 254, 255, 256, 0, 1 << 40])
+    assert phrases._unpacked(phrases._packed(n), len(n)).tolist() == n.tolist()
+    monkeypatch.setattr(phrases, "SUMS", 3)
+    rows = [("a b c d. " * 20 + "a b", "en")] * 30 + [("x y, b c", None)] * 12
+    assert as_rows(phrases.collocations(texts(rows))) == plain_phrases(rows)
+
+
 def test_phrases_over_many_shards(texts, monkeypatch):
     """Shards of few phrases, filters that let nearly everything pass: the same counts."""
     monkeypatch.setattr(phrases, "SHARD", 40)
