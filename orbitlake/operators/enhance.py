@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import tone
 from ..functions.numeric import clip
-from ..session import materialise
+from ..session import materialise, written
 from .keyed import attach
 from .quantiles import quantiles
 
@@ -41,7 +43,7 @@ def white_balance(df: DataFrame, keys: Sequence[str] = ("frame_id",), strength:
     """
     if strength <= 0:
         return df
-    df = materialise(df)            # read for the means and again for the picture
+    df = written(df)                # read for the means and again for the picture
     whole = F.max(F.col("height").cast("long") * F.col("width")) \
         if {"height", "width"} <= set(df.columns) else F.count(F.lit(1))
     means = df.groupBy(*keys).agg(*[(F.sum(F.coalesce(F.col(c), F.lit(0.0))) / whole)
@@ -103,77 +105,69 @@ def clahe(df: DataFrame, value: str, keys: Sequence[str] = ("frame_id",),
 
     Histograms and clip limits are of the whole tile: cells without a row or a value count as
     black, though they stay NULL.  Counting is a map-side-combined aggregate of at most 256 rows
-    per tile; the four surrounding mappings reach each pixel as arrays through one join on
-    (frame, tile), which spreads every frame over its tiles.
+    per tile, whatever its size; a frame's counts become its mappings at once, and the four
+    surrounding ones reach each pixel as one array through one join on (frame, tile), which spreads
+    every frame over its tiles.
     """
     if clip_limit <= 0:
         return df
     keys, tiles = list(keys), max(2, min(int(tiles), 16))
     h, w = F.col("height"), F.col("width")
+    df = written(df)                # read for the counts and again for the picture
     # a level that cannot be NULL gets no inferred filter, which would otherwise be pushed down and
     # drag the whole picture expression with it
     level = F.coalesce(clip(F.col(value) * (BINS - 1.0), 0.0, BINS - 1.0).cast("int"), F.lit(0))
-    px = materialise(df.withColumns({"__ty": _tile_of(F.col("row"), h, tiles),
-                                     "__tx": _tile_of(F.col("col"), w, tiles),
-                                     "__q": level}))
+    px = df.withColumns({"__ty": _tile_of(F.col("row"), h, tiles),
+                         "__tx": _tile_of(F.col("col"), w, tiles), "__q": level})
+    corners = _corners(px, keys, clip_limit, tiles)
     low_y, wy = _blend(F.col("__ty"), F.col("row"), h, tiles)
     low_x, wx = _blend(F.col("__tx"), F.col("col"), w, tiles)
-    px = px.withColumns({"__y0": low_y, "__wy": wy, "__x0": low_x, "__wx": wx})
-    px = attach(px, _corners(_mappings(px, keys, clip_limit, tiles), keys, tiles),
-                [*keys, "__y0", "__x0"], row_bytes=4 * BINS * 8 + 64)
-    at = lambda c: F.get(c, F.col("__q"))
-    top = at("__m00") * (1.0 - F.col("__wx")) + at("__m01") * F.col("__wx")
-    low = at("__m10") * (1.0 - F.col("__wx")) + at("__m11") * F.col("__wx")
+    px = px.withColumns({"__y0": low_y, "__wy": wy, "__x0": low_x, "__wx": wx}).drop("__ty", "__tx")
+    px = attach(px, corners, [*keys, "__y0", "__x0"], row_bytes=4 * BINS * 8 + 64)
+    at = lambda corner: F.get("__map", F.col("__q") + corner * BINS)
+    top = at(0) * (1.0 - F.col("__wx")) + at(1) * F.col("__wx")
+    low = at(2) * (1.0 - F.col("__wx")) + at(3) * F.col("__wx")
     mixed = clip(top * (1.0 - F.col("__wy")) + low * F.col("__wy"), 0.0, 1.0)
     return px.withColumn(value, F.when(F.col(value).isNotNull(), mixed)).select(*df.columns)
 
 
-def _mappings(px: DataFrame, keys: list[str], clip_limit: float, tiles: int) -> DataFrame:
-    """One 256-value mapping array per (frame, tile)."""
+def _corners(px: DataFrame, keys: list[str], clip_limit: float, tiles: int) -> DataFrame:
+    """For every lower neighbour tile, ``__map``: 256 values each of its own mapping, that of the
+    next tile along the row, along the column, and along both."""
     counted = px.groupBy(*keys, "__ty", "__tx", "__q").agg(
         F.count(F.lit(1)).alias("__h"), F.max("height").alias("__fh"), F.max("width").alias("__fw"))
-    numbers = lambda n: F.explode_outer(F.sequence(F.lit(0), F.lit(n - 1)))
-    slots = (counted.groupBy(*keys).agg(F.max("__fh").alias("__fh"), F.max("__fw").alias("__fw"))
-             .withColumn("__ty", numbers(tiles)).withColumn("__tx", numbers(tiles)))
-    side = lambda at, size: _edge(F.col(at) + 1, F.col(size), tiles) - _edge(
-        F.col(at), F.col(size), tiles)
-    slots = slots.withColumn("__n", (side("__ty", "__fh") * side("__tx", "__fw")).cast("long"))
-    slots = slots.drop("__fh", "__fw").withColumn("__q", numbers(BINS))
-    tile = Window.partitionBy(*keys, "__ty", "__tx")
-    upto = tile.orderBy("__q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = slots.join(counted.drop("__fh", "__fw"), [*keys, "__ty", "__tx", "__q"],
-                      "left").fillna(0, ["__h"])
-    # what a tile has no rows for is black
-    full = full.withColumn("__h", F.col("__h") + F.when(
-        F.col("__q") == 0, F.col("__n") - F.sum("__h").over(tile)).otherwise(0))
-    limit = F.greatest(F.lit(float(clip_limit)) * F.col("__n") / float(BINS), F.lit(1.0))
-    full = full.withColumn("__l", limit)
-    full = full.withColumn("__x", F.sum(F.greatest(F.col("__h") - F.col("__l"), F.lit(0.0)))
-                           .over(tile))
-    full = full.withColumn("__c", F.sum(F.least(F.col("__h").cast("double"), F.col("__l"))
-                                        + F.col("__x") / float(BINS)).over(upto))
-    first, last = F.min("__c").over(tile), F.max("__c").over(tile)
-    full = full.withColumn("__m", F.when(F.col("__n") > 0, (F.col("__c") - first)
-                                         / F.greatest(last - first, F.lit(1e-6)))
-                           .otherwise(F.col("__q") / (BINS - 1.0)))
-    packed = full.groupBy(*keys, "__ty", "__tx").agg(
-        F.sort_array(F.collect_list(F.struct("__q", "__m"))).alias("__s"))
-    return packed.select(*keys, "__ty", "__tx", F.col("__s.__m").alias("__map"))
-
-
-def _corners(maps: DataFrame, keys: list[str], tiles: int) -> DataFrame:
-    """For every lower neighbour tile, the mappings of it and of its next ones."""
-    def serves(axis: str) -> Column:
-        here = F.struct(F.col(axis).alias("low"), F.lit(0).alias("step"))
-        next_ = F.struct((F.col(axis) - 1).alias("low"), F.lit(1).alias("step"))
-        last = F.struct(F.col(axis).alias("low"), F.lit(1).alias("step"))
-        return F.explode_outer(F.when(F.col(axis) == tiles - 1, F.array(here, next_, last))
-                         .when(F.col(axis) == 0, F.array(here)).otherwise(F.array(here, next_)))
-    spread = (maps.withColumn("__y", serves("__ty")).withColumn("__x", serves("__tx"))
-              .groupBy(*keys, F.col("__y.low").alias("__y0"), F.col("__x.low").alias("__x0")))
-    pick = lambda y, x: F.max(F.when((F.col("__y.step") == y) & (F.col("__x.step") == x),
-                                     F.col("__map"))).alias(f"__m{y}{x}")
-    return spread.agg(*[pick(y, x) for y in (0, 1) for x in (0, 1)])
+    own = [f for f in counted.schema.fields if f.name in keys]
+    schema = T.StructType([*own, T.StructField("__y0", T.IntegerType()),
+                           T.StructField("__x0", T.IntegerType()),
+                           T.StructField("__map", T.ArrayType(T.DoubleType()))])
+
+    def of_frame(counts: pa.Table) -> pa.Table:
+        ty, tx, q, h = (counts[c].to_numpy() for c in ("__ty", "__tx", "__q", "__h"))
+        sides = [np.diff([*(np.floor(np.arange(tiles) * (size / tiles))), size]) for size in (
+            int(counts[c].to_numpy().max()) for c in ("__fh", "__fw"))]
+        held = np.zeros((tiles, tiles, BINS))
+        held[ty, tx, q] = h
+        maps = _mappings(held, np.outer(*sides).astype(np.int64), clip_limit)
+        after = np.minimum(np.arange(tiles) + 1, tiles - 1)
+        corners = np.stack((maps, maps[:, after], maps[after], maps[after][:, after]), axis=2)
+        y0, x0 = (a.reshape(-1).astype(np.int32) for a in np.indices((tiles, tiles)))
+        offsets = np.arange(0, corners.size + 1, 4 * BINS, dtype=np.int32)
+        first = counts.select(keys).take(pa.array(np.zeros(len(y0), np.int64)))
+        return pa.table({**{k: first[k] for k in keys}, "__y0": y0, "__x0": x0,
+                         "__map": pa.ListArray.from_arrays(offsets, corners.reshape(-1))})
+    return counted.groupBy(*keys).applyInArrow(of_frame, schema)
+
+
+def _mappings(held: np.ndarray, cells: np.ndarray, clip_limit: float) -> np.ndarray:
+    """The mapping of each tile (0..1 for each level) from its counts and its number of cells."""
+    held = held.copy()
+    held[..., 0] += cells - held.sum(-1)            # what a tile has no rows for is black
+    limit = np.maximum(clip_limit * cells / BINS, 1.0)[..., None]
+    excess = np.maximum(held - limit, 0.0).sum(-1, keepdims=True)
+    total = np.cumsum(np.minimum(held, limit) + excess / BINS, axis=-1)
+    first, last = total.min(-1, keepdims=True), total.max(-1, keepdims=True)
+    return np.where(cells[..., None] > 0, (total - first) / np.maximum(last - first, 1e-6),
+                    np.arange(BINS) / (BINS - 1.0))
 
 
 def clahe_rgb(df: DataFrame, keys: Sequence[str] = ("frame_id",), clip_limit: float = 2.0,

@@ -62,14 +62,16 @@ def _pack(pixels: DataFrame, bands: Sequence[str], cell: list[str]) -> DataFrame
 
 def _packed_median(pixels: DataFrame, bands: Sequence[str], cell: list[str]) -> DataFrame:
     """The medians are results of the aggregate itself: a filter on them can't be moved below it,
-    which would sort every array again for each place the filter names it."""
+    which would sort every array again for each place the filter names it.  Rows travel as they are:
+    a cell's dates lie apart, so buffers made before the shuffle would hold one value each."""
     def median(b: str) -> Column:
         held = F.sort_array(F.collect_list(F.col(b).cast("double")))
         n = F.size(held)
         low, high = F.get(held, F.floor((n - 1) / 2).cast("int")), F.get(
             held, F.floor(n / 2).cast("int"))
         return (low + high) / 2         # an empty array has neither
-    return pixels.groupBy(*cell).agg(*[median(b).alias(b) for b in bands])
+    rows = pixels.select(*cell, *bands).repartition(*cell)
+    return rows.groupBy(*cell).agg(*[median(b).alias(b) for b in bands])
 
 
 def common_bands(scenes: DataFrame, keys: Sequence[str] = ("frame_id",),

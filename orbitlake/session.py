@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,22 @@ def materialise(df: DataFrame) -> DataFrame:
     local session may fall back to a private folder, because a cluster's executors could not
     reach it.
     """
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same for the cells of pictures, as compressed columns: steps read those they name.
+
+    A checkpoint keeps whole rows, uncompressed, which for pictures is most of what is written.
+    """
     spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/columns-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,4 +52,4 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

@@ -143,3 +143,55 @@ def test_measures_of_several_values_share_a_tiling(image):
         both = measured(px, ["frame_id"], {"a": "v", "b": "w"}, tile=8).first()
         one = [measured(px, ["frame_id"], c, tile=8).first()[1] for c in "vw"]
         assert [both["a"], both["b"]] == pytest.approx(one)
+
+
+def test_equalising_makes_no_row_for_every_level(spark, image):
+    from orbitlake.operators import enhance
+    plan = optimised(enhance.clahe(image(np.linspace(0, 1, 81).reshape(9, 9)), "v", tiles=3))
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_equalising_frames_whose_tiles_differ_in_size(spark):
+    from orbitlake.operators import enhance
+    rng = np.random.default_rng(4)
+    tall = {key: rng.random(shape) for key, shape in ((1, (7, 11)), (2, (5, 8)))}
+    rows = [(key, *at, float(v) if v > 0.2 else None, *a.shape)
+            for key, a in tall.items() for at, v in np.ndenumerate(a) if v > 0.1]
+    df = spark.createDataFrame(rows, "frame_id int, row int, col int, v double, height int, width int")
+    both = {(r.frame_id, r.row, r.col): r.v for r in enhance.clahe(df, "v", tiles=3).collect()}
+    assert len(both) == len(rows)
+    for key, a in tall.items():
+        h, w = a.shape
+        edges = [[int(np.floor(i * n / 3)) for i in range(3)] + [n] for n in (h, w)]
+        maps, levels = np.zeros((3, 3, 256)), np.zeros(a.shape, int)
+        levels[a > 0.2] = (a[a > 0.2] * 255).astype(int)
+        for y, x in np.ndindex(3, 3):
+            tile = levels[edges[0][y]:edges[0][y + 1], edges[1][x]:edges[1][x + 1]]
+            counts = np.bincount(tile.ravel(), minlength=256).astype(float)
+            limit = max(2.0 * tile.size / 256, 1.0)
+            total = np.cumsum(np.minimum(counts, limit) + np.maximum(counts - limit, 0).sum() / 256)
+            maps[y, x] = (total - total[0]) / max(total[-1] - total[0], 1e-6)
+        mids = [[(e[i] + e[i + 1]) / 2 for i in range(3)] for e in edges]
+        for (r, c), v in np.ndenumerate(a):
+            if v > 0.1:
+                along = [np.interp(c, mids[1], maps[y, :, levels[r, c]]) for y in range(3)]
+                want = np.interp(r, mids[0], along) if v > 0.2 else None
+                got = both[key, r, c]
+                assert got is None if want is None else abs(got - want) < 1e-9
+
+
+def test_dates_travel_to_their_cells_before_they_are_held(spark):
+    from orbitlake.operators import merge
+    df = spark.createDataFrame([(0, 0, 0, 1.0)], "frame_id int, row int, col int, red double")
+    plan = optimised(merge.composite(df, ["red"], packed=True)).splitlines()
+    assert "Aggregate" in plan[0] and any("RepartitionByExpression" in line for line in plan[1:])
+
+
+def test_written_pictures_keep_rows_and_types(spark):
+    from orbitlake.session import written
+    df = spark.createDataFrame([(1, None, True), (2, float("nan"), None), (3, 0.5, False)],
+                               "a int, `b c` double, d boolean")
+    for some in (df, df.where("a > 9")):
+        back = written(some)
+        assert back.dtypes == some.dtypes and "parquet" in back.inputFiles()[0]
+        assert sorted(map(str, back.collect())) == sorted(map(str, some.collect()))
