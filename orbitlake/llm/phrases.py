@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z), cut into pieces at sentence marks and line ends, and pieces into words
 at spaces and tabs.  Everything is counted within a language (null: 'und').
 
-1. Words are counted, and the texts are written down once as blocks of 64-bit word hashes of one
-   language each, a zero between pieces.
+1. Words are counted by their 64-bit hashes, and the texts are written down once as blocks of one
+   language each: the different hashes of a block, and which of them stands at each place, a zero
+   between pieces.
 2. Apriori: a phrase that occurs MANY times is made of words that do.  Hashed totals of pairs and
    triples of such words give upper bounds; a phrase stays a candidate only if the bounds of it and
    of the pairs inside it reach MANY.  The filters are bitmaps of BITS bits, whatever the corpus:
@@ -15,7 +16,7 @@ at spaces and tabs.  Everything is counted within a language (null: 'und').
    once, one word a level, and bincounts the accepting states.  The sums of all blocks are the
    exact counts; a task passes them on as deflated pages.
 4. Counts of pairs meet the triples they are in by equal joins, and every language is ranked in
-   salts; only what is as good as the last of the best is spelt out.
+   salts; only what is as good as the last of the best is spelt out, by reading the texts again.
 
 Null and empty texts have no words; texts are read whole; repeated rows count each; columns other
 than text and lang don't matter; ties are ordered by the phrase's bytes, and an empty table gives
@@ -44,6 +45,8 @@ MANY, INSIDE, BEST = 10, 50, 2000
 SHARD, SHARDS, BITS, BLOCK = 1 << 18, 4, 1 << 25, 1 << 20
 #: Bits of a page of a filter; words whose counts a task puts together before it passes them on.
 PAGE, HELD = 1 << 12, 1 << 19
+#: Classes of first words for each MANY * BITS words: at 8 few rare pairs share a bit with a frequent one.
+CROWD = 8
 #: Counts of a page of a shard's sums.
 SUMS = 1 << 16
 
@@ -88,29 +91,23 @@ def word_hashes(lang: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, put together over as many slices as HELD words allow."""
-    held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+    """Hashes of words and their counts, put together over as many slices as HELD words allow."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
     n = 0
 
     def together() -> Iterator[pa.RecordBatch]:
         if held:
             h, counts = (np.concatenate([part[i] for part in held]) for i in (0, 1))
             h, first, own = np.unique(h, return_index=True, return_inverse=True)
-            lang, word = (pa.concat_arrays([part[i] for part in held]).take(pa.array(first))
-                          for i in (2, 3))
-            yield pa.record_batch({"lang": lang, "h": pa.array(h.view(np.int64)), "word": word,
+            lang = pa.concat_arrays([part[2] for part in held]).take(pa.array(first))
+            yield pa.record_batch({"lang": lang, "h": pa.array(h.view(np.int64)),
                                    "n": pa.array(np.bincount(own, counts).astype(np.int64))})
         held.clear()
     for batch in batches:
         for lang, data, offsets in _slices(batch):
             starts, ends, _ = word_runs(data, offsets)
-            h, first, counts = np.unique(word_hashes(lang, data, starts, ends), return_index=True,
-                                         return_counts=True)
-            raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(),
-                                                       ends[first].tolist(), strict=True)]
-            held.append((h, counts, pa.array([lang] * len(h), pa.string()),
-                         pa.array(words, pa.string())))
+            h, counts = np.unique(word_hashes(lang, data, starts, ends), return_counts=True)
+            held.append((h, counts, pa.array([lang] * len(h), pa.string())))
             n += len(h)
             if n >= HELD:
                 yield from together()
@@ -118,14 +115,39 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from together()
 
 
+def _spellings(wanted):
+    """The words whose hashes may be wanted, each once a task."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.uint64)
+        for batch in batches:
+            for lang, data, offsets in _slices(batch):
+                starts, ends, _ = word_runs(data, offsets)
+                h, first = np.unique(word_hashes(lang, data, starts, ends), return_index=True)
+                new = np.flatnonzero(_has(wanted.value, h) & ~np.isin(h, told))
+                told = np.concatenate((told, h[new]))
+                raw, at = data.tobytes(), first[new]
+                words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(),
+                                                           strict=True)]
+                yield pa.record_batch({"h": pa.array(h[new].view(np.int64)),
+                                       "word": pa.array(words, pa.string())})
+    return spell
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, data, offsets in _slices(batch):
             starts, ends, fresh = word_runs(data, offsets)
             out = np.zeros(len(starts) + int(fresh.sum()), np.uint64)
             out[np.arange(len(starts)) + np.cumsum(fresh)] = word_hashes(lang, data, starts, ends)
-            yield pa.record_batch({"lang": pa.array([lang], pa.string()),
-                                   "words": pa.array([out.tobytes()], pa.binary())})
+            words, codes = np.unique(out, return_inverse=True)
+            yield pa.record_batch({
+                "lang": pa.array([lang], pa.string()),
+                "words": pa.array([words.tobytes()], pa.binary()),
+                "codes": pa.array([codes.astype(_code_type(len(words))).tobytes()], pa.binary())})
+
+
+def _code_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
 
 
 # --- Apriori filters ---
@@ -181,9 +203,11 @@ def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"page": batch.column("page"), "bits": pa.array(out, pa.binary())})
 
 
-def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for block in batch.column("words"):
-        yield np.frombuffer(block.as_buffer(), np.uint64)
+def _words_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different words of each block, and which of them stands at each place."""
+    for block, codes in zip(batch.column("words"), batch.column("codes"), strict=True):
+        words = np.frombuffer(block.as_buffer(), np.uint64)
+        yield words, np.frombuffer(codes.as_buffer(), _code_type(len(words)))
 
 
 def _bounds(filters, some: tuple[int, int], level: int):
@@ -193,8 +217,8 @@ def _bounds(filters, some: tuple[int, int], level: int):
         common, pairs = filters.value
         totals = np.zeros(8 * len(common), np.uint8)
         for batch in batches:
-            for words in _words_of(batch):
-                words = np.where(_has(common, words), words, np.uint64(0))
+            for words, codes in _words_of(batch):
+                words = np.where(_has(common, words), words, np.uint64(0))[codes]
                 pair, triple = _pairs_and_triples(words, some)
                 h = pair[pair != 0] if level == 2 else triple[_both(pairs, pair) & (triple != 0)]
                 bit, n = np.unique(_bits(h, common), return_counts=True)
@@ -230,9 +254,9 @@ def _candidates(filters, some: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
         for batch in batches:
-            for lang, words in zip(batch.column("lang").to_pylist(), _words_of(batch),
-                                   strict=True):
-                words = np.where(_has(common, words), words, np.uint64(0))
+            for lang, (words, codes) in zip(batch.column("lang").to_pylist(), _words_of(batch),
+                                            strict=True):
+                words = np.where(_has(common, words), words, np.uint64(0))[codes]
                 pair, triple = _pairs_and_triples(words, some)
                 two = _has(pairs, pair)
                 three = _has(triples, triple) & _both(pairs, pair)
@@ -383,8 +407,7 @@ def _counted(tries):
                 sums[i] += np.bincount(np.concatenate(held[i]), minlength=len(sums[i]))
                 held[i].clear()
         for batch in batches:
-            for words in _words_of(batch):
-                different, own = np.unique(words, return_inverse=True)
+            for different, own in _words_of(batch):
                 for i, (trie, _) in enumerate(ready):
                     codes = trie.codes(different)[own]
                     at = np.flatnonzero(codes >= 0)
@@ -455,7 +478,7 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
     by their first words, so that a class's totals don't crowd the filters, however large the
     corpus."""
     common = _bitmap(_word_pages(words))
-    classes = max(1, -(-2 * total // (MANY * BITS)))
+    classes = max(1, -(-CROWD * total // (MANY * BITS)))
     return reduce(DataFrame.union, [_class_counts(blocks, common, (some, classes))
                                     for some in range(classes)])
 
@@ -489,7 +512,7 @@ def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int])
         sums = (blocks.mapInArrow(_counted(held), _SUMS).groupBy("shard", "first")
                 .applyInPandas(_added, _SUMS))
         counts.append(shared.settle(sums.groupBy("shard").cogroup(
-            some_tries.withColumnRenamed("shard", "own").groupBy("own"))
+            some_tries.select(F.col("shard").alias("own"), "phrases", "langs").groupBy("own"))
             .applyInPandas(_told, _FOUND)))
         held.unpersist()
     return reduce(DataFrame.union, counts)
@@ -500,27 +523,35 @@ def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int])
 def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the `best` phrases of each language."""
     ready = _ready(docs)
-    words = shared.settle(ready.mapInArrow(_word_counts, "lang string, h long, word string, n long")
-                          .groupBy("lang", "h", "word").agg(F.sum("n").alias("f")))
+    words = shared.settle(ready.mapInArrow(_word_counts, "lang string, h long, n long")
+                          .groupBy("lang", "h").agg(F.sum("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     words = words.where(F.col("f") >= MANY)
-    blocks = shared.settle(ready.mapInArrow(_blocks, "lang string, words binary"))
+    blocks = shared.settle(ready.mapInArrow(_blocks, "lang string, words binary, codes binary"))
     scored = shared.settle(_scored(phrase_counts(blocks, words, total)))
     # what is as good as the last of the best gets its words, which settle ties
     order = [F.desc("score"), F.desc("a")]
     least = (top_k(scored, ["lang"], [*order, F.asc("h1"), F.asc("h2"), F.asc("h3")], best)
              .groupBy("lang").agg(F.min(F.struct("score", "a")).alias("least")))
-    good = (scored.join(F.broadcast(least), "lang")
-            .where(F.struct("score", "a") >= F.col("least")).drop("least"))
-    ranked = top_k(_spelt(good, words), ["lang"], [*order, F.asc("phrase")], best)
+    good = shared.settle(scored.join(F.broadcast(least), "lang")
+                         .where(F.struct("score", "a") >= F.col("least")).drop("least"))
+    ranked = top_k(_spelt(good, ready), ["lang"], [*order, F.asc("phrase")], best)
     return (ranked.join(F.broadcast(sizes), "lang")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",
                     "score"))
 
 
-def _spelt(found: DataFrame, words: DataFrame) -> DataFrame:
-    for key in ("h1", "h2", "h3"):
+def _spelt(found: DataFrame, ready: DataFrame) -> DataFrame:
+    """Phrases in words.  Only hashes are counted and shuffled before; the few words that are wanted
+    are read off the texts again, through a filter that has any number of them."""
+    keys = ("h1", "h2", "h3")
+    wanted = found.select(F.explode(F.array(*keys)).alias("h")).where("h != 0").distinct()
+    held = found.sparkSession.sparkContext.broadcast(_bitmap(_word_pages(wanted)))
+    words = shared.settle(ready.mapInArrow(_spellings(held), "h long, word string")
+                          .groupBy("h").agg(F.min("word").alias("word")))
+    held.unpersist()
+    for key in keys:
         found = found.join(words.select(F.col("h").alias(key), F.col("word").alias(f"{key}_word")),
                            key, "left")
     # a pair's third word is null, which is left out

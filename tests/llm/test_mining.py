@@ -188,6 +188,22 @@ def test_phrases_over_many_shards(texts, monkeypatch):
     assert as_rows(phrases.collocations(texts(rows))) == plain_phrases(rows)
 
 
+def test_blocks_hold_codes_and_counts_hold_hashes(texts, monkeypatch):
+    """A repeated word costs a block two bytes, words are counted and shuffled without their letters,
+    and blocks of more words than two bytes tell apart are read as well."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": "one two one two. " * 500}])
+    block, = phrases._blocks(iter([batch]))
+    assert sum(len(block[c][0].as_py()) for c in ("words", "codes")) < 4 * 2000
+    (words, codes), = phrases._words_of(block)
+    assert len(words) == 3 and np.bincount(codes).tolist() == [500, 1000, 1000]
+    counts, = phrases._word_counts(iter([batch]))
+    assert counts.schema.names == ["lang", "h", "n"]
+    many = pa.RecordBatch.from_pylist([{"lang": "en", "text": " ".join(map(str, range(70000)))}])
+    (words, codes), = phrases._words_of(next(phrases._blocks(iter([many]))))
+    assert len(words) == 70001 and codes.dtype == np.uint32 and len(np.unique(codes)) == 70001
+
+
 def test_phrase_cases(texts):
     assert phrases.collocations(texts([]).limit(0)).count() == 0
     assert phrases.collocations(texts([("lonely words only", "en")])).count() == 0
