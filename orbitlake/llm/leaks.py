@@ -114,8 +114,8 @@ def idf(docs: DataFrame, items: DataFrame) -> np.ndarray:
     marks = (items.select(shared.text_or_empty(items).alias("text"))
              .mapInArrow(_item_triples, "bucket int").where("bucket >= 0").distinct().toPandas())
     seen[marks["bucket"].to_numpy(np.int64)] = True
-    rows = (docs.select(shared.text_or_empty(docs).alias("text"))
-            .mapInArrow(_counts(seen), "bucket int, n long")
+    rows = (shared.over_texts(docs.select(shared.text_or_empty(docs).alias("text")),
+                              _counts(seen), "bucket int, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
     df, documents = np.zeros(1 << BITS), 0
     for bucket, n in zip(rows["bucket"].to_numpy(), rows["n"].to_numpy(), strict=True):
@@ -426,7 +426,7 @@ def _searched(docs: DataFrame, space_rows: list, weights: np.ndarray) -> DataFra
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__matches", T.ArrayType(_MATCH))])
     text = shared.text_or_empty(docs)
-    return docs.select("*", text.alias("__text")).mapInArrow(search, schema)
+    return shared.over_texts(docs.select("*", text.alias("__text")), search, schema)
 
 
 _MATCH = (T.StructType().add("item_id", "long").add("cosine", "double").add("share", "double")

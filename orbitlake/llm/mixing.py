@@ -57,7 +57,8 @@ def sizes(docs: DataFrame) -> DataFrame:
                        docs["source"].cast("string").alias("source"),
                        F.xxhash64(docs["doc_id"].cast("long"), text).alias("print"),
                        text.alias("text"))
-    counted = rows.mapInArrow(_word_counts, "doc_id long, source string, print long, size long")
+    counted = shared.over_texts(rows, _word_counts,
+                                "doc_id long, source string, print long, size long")
     return counted.withColumn("block", F.pmod(F.xxhash64("print", F.lit(SEED)),
                                               F.lit(BLOCKS)).cast("int"))
 

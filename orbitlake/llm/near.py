@@ -185,9 +185,9 @@ def signed(docs: DataFrame) -> DataFrame:
     """One row per different text: print, its smallest doc_id, copies and bands."""
     count, rows = bands()
     text = shared.text_or_empty(docs)
-    each = (docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"),
-                        F.unhex(F.md5(text)).alias("print"))
-            .mapInArrow(_sign(count, rows), "doc_id long, print binary, bands array<long>"))
+    each = shared.over_texts(docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"),
+                                         F.unhex(F.md5(text)).alias("print")),
+                             _sign(count, rows), "doc_id long, print binary, bands array<long>")
     return each.groupBy("print").agg(F.min("doc_id").alias("first_id"),
                                      F.count("*").alias("copies"),
                                      F.first("bands").alias("bands"))
@@ -214,8 +214,8 @@ def classes(docs: DataFrame) -> DataFrame:
     text = shared.text_or_empty(docs)
     whole = (docs.select(F.unhex(F.md5(text)).alias("print"), text.alias("text"))
              .groupBy("print").agg(F.first("text").alias("text")))
-    sets = (whole.join(member.select("print"), "print")
-            .mapInArrow(_full_sets, "print binary, grams binary"))
+    sets = shared.over_texts(whole.join(member.select("print"), "print"), _full_sets,
+                             "print binary, grams binary")
     meet = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two")))
     dealt = (sets.join(member, "print").withColumn("pair", F.explode(meet))

@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
              .orderBy("place", "doc_id").limit(sample))
     texts = (docs.select(docs["doc_id"].alias("doc_id"), shared.text_or_empty(docs).alias("text"))
              .join(F.broadcast(known), "doc_id").select("place", "quality", "text"))
-    rows = texts.mapInArrow(_features, "place long, quality int, bucket array<int>, "
-                                       "value array<float>").orderBy("place").limit(sample)
+    rows = shared.over_texts(texts, _features, "place long, quality int, bucket array<int>, "
+                                               "value array<float>").orderBy("place").limit(sample)
     found = (rows.withColumn("all", F.lit(0)).groupBy("all")
              .applyInPandas(_ftrl, "bucket int, weight double").collect())
     weights = np.zeros(BUCKETS, np.float32)
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, weights: np.ndarray, name: str = "score",
                                              [*batch.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return shared.over_texts(docs, score, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

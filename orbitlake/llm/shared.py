@@ -9,9 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bytes of text whose hashes are worked out at once.
-SLICE = 1 << 21
+#: Bytes of text whose hashes are worked out at once; bytes of rows that go to Python at once.
+SLICE, BATCH = 1 << 20, 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -34,6 +35,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def over_texts(rows: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH bytes, however long the texts: executor and worker hold a
+    batch several times over, outside the executor's heap, and Spark counts rows by default."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return rows.mapInArrow(function, schema)
+
+
 def text_or_empty(df: DataFrame, name: str = "text") -> F.Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

@@ -8,9 +8,10 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from orbitlake.llm import graph, leaks, mixing, near, quality, sharding, topk
+from orbitlake.llm import graph, leaks, mixing, near, quality, sharding, shared, topk
 from tests.llm.conftest import ODD, SF
 
 
@@ -443,3 +444,26 @@ def test_pipeline_stages(spark):
     assert Counter(zip(whole.doc_id, whole.shard, strict=True)) == Counter(
         zip(last.doc_id, last.shard, strict=True))
     assert isinstance(before, pd.DataFrame)
+
+
+# --- memory of a task ---
+
+def test_texts_reach_python_in_batches_of_bytes(spark, docs, sample):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    frame = docs([(i, "word " * 60_000) for i in range(40)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes])})
+    try:
+        found = [r.n for r in shared.over_texts(frame, sizes, "n long").collect()]
+        assert sum(found) >= 40 * 300_000 and max(found) <= shared.BATCH + 300_100
+        items = sample("benchmark")
+        for step in (lambda d: quality.scored(d, np.zeros(quality.BUCKETS, np.float32)),
+                     near.signed, lambda d: leaks.idf(d, items), mixing.sizes):
+            spark.conf.unset(name)
+            step(frame.limit(1))
+            assert spark.conf.get(name) == str(shared.BATCH)
+    finally:
+        spark.conf.set(name, before)
