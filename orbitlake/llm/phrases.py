@@ -9,7 +9,8 @@ at spaces and tabs.  Everything is counted within a language (null: 'und').
 2. Apriori: a phrase that occurs MANY times is made of words that do.  Hashed totals of pairs and
    triples of such words give upper bounds; a phrase stays a candidate only if the bounds of it and
    of the pairs inside it reach MANY.  The filters are bitmaps of BITS bits, whatever the corpus:
-   false candidates cost time, no phrase is lost.
+   false candidates cost time, no phrase is lost.  A few blocks are searched for candidates first,
+   and the others give those that are not known yet.
 3. Candidates are dealt by hash into shards of about SHARD phrases.  Each becomes a double-array
    trie over word numbers, built in a task of its own, with the counts of its words.  A few shards
    at a time are broadcast, and in every block numpy moves the states of all text positions at
@@ -43,6 +44,9 @@ from orbitlake.operators.keyed import top_k
 MANY, INSIDE, BEST = 10, 50, 2000
 #: Phrases of a shard; shards broadcast at once; bits of a filter (a power of two); bytes of text in a block.
 SHARD, SHARDS, BITS, BLOCK = 1 << 18, 4, 1 << 25, 1 << 20
+#: Bits of a page of totals (two bytes number them); blocks are dealt to so many parts, and the
+#: candidates looked for in these runs of them; candidates of earlier runs that the next one is told.
+TOTALS, PARTS, RUNS, KNOWN = 1 << 16, 16, (0, 1, 4, 16), 1 << 20
 #: Bits of a page of a filter; words whose counts a task puts together before it passes them on.
 PAGE, HELD = 1 << 12, 1 << 19
 #: Classes of first words for each MANY * BITS words: at 8 few rare pairs share a bit with a frequent one.
@@ -177,9 +181,9 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (h != 0)
 
 
-def _bitmap(pages: DataFrame) -> np.ndarray:
+def _bitmap(pages: DataFrame, page: int = PAGE) -> np.ndarray:
     """The filter whose pages are given, as bytes: at most BITS / 8 of them come to the driver."""
-    out = np.zeros((-(-BITS // PAGE), PAGE // 8), np.uint8)
+    out = np.zeros((-(-BITS // page), page // 8), np.uint8)
     for row in pages.toLocalIterator():
         out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
@@ -212,7 +216,7 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _bounds(filters, some: tuple[int, int], level: int):
     """Totals by bit of a task's pairs, or of its triples whose pairs may be frequent: a byte for
-    each bit, which stops at 255, in pages."""
+    each bit, which stops at 255, in pages that tell those above 0."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs = filters.value
         totals = np.zeros(8 * len(common), np.uint8)
@@ -223,21 +227,37 @@ def _bounds(filters, some: tuple[int, int], level: int):
                 h = pair[pair != 0] if level == 2 else triple[_both(pairs, pair) & (triple != 0)]
                 bit, n = np.unique(_bits(h, common), return_counts=True)
                 totals[bit] = np.minimum(totals[bit] + n, 255)
-        pages = totals.reshape(-1, min(PAGE, len(totals)))
+        pages = totals.reshape(-1, min(TOTALS, len(totals)))
         there = np.flatnonzero(pages.any(1))
-        for some_pages in np.array_split(there, -(-len(there) // 256) or 1):
+        for some_pages in np.array_split(there, -(-len(there) // 64) or 1):
             yield pa.record_batch({
                 "page": pa.array(some_pages.astype(np.int32)),
-                "totals": pa.array([zlib.compress(pages[p].tobytes(), 1)
-                                    for p in some_pages.tolist()], pa.binary())})
+                "totals": pa.array([_sparse(pages[p]) for p in some_pages.tolist()], pa.binary())})
     return count
 
 
-def _summed(many: int):
+def _sparse(totals: np.ndarray) -> bytes:
+    """Totals of a page, few of them above 0: the zeros before each of these, as low and as high
+    bytes, and the totals themselves; deflated."""
+    at = np.flatnonzero(totals)
+    zeros = np.diff(at, prepend=-1) - 1
+    return zlib.compress(np.stack((zeros & 255, zeros >> 8, totals[at])).astype(np.uint8)
+                         .tobytes(), 1)
+
+
+def _spread(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and totals of a page."""
+    low, high, totals = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1) \
+        .astype(np.int64)
+    return np.cumsum(low + (high << 8) + 1) - 1, totals
+
+
+def _summed(many: int, page: int):
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = 0
+        total = np.zeros(page, np.int64)
         for packed in rows["totals"]:
-            total = total + np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.int64)
+            at, own = _spread(packed)
+            total[at] += own
         return pd.DataFrame({"page": [rows["page"].iloc[0]],
                              "bits": [np.packbits(total >= many, bitorder="little").tobytes()]})
     return add
@@ -250,9 +270,30 @@ def _both(pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return two
 
 
-def _candidates(filters, some: tuple[int, int]):
+def _known(found: DataFrame | None, count: int) -> np.ndarray:
+    """Hash and words of at most about KNOWN candidates, by hash."""
+    if not count:
+        return np.zeros((4, 0), np.uint64)
+    share = F.pmod(F.xxhash64("h3", "h2", "h1"), F.lit(-(-count // KNOWN))) == 0
+    rows = found.where(share).select("h1", "h2", "h3").toArrow()
+    one, two, three = (rows[c].to_numpy().view(np.uint64) for c in ("h1", "h2", "h3"))
+    pair = shared.mixed(one * _STEP + two)
+    h = np.where(three == 0, pair, shared.mixed(pair * _STEP + shared.mixed(two * _STEP + three)))
+    return np.stack((h, one, two, three))[:, np.argsort(h)]
+
+
+def _new(known: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Which columns (hash and words) of `phrases` are not among the known ones."""
+    if not known.shape[1]:
+        return np.ones(phrases.shape[1], bool)
+    at = np.minimum(np.searchsorted(known[0], phrases[0]), known.shape[1] - 1)
+    return (known[:, at] != phrases).any(0)
+
+
+def _candidates(filters, some: tuple[int, int], told):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
+        known = told.value
         for batch in batches:
             for lang, (words, codes) in zip(batch.column("lang").to_pylist(), _words_of(batch),
                                             strict=True):
@@ -264,12 +305,35 @@ def _candidates(filters, some: tuple[int, int]):
                     at = np.flatnonzero(there)
                     at = at[np.unique(h[at], return_index=True)[1]]
                     last = words[at + 2] if n == 3 else np.zeros(len(at), np.uint64)
-                    yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), **{
-                        name: pa.array(x.view(np.int64)) for name, x in
-                        (("h1", words[at]), ("h2", words[at + 1]), ("h3", last))}})
+                    phrases = np.stack((h[at], words[at], words[at + 1], last))
+                    phrases = phrases[:, _new(known, phrases)].view(np.int64)
+                    yield pa.record_batch({
+                        "lang": pa.array([lang] * phrases.shape[1], pa.string()), **{
+                            name: pa.array(x) for name, x in
+                            zip(("h1", "h2", "h3"), phrases[1:], strict=True)}})
     return find
 
 
+def _found(blocks: DataFrame, filters, some: tuple[int, int]) -> tuple[DataFrame, int]:
+    """The candidates of a class, and how many they are.  A frequent phrase is in many tasks, and
+    each would pass it on: so a few of the blocks are read first, and the others give only what
+    these have not."""
+    context = blocks.sparkSession.sparkContext
+    part = F.pmod(F.xxhash64("codes"), F.lit(PARTS))
+    found, count = None, 0
+    for first, last in zip(RUNS, RUNS[1:], strict=False):
+        told = context.broadcast(_known(found, count))
+        more = shared.settle(blocks.where((part >= first) & (part < last)).mapInArrow(
+            _candidates(filters, some, told), "lang string, h1 long, h2 long, h3 long").distinct())
+        told.unpersist()
+        if found is not None:
+            # those that the run was not told may be there twice
+            more = found.union(more) if count <= KNOWN else \
+                shared.settle(found.union(more).distinct())
+        found, count = more, more.count()
+    return found, count
+
+
 # --- tries ---
 
 class Trie:
@@ -486,17 +550,17 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
 def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int]) -> DataFrame:
     context = blocks.sparkSession.sparkContext
     filters = [common, np.zeros(0, np.uint8)]
+    size = min(TOTALS, BITS)
     for level in (2, 3):
         held = context.broadcast((common, filters[1]))
         pages = (blocks.mapInArrow(_bounds(held, some, level), "page int, totals binary")
-                 .groupBy("page").applyInPandas(_summed(MANY), "page int, bits binary"))
-        filters[level - 1:] = [_bitmap(shared.settle(pages))]
+                 .groupBy("page").applyInPandas(_summed(MANY, size), "page int, bits binary"))
+        filters[level - 1:] = [_bitmap(shared.settle(pages), size)]
         held.unpersist()
     held = context.broadcast(tuple(filters))
-    found = shared.settle(blocks.mapInArrow(
-        _candidates(held, some), "lang string, h1 long, h2 long, h3 long").distinct())
+    found, count = _found(blocks, held, some)
     held.unpersist()
-    shards = -(-found.count() // SHARD)
+    shards = -(-count // SHARD)
     if not shards:
         return blocks.limit(0).select(*(F.lit(None).cast(t.split()[1]).alias(t.split()[0])
                                         for t in _FOUND.split(", ")))

@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checks.compare import _rows, duck
@@ -188,6 +190,45 @@ def test_phrases_over_many_shards(texts, monkeypatch):
     assert as_rows(phrases.collocations(texts(rows))) == plain_phrases(rows)
 
 
+def test_totals_travel_without_their_zeros():
+    """Few totals of a page: little more than a byte each travels, whatever the gaps."""
+    page = np.zeros(phrases.TOTALS, np.uint8)
+    page[[0, 1, 300, len(page) - 1]] = [1, 255, 7, 9]
+    for totals in (page, page[:4096], np.zeros(8, np.uint8), np.full(8, 3, np.uint8)):
+        at, own = phrases._spread(phrases._sparse(totals))
+        assert at.tolist() == np.flatnonzero(totals).tolist()
+        assert own.tolist() == totals[totals > 0].tolist()
+    some = np.random.default_rng(1).random(phrases.TOTALS) < 0.01
+    assert len(phrases._sparse(some.astype(np.uint8))) < 1.6 * some.sum()
+
+
+def test_known_candidates_are_not_passed_on_again(spark, texts, monkeypatch):
+    rows = phrase_rows(4)
+    blocks = spark.createDataFrame(
+        [tuple(b.to_pylist()[0].values()) for b in phrases._blocks(iter([
+            pa.RecordBatch.from_pylist([{"lang": lang or "und", "text": text or ""}
+                                        for text, lang in rows])]))],
+        "lang string, words binary, codes binary")
+    every = SimpleNamespace(value=[np.full(512, 255, np.uint8)] * 3)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in blocks.collect()])
+
+    def given(known):
+        return [r for b in phrases._candidates(every, (0, 1), SimpleNamespace(value=known))(
+            iter([batch])) for r in b.to_pylist()]
+    first = given(np.zeros((4, 0), np.uint64))
+    found = spark.createDataFrame([tuple(r.values()) for r in first],
+                                  "lang string, h1 long, h2 long, h3 long")
+    assert len(first) > 100 and not given(phrases._known(found, len(first)))
+    # runs of blocks, of which the next one is told all or a part
+    for known in (1 << 20, 5):
+        monkeypatch.setattr(phrases, "KNOWN", known)
+        held = spark.sparkContext.broadcast(every.value)
+        all_found, count = phrases._found(blocks, held, (0, 1))
+        got = [tuple(r) for r in all_found.collect()]
+        assert count == len(got) == len(set(got))
+        assert set(got) == {tuple(r.values()) for r in first}
+
+
 def test_blocks_hold_codes_and_counts_hold_hashes(texts, monkeypatch):
     """A repeated word costs a block two bytes, words are counted and shuffled without their letters,
     and blocks of more words than two bytes tell apart are read as well."""
