@@ -173,7 +173,7 @@ def noise(spark, sf_dir):
     return rounded(measure.noise(dense(spark, sf_dir), KEYS, "red", 3, tile=TILE), ["noise"])
 
 
-def _deconvolve_sql(sigma: float = 0.6, amount: float = 0.75, rounds: int = 2) -> str:
+def _deconvolve_sql(sigma: float = 0.6, amount: float = 0.75, rounds: int = 3) -> str:
     sql = dense_cte() + window_cte("d", "v", "lr", 3, "min({v}) AS lo, max({v}) AS hi")
     sql += """, e0 AS (SELECT d.frame_id, d."row", d.col, d.v, d.v AS img, lo - (hi - lo) * 0.2e0 AS lo, hi + (hi - lo) * 0.2e0 AS hi
   FROM d JOIN lr USING (frame_id, "row", col))\n"""
@@ -186,8 +186,8 @@ def _deconvolve_sql(sigma: float = 0.6, amount: float = 0.75, rounds: int = 2) -
 
 @query(_deconvolve_sql())
 def deconvolve(spark, sf_dir):
-    wide = padded(spark, sf_dir, 2 * stencil.radius_of(0.6) + 1)
-    wide = stencil.deconvolve(wide, KEYS, ["red"], 0.6, 0.75, iterations=2)
+    wide = padded(spark, sf_dir, 3 * stencil.radius_of(0.6) + 1)
+    wide = stencil.deconvolve(wide, KEYS, ["red"], 0.6, 0.75, iterations=3)
     return rounded(stencil.crop_tiles(wide).select(*CELL, "red"), ["red"])
 
 

@@ -188,3 +188,18 @@ def test_cloudiness_of_known_colours(spark):
                                "r int, g int, b int")
     got = [r[0] for r in df.select(tone.cloudiness(*[F.col(c) for c in "rgb"], 0.42)).collect()]
     assert got == pytest.approx([0, 0, 1, 0], abs=0.01)
+
+
+def test_the_deconvolve_query_makes_all_three_rounds(spark):
+    from checks import stencil_queries as stencils
+    small = "/root/testdata/sf0.001"
+    seen = stencils.dense(spark, small).toPandas()
+    got = stencils.deconvolve(spark, small).toPandas()
+    for frame, cells in seen.groupby("frame_id"):
+        img, out = (x.pivot(index="row", columns="col", values="red").to_numpy()
+                    for x in (cells, got[got["frame_id"] == frame]))
+        lo, hi = windows(img, 3).min(axis=(2, 3)), windows(img, 3).max(axis=(2, 3))
+        slack, now = (hi - lo) * 0.2, img
+        for _ in range(3):
+            last, now = now, np.clip(now + 0.75 * (img - blur(now, 0.6)), lo - slack, hi + slack)
+        assert np.allclose(out, now, atol=1e-6) and not np.allclose(last, now, atol=1e-5)
