@@ -29,10 +29,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,12 @@ SHARD, SHARDS, BITS, BLOCK = 1 << 18, 4, 1 << 25, 1 << 20
 TOTALS, PARTS, RUNS, KNOWN = 1 << 16, 16, (0, 1, 4, 16), 1 << 20
 #: Bits of a page of a filter; words whose counts a task puts together before it passes them on.
 PAGE, HELD = 1 << 12, 1 << 19
-#: Classes of first words for each MANY * BITS words: at 8 few rare pairs share a bit with a frequent one.
-CROWD = 8
+#: Classes of phrases for each MANY * BITS words: at 32 few rare pairs share a bit with a frequent one.
+CROWD = 32
 #: Counts of a page of a shard's sums.
 SUMS = 1 << 16
+#: Words of a lot.
+LOT = 1 << 21
 
 _MARKS = np.zeros(256, np.uint8)
 _MARKS[[*b".,;:!?", *range(10, 14)]] = 1
@@ -150,6 +154,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "codes": pa.array([codes.astype(_code_type(len(words))).tobytes()], pa.binary())})
 
 
+def _lots(most: int, common):
+    """Blocks of the words that may be frequent, and their lots: neighbours in a task, of about
+    `most` words together."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, n = TaskContext.get().partitionId() << 32, 0
+        for block in _blocks(batches):
+            (words, codes), = _words_of(block)
+            if n and n + len(codes) > most:
+                lot, n = lot + 1, 0
+            n += len(codes)
+            there = _has(common.value, words)
+            words = np.concatenate((np.zeros(1, np.uint64), words[there]))
+            codes = np.where(there, np.cumsum(there), 0).astype(_code_type(len(words)))[codes]
+            yield pa.record_batch({
+                "lang": block.column("lang"), "words": pa.array([words.tobytes()], pa.binary()),
+                "codes": pa.array([codes.tobytes()], pa.binary()),
+                "lot": pa.array([lot], pa.int64())})
+    return deal
+
+
 def _code_type(words: int) -> type:
     return np.uint16 if words <= 1 << 16 else np.uint32
 
@@ -290,6 +314,18 @@ def _new(known: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return (known[:, at] != phrases).any(0)
 
 
+def _bounded(words: np.ndarray, pair: np.ndarray, triple: np.ndarray, pairs: np.ndarray,
+             triples: np.ndarray) -> Iterator[np.ndarray]:
+    """Hash and words of the different pairs, then triples, of a block that may be frequent."""
+    two = _has(pairs, pair)
+    three = _has(triples, triple) & _both(pairs, pair)
+    for h, there, n in ((pair, two, 2), (triple, three, 3)):
+        at = np.flatnonzero(there)
+        at = at[np.unique(h[at], return_index=True)[1]]
+        last = words[at + 2] if n == 3 else np.zeros(len(at), np.uint64)
+        yield np.stack((h[at], words[at], words[at + 1], last))
+
+
 def _candidates(filters, some: tuple[int, int], told):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, pairs, triples = filters.value
@@ -298,14 +334,7 @@ def _candidates(filters, some: tuple[int, int], told):
             for lang, (words, codes) in zip(batch.column("lang").to_pylist(), _words_of(batch),
                                             strict=True):
                 words = np.where(_has(common, words), words, np.uint64(0))[codes]
-                pair, triple = _pairs_and_triples(words, some)
-                two = _has(pairs, pair)
-                three = _has(triples, triple) & _both(pairs, pair)
-                for h, there, n in ((pair, two, 2), (triple, three, 3)):
-                    at = np.flatnonzero(there)
-                    at = at[np.unique(h[at], return_index=True)[1]]
-                    last = words[at + 2] if n == 3 else np.zeros(len(at), np.uint64)
-                    phrases = np.stack((h[at], words[at], words[at + 1], last))
+                for phrases in _bounded(words, *_pairs_and_triples(words, some), pairs, triples):
                     phrases = phrases[:, _new(known, phrases)].view(np.int64)
                     yield pa.record_batch({
                         "lang": pa.array([lang] * phrases.shape[1], pa.string()), **{
@@ -536,15 +565,15 @@ def _told(rows: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
         "last": f[np.searchsorted(words, last[keep])], "a": a[keep]})
 
 
-def phrase_counts(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
+def phrase_counts(blocks: DataFrame, words: DataFrame, common: np.ndarray, total: int
+                  ) -> DataFrame:
     """lang, h1, h2, h3 (0 for pairs), the counts of the first and the last word, and a, of all
-    phrases of at least MANY occurrences, `total` words being in the blocks.  Phrases are classed
-    by their first words, so that a class's totals don't crowd the filters, however large the
-    corpus."""
-    common = _bitmap(_word_pages(words))
+    phrases of at least MANY occurrences, `total` words being in the texts.  Where one filter
+    would be crowded, every lot of blocks has filters and a trie of its own."""
     classes = max(1, -(-CROWD * total // (MANY * BITS)))
-    return reduce(DataFrame.union, [_class_counts(blocks, common, (some, classes))
-                                    for some in range(classes)])
+    if classes == 1:
+        return _class_counts(blocks, common, (0, 1))
+    return _lot_counts(blocks, words, classes)
 
 
 def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int]) -> DataFrame:
@@ -582,6 +611,155 @@ def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int])
     return reduce(DataFrame.union, counts)
 
 
+# --- lots ---
+
+_BOUNDS = "lot long, class int, n int, totals binary"
+_REACHED = "lot long, class int, bits binary"
+_PARTS = "shard int, phrases binary, sums binary"
+
+
+def _lot_counts(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
+    """phrase_counts of a large corpus.  What is counted goes to the totals of its class and what
+    may be frequent is told to the lot that asked, so that however many lots and phrases there
+    are, the blocks are read twice, and no task or broadcast holds more."""
+    reached = (blocks.mapInArrow(_lot_bounds(classes, BITS), _BOUNDS)
+               .groupBy("class").applyInPandas(_reached(MANY, BITS), _REACHED))
+    parts = (blocks.groupBy("lot").cogroup(reached.groupBy("lot"))
+             .applyInPandas(_lot_counted(classes, BITS), _PARTS))
+    sums = shared.settle(parts.groupBy("shard").applyInPandas(
+        _merged(MANY), "h1 long, h2 long, h3 long, a long"))
+    first = words.select("lang", F.col("h").alias("h1"), F.col("f").alias("first"))
+    last = words.select(F.col("h").alias("end"), F.col("f").alias("last"))
+    end = F.when(F.col("h3") != 0, F.col("h3")).otherwise(F.col("h2"))
+    return shared.settle(sums.join(first, "h1").withColumn("end", end).join(last, "end")
+                         .select(*(t.split()[0] for t in _FOUND.split(", "))))
+
+
+def _phrases_of(words: np.ndarray, codes: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, and hashes of the pairs and triples that begin there."""
+    words = words[codes]
+    return words, *_pairs_and_triples(words, (0, 1))
+
+
+def _totals_of(lot: list[tuple[np.ndarray, np.ndarray, np.ndarray]], classes: int, bits: int
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of a lot's phrases, in order, how often each, and where each class of them begins: first
+    the classes of pairs, then those of triples, of `bits` bits each."""
+    span = np.uint64(classes * bits)
+    bit, n = np.unique(np.concatenate([h[h != 0] % span + np.uint64(level) * span
+                                       for _, *hashes in lot for level, h in enumerate(hashes)]),
+                       return_counts=True)
+    return bit, n, np.searchsorted(bit, np.arange(2 * classes + 1, dtype=np.uint64)
+                                   * np.uint64(bits))
+
+
+def _lot_bounds(classes: int, bits: int):
+    """Totals by bit of the phrases of each lot, a row for each class."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot: list = []
+        own = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            bit, n, cuts = _totals_of(lot, classes, bits)
+            lot.clear()
+            there = np.flatnonzero(np.diff(cuts))
+            yield pa.record_batch({
+                "lot": pa.array(np.full(len(there), own, np.int64)),
+                "class": pa.array(there.astype(np.int32)),
+                "n": pa.array(np.diff(cuts)[there].astype(np.int32)),
+                "totals": pa.array([_gaps(bit[a:b] - np.uint64(c * bits), n[a:b]) for c, a, b in
+                                    zip(there.tolist(), cuts[there], cuts[there + 1],
+                                        strict=True)], pa.binary())})
+        for batch in batches:
+            for other, block in zip(batch.column("lot").to_pylist(), _words_of(batch),
+                                    strict=True):
+                if lot and other != own:
+                    yield from told()
+                own = other
+                lot.append(_phrases_of(*block))
+        if lot:
+            yield from told()
+    return count
+
+
+def _gaps(bits: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending bits as the steps between them, a plane for each byte, and counts up to 255."""
+    steps = np.diff(bits.astype(np.int64), prepend=-1).astype("<u4").view(np.uint8).reshape(-1, 4)
+    planes = np.concatenate((steps.T, np.minimum(n, 255).astype(np.uint8)[None]))
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _ungapped(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, 5 * n, "zstd"), np.uint8).reshape(5, n)
+    steps = np.ascontiguousarray(planes[:4].T).view("<u4")[:, 0]
+    return np.cumsum(steps, dtype=np.int64) - 1, planes[4]
+
+
+def _reached(many: int, bits: int):
+    """Which of the bits that each lot told of a class have totals of at least `many` in all lots."""
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(bits, np.uint8)
+        for packed, n in zip(rows["totals"], rows["n"], strict=True):
+            at, own = _ungapped(packed, n)
+            before = total[at]
+            total[at] = before + np.minimum(own, 255 - before)
+        total = total >= many
+        return rows[["lot", "class"]].assign(bits=[
+            np.packbits(total[_ungapped(packed, n)[0]]).tobytes()
+            for packed, n in zip(rows["totals"], rows["n"], strict=True)])
+    return add
+
+
+def _lot_counted(classes: int, bits: int):
+    """Occurrences in a lot of what may be frequent in all of them, counted by a trie of the lot."""
+    def count(blocks: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
+        batch = pa.record_batch({c: pa.array(blocks[c], pa.binary()) for c in ("words", "codes")})
+        lot = [_phrases_of(*block) for block in _words_of(batch)]
+        bit, _, cuts = _totals_of(lot, classes, bits)
+        filters = np.zeros((2, bits), bool)
+        for c, flags in zip(reached["class"], reached["bits"], strict=True):
+            own = bit[cuts[c]:cuts[c + 1]]
+            own = own[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(own)).view(bool)]
+            filters[c // classes][(own % np.uint64(bits)).astype(np.int64)] = True
+        filters = np.packbits(filters, axis=1, bitorder="little")
+        phrases = np.concatenate([p for block in lot for p in _bounded(*block, *filters)], axis=1)
+        del lot, filters
+        phrases = phrases[:, np.unique(phrases[0], return_index=True)[1]]
+        if not phrases.shape[1]:
+            return pd.DataFrame({"shard": [], "phrases": [], "sums": []})
+        rows = np.ascontiguousarray(phrases[1:].T)
+        trie, accepts = build(rows)
+        pages, = _counted(SimpleNamespace(value=[{
+            "shard": 0, "symbols": trie.symbols, "base": trie.base, "checks": trie.check,
+            "accepts": accepts.astype(np.int32)}]))(iter([batch]))
+        sums = np.concatenate([_unpacked(packed, own) for packed, own in zip(
+            pages.column("sums").to_pylist(), pages.column("n").to_pylist(), strict=True)])
+        shard = (phrases[0] >> np.uint64(32)) % np.uint64(2 * classes)
+        order = np.argsort(shard, kind="stable")
+        some, first = np.unique(shard[order], return_index=True)
+        parts = np.split(order, first[1:])
+        return pd.DataFrame({"shard": some.astype(np.int32),
+                             "phrases": [rows[part].tobytes() for part in parts],
+                             "sums": [_packed(sums[part]) for part in parts]})
+    return count
+
+
+def _merged(many: int):
+    """The phrases of a shard with at least `many` occurrences in all lots."""
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        phrases = np.frombuffer(b"".join(rows["phrases"]), np.int64).reshape(-1, 3)
+        sums = np.concatenate([_unpacked(packed, len(own) // 24) for own, packed in
+                               zip(rows["phrases"], rows["sums"], strict=True)])
+        order = np.lexsort(phrases.T)
+        phrases = phrases[order]
+        first = np.flatnonzero(np.append(True, (phrases[1:] != phrases[:-1]).any(1)))
+        a = np.add.reduceat(sums[order], first)
+        h = phrases[first[a >= many]]
+        return pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "h3": h[:, 2], "a": a[a >= many]})
+    return add
+
+
 # --- ranking ---
 
 def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
@@ -592,8 +770,12 @@ def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     words = words.where(F.col("f") >= MANY)
-    blocks = shared.settle(ready.mapInArrow(_blocks, "lang string, words binary, codes binary"))
-    scored = shared.settle(_scored(phrase_counts(blocks, words, total)))
+    common = _bitmap(_word_pages(words))
+    held = docs.sparkSession.sparkContext.broadcast(common)
+    blocks = shared.settle(ready.mapInArrow(
+        _lots(LOT, held), "lang string, words binary, codes binary, lot long"))
+    held.unpersist()
+    scored = shared.settle(_scored(phrase_counts(blocks, words, common, total)))
     # what is as good as the last of the best gets its words, which settle ties
     order = [F.desc("score"), F.desc("a")]
     least = (top_k(scored, ["lang"], [*order, F.asc("h1"), F.asc("h2"), F.asc("h3")], best)

@@ -8,6 +8,7 @@ from fractions import Fraction
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -190,6 +191,43 @@ def test_phrases_over_many_shards(texts, monkeypatch):
     assert as_rows(phrases.collocations(texts(rows))) == plain_phrases(rows)
 
 
+def test_the_blocks_are_read_as_often_however_large_the_corpus(spark, texts, monkeypatch):
+    """Filters of few bits stand for a large corpus: more classes of phrases, not more passes."""
+    draw = random.Random(3)
+    rows = phrase_rows(5) + [(" ".join(draw.choice("abcdef") for _ in range(400)), "en")
+                             for _ in range(40)]
+    want, jobs = plain_phrases(rows), []
+    monkeypatch.setattr(phrases, "LOT", 700, raising=False)
+    for bits in (1 << 14, 1 << 12):
+        monkeypatch.setattr(phrases, "BITS", bits)
+        spark.sparkContext.setJobGroup(f"phrases {bits}", "")
+        assert as_rows(phrases.collocations(texts(rows))) == want
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases {bits}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] > 5 and abs(jobs[1] - jobs[0]) < 5
+
+
+def test_totals_of_lots_add_up_by_bit():
+    """Counts beyond a byte stop at 255; a lot is told which of its own bits have enough."""
+    bits = 1 << 20
+    draw = np.random.default_rng(0)
+    told, total = [], np.zeros(bits, np.int64)
+    for lot in range(3):
+        at = np.unique(np.append(draw.integers(0, bits, 900), [0, 7, bits - 1]))
+        n = draw.integers(1, 6, len(at))
+        n[at == 7] = 200
+        total[at] += n
+        packed = phrases._gaps(at.astype(np.uint64), n)
+        assert [x.tolist() for x in phrases._ungapped(packed, len(at))] == [at.tolist(), n.tolist()]
+        told.append((lot, 4, len(at), packed, at))
+    rows = pd.DataFrame([r[:4] for r in told], columns=["lot", "class", "n", "totals"])
+    out = phrases._reached(10, bits)(rows)
+    assert out["lot"].tolist() == [0, 1, 2]
+    for flags, (*_, at) in zip(out["bits"], told, strict=True):
+        reached = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(at)).astype(bool)
+        assert (reached == (total[at] >= 10)).all() and 0 < reached.sum() < len(at)
+
+
 def test_totals_travel_without_their_zeros():
     """Few totals of a page: little more than a byte each travels, whatever the gaps."""
     page = np.zeros(phrases.TOTALS, np.uint8)
