@@ -55,8 +55,8 @@ PAGE, HELD = 1 << 12, 1 << 19
 CROWD = 32
 #: Counts of a page of a shard's sums.
 SUMS = 1 << 16
-#: Words of a lot.
-LOT = 1 << 21
+#: Words of a lot; frequent words that have a number, by which lots name them.
+LOT, NAMES = 1 << 21, 1 << 20
 
 _MARKS = np.zeros(256, np.uint8)
 _MARKS[[*b".,;:!?", *range(10, 14)]] = 1
@@ -615,19 +615,21 @@ def _class_counts(blocks: DataFrame, common: np.ndarray, some: tuple[int, int])
 
 _BOUNDS = "lot long, class int, n int, totals binary"
 _REACHED = "lot long, class int, bits binary"
-_PARTS = "shard int, phrases binary, sums binary"
+_PARTS = "shard int, n int, codes binary, others binary, sums binary"
 
 
 def _lot_counts(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
     """phrase_counts of a large corpus.  What is counted goes to the totals of its class and what
     may be frequent is told to the lot that asked, so that however many lots and phrases there
     are, the blocks are read twice, and no task or broadcast holds more."""
+    names = blocks.sparkSession.sparkContext.broadcast(_names(words))
     reached = (blocks.mapInArrow(_lot_bounds(classes, BITS), _BOUNDS)
                .groupBy("class").applyInPandas(_reached(MANY, BITS), _REACHED))
     parts = (blocks.groupBy("lot").cogroup(reached.groupBy("lot"))
-             .applyInPandas(_lot_counted(classes, BITS), _PARTS))
+             .applyInPandas(_lot_counted(classes, BITS, names), _PARTS))
     sums = shared.settle(parts.groupBy("shard").applyInPandas(
-        _merged(MANY), "h1 long, h2 long, h3 long, a long"))
+        _merged(MANY, names), "h1 long, h2 long, h3 long, a long"))
+    names.unpersist()
     first = words.select("lang", F.col("h").alias("h1"), F.col("f").alias("first"))
     last = words.select(F.col("h").alias("end"), F.col("f").alias("last"))
     end = F.when(F.col("h3") != 0, F.col("h3")).otherwise(F.col("h2"))
@@ -635,6 +637,52 @@ def _lot_counts(blocks: DataFrame, words: DataFrame, classes: int) -> DataFrame:
                          .select(*(t.split()[0] for t in _FOUND.split(", "))))
 
 
+def _names(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of at most NAMES of the most frequent words, in order, and their numbers from 1, the
+    most frequent first."""
+    size = F.floor(F.log2("f")).cast("int")
+    total, least = 0, 64
+    for row in words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        total += row["count"]
+        if total > NAMES:
+            break
+        least = row["size"]
+    rows = words.where(size >= least).select("h", "f").toArrow()
+    h = rows["h"].to_numpy().view(np.uint64)
+    number = np.empty(len(h), np.uint32)
+    number[np.lexsort((h, -rows["f"].to_numpy()))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], number[order]
+
+
+def _named(words: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Numbers of words: 0 where there is none, one more than there are names for those without."""
+    h, number = names
+    if not len(h):
+        return (words != 0).astype(np.uint32)
+    at = np.minimum(np.searchsorted(h, words), len(h) - 1)
+    return np.where(words == 0, 0, np.where(h[at] == words, number[at], len(h) + 1)).astype("<u4")
+
+
+def _coded(codes: np.ndarray, phrases: np.ndarray, names: int) -> tuple[bytes, bytes]:
+    """Phrases as their words' numbers, a plane for each byte, and the hashes of words without."""
+    planes = codes.view(np.uint8).reshape(-1, 12).T
+    return (pa.compress(planes.tobytes(), "zstd", asbytes=True),
+            phrases[codes > names].tobytes())
+
+
+def _decoded(packed: bytes, others: bytes, n: int, names: tuple[np.ndarray, np.ndarray]
+             ) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 12 * n, "zstd"), np.uint8).reshape(12, n)
+    codes = np.ascontiguousarray(planes.T).view("<u4")
+    h, number = names
+    words = np.zeros(len(h) + 2, np.uint64)
+    words[number] = h
+    phrases = words[codes]
+    phrases[codes > len(h)] = np.frombuffer(others, np.uint64)
+    return phrases
+
+
 def _phrases_of(words: np.ndarray, codes: np.ndarray
                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of a block, and hashes of the pairs and triples that begin there."""
@@ -711,7 +759,7 @@ def _reached(many: int, bits: int):
     return add
 
 
-def _lot_counted(classes: int, bits: int):
+def _lot_counted(classes: int, bits: int, names):
     """Occurrences in a lot of what may be frequent in all of them, counted by a trie of the lot."""
     def count(blocks: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFrame:
         batch = pa.record_batch({c: pa.array(blocks[c], pa.binary()) for c in ("words", "codes")})
@@ -727,7 +775,7 @@ def _lot_counted(classes: int, bits: int):
         del lot, filters
         phrases = phrases[:, np.unique(phrases[0], return_index=True)[1]]
         if not phrases.shape[1]:
-            return pd.DataFrame({"shard": [], "phrases": [], "sums": []})
+            return pd.DataFrame({c.split()[0]: [] for c in _PARTS.split(", ")})
         rows = np.ascontiguousarray(phrases[1:].T)
         trie, accepts = build(rows)
         pages, = _counted(SimpleNamespace(value=[{
@@ -736,21 +784,27 @@ def _lot_counted(classes: int, bits: int):
         sums = np.concatenate([_unpacked(packed, own) for packed, own in zip(
             pages.column("sums").to_pylist(), pages.column("n").to_pylist(), strict=True)])
         shard = (phrases[0] >> np.uint64(32)) % np.uint64(2 * classes)
-        order = np.argsort(shard, kind="stable")
+        # neighbours that begin with the same or a like number deflate well
+        codes = _named(trie.symbols, names.value)[np.searchsorted(trie.symbols, rows)]
+        codes[rows == 0] = 0
+        order = np.lexsort((codes[:, 0], shard))
         some, first = np.unique(shard[order], return_index=True)
         parts = np.split(order, first[1:])
-        return pd.DataFrame({"shard": some.astype(np.int32),
-                             "phrases": [rows[part].tobytes() for part in parts],
+        coded = [_coded(codes[part], rows[part], len(names.value[0])) for part in parts]
+        return pd.DataFrame({"shard": some.astype(np.int32), "n": [len(part) for part in parts],
+                             "codes": [c for c, _ in coded], "others": [o for _, o in coded],
                              "sums": [_packed(sums[part]) for part in parts]})
     return count
 
 
-def _merged(many: int):
+def _merged(many: int, names):
     """The phrases of a shard with at least `many` occurrences in all lots."""
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        phrases = np.frombuffer(b"".join(rows["phrases"]), np.int64).reshape(-1, 3)
-        sums = np.concatenate([_unpacked(packed, len(own) // 24) for own, packed in
-                               zip(rows["phrases"], rows["sums"], strict=True)])
+        phrases = np.concatenate([_decoded(packed, others, n, names.value).view(np.int64)
+                                  for packed, others, n in zip(rows["codes"], rows["others"],
+                                                               rows["n"], strict=True)])
+        sums = np.concatenate([_unpacked(packed, n) for packed, n in
+                               zip(rows["sums"], rows["n"], strict=True)])
         order = np.lexsort(phrases.T)
         phrases = phrases[order]
         first = np.flatnonzero(np.append(True, (phrases[1:] != phrases[:-1]).any(1)))

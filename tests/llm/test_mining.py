@@ -228,6 +228,23 @@ def test_totals_of_lots_add_up_by_bit():
         assert (reached == (total[at] >= 10)).all() and 0 < reached.sum() < len(at)
 
 
+def test_lots_name_words_by_number(spark, monkeypatch):
+    """The most frequent words have numbers, the others travel as hashes, and none is lost."""
+    words = spark.createDataFrame([("en", h, f) for h, f in [(-5, 900), (7, 40), (8, 1000), (9, 10),
+                                                             (3, 11)]], "lang string, h long, f long")
+    phrase = np.array([[8, 9, 0], [8, 8, 8], [3, 7, 8], [9, 3, 7]], np.uint64)
+    phrase[2, 1] = np.uint64(2 ** 64 - 5)
+    for most, known in ((1 << 20, 5), (3, 3), (1, 0)):
+        monkeypatch.setattr(phrases, "NAMES", most)
+        names = phrases._names(words)
+        assert len(names[0]) == known and sorted(names[1].tolist()) == [*range(1, known + 1)]
+        codes = phrases._named(phrase, names)
+        assert known == 0 or codes[0].tolist() == [1, 4 if known == 3 else 5, 0]
+        packed, others = phrases._coded(codes, phrase, known)
+        assert len(others) == 8 * (codes > known).sum()
+        assert (phrases._decoded(packed, others, 4, names) == phrase).all()
+
+
 def test_totals_travel_without_their_zeros():
     """Few totals of a page: little more than a byte each travels, whatever the gaps."""
     page = np.zeros(phrases.TOTALS, np.uint8)
