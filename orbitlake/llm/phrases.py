@@ -6,17 +6,21 @@ at spaces and tabs.  Everything is counted within a language (null: 'und').
 1. Words are counted by their 64-bit hashes, and the texts are written down once as blocks of one
    language each: the different hashes of a block, and which of them stands at each place, a zero
    between pieces.
-2. Apriori: a phrase that occurs MANY times is made of words that do.  Hashed totals of pairs and
-   triples of such words give upper bounds; a phrase stays a candidate only if the bounds of it and
-   of the pairs inside it reach MANY.  The filters are bitmaps of BITS bits, whatever the corpus:
-   false candidates cost time, no phrase is lost.  A few blocks are searched for candidates first,
-   and the others give those that are not known yet.
-3. Candidates are dealt by hash into shards of about SHARD phrases.  Each becomes a double-array
-   trie over word numbers, built in a task of its own, with the counts of its words.  A few shards
-   at a time are broadcast, and in every block numpy moves the states of all text positions at
-   once, one word a level, and bincounts the accepting states.  The sums of all blocks are the
-   exact counts; a task passes them on as deflated pages.
-4. Counts of pairs meet the triples they are in by equal joins, and every language is ranked in
+2. Apriori: a phrase that occurs MANY times is made of words that do, so blocks keep only these.
+   Hashed totals of their pairs and triples give upper bounds; a phrase stays a candidate only if
+   the bounds of it and of the pairs inside it reach MANY.  False candidates cost time, no phrase
+   is lost.
+3. Candidates become double-array tries over word numbers.  In a block numpy moves the states of
+   all text positions at once, one word a level, and bincounts the accepting states; the sums of all
+   blocks are the exact counts.
+4. A small corpus has one filter of BITS bits, which is broadcast; a few blocks are searched for
+   candidates first, the others give those that are not known yet, and shards of about SHARD
+   candidates are broadcast as tries, a few at a time.  A filter and shards for a larger corpus would
+   grow with it, and so would the passes over its blocks.  There, neighbouring blocks make lots of
+   about LOT words.  Totals are dealt by hash to classes of BITS bits, a lot is told which of its
+   own bits reach MANY, counts its own candidates by a trie of its own, and its counts are dealt by
+   hash and added up: two passes, whatever the size.
+5. Counts of pairs meet the triples they are in by equal joins, and every language is ranked in
    salts; only what is as good as the last of the best is spelt out, by reading the texts again.
 
 Null and empty texts have no words; texts are read whole; repeated rows count each; columns other
